@@ -1,0 +1 @@
+"""Empty on purpose: every input of the analysis is a finished table, so there is nothing to stream."""
