@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.functions import columns as C
-from limnos.operators.reshape import add_group_values, natural_join, whole_frame
+from limnos.operators.reshape import add_group_values, natural_join
+from limnos.session import checkpointed
 
 
 def profile_grid(df: DataFrame, id: str, x: str, n: int = 500) -> DataFrame:
@@ -76,17 +77,15 @@ def value_at_depth(profile: DataFrame, targets: DataFrame, id: str, x: str, y: s
 
 # --- smooth curves -----------------------------------------------------------------------------
 
-def _bspline(t: Column) -> Column:
-    """Cubic B-spline centred at zero with knots at -2 .. 2."""
-    a = F.abs(t)
-    return (F.when(a < 1, 2 / 3 - a * a + a * a * a / 2)
-            .when(a < 2, (2 - a) * (2 - a) * (2 - a) / 6).otherwise(0.0))
+# Rows: the four cubic B-splines that are not zero on a knot interval, as coefficients of 1, t, t^2, t^3.
+SEGMENT = np.array([[1, -3, 3, -1], [4, 0, -6, 3], [1, 3, 3, -3], [0, 0, 0, 1]]) / 6
 
 
-def _basis(x: Column, lo: Column, hi: Column, k: int) -> list[Column]:
-    """k cubic B-splines on evenly spaced knots over [lo, hi]."""
-    u = F.try_divide((x - lo) * F.lit(float(k - 3)), hi - lo)
-    return [_bspline(u - float(j - 1)) for j in range(k)]
+def _segment(x: Column, lo: Column, hi: Column, k: int) -> tuple[Column, Column]:
+    """Knot interval (0 .. k - 4) and place in it (0 .. 1) for k splines on even knots over [lo, hi]."""
+    u = (x - lo) * F.lit(float(k - 3)) / (hi - lo)
+    m = F.least(F.floor(u), F.lit(k - 4))
+    return m, u - m
 
 
 def _penalty(k: int) -> np.ndarray:
@@ -94,26 +93,36 @@ def _penalty(k: int) -> np.ndarray:
     return d2.T @ d2 + 1e-8 * np.eye(k)
 
 
-def _unpack(batch: pd.DataFrame, k: int):
-    upper = np.triu_indices(k)
-    flat = np.stack(batch["moments"].to_numpy())
-    btb = np.zeros((len(flat), k, k))
-    btb[:, upper[0], upper[1]] = flat[:, : len(upper[0])]
-    btb[:, upper[1], upper[0]] = flat[:, : len(upper[0])]
-    bty = flat[:, len(upper[0]): len(upper[0]) + k]
-    return btb, bty, flat[:, -2], flat[:, -1]
+def _normal_equations(segments: pd.Series, k: int):
+    """B'B, B'y, y'y and n per ID from the power sums of its knot intervals."""
+    flat = np.array([s for row in segments for s in row])
+    owner = np.repeat(np.arange(len(segments)), [len(row) for row in segments])
+    powers = flat[:, 1:8][:, np.add.outer(np.arange(4), np.arange(4))]
+    blocks = SEGMENT @ powers @ SEGMENT.T
+    sides = flat[:, 8:12] @ SEGMENT.T
+    at = flat[:, 0].astype(int)[:, None] + np.arange(4)
+    btb, bty = np.zeros((len(segments), k, k)), np.zeros((len(segments), k))
+    np.add.at(btb, (owner[:, None, None], at[:, :, None], at[:, None, :]), blocks)
+    np.add.at(bty, (owner[:, None], at), sides)
+    return btb, bty, np.bincount(owner, flat[:, 12]), np.bincount(owner, flat[:, 1])
 
 
 def smooth_moments(df: DataFrame, id: str, x: str, y: str, k: int = 10) -> DataFrame:
-    """Cross-products of the spline basis per ID: one pass with partial sums, whatever the rows per ID."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ends = add_group_values(rows.select(id, x, y), [id], __lo=F.min(x), __hi=F.max(x)).where("__hi > __lo")
-    base = ends.withColumns({f"__b{j}": b for j, b in enumerate(_basis(F.col(x), F.col("__lo"), F.col("__hi"), k))})
-    upper = zip(*np.triu_indices(k))
-    sums = [F.sum(F.col(f"__b{i}") * F.col(f"__b{j}")) for i, j in upper]
-    sums += [F.sum(F.col(f"__b{i}") * F.col(y)) for i in range(k)]
-    sums += [F.sum(F.col(y) * F.col(y)), F.count(F.lit(1)).cast("double")]
-    return base.groupBy(id, F.col("__lo").alias("lo"), F.col("__hi").alias("hi")).agg(F.array(*sums).alias("moments"))
+    """(id, lo, hi, segments): power sums of the place in each knot interval, and of its product with y.
+
+    Splines are cubic in each interval, so these twelve sums give all cross-products of the basis. They are
+    summed before the shuffle, whatever the rows per ID, and an ID has at most k - 3 intervals.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(id, x, y)
+    rows = add_group_values(rows, [id], lo=F.min(x), hi=F.max(x)).where("hi > lo")
+    m, t = _segment(F.col(x), F.col("lo"), F.col("hi"), k)
+    placed = rows.select(id, "lo", "hi", m.alias("m"), t.alias("t"), F.col(y).alias("y"))
+    power = lambda i: F.lit(1.0) if i == 0 else F.pow("t", F.lit(float(i)))
+    sums = [F.sum(power(i)).alias(f"s{i}") for i in range(7)]
+    sums += [F.sum(F.col("y") * power(i)).alias(f"y{i}") for i in range(4)] + [F.sum(F.col("y") * F.col("y")).alias("yy")]
+    per_segment = placed.groupBy(id, "lo", "hi", "m").agg(*sums)
+    row = F.array(F.col("m").cast("double"), *[f"s{i}" for i in range(7)], *[f"y{i}" for i in range(4)], "yy")
+    return per_segment.groupBy(id, "lo", "hi").agg(F.collect_list(row).alias("segments"))
 
 
 def smoothing_scores(moments: DataFrame, k: int, strengths: list[float]) -> DataFrame:
@@ -122,7 +131,7 @@ def smoothing_scores(moments: DataFrame, k: int, strengths: list[float]) -> Data
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            btb, bty, yty, n = _unpack(batch, k)
+            btb, bty, yty, n = _normal_equations(batch["segments"], k)
             for s in strengths:
                 inverse = np.linalg.inv(btb + s * pen)
                 beta = np.einsum("gij,gj->gi", inverse, bty)
@@ -130,32 +139,39 @@ def smoothing_scores(moments: DataFrame, k: int, strengths: list[float]) -> Data
                 edf = np.einsum("gij,gji->g", inverse, btb)
                 yield pd.DataFrame({"strength": [s], "rss": [rss.sum()], "edf": [edf.sum()], "n": [n.sum()]})
 
-    parts = moments.select("moments").mapInPandas(per_batch, "strength double, rss double, edf double, n double")
+    parts = moments.select("segments").mapInPandas(per_batch, "strength double, rss double, edf double, n double")
     total = parts.groupBy("strength").agg(F.sum("rss").alias("rss"), F.sum("edf").alias("edf"), F.sum("n").alias("n"))
     return total.select("strength", (F.col("n") * F.col("rss") / F.pow(F.col("n") - F.col("edf"), F.lit(2))).alias("score"))
 
 
 def profile_smooth(df: DataFrame, id: str, x: str, y: str, k: int = 10, strengths: list[float] | None = None) -> DataFrame:
-    """(id, lo, hi, beta): penalised spline per ID with one smoothing strength shared by all IDs."""
+    """(id, lo, hi, beta): penalised spline per ID with one smoothing strength shared by all IDs.
+
+    The raw rows are read once: the moments (one short row per ID) are checkpointed for both passes, and
+    only the best strength comes to the driver.
+    """
     strengths = strengths or [10.0 ** e for e in np.arange(-3, 4.01, 0.5)]
-    moments = smooth_moments(df, id, x, y, k)
-    best = smoothing_scores(moments, k, strengths).agg(F.min_by("strength", F.struct("score", "strength"))).scalar()
-    pen = _penalty(k)
+    moments = checkpointed(smooth_moments(df, id, x, y, k))
+    best = smoothing_scores(moments, k, strengths).agg(F.min_by("strength", F.struct("score", "strength"))).first()[0]
+    ridge = best * _penalty(k)
 
     @F.pandas_udf("array<double>")
-    def solve(flat: pd.Series, strength: pd.Series) -> pd.Series:
-        btb, bty, _, _ = _unpack(pd.DataFrame({"moments": flat}), k)
-        beta = np.linalg.solve(btb + strength.to_numpy()[:, None, None] * pen, bty[:, :, None])[:, :, 0]
-        return pd.Series(list(beta))
+    def solve(segments: pd.Series) -> pd.Series:
+        btb, bty, _, _ = _normal_equations(segments, k)
+        return pd.Series(list(np.linalg.solve(btb + ridge, bty[:, :, None])[:, :, 0]))
 
-    return moments.withColumn("strength", best).select(id, "lo", "hi", solve("moments", "strength").alias("beta"))
+    return moments.select(id, "lo", "hi", solve("segments").alias("beta"))
 
 
 def predict_smooth(coefficients: DataFrame, id: str, x: str, name: str, n: int = 500, k: int = 10) -> DataFrame:
     """Curve values on the even grid of each ID."""
     grid = coefficients.select(id, "lo", "hi", "beta", F.explode(C.even_grid("lo", "hi", n)).alias(x))
-    terms = [b * F.col("beta")[j] for j, b in enumerate(_basis(F.col(x), F.col("lo"), F.col("hi"), k))]
-    return grid.select(id, x, sum(terms[1:], terms[0]).alias(name))
+    m, t = _segment(F.col(x), F.col("lo"), F.col("hi"), k)
+    placed = grid.select(id, x, F.slice("beta", m.cast("int") + 1, 4).alias("b"), t.alias("t"))
+    cubic = [sum((F.col("b")[j] * float(SEGMENT[j, i]) for j in range(1, 4)), F.col("b")[0] * float(SEGMENT[0, i]))
+             for i in range(4)]
+    t = F.col("t")
+    return placed.select(id, x, (cubic[0] + t * (cubic[1] + t * (cubic[2] + t * cubic[3]))).alias(name))
 
 
 def extract_thermocline(df: DataFrame, id: str, x: str, y: str, k: int = 10, n_grid: int = 500,
