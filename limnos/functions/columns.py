@@ -6,6 +6,7 @@ Missing values are NULL everywhere; NaN is folded to NULL at ingest with `fold_n
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,7 @@ def log_gamma(x) -> Column:
     """ln Gamma(x) for x > 0: Stirling's series after shifting the argument by eight."""
     x = col(x).cast("double")
     z = x + 8
-    shift = sum((F.log(x + i) for i in range(1, 8)), F.log(x))
+    shift = F.log(reduce(lambda a, i: a * (x + i), range(1, 8), x))
     series = 1 / (12 * z) - 1 / (360 * z ** 3) + 1 / (1260 * z ** 5) - 1 / (1680 * z ** 7)
     return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from limnos.plans import profiles
+from limnos.plans import community, profiles
 
-MODULES = [profiles]
+MODULES = [profiles, community]
 
 
 def queries() -> dict:

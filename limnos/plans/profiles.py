@@ -6,19 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.operators import profiles as P
+from limnos.plans.registry import registry
 from limnos.sources import domain as D
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLE[name] = sql
-        return fn
-    return add
-
+QUERIES, ORACLE, query = registry()
 
 _GRADIENT = f"""WITH {D.PROFILES},
 g AS (SELECT "ID", depth, temp - lag(temp) OVER w AS dtemp, depth - lag(depth) OVER w AS ddepth,
