@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from limnos.plans import community, profiles
+from limnos.plans import community, ordination, profiles
 
-MODULES = [profiles, community]
+MODULES = [profiles, community, ordination]
 
 
 def queries() -> dict:
