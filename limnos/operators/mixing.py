@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from limnos.functions import columns as C
 from limnos.operators.reshape import keep_groups, natural_join, wide
+from limnos.session import spread
 
 SOURCES = ["PERI", "ZOOP", "LEAF"]  # fixed values: the three sources
 
@@ -78,7 +79,7 @@ def mixing_proportions(mixtures: DataFrame, sources: DataFrame, community: str =
         (F.var_pop(x) * F.count(x)).alias("q1"), (F.var_pop(y) * F.count(y)).alias("q2"))
     listed = sources.dropna().groupBy(community).agg(F.array_sort(F.collect_list(
         F.struct("source", "mean_c", "sd_c", "mean_n", "sd_n"))).alias("s"))
-    joined = natural_join(stats, listed.where(F.size("s") > 1), "inner", [community])
+    joined = spread(natural_join(stats, listed.where(F.size("s") > 1), "inner", [community]), community, taxon)
 
     @F.pandas_udf("array<array<double>>")
     def solve(n: pd.Series, m1: pd.Series, m2: pd.Series, q1: pd.Series, q2: pd.Series, mc: pd.Series, sc: pd.Series,

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from limnos.functions import columns as C
 from limnos.operators.ordination import _hull
 from limnos.operators.reshape import add_share, draw_interval, keep_groups, natural_join, wide
+from limnos.session import spread
 
 # Baseline sources that are a class of their own in overlap tables.
 BASELINE_CLASSES = ["LEAF", "PERI", "FISH"]
@@ -52,7 +53,7 @@ def niche_draws(stats: DataFrame, keys: Sequence[str], draws: int = 4000, seed:
             for row in batch.itertuples(index=False, name=None):
                 yield _draw_block(dict(zip(batch.columns, row)), keys, block, draws, prior_df)
 
-    return rows.mapInPandas(draw, schema)
+    return spread(rows, *keys, "__b").mapInPandas(draw, schema)
 
 
 def _draw_block(r: dict, keys, block: int, draws: int, prior_df: float) -> pd.DataFrame:
@@ -237,10 +238,10 @@ def ellipse_overlap(draws: DataFrame, community: str = "community", group: str =
     """(community, draw, pair members s1 < s2, overlap): shared area over joint area of p ellipses, per draw.
 
     One row per unordered pair of groups of a community, which is the result itself; the equi-join runs on
-    (community, draw), so no task holds more than the groups of one draw. Areas are integrated along rays
+    (community, draw), partitioned once for both sides. Areas are integrated along rays
     from the centre of the smaller ellipse.
     """
-    few = draws.where(F.col("draw") < max_draw)
+    few = spread(draws.where(F.col("draw") < max_draw), community, "draw")
     cols = ["mu_x", "mu_y", "s_xx", "s_xy", "s_yy"]
     a = few.select(community, "draw", F.col(group).alias("s1"), *[F.col(c).alias(f"a_{c}") for c in cols])
     b = few.select(community, "draw", F.col(group).alias("s2"), *[F.col(c).alias(f"b_{c}") for c in cols])

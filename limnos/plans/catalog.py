@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from limnos.plans import community, ordination, profiles
+from limnos.plans import community, isotopes, ordination, profiles
 
-MODULES = [profiles, community, ordination]
+MODULES = [profiles, community, ordination, isotopes]
 
 
 def queries() -> dict:

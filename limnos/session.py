@@ -39,3 +39,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="limnos-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all cores ahead of heavy work per row; adaptive execution would merge small inputs into one task."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1), *keys)
