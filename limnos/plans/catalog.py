@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from limnos.plans import community, isotopes, ordination, profiles
+from limnos.plans import community, isotopes, lakes, ordination, profiles, regression
 
-MODULES = [profiles, community, ordination, isotopes]
+MODULES = [profiles, lakes, community, ordination, isotopes, regression]
 
 
 def queries() -> dict:

@@ -330,7 +330,7 @@ def mixing_by_taxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.mixing_by_taxon(share_table(spark, sf_dir), ["brand1", "brand7", "brand12", "nosuch"]), 8, "mean")
 
 
-_TROPHIC = _SHARES + f""",
+TROPHIC = _SHARES + f""",
 mix AS (SELECT community, group_name, max(mean) FILTER (WHERE source = 'PERI') AS pm, max(mean) FILTER (WHERE source = 'ZOOP') AS zm,
                max(mean) FILTER (WHERE source = 'LEAF') AS lm FROM shares GROUP BY 1, 2),
 bas AS (SELECT community, max(mean_n) FILTER (WHERE source = 'PERI') AS p, max(mean_n) FILTER (WHERE source = 'ZOOP') AS z,
@@ -349,7 +349,7 @@ def trophic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.trophic_clean(rows, D.taxon_frame(spark, sf_dir))
 
 
-@query("trophic_position", _TROPHIC + """
+@query("trophic_position", TROPHIC + """
 SELECT community, "GROUP", "FAMILY", "ORDER", count(*) AS n, round(sum(w), 4) AS weighted, round(sum(s), 4) AS simple,
        round(max(mt), 6) AS "mean_TP" FROM (SELECT *, avg(w) OVER (PARTITION BY "FAMILY") AS mt FROM tc) GROUP BY 1, 2, 3, 4""")
 def trophic_position(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,7 +358,7 @@ def trophic_position(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("mean_TP").alias("mean_TP")), 4, "weighted", "simple"), 6, "mean_TP")
 
 
-@query("trophic_table", _TROPHIC + """
+@query("trophic_table", TROPHIC + """
 SELECT "ORDER", "FAMILY", round(avg(w), 6) AS "mean_TP", round(stddev_samp(w), 6) AS "sd_TP", count(*) AS n FROM tc GROUP BY 1, 2 HAVING count(*) > 3""")
 def trophic_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.trophic_table(trophic_rows(spark, sf_dir)), 6, "mean_TP", "sd_TP")
