@@ -235,6 +235,8 @@ def permanova_terms(sets: DataFrame, terms: Sequence[str]) -> DataFrame:
 def simper(presence: DataFrame, site: str, taxon: str, cluster: str) -> DataFrame:
     """(cluster1, cluster2, taxon, average, cusum): contributions of taxa to Bray distances between clusters.
 
+    Taxa that neither cluster holds are listed with zero.
+
     A pair of sites contributes 1 / (n_i + n_j) to a taxon that exactly one of them has, so the mean over all
     pairs of two clusters needs only the number of sites by richness, with and without the taxon.
     """
@@ -253,13 +255,16 @@ def simper(presence: DataFrame, site: str, taxon: str, cluster: str) -> DataFram
     shared = mine.join(other, taxon).where("c < d").select(
         F.col("c").alias("cluster1"), F.col("d").alias("cluster2"), taxon,
         (-2 * F.col("p") * F.col("q") / (F.col("n") + F.col("m"))).alias("v"))
-    sums = alone.unionByName(shared).groupBy("cluster1", "cluster2", taxon).agg(F.sum("v").alias("v"))
+    listed = every.select(F.array_distinct(F.flatten(F.transform("all", lambda a: F.transform(
+        F.filter("all", lambda b: a["c"] < b["c"]), lambda b: F.struct(a["c"].alias("cluster1"), b["c"].alias("cluster2"))))))).scalar()
+    absent = held.select(taxon).distinct().select(F.explode(listed).alias("p"), taxon).select("p.*", taxon, F.lit(0.0).alias("v"))
+    sums = alone.unionByName(shared).unionByName(absent).groupBy("cluster1", "cluster2", taxon).agg(F.sum("v").alias("v"))
     sizes = levels.groupBy(cluster).agg(F.sum("sites").alias("__s"))
     sums = sums.join(sizes.select(F.col(cluster).alias("cluster1"), F.col("__s").alias("__s1")), "cluster1")
     sums = sums.join(sizes.select(F.col(cluster).alias("cluster2"), F.col("__s").alias("__s2")), "cluster2")
     out = sums.select("cluster1", "cluster2", taxon, (F.col("v") / F.col("__s1") / F.col("__s2")).alias("average"))
     pair = Window.partitionBy("cluster1", "cluster2")
-    running = pair.orderBy(F.col("average").desc(), taxon).rowsBetween(Window.unboundedPreceding, 0)
+    running = pair.orderBy(F.round("average", 12).desc(), taxon).rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("cusum", F.sum("average").over(running) / F.sum("average").over(pair))
 
 
@@ -268,7 +273,7 @@ def simper_select(scores: DataFrame, taxon: str, n: int = 15, by: str = "average
 
     by='average_desc' takes the largest contributions; by='cumulative_desc' the largest running shares.
     """
-    order = {"average_desc": [F.col("average").desc(), F.col(taxon)],
+    order = {"average_desc": [F.round("average", 12).desc(), F.col(taxon)],
              "cumulative_desc": [F.col("cusum").desc(), F.col(taxon)]}[by]
     first = top_n(scores, ["cluster1", "cluster2"], order, n).select(taxon)
     closing = scores.where(F.abs(F.col("cusum") - 1) < 1e-12).select(taxon)

@@ -53,9 +53,9 @@ def _shares(n, means, squares, mu, sd, shape, rate, steps, zooms):
         w /= w.sum()
         mean = w @ p
         dev = np.sqrt(np.maximum(w @ (p - mean) ** 2, 0))
-        if zoom == zooms or size * 0.5 < 14 * dev.max():
+        if zoom == zooms or size * 0.6 < 10 * dev.max():
             break
-        centre, size = mean, max(14 * dev.max(), 3 * size / steps)
+        centre, size = mean, max(10 * dev.max(), 3 * size / steps)
     out = []
     for j in range(k):
         order = np.argsort(p[:, j])
@@ -65,7 +65,7 @@ def _shares(n, means, squares, mu, sd, shape, rate, steps, zooms):
 
 
 def mixing_proportions(mixtures: DataFrame, sources: DataFrame, community: str = "community", taxon: str = "group_name",
-                       x: str = "iso1", y: str = "iso2", shape: float = 3.0, rate: float = 3 / 50, steps: int = 40,
+                       x: str = "iso1", y: str = "iso2", shape: float = 3.0, rate: float = 3 / 50, steps: int = 60,
                        zooms: int = 3) -> DataFrame:
     """(community, taxon, source, mean, sd, low, q25, median, q75, high, n, points) of the source shares.
 

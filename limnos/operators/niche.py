@@ -27,7 +27,8 @@ def ellipse_stats(frame: DataFrame, keys: Sequence[str], x: str = "iso1", y: str
         F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.var_samp(x).alias("var_x"),
         F.covar_samp(x, y).alias("cov_xy"), F.var_samp(y).alias("var_y"))
     det = F.col("var_x") * F.col("var_y") - F.col("cov_xy") * F.col("cov_xy")
-    s = s.withColumn("sea", math.pi * F.sqrt(F.greatest(det, F.lit(0.0))))
+    flat = det <= 1e-12 * F.col("var_x") * F.col("var_y")  # points on a line: no area, whatever the rounding
+    s = s.withColumn("sea", math.pi * F.sqrt(F.when(flat, 0.0).otherwise(det)))
     return s.withColumn("seac", F.try_divide(F.col("sea") * (F.col("n") - 1), F.col("n") - 2))
 
 

@@ -225,9 +225,10 @@ def simper_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("simper_select", _SIMPER + """,
-r AS (SELECT *, row_number() OVER (PARTITION BY cluster1, cluster2 ORDER BY round(average, 12) DESC, "FAMILY") AS i,
-             row_number() OVER (PARTITION BY cluster1, cluster2 ORDER BY round(average, 12), "FAMILY" DESC) AS back FROM av)
-SELECT DISTINCT "FAMILY" FROM r WHERE i <= 15 OR back = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster1, cluster2 ORDER BY round(average, 12) DESC, "FAMILY") AS i, sum(average) OVER (
+         PARTITION BY cluster1, cluster2 ORDER BY round(average, 12) DESC, "FAMILY" ROWS UNBOUNDED PRECEDING)
+         / sum(average) OVER (PARTITION BY cluster1, cluster2) AS cusum FROM av)
+SELECT DISTINCT "FAMILY" FROM r WHERE i <= 15 OR abs(cusum - 1) < 1e-12""")
 def simper_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     presence = K.prune_taxa(labelled_presence(spark, sf_dir), ["WATER"], "FAMILY")
     return S.simper_select(S.simper(presence, "WATER", "FAMILY", "cluster"), "FAMILY")

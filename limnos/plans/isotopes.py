@@ -107,8 +107,8 @@ st AS (SELECT community, group_name, count(*) AS n, avg(iso1) AS mean_x, avg(iso
 
 @query("ellipse_sea", _ELLIPSE + """
 SELECT community, group_name, n, CAST(mean_x::FLOAT AS DOUBLE) AS mean_x, CAST(cov_xy::FLOAT AS DOUBLE) AS cov_xy,
-       CAST((pi() * sqrt(greatest(var_x * var_y - cov_xy * cov_xy, 0)))::FLOAT AS DOUBLE) AS sea,
-       CAST((pi() * sqrt(greatest(var_x * var_y - cov_xy * cov_xy, 0)) * (n - 1) / nullif(n - 2, 0))::FLOAT AS DOUBLE) AS seac FROM st""")
+       CAST((pi() * sqrt(CASE WHEN var_x * var_y - cov_xy * cov_xy <= 1e-12 * var_x * var_y THEN 0 ELSE var_x * var_y - cov_xy * cov_xy END))::FLOAT AS DOUBLE) AS sea,
+       CAST((pi() * sqrt(CASE WHEN var_x * var_y - cov_xy * cov_xy <= 1e-12 * var_x * var_y THEN 0 ELSE var_x * var_y - cov_xy * cov_xy END) * (n - 1) / nullif(n - 2, 0))::FLOAT AS DOUBLE) AS seac FROM st""")
 def ellipse_sea(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = N.ellipse_stats(niche_frame(spark, sf_dir), ["community", "group_name"])
     return single(out.select("community", "group_name", "n", "mean_x", "cov_xy", "sea", "seac"), "mean_x", "cov_xy", "sea", "seac")
@@ -141,11 +141,11 @@ e AS (SELECT a.community, a.x * b.y - a.y * b.x AS z FROM p a JOIN p b ON a.comm
       GROUP BY a.community, a.group_name, b.group_name, a.x, a.y, b.x, b.y
       HAVING min((b.x - a.x) * (k.y - a.y) - (b.y - a.y) * (k.x - a.x)) > 0),
 ta AS (SELECT community, sum(z) / 2 AS ta FROM e GROUP BY 1)
-SELECT community, round(dx, 6) AS "dX_range", round(dy, 6) AS "dY_range", round(ta, 5) AS "TA", round(cd, 6) AS "CD", round(nnd, 6) AS "NND",
-       round(sdnnd, 6) AS "SDNND" FROM m JOIN c USING (community) JOIN ns USING (community) JOIN ta USING (community)""")
+SELECT community, CAST(dx::FLOAT AS DOUBLE) AS "dX_range", CAST(dy::FLOAT AS DOUBLE) AS "dY_range", CAST(coalesce(ta, 0)::FLOAT AS DOUBLE) AS "TA", CAST(cd::FLOAT AS DOUBLE) AS "CD", CAST(nnd::FLOAT AS DOUBLE) AS "NND",
+       CAST(sdnnd::FLOAT AS DOUBLE) AS "SDNND" FROM m LEFT JOIN c USING (community) LEFT JOIN ns USING (community) LEFT JOIN ta USING (community)""")
 def layman(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = I.group_centroids(niche_frame(spark, sf_dir))
-    return rounded(rounded(N.layman(points, ["community"]), 6, "dX_range", "dY_range", "CD", "NND", "SDNND"), 5, "TA")
+    return single(N.layman(points, ["community"]), "dX_range", "dY_range", "TA", "CD", "NND", "SDNND")
 
 
 def _cluster_of(spark: SparkSession, sf_dir: str) -> DataFrame:
