@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from limnos.functions import columns as C
 from limnos.operators.reshape import add_group_values, keep_groups, lookup_join, natural_join, wide
+from limnos.session import checkpointed
 
 # Names that stand for specimens without a usable family.
 INVALID_FAMILIES = ["unidentified", "degraded", "terrestrial"]
@@ -158,31 +159,44 @@ def cluster_season_shift(sites: DataFrame, water: str, season: str, cluster: str
 def accumulation(presence: DataFrame, keys: Sequence[str], site: str, taxon: str, sizes: Sequence[int] | None = None) -> DataFrame:
     """Expected richness and its sd in n of the N sites of each key.
 
-    A taxon in f sites is missed by n of N sites with probability q = C(N-f, n) / C(N, n). The sd adds the
-    covariances q(1-q) weighted by the correlation of occurrences. The sum over taxon pairs of a product of two
-    taxon weights equals, site by site, half of (sum of weights)^2 minus the sum of squares, so no pair of
-    taxa is formed. `sizes` limits n where a key has very many sites.
+    A taxon in f sites is missed by n of N sites with probability q = C(N-f, n) / C(N, n), which depends on
+    (N, f, n) only. The sd adds the covariances of taxon pairs, q(1-q) weighted by the correlation of occurrences:
+    pairs that share sites are counted by their two frequencies, in one pass over the sites, and the product of
+    marginals is a difference of squares. `sizes` limits n where a key has very many sites.
     """
     presence = presence.select(*keys, site, taxon).distinct()
-    totals_n = presence.groupBy(*keys).agg(C.n_distinct(site).alias("n_sites"))
+    per_site = presence.groupBy(*keys, site).agg(F.count(F.lit(1)).alias("k"))
+    totals_n = per_site.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sites"))
     freq = natural_join(presence.groupBy(*keys, taxon).agg(F.count(F.lit(1)).alias("f")), totals_n, "inner", keys)
+    counts = freq.groupBy(*keys, "n_sites", "f").agg(F.count(F.lit(1)).alias("taxa"))
+
     n_values = F.sequence(F.lit(1).cast("long"), F.col("n_sites")) if sizes is None else \
         F.filter(F.array(*[F.lit(int(s)).cast("long") for s in sizes]), lambda s: s <= F.col("n_sites"))
-    # q, v and w depend on (N, f, n) only, so they are worked out once per distinct (N, f).
-    shapes = freq.select("n_sites", "f").distinct().withColumn("n", F.explode(n_values))
     missed = F.when(F.col("n_sites") - F.col("f") < F.col("n"), 0.0).otherwise(
         F.exp(C.log_choose(F.col("n_sites") - F.col("f"), "n") - C.log_choose("n_sites", "n")))
-    shapes = shapes.select("n_sites", "f", "n", missed.alias("q"))
-    each = natural_join(freq, shapes, "inner", ["n_sites", "f"]).withColumn("v", F.col("q") * (1 - F.col("q")))
+    shapes = counts.select("n_sites", "f").distinct().withColumn("n", F.explode(n_values)).select("n_sites", "f", "n", missed.alias("q"))
+    shapes = checkpointed(shapes)  # distinct (N, f, n): small, and read three times
     spread = F.col("f") * (F.col("n_sites") - F.col("f"))
-    each = each.withColumn("w", F.when(spread > 0, F.sqrt(F.greatest(F.col("v"), F.lit(0.0)) / spread)).otherwise(0.0))
+    v = F.greatest(F.col("q") * (1 - F.col("q")), F.lit(0.0))
+    shapes = shapes.withColumns({"v": v, "w": F.when(spread > 0, F.sqrt(v / spread)).otherwise(0.0)})
+
+    each = natural_join(counts, shapes, "inner", ["n_sites", "f"])
     fw = F.col("f") * F.col("w")
     totals = each.groupBy(*keys, "n", "n_sites").agg(
-        F.sum(1 - F.col("q")).alias("richness"), F.sum("v").alias("v"),
-        F.sum(fw).alias("fw"), F.sum(fw * fw).alias("fw2"))
-    per_site = natural_join(presence, each.where("w > 0").select(*keys, taxon, "n", "w"), "inner", [*keys, taxon])
-    per_site = per_site.groupBy(*keys, site, "n").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"))
-    joint = per_site.groupBy(*keys, "n").agg(F.sum(F.col("w") * F.col("w") - F.col("w2")).alias("joint"))
+        F.sum(F.col("taxa") * (1 - F.col("q"))).alias("richness"), F.sum(F.col("taxa") * F.col("v")).alias("v"),
+        F.sum(F.col("taxa") * fw).alias("fw"), F.sum(F.col("taxa") * fw * fw).alias("fw2"))
+
+    tagged = natural_join(presence, freq.where("f < n_sites").select(*keys, taxon, "n_sites", "f"), "inner", [*keys, taxon])
+    tagged = tagged.groupBy(*keys, site, "n_sites", "f").agg(F.count(F.lit(1)).alias("m"))
+    own = tagged.groupBy(*keys, site, "n_sites").agg(F.array_sort(F.collect_list(F.struct("f", "m"))).alias("a"))
+    pairs = F.explode(F.transform("a", lambda x, i: F.struct(x.alias("x"), F.slice("a", i + 1, F.size("a")).alias("y"))))
+    pairs = own.select(*keys, "n_sites", pairs.alias("p")).select(*keys, "n_sites", F.col("p.x").alias("x"), F.explode("p.y").alias("y"))
+    together = F.when(F.col("x.f") == F.col("y.f"), F.col("x.m") * (F.col("x.m") - 1) / 2).otherwise(F.col("x.m") * F.col("y.m"))
+    pairs = pairs.groupBy(*keys, "n_sites", F.col("x.f").alias("f"), F.col("y.f").alias("g")).agg(F.sum(together).alias("c")).where("c > 0")
+    first = shapes.select("n_sites", "f", "n", F.col("w").alias("wf"))
+    second = shapes.select("n_sites", F.col("f").alias("g"), "n", F.col("w").alias("wg"))
+    joint = natural_join(natural_join(pairs, first, "inner", ["n_sites", "f"]), second, "inner", ["n_sites", "g", "n"])
+    joint = joint.groupBy(*keys, "n").agg((2 * F.sum(F.col("c") * F.col("wf") * F.col("wg"))).alias("joint"))
     out = natural_join(totals, joint, "left", [*keys, "n"])
     variance = F.col("v") + F.col("n_sites") * F.coalesce("joint", F.lit(0.0)) - (F.col("fw") * F.col("fw") - F.col("fw2"))
     return out.select(*keys, F.col("n").alias("sites"), "richness", F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sd"))

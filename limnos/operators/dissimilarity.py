@@ -87,87 +87,82 @@ def landmark_dissimilarity(presence: DataFrame, landmarks: DataFrame, site: str,
 
 # --- sums over all pairs -------------------------------------------------------------------------
 
-def _levels(sets: DataFrame, cell: str) -> DataFrame:
-    """(cell, n, sites): how many sites of each cell have richness n."""
-    return sets.groupBy(cell, "n").agg(F.count(F.lit(1)).alias("sites"))
+def pair_counts(sets: DataFrame, cell: str) -> DataFrame:
+    """(cell, n, s, t, c): sites of a cell and richness that hold taxa s and t; s = t for one taxon, both NULL for all sites.
+
+    One pass over the sites. A site gives one entry per pair of its own taxa, summed before the shuffle.
+    """
+    own = F.transform("taxa", lambda s, i: F.struct(s.alias("s"), F.slice("taxa", i + 1, F.size("taxa")).alias("t")))
+    kind = sets.schema["taxa"].dataType.elementType
+    none = F.lit(None).cast(kind)
+    entries = F.concat(own, F.array(F.struct(none.alias("s"), F.array(none).alias("t"))))
+    each = sets.select(cell, "n", F.explode(entries).alias("p")).select(cell, "n", F.col("p.s").alias("s"), F.explode("p.t").alias("t"))
+    return each.groupBy(cell, "n", "s", "t").agg(F.count(F.lit(1)).alias("c"))
 
 
 def pair_sums(sets: DataFrame, cell: str) -> DataFrame:
     """(cell1, cell2, d2): sum of squared Bray distances over all ordered pairs between two cells (labels of sites).
 
-    One pass over the sites counts taxa and pairs of taxa by cell and richness. The products A and Q above are
-    then Gram matrices of those count tables, summed over partitions of the taxon pairs.
+    The products A and Q above are Gram matrices of `pair_counts`, summed over partitions of the taxon pairs; the
+    matrices are as wide as the cells times the richness values that occur.
     """
-    levels = _levels(sets, cell)
-    keys = [(r[cell], r["n"], r["sites"]) for r in levels.collect()]  # cells x richness values
-    index = {(c, n): i for i, (c, n, _) in enumerate(keys)}
+    counts = checkpointed(pair_counts(sets, cell))  # bounded by the taxonomy, not by the sites
+    keys = [(r[cell], r["n"], r["c"]) for r in counts.where("s IS NULL").collect()]  # cells x richness values
     size = len(keys)
     if size > 5000:
         raise ValueError(f"{size} cells x richness values; use fewer cells")
     n = np.array([k[1] for k in keys], float)
     sites = np.array([k[2] for k in keys], float)
-
-    codes = sets.sparkSession.createDataFrame([(c, k, i) for (c, k), i in index.items()],
-                                              f"{cell} {sets.schema[cell].dataType.simpleString()}, n int, i int")
-    coded = natural_join(sets, codes, "inner", [cell, "n"]).select("i", "taxa")
-    one = coded.select("i", F.explode("taxa").alias("s")).groupBy("s", "i").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    rest = F.explode(F.transform("taxa", lambda s, k: F.struct(s.alias("s"), F.slice("taxa", k + 2, F.size("taxa")).alias("t"))))
-    two = (coded.select("i", rest.alias("p")).select("i", F.col("p.s").alias("s"), F.explode("p.t").alias("t"))
-           .groupBy("s", "t", "i").agg(F.count(F.lit(1)).cast("double").alias("c")))
-    vectors = [F.collect_list("i").alias("i"), F.collect_list("c").alias("c")]
-    packed = (two.groupBy("s", "t").agg(*vectors).select(F.lit(True).alias("pair"), "i", "c")
-              .unionByName(one.groupBy("s").agg(*vectors).select(F.lit(False).alias("pair"), "i", "c")))
+    kind = sets.schema[cell].dataType.simpleString()
+    codes = sets.sparkSession.createDataFrame([(c, k, i) for i, (c, k, _) in enumerate(keys)], f"{cell} {kind}, n int, i int")
+    coded = natural_join(counts.where("s IS NOT NULL"), codes, "inner", [cell, "n"])
+    packed = coded.groupBy("s", "t").agg(F.collect_list("i").alias("i"), F.collect_list(F.col("c").cast("double")).alias("c"))
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = {True: np.zeros((size, size)), False: np.zeros((size, size))}
         for batch in batches:
-            for kind, part in batch.groupby("pair"):
+            for pair, part in batch.groupby("pair"):
                 dense = np.zeros((len(part), size))
                 row = np.repeat(np.arange(len(part)), part["i"].map(len))
                 dense[row, np.concatenate(part["i"].to_numpy())] = np.concatenate(part["c"].to_numpy())
-                total[bool(kind)] += dense.T @ dense
-        for kind, m in total.items():
+                total[bool(pair)] += dense.T @ dense
+        for pair, m in total.items():
             i, j = np.nonzero(m)
             if len(i):
-                yield pd.DataFrame({"pair": kind, "i": i, "j": j, "v": m[i, j]})
+                yield pd.DataFrame({"pair": pair, "i": i, "j": j, "v": m[i, j]})
 
-    sums = packed.mapInPandas(gram, "pair boolean, i long, j long, v double").groupBy("i", "j").agg(
-        F.sum(F.when(~F.col("pair"), F.col("v"))).alias("a"), F.sum(F.when(F.col("pair"), F.col("v"))).alias("q"))
+    sums = packed.select((F.col("s") != F.col("t")).alias("pair"), "i", "c").mapInPandas(gram, "pair boolean, i long, j long, v double")
+    found = sums.groupBy("pair", "i", "j").agg(F.sum("v").alias("v")).toPandas()  # at most 2 x size x size numbers
     shared, squared = np.zeros((size, size)), np.zeros((size, size))
-    for r in sums.collect():  # at most size x size numbers
-        shared[r["i"], r["j"]] = r["a"] or 0.0
-        squared[r["i"], r["j"]] = r["q"] or 0.0
+    for matrix, part in ((squared, found[found["pair"]]), (shared, found[~found["pair"].astype(bool)])):
+        matrix[part["i"], part["j"]] = part["v"]
     squared = shared + 2 * squared  # pairs (s, s) and both orders of (s, t)
     both = n[:, None] + n[None, :]
     d2 = np.outer(sites, sites) - 4 * shared / both + 4 * squared / both ** 2
     names = [k[0] for k in keys]
     out = pd.DataFrame(d2, index=names, columns=names).T.groupby(level=0).sum().T.groupby(level=0).sum()
     rows = [(c1, c2, float(out.loc[c1, c2])) for c1 in out.index for c2 in out.columns]
-    kind = sets.schema[cell].dataType.simpleString()
-    return sets.sparkSession.createDataFrame(rows, f"cell1 {kind}, cell2 {kind}, d2 double")
+    sizes = pd.Series(sites, index=names).groupby(level=0).sum()
+    return sets.sparkSession.createDataFrame([(*r, int(sizes[r[0]]), int(sizes[r[1]])) for r in rows],
+                                             f"cell1 {kind}, cell2 {kind}, d2 double, sites1 long, sites2 long")
+
+
+def permanova(sets: DataFrame, group: str) -> DataFrame:
+    """PERMANOVA of Bray distances by one grouping of the sites, exact over all pairs."""
+    sums = pair_sums(sets, group)
+    own = F.col("cell1") == F.col("cell2")
+    one = sums.agg(F.sum(F.when(own, F.col("sites1"))).alias("sites"), F.count(F.when(own, 1)).alias("groups"),
+                   F.sum(F.when(own, F.col("d2") / 2 / F.col("sites1"))).alias("ss_within"), F.sum(F.col("d2") / 2).alias("d2"))
+    return _f_ratio(one.withColumn("ss_total", F.col("d2") / F.col("sites")))
 
 
-def permanova_from_sums(sums: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
-    """(ss_total, ss_within, f, r2, groups, sites) from sums of squared distances between groups."""
-    n = sizes.agg(F.sum("sites").alias("sites"), F.count(F.lit(1)).alias("groups"))
-    own = natural_join(sums.where("cell1 = cell2").select(F.col("cell1").alias(group), "d2"), sizes, "inner", [group])
-    within = own.agg(F.sum(F.col("d2") / 2 / F.col("sites")).alias("ss_within"))
-    total = sums.agg(F.sum(F.col("d2") / 2).alias("d2"))
-    one = n.withColumns({"ss_within": within.scalar(), "d2": total.scalar()})
-    one = one.withColumn("ss_total", F.col("d2") / F.col("sites"))
+def _f_ratio(one: DataFrame) -> DataFrame:
     between = F.col("ss_total") - F.col("ss_within")
     return one.select(
         "ss_total", "ss_within", "groups", "sites", F.try_divide(between, F.col("ss_total")).alias("r2"),
         F.try_divide(between / (F.col("groups") - 1), F.col("ss_within") / (F.col("sites") - F.col("groups"))).alias("f"))
 
 
-def permanova(sets: DataFrame, group: str) -> DataFrame:
-    """PERMANOVA of Bray distances by one grouping of the sites, exact over all pairs."""
-    sets = checkpointed(sets.select(group, "n", "taxa"))
-    sizes = sets.groupBy(group).agg(F.count(F.lit(1)).alias("sites"))
-    return permanova_from_sums(pair_sums(sets, group), sizes, group)
-
-
 def permanova_pairs(distances: DataFrame, labels: DataFrame, site: str, group: str, left: str, right: str, d: str) -> DataFrame:
     """PERMANOVA from a given long table of distances with each unordered pair once (any method)."""
     n = labels.agg(F.count(F.lit(1)).alias("sites"), F.count_distinct(group).alias("groups"))
@@ -178,11 +173,7 @@ def permanova_pairs(distances: DataFrame, labels: DataFrame, site: str, group: s
     sums = rows.groupBy("__ga", "__gb").agg(F.sum(F.col(d) * F.col(d)).alias("d2"))
     own = sums.where("__ga = __gb").join(sizes, F.col("__ga") == F.col(group))
     one = n.withColumns({"d2": sums.agg(F.sum("d2")).scalar(), "ss_within": own.agg(F.sum(F.col("d2") / F.col("sites"))).scalar()})
-    one = one.withColumn("ss_total", F.col("d2") / F.col("sites"))
-    between = F.col("ss_total") - F.col("ss_within")
-    return one.select(
-        "ss_total", "ss_within", "groups", "sites", F.try_divide(between, F.col("ss_total")).alias("r2"),
-        F.try_divide(between / (F.col("groups") - 1), F.col("ss_within") / (F.col("sites") - F.col("groups"))).alias("f"))
+    return _f_ratio(one.withColumn("ss_total", F.col("d2") / F.col("sites")))
 
 
 def _cell_design(cells: pd.DataFrame, term: str) -> np.ndarray:
@@ -201,12 +192,12 @@ def permanova_terms(sets: DataFrame, terms: Sequence[str]) -> DataFrame:
     """
     labels = list(dict.fromkeys(c for t in terms for c in t.split(":")))
     cell = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in labels]))
-    keyed = checkpointed(sets.select(cell.alias("__cell"), "n", "taxa"))
-    size = {r["__cell"]: r["sites"] for r in keyed.groupBy("__cell").agg(F.count(F.lit(1)).alias("sites")).collect()}
+    sums = pair_sums(sets.select(cell.alias("__cell"), "n", "taxa"), "__cell").collect()
+    size = {r["cell1"]: r["sites1"] for r in sums}
     names = sorted(size)
     at = {c: i for i, c in enumerate(names)}
     d2 = np.zeros((len(names), len(names)))
-    for r in pair_sums(keyed, "__cell").collect():
+    for r in sums:
         d2[at[r["cell1"]], at[r["cell2"]]] = r["d2"]
     cells = pd.DataFrame([json.loads(c) for c in names])
     weight = np.array([size[c] for c in names], float)
@@ -241,8 +232,10 @@ def simper(presence: DataFrame, site: str, taxon: str, cluster: str) -> DataFram
     pairs of two clusters needs only the number of sites by richness, with and without the taxon.
     """
     sets = site_sets(presence, [site, cluster], taxon)
-    levels = _levels(sets, cluster)
-    held = sets.select(cluster, "n", F.explode("taxa").alias(taxon)).groupBy(cluster, "n", taxon).agg(F.count(F.lit(1)).alias("p"))
+    marked = F.explode(F.concat("taxa", F.array(F.lit(None))))  # the NULL entry counts the sites
+    counts = checkpointed(sets.select(cluster, "n", marked.alias(taxon)).groupBy(cluster, "n", taxon).agg(F.count(F.lit(1)).alias("p")))
+    levels = counts.where(F.col(taxon).isNull()).select(cluster, "n", F.col("p").alias("sites"))
+    held = counts.where(F.col(taxon).isNotNull())
     # weight[c, d, n]: sum over the sites of d of 1 / (n + m), for the richness values n of c
     every = levels.agg(F.collect_list(F.struct(F.col(cluster).alias("c"), "n", "sites")).alias("all"))
     both = every.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a.c != b.c")

@@ -110,19 +110,26 @@ def _normal_equations(segments: pd.Series, k: int):
 def smooth_moments(df: DataFrame, id: str, x: str, y: str, k: int = 10) -> DataFrame:
     """(id, lo, hi, segments): power sums of the place in each knot interval, and of its product with y.
 
-    Splines are cubic in each interval, so these twelve sums give all cross-products of the basis. They are
-    summed before the shuffle, whatever the rows per ID, and an ID has at most k - 3 intervals.
+    Knots are shared by all IDs and span the whole range of x. Splines are cubic in each interval, so these
+    twelve sums give all cross-products of the basis. They are summed before the only shuffle, whatever the rows
+    per ID, and an ID has at most k - 3 intervals.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(id, x, y)
-    rows = add_group_values(rows, [id], lo=F.min(x), hi=F.max(x)).where("hi > lo")
-    m, t = _segment(F.col(x), F.col("lo"), F.col("hi"), k)
-    placed = rows.select(id, "lo", "hi", m.alias("m"), t.alias("t"), F.col(y).alias("y"))
-    power = lambda i: F.lit(1.0) if i == 0 else F.pow("t", F.lit(float(i)))
-    sums = [F.sum(power(i)).alias(f"s{i}") for i in range(7)]
-    sums += [F.sum(F.col("y") * power(i)).alias(f"y{i}") for i in range(4)] + [F.sum(F.col("y") * F.col("y")).alias("yy")]
-    per_segment = placed.groupBy(id, "lo", "hi", "m").agg(*sums)
+    ends = rows.agg(F.min(x).cast("double"), F.max(x).cast("double")).first()
+    if ends[0] is None or ends[0] == ends[1]:
+        raise ValueError("a smooth curve needs at least two positions")
+    first, last = F.lit(ends[0]), F.lit(ends[1])
+    m, t = _segment(F.col(x), first, last, k)
+    placed = rows.select(id, m.alias("m"), t.alias("t"), F.col(y).alias("y"), F.col(x).alias("x"))
+    power = [F.lit(1.0), F.col("t")]
+    for _ in range(5):
+        power.append(power[-1] * F.col("t"))
+    sums = [F.sum(p).alias(f"s{i}") for i, p in enumerate(power)]
+    sums += [F.sum(F.col("y") * p).alias(f"y{i}") for i, p in enumerate(power[:4])] + [F.sum(F.col("y") * F.col("y")).alias("yy")]
+    per_segment = placed.groupBy(id, "m").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), *sums)
     row = F.array(F.col("m").cast("double"), *[f"s{i}" for i in range(7)], *[f"y{i}" for i in range(4)], "yy")
-    return per_segment.groupBy(id, "lo", "hi").agg(F.collect_list(row).alias("segments"))
+    return per_segment.groupBy(id).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(row).alias("segments"),
+                                       first.alias("first"), last.alias("last"))
 
 
 def smoothing_scores(moments: DataFrame, k: int, strengths: list[float]) -> DataFrame:
@@ -145,7 +152,7 @@ def smoothing_scores(moments: DataFrame, k: int, strengths: list[float]) -> Data
 
 
 def profile_smooth(df: DataFrame, id: str, x: str, y: str, k: int = 10, strengths: list[float] | None = None) -> DataFrame:
-    """(id, lo, hi, beta): penalised spline per ID with one smoothing strength shared by all IDs.
+    """(id, lo, hi, first, last, beta): penalised spline per ID with one smoothing strength shared by all IDs.
 
     The raw rows are read once: the moments (one short row per ID) are checkpointed for both passes, and
     only the best strength comes to the driver.
@@ -160,13 +167,13 @@ def profile_smooth(df: DataFrame, id: str, x: str, y: str, k: int = 10, strength
         btb, bty, _, _ = _normal_equations(segments, k)
         return pd.Series(list(np.linalg.solve(btb + ridge, bty[:, :, None])[:, :, 0]))
 
-    return moments.select(id, "lo", "hi", solve("segments").alias("beta"))
+    return moments.select(id, "lo", "hi", "first", "last", solve("segments").alias("beta"))
 
 
 def predict_smooth(coefficients: DataFrame, id: str, x: str, name: str, n: int = 500, k: int = 10) -> DataFrame:
     """Curve values on the even grid of each ID."""
-    grid = coefficients.select(id, "lo", "hi", "beta", F.explode(C.even_grid("lo", "hi", n)).alias(x))
-    m, t = _segment(F.col(x), F.col("lo"), F.col("hi"), k)
+    grid = coefficients.select(id, "first", "last", "beta", F.explode(C.even_grid("lo", "hi", n)).alias(x))
+    m, t = _segment(F.col(x), F.col("first"), F.col("last"), k)
     placed = grid.select(id, x, F.slice("beta", m.cast("int") + 1, 4).alias("b"), t.alias("t"))
     cubic = [sum((F.col("b")[j] * float(SEGMENT[j, i]) for j in range(1, 4)), F.col("b")[0] * float(SEGMENT[0, i]))
              for i in range(4)]
