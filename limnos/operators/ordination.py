@@ -174,14 +174,17 @@ def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def convex_hull(points: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """(group, x, y, vertex): hull vertices in order. Each batch keeps only its own hull before the shuffle."""
+    """(group, x, y, vertex): hull vertices in order. Each task keeps only the hull of its own rows before the shuffle."""
     rows = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         group, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = {}
         for batch in batches:
-            for _, part in batch.groupby(group):
-                yield part.iloc[_hull(part[x].to_numpy(), part[y].to_numpy())]
+            for g, part in batch.groupby(group, dropna=False):
+                both = pd.concat([kept[g], part]) if g in kept else part
+                kept[g] = both.iloc[_hull(both[x].to_numpy(), both[y].to_numpy())]
+        yield from kept.values()
 
     def whole(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates().reset_index(drop=True)
