@@ -25,7 +25,7 @@ def _beta_fraction(a, b, x):
             c = np.where(np.abs(c) < tiny, tiny, c)
             step = c * d
             h = h * step
-        if np.all(np.abs(step - 1) < 1e-15):
+        if np.all(np.abs(step - 1) < 1e-14):
             break
     return h
 
@@ -51,14 +51,22 @@ def t_two_sided(t, df):
 
 
 def t_quantile(p, df):
-    """Upper quantile by bisection, for p above one half."""
+    """Quantile for p above one half: Newton steps on the tail from a bracketed start."""
     df = np.asarray(df, float)
-    lo, hi = np.zeros_like(df), np.full_like(df, 1e4)
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        low = 1 - t_two_sided(mid, df) / 2 < p
-        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
-    return np.where(np.isfinite(df) & (df > 0), (lo + hi) / 2, np.nan)
+    v = np.where(np.isfinite(df) & (df > 0), df, 1.0)
+    gamma = np.vectorize(lgamma, otypes=[float])
+    scale = np.exp(gamma((v + 1) / 2) - gamma(v / 2)) / np.sqrt(v * np.pi)
+    lo, hi = np.zeros_like(v), np.full_like(v, 1e4)
+    t = np.full_like(v, 2.0)
+    for _ in range(60):
+        tail = 1 - t_two_sided(t, v) / 2 - p
+        lo, hi = np.where(tail < 0, t, lo), np.where(tail < 0, hi, t)
+        step = t - tail / (scale * (1 + t * t / v) ** (-(v + 1) / 2))
+        new = np.where((step > lo) & (step < hi), step, (lo + hi) / 2)
+        if np.all(np.abs(new - t) <= 1e-12 * np.abs(t)):
+            break
+        t = new
+    return np.where(np.isfinite(df) & (df > 0), t, np.nan)
 
 
 def _nullable(values) -> pd.Series:

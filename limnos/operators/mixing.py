@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -17,6 +18,7 @@ from limnos.session import spread
 SOURCES = ["PERI", "ZOOP", "LEAF"]  # fixed values: the three sources
 
 
+@lru_cache
 def _lattice(k: int, steps: int) -> np.ndarray:
     """Evenly spread points inside the simplex of k shares."""
     cuts = np.array(list(combinations_with_replacement(range(steps + 1), k - 1)), float)
@@ -31,7 +33,7 @@ def _log_posterior(p, n, means, squares, mu, sd, shape, rate):
     total -= 0.5 * (z ** 2).sum(axis=1)  # shares are a softmax of standard normal values
     for j in range(2):
         spread = max(np.sqrt(squares[j] / max(n, 2)), 1e-3)
-        s = spread * np.geomspace(0.02, 5, 24)
+        s = spread * np.geomspace(0.05, 4, 16)
         v = ((p * sd[:, j]) ** 2).sum(axis=1)[:, None] + s ** 2
         gap = squares[j] + n * (means[j] - p @ mu[:, j]) ** 2
         ll = -0.5 * n * np.log(v) - 0.5 * gap[:, None] / v + shape * np.log(s) - rate * s
@@ -41,21 +43,25 @@ def _log_posterior(p, n, means, squares, mu, sd, shape, rate):
 
 
 def _shares(n, means, squares, mu, sd, shape, rate, steps, zooms):
-    """Posterior (mean, sd, 2.5, 25, 50, 75, 97.5 %) per source on a lattice that closes in on the mass."""
+    """Posterior (mean, sd, 2.5, 25, 50, 75, 97.5 %) per source.
+
+    A coarse lattice closes in on the mass; a fine one over the last window gives the numbers.
+    """
     k = len(mu)
-    base = _lattice(k, steps)
+    coarse = max(steps * 2 // 5, 8)
     centre, size = np.full(k, 1 / k), 1.0
     for zoom in range(zooms + 1):
-        p = centre + size * (base - 1 / k)
+        last = zoom == zooms
+        p = centre + size * (_lattice(k, steps if last else coarse) - 1 / k)
         p = p[(p > 0).all(axis=1)]
         log = _log_posterior(p, n, means, squares, mu, sd, shape, rate)
         w = np.exp(log - log.max())
         w /= w.sum()
         mean = w @ p
         dev = np.sqrt(np.maximum(w @ (p - mean) ** 2, 0))
-        if zoom == zooms or size * 0.6 < 10 * dev.max():
-            break
-        centre, size = mean, max(10 * dev.max(), 3 * size / steps)
+        wanted = max(10 * dev.max(), 3 * size / coarse)
+        if wanted < 0.9 * size:
+            centre, size = mean, wanted
     out = []
     for j in range(k):
         order = np.argsort(p[:, j])

@@ -138,7 +138,7 @@ def _vectors(coords: DataFrame, axis: Sequence[str]) -> DataFrame:
 def cluster_sites(coords: DataFrame, axis: Sequence[str], k: int, restarts: int = 10, seed: int = 1) -> DataFrame:
     """k-means cluster (1 .. k) of each site, from the best of several seeds."""
     data = checkpointed(_vectors(coords, axis))
-    models = [KMeans(featuresCol="__v", predictionCol="__c", k=k, seed=seed + i).fit(data) for i in range(restarts)]
+    models = [KMeans(featuresCol="__v", predictionCol="__c", k=k, seed=seed + i, initMode="random").fit(data) for i in range(restarts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(data).withColumn("cluster", F.col("__c") + 1).drop("__v", "__c")
 
@@ -153,7 +153,7 @@ def elbow(coords: DataFrame, axis: Sequence[str], ks: Sequence[int] = tuple(rang
             one = coords.agg(*[(F.var_pop(a) * F.count(a)).alias(a) for a in axis]).first()
             rows.append((1, float(sum(one))))
         else:
-            rows.append((k, min(KMeans(featuresCol="__v", k=k, seed=seed + i).fit(data).summary.trainingCost for i in range(restarts))))
+            rows.append((k, min(KMeans(featuresCol="__v", k=k, seed=seed + i, initMode="random").fit(data).summary.trainingCost for i in range(restarts))))
     return coords.sparkSession.createDataFrame(rows, "k int, wss double")
 
 
