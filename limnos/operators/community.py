@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.functions import columns as C
-from limnos.operators.reshape import add_group_values, keep_groups, lookup_join, natural_join, wide
+from limnos.operators.reshape import add_group_values, keep_groups, long, lookup_join, natural_join, wide
 from limnos.session import checkpointed
 
 # Names that stand for specimens without a usable family.
@@ -104,6 +104,12 @@ def richness(rows: DataFrame, keys: Sequence[str], taxon: str, name: str = "rich
     return rows.select(*keys, taxon).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def richness_metrics(counts: DataFrame, chemistry: DataFrame, keys: Sequence[str], metrics: Sequence[str], name: str = "richness") -> DataFrame:
+    """(keys, metric, value): richness and the chemistry of the same lake-season in long form, distinct and complete rows only."""
+    rows = natural_join(counts.select(*keys, name), chemistry.select(*keys, *metrics), "left", keys)
+    return long(rows, keys, [name, *metrics], "metric", "value").distinct().dropna("any")
+
+
 def cluster_frequency(presence: DataFrame, site: str, taxon: str, cluster: str, orders: DataFrame | None = None,
                       important: DataFrame | None = None) -> DataFrame:
     """Share of a cluster's sites that hold each taxon, and that share summed over clusters.

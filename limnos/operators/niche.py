@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from limnos.functions import columns as C
 from limnos.operators.ordination import _hull
 from limnos.operators.reshape import add_share, draw_interval, keep_groups, natural_join, wide
-from limnos.session import spread
+from limnos.session import cores, spread
 
 # Baseline sources that are a class of their own in overlap tables.
 BASELINE_CLASSES = ["LEAF", "PERI", "FISH"]
@@ -242,7 +242,7 @@ def ellipse_overlap(draws: DataFrame, community: str = "community", group: str =
     (community, draw), partitioned once for both sides. Areas are integrated along rays
     from the centre of the smaller ellipse.
     """
-    few = spread(draws.where(F.col("draw") < max_draw), community, "draw")
+    few = draws.where(F.col("draw") < max_draw).repartition(cores(draws), community, "draw")
     cols = ["mu_x", "mu_y", "s_xx", "s_xy", "s_yy"]
     a = few.select(community, "draw", F.col(group).alias("s1"), *[F.col(c).alias(f"a_{c}") for c in cols])
     b = few.select(community, "draw", F.col(group).alias("s2"), *[F.col(c).alias(f"b_{c}") for c in cols])

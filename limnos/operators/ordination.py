@@ -14,14 +14,23 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.functions import columns as C
 from limnos.operators.dissimilarity import choose_landmarks, presence_distance, site_sets
 from limnos.operators.reshape import natural_join
 from limnos.session import checkpointed
 
 
+# Printed names of environmental variables, and variables left out of the printed table.
+METRIC_LABELS = {
+    "richness": "Richness", "thermo_depth": "Thermocline Depth", "surface_area": "Surface Area", "max_depth": "Maximum Depth",
+    "DDO5": "DD05", "TDO5": "TDO5 Depth", "sechi_depth": "Secchi Depth", "DOC_update": "DOC",
+    "bottom": "Thermocline Bottom (m)", "mid_depth": "Thermocline Mid-depth (m)"}
+METRICS_OUT = ["DOC.1", "thermo_temp"]
+
+
 def landmark_distances(sets: DataFrame, site: str, marks: list[list[str]], method: str = "jaccard") -> DataFrame:
     """(site, d): distances of every site to the landmark taxon sets, as one array; a map without shuffle."""
     fixed = F.from_json(F.lit(json.dumps(marks)), "array<array<string>>")
@@ -296,3 +305,11 @@ def envfit(coords: DataFrame, env: DataFrame, site: str, x: str, y: str, metric:
 def envfit_arrows(fit: DataFrame, metric: str = "metric", alpha: float = 0.05, stretch: float = 2.0) -> DataFrame:
     """Arrows of the variables with p below alpha, at twice unit length."""
     return fit.where(F.col("p") < alpha).select(metric, (F.col("a1") * stretch).alias("a1"), (F.col("a2") * stretch).alias("a2"), "p")
+
+
+def envfit_table(fit: DataFrame, metric: str = "metric", labels: dict[str, str] = METRIC_LABELS, skip: Sequence[str] = METRICS_OUT) -> DataFrame:
+    """Printed table of the fits, sorted by p and r2: label, unit direction, p and r2 to two digits."""
+    pairs = [F.lit(v) for item in labels.items() for v in item]
+    label = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(metric)), F.col(metric))
+    rows = fit.where(C.not_in(metric, skip)).select(label.alias(metric), "a1", "a2", "p", C.round_even("r2", 2).alias("r2"))
+    return rows.orderBy("p", "r2", metric)

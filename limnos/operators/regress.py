@@ -108,6 +108,25 @@ def prediction_band(fits: DataFrame, keys: Sequence[str], n: int = 100, x: str =
     return grid.select(*keys, x, fit.alias("fit"), (fit - F.col("__z") * se).alias("lower"), (fit + F.col("__z") * se).alias("upper"))
 
 
+def prediction_at_means(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str, term: str, n: int = 100,
+                        z: float | None = None) -> DataFrame:
+    """Fitted line of one predictor of a model on several, the others at their means, with its band.
+
+    At the means of the others the line is mean(y) + b (x - mean(x)), with variance sigma^2 / n + se(b)^2 (x - mean(x))^2.
+    """
+    rows = df.dropna(subset=[*xs, y])
+    key = [F.col(k) for k in keys]
+    ends = rows.groupBy(*key).agg(F.avg(term).alias("mx"), F.avg(y).alias("my"), F.min(term).alias("x_min"), F.max(term).alias("x_max"))
+    fit = ols(rows, keys, xs, y).where(F.col("term") == term).drop("term")
+    fit = natural_join(fit, ends, "inner", keys) if keys else fit.withColumns(
+        {c: ends.select(c).scalar() for c in ("mx", "my", "x_min", "x_max")})
+    fit = fit.withColumn("__z", t_critical("df") if z is None else F.lit(z)).withColumn(term, F.explode(C.even_grid("x_min", "x_max", n)))
+    gap = F.col(term) - F.col("mx")
+    line = F.col("my") + F.col("estimate") * gap
+    half = F.col("__z") * F.sqrt(F.col("sigma") * F.col("sigma") / F.col("n") + F.col("se") * F.col("se") * gap * gap)
+    return fit.select(*keys, term, line.alias("fit"), (line - half).alias("lower"), (line + half).alias("upper"))
+
+
 # --- random intercept ----------------------------------------------------------------------------
 
 @dataclass

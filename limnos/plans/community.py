@@ -36,6 +36,13 @@ def presence_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.presence_table(D.specimens(spark, sf_dir), ["MONTH", "WATER", "SITE_N"])
 
 
+@query("presence_two_seasons", f"""WITH {D.SPECIMENS}
+SELECT DISTINCT "MONTH", "WATER", "FAMILY" FROM specimens WHERE {_VALID} AND "WATER" NOT IN (1, 2)
+AND NOT ("WATER" = 3 AND "SITE_N" IN ('S 2', 'S 4'))""")
+def presence_two_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.presence_table(D.specimens(spark, sf_dir), ["MONTH", "WATER"], skip_sites={3: ["S 2", "S 4"]}, skip_lakes=[1, 2])
+
+
 @query("presence_wide", f"""WITH {D.SPECIMENS}
 SELECT "MONTH", "WATER", """ + ", ".join(f"""max(CASE WHEN "ORDER" = '{t.lower()}' THEN 1 ELSE 0 END) AS {t.lower()}""" for t in D.PART_TYPES)
        + f""" FROM specimens WHERE {_VALID} GROUP BY 1, 2""")
@@ -124,6 +131,17 @@ def richness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.richness(D.specimens(spark, sf_dir), ["WATER", "MONTH"], "FAMILY")
 
 
+@query("richness_metrics", f"""WITH {D.SPECIMENS},
+r AS (SELECT "WATER", count(DISTINCT "FAMILY")::DOUBLE AS richness FROM specimens GROUP BY 1),
+j AS (SELECT "WATER", richness, c_acctbal AS acctbal, CASE WHEN c_nationkey > 3 THEN c_nationkey::DOUBLE END AS nation FROM r LEFT JOIN customer ON c_custkey = "WATER")
+SELECT "WATER", metric, value FROM j UNPIVOT (value FOR metric IN (richness, acctbal, nation))""")
+def richness_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = K.richness(D.specimens(spark, sf_dir), ["WATER"], "FAMILY")
+    chemistry = D.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("WATER"), F.col("c_acctbal").alias("acctbal"), F.when(F.col("c_nationkey") > 3, F.col("c_nationkey")).alias("nation"))
+    return K.richness_metrics(counts, chemistry, ["WATER"], ["acctbal", "nation"])
+
+
 _TWO = f"""WITH {D.SPECIMENS},
 pres AS (SELECT DISTINCT "MONTH", "WATER", "FAMILY" FROM specimens WHERE {_VALID}),
 size AS (SELECT "MONTH", "WATER", count(*) AS n FROM pres GROUP BY 1, 2),

@@ -70,6 +70,12 @@ def envfit_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.envfit(D.coordinates(spark, sf_dir), D.environment(spark, sf_dir), "site", "x", "y", perms=99)
 
 
+@query("envfit_table")
+def envfit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = O.envfit(D.coordinates(spark, sf_dir), D.environment(spark, sf_dir), "site", "x", "y", perms=49)
+    return O.envfit_table(fit, labels={"v2": "Second"}, skip=["v9"])
+
+
 @query("permanova_permuted")
 def permanova_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.permanova_coordinates(D.coordinates(spark, sf_dir), "site", ["x", "y"], "cluster", 199)

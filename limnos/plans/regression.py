@@ -60,6 +60,20 @@ def ols_two_predictors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single(out.select("flag", "term", "estimate", "se", "r2"), "estimate", "se", "r2")
 
 
+@query("prediction_at_means", f"""WITH {D.SALES},
+m AS (SELECT flag, count(*) AS n, avg(quantity) AS m1, avg(tax) AS m2, avg(y) AS my, var_pop(quantity) AS a, var_pop(tax) AS d, covar_pop(quantity, tax) AS b,
+             covar_pop(quantity, y) AS u, covar_pop(tax, y) AS v, var_pop(y) AS w, min(quantity) AS lo, max(quantity) AS hi FROM sales GROUP BY 1),
+c AS (SELECT *, (d * u - b * v) / (a * d - b * b) AS b1, (a * v - b * u) / (a * d - b * b) AS b2 FROM m),
+e AS (SELECT *, n * (w - b1 * u - b2 * v) / (n - 3) AS s2 FROM c),
+g AS (SELECT *, lo + i * (hi - lo) / 49.0 AS x, sqrt(s2 / n + s2 * d / (a * d - b * b) / n * pow(lo + i * (hi - lo) / 49.0 - m1, 2)) AS se
+      FROM e, (SELECT unnest(range(0, 50)) AS i))
+SELECT flag, {_F('x')} AS quantity, {_F('my + b1 * (x - m1)')} AS fit, {_F('my + b1 * (x - m1) - 1.96 * se')} AS lower,
+       {_F('my + b1 * (x - m1) + 1.96 * se')} AS upper FROM g""")
+def prediction_at_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.prediction_at_means(D.sales(spark, sf_dir), ["flag"], ["quantity", "tax"], "y", "quantity", 50, 1.96)
+    return single(out, "quantity", "fit", "lower", "upper")
+
+
 @query("correlation_matrix", f"""WITH {D.SALES}
 SELECT 'quantity' AS var1, 'quantity' AS var2, 1.0::DOUBLE AS r UNION ALL SELECT 'discount', 'discount', 1.0 UNION ALL SELECT 'tax', 'tax', 1.0
 UNION ALL SELECT 'quantity', 'discount', round(corr(quantity, discount), 9) FROM sales UNION ALL SELECT 'quantity', 'tax', round(corr(quantity, tax), 9) FROM sales

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "limnos", master: str | None = None, shuffle_partitions: int | None = None,
@@ -42,6 +43,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cores(df: DataFrame) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, 1)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over all cores ahead of heavy work per row; adaptive execution would merge small inputs into one task."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1), *keys)
+    """Hash rows over all cores ahead of heavy work per row; adaptive execution would merge small inputs into one task.
+
+    The hash is taken by an expression, since a repartition by the very columns of a previous shuffle is dropped.
+    """
+    return df.repartition(cores(df), F.xxhash64(*keys))

@@ -187,4 +187,6 @@ def test_permutation_p_finds_a_difference(spark):
     assert r.p == pytest.approx(1 / 50) and r.f > 10
     env = df.select("site", F.lit("x2").alias("metric"), (F.col("x") * 2).alias("value"))
     fit = O.envfit(df, env, "site", "x", "y", perms=19).first()
+    table = O.envfit_table(O.envfit(df, env, "site", "x", "y", perms=19), labels={"x2": "Twice"}).first()
+    assert table.metric == "Twice" and table.r2 == 1.0
     assert fit.r2 == pytest.approx(1) and (abs(fit.a1), abs(fit.a2)) == pytest.approx((1, 0), abs=1e-9) and fit.p == pytest.approx(1 / 20)
