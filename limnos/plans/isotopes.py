@@ -283,7 +283,7 @@ z AS (SELECT *, avg(od) OVER () AS om FROM y)
 SELECT DISTINCT replace(pair, '_', ' & ') AS pair, water, round(sw - fw, 6) AS water_difference, round(od, 6) AS overall_difference,
        round(om, 6) AS overall_mean FROM z""")
 def overlap_season_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(N.overlap_season_shift(_pair_rows(spark, sf_dir)), 6, "water_difference", "overall_difference", "overall_mean")
+    return rounded(N.overlap_season_shift(checkpointed(_pair_rows(spark, sf_dir))), 6, "water_difference", "overall_difference", "overall_mean")
 
 
 # --- mixing and trophic position ---------------------------------------------------------------------
@@ -300,9 +300,9 @@ shares AS (SELECT community, group_name, source, count(*) / sum(count(*)) OVER (
            FROM cls GROUP BY 1, 2, 3 QUALIFY NOT (source = 'PERI' AND group_name LIKE '%7'))"""
 
 
-def share_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def share_table(frame: DataFrame) -> DataFrame:
     """Shares by size class of the family's own rows; families ending in 7 have no nearshore share."""
-    rows = mixtures(spark, sf_dir).where("FAMILY IS NOT NULL AND iso1 IS NOT NULL")
+    rows = frame.where("FAMILY IS NOT NULL AND iso1 IS NOT NULL")
     source = F.when(F.col("iso1") <= 17, "PERI").when(F.col("iso1") <= 34, "LEAF").otherwise("ZOOP")
     counts = rows.groupBy("community", F.col("FAMILY").alias("group_name"), source.alias("source")).agg(F.count(F.lit(1)).alias("k"))
     totals = rows.groupBy("community", F.col("FAMILY").alias("group_name")).agg(F.count(F.lit(1)).alias("n"))
@@ -314,20 +314,20 @@ def share_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT community, source, round(avg(mean) * 100, 6) AS mean_share FROM shares
 WHERE community IN (SELECT community FROM shares GROUP BY 1 HAVING count(DISTINCT source) = 3) GROUP BY 1, 2""")
 def complete_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.complete_sources(share_table(spark, sf_dir)), 6, "mean_share")
+    return rounded(M.complete_sources(share_table(mixtures(spark, sf_dir))), 6, "mean_share")
 
 
 @query("source_share_wide", _SHARES + """
 SELECT community, round(avg(mean) FILTER (WHERE source = 'PERI') * 100, 6) AS "PERI", round(avg(mean) FILTER (WHERE source = 'ZOOP') * 100, 6) AS "ZOOP",
        round(avg(mean) FILTER (WHERE source = 'LEAF') * 100, 6) AS "LEAF" FROM shares GROUP BY 1 HAVING count(DISTINCT source) = 3""")
 def source_share_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.source_share_wide(M.complete_sources(share_table(spark, sf_dir))), 6, "PERI", "ZOOP", "LEAF")
+    return rounded(M.source_share_wide(M.complete_sources(share_table(mixtures(spark, sf_dir)))), 6, "PERI", "ZOOP", "LEAF")
 
 
 @query("mixing_by_taxon", _SHARES + """, r AS (SELECT * FROM shares WHERE group_name IN ('brand1', 'brand7', 'brand12', 'nosuch'))
 SELECT community, group_name, source, round(mean, 8) AS mean FROM r QUALIFY count(*) OVER (PARTITION BY group_name) > 3""")
 def mixing_by_taxon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.mixing_by_taxon(share_table(spark, sf_dir), ["brand1", "brand7", "brand12", "nosuch"]), 8, "mean")
+    return rounded(M.mixing_by_taxon(share_table(mixtures(spark, sf_dir)), ["brand1", "brand7", "brand12", "nosuch"]), 8, "mean")
 
 
 TROPHIC = _SHARES + f""",
@@ -345,7 +345,8 @@ tc AS (SELECT t.*, o."ORDER" FROM tp t LEFT JOIN (SELECT DISTINCT "FAMILY", "ORD
 
 
 def trophic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.trophic_position(mixtures(spark, sf_dir), share_table(spark, sf_dir), D.baselines(spark, sf_dir))
+    frame = checkpointed(mixtures(spark, sf_dir))  # a stage table: the joins behind it run once
+    rows = T.trophic_position(frame, share_table(frame), D.baselines(spark, sf_dir))
     return T.trophic_clean(rows, D.taxon_frame(spark, sf_dir))
 
 
