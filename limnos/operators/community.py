@@ -170,7 +170,7 @@ def accumulation(presence: DataFrame, keys: Sequence[str], site: str, taxon: str
     pairs that share sites are counted by their two frequencies, in one pass over the sites, and the product of
     marginals is a difference of squares. `sizes` limits n where a key has very many sites.
     """
-    presence = presence.select(*keys, site, taxon).distinct()
+    presence = checkpointed(presence.select(*keys, site, taxon).distinct())  # what lies behind it runs once
     per_site = presence.groupBy(*keys, site).agg(F.count(F.lit(1)).alias("k"))
     totals_n = per_site.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sites"))
     freq = natural_join(presence.groupBy(*keys, taxon).agg(F.count(F.lit(1)).alias("f")), totals_n, "inner", keys)
