@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,17 +31,31 @@ def build_session(app: str = "limnos", master: str | None = None, shuffle_partit
     return builder.getOrCreate()
 
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per application. The archive goes out through the driver."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        base = os.path.join(tempfile.mkdtemp(prefix="limnos-package-"), "limnos")
+        context.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(PACKAGE), os.path.basename(PACKAGE)))
+        _shipped.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/limnos-checkpoints"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder, so a lost executor costs a re-read only."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="limnos-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
