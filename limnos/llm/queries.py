@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from limnos.llm import packing, token_counts, token_store
+from limnos.llm import packing, simhash, substrings, token_counts, token_store
 from limnos.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -30,3 +30,13 @@ def _(spark, sf_dir):
 @query("op10_best_fit_packing")
 def _(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_substring_dedup")
+def _(spark, sf_dir):
+    return substrings.substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
+@query("op8_simhash_near_dedup")
+def _(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
