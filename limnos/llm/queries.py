@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from limnos.llm import packing, simhash, substrings, token_counts, token_store
+from pyspark.sql import functions as F
+
+from limnos.llm import decontaminate, packing, quality, simhash, substrings, token_counts, token_store
 from limnos.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -40,3 +42,15 @@ def _(spark, sf_dir):
 @query("op8_simhash_near_dedup")
 def _(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_decontamination")
+def _(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op7_host_quality", quality.ORACLE)
+def _(spark, sf_dir):
+    return quality.host_quality(table(spark, sf_dir, "documents"))
