@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from limnos.llm import decontaminate, packing, quality, simhash, substrings, token_counts, token_store
+from limnos.llm import decontaminate, packing, quality, simhash, substrings, token_counts, token_store, warc
 from limnos.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -54,3 +54,8 @@ def _(spark, sf_dir):
 @query("op7_host_quality", quality.ORACLE)
 def _(spark, sf_dir):
     return quality.host_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op6_warc_revisits", warc.ORACLE)
+def _(spark, sf_dir):
+    return warc.warc_revisits(table(spark, sf_dir, "pages"))
