@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from limnos.llm import decontaminate, packing, quality, simhash, substrings, token_counts, token_store, warc
+from limnos.llm import chat, decontaminate, licenses, packing, quality, simhash, substrings, token_counts, token_store, warc
 from limnos.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -59,3 +59,13 @@ def _(spark, sf_dir):
 @query("op6_warc_revisits", warc.ORACLE)
 def _(spark, sf_dir):
     return warc.warc_revisits(table(spark, sf_dir, "pages"))
+
+
+@query("op4_license_scan")
+def _(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+@query("op9_chat_repair")
+def _(spark, sf_dir):
+    return chat.format_chats(table(spark, sf_dir, "conversations"))

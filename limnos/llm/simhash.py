@@ -61,14 +61,17 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, bits): 64-bit SimHash of each row's whole text as a signed long."""
+    """(doc_id, bits, text_hash): 64-bit SimHash of each row's whole text as a signed long, and XXH64 of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            each = [_shingle_hashes((t or "").encode(), size) for t in block.column("text").to_pylist()]
+            texts = block.column("text").to_pylist()
+            each = [_shingle_hashes((t or "").encode(), size) for t in texts]
             counts = np.fromiter(map(len, each), np.int64, len(each))
             bits = _majority(np.concatenate(each), counts)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(bits.view(np.int64))], ["doc_id", "bits"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, bits long")
+            keys = np.fromiter((xxhash.xxh64_intdigest(t or "", 42) for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(bits.view(np.int64)), pa.array(keys.view(np.int64))],
+                                             ["doc_id", "bits", "text_hash"])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, bits long, text_hash long")
 
 
 @dataclass
@@ -235,18 +238,37 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def grouped(docs: DataFrame, size: int, near: int) -> tuple[DataFrame, DataFrame]:
+    """Staged fingerprints, and (bits, root) for each distinct one: the least bits that it reaches."""
+    marked = staged(fingerprints(docs, size), "fingerprints")
+    distinct = staged(marked.select("bits").distinct(), "distinct-fingerprints")
+    rooted = components(links(distinct, near))
+    return marked, distinct.join(rooted, distinct["bits"] == rooted["node"], "left").select("bits", F.coalesce("root", "bits").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, near: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row: 16 hex digits, and the least doc_id reachable by links.
 
     Words lie between ASCII blanks, A-Z counts as a-z. A text of fewer words than a shingle is one shingle; a null or
-    empty text has fingerprint zero, linked like any other. A null doc_id stays null and is the component's id only if
-    no other row is in it; repeated rows are one group; an empty table gives none.
+    empty text has fingerprint zero, linked like any other. A null doc_id stays null and names no component, so one of
+    rows without ids has a null component_id; repeated rows are one group; an empty table gives none.
     """
-    marked = staged(fingerprints(docs, size), "fingerprints")
-    distinct = staged(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    rooted = components(links(distinct, near))
-    named = distinct.join(rooted, distinct["bits"] == rooted["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(smallest, "root").select("bits", "component_id")
+    marked, roots = grouped(docs, size, near)
+    least = marked.groupBy("bits").agg(F.min("doc_id").alias("least")).join(roots, "bits").select("bits", "root", "least")
+    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = roots.join(named, "root").select("bits", "component_id")
     return (marked.join(of, "bits")
             .select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, near: int = DISTANCE) -> DataFrame:
+    """One row of each near-duplicate group of docs, with all its columns: that of the least doc_id (nulls last), then of
+    the least text hash. Rows that agree in doc_id and text are one.
+    """
+    marked, roots = grouped(docs, size, near)
+    order = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    first = marked.groupBy("bits").agg(F.min(order).alias("first")).join(roots, "bits").groupBy("root").agg(F.min("first").alias("first"))
+    first = first.select(F.col("first.id").alias("__id"), F.col("first.hash").alias("__hash"))
+    hashed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
+    return hashed.join(first, same, "left_semi").dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
