@@ -36,8 +36,9 @@ def staged(df: DataFrame, what: str) -> DataFrame:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES,
-           rows: int = BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
+           rows: int | None = None) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a block holds at most `rows` rows and `limit` bytes of text (or one longer row)."""
+    rows = rows or BLOCK_ROWS
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         start = 0
@@ -77,4 +78,5 @@ def spans(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Indices starts[i], starts[i]+1, ... for lengths[i] values of each i, one after the other."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+    kind = np.int32 if total < 1 << 31 and starts.max(initial=0) < 1 << 31 else np.int64
+    return np.arange(total, dtype=kind) + np.repeat((starts - (ends - lengths)).astype(kind), lengths)

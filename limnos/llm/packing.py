@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.llm.common import blocks, offsets, staged
-from limnos.llm.tokens import END_ID, encoder, tokenizer_path
+from limnos.llm.tokens import END_ID, TEXT_BYTES, encoder, tokenizer_path
 
 SIZE = 4096
 #: Ranks of one length that meet in one group of the last join.
@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         enc, task, made = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", TEXT_BYTES):
             ids, counts = enc.block(block.column("text"))
             ids = np.insert(ids.astype("<u4"), np.cumsum(counts), END_ID)
             at = offsets(counts + 1)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from limnos.llm.common import blocks, new_folder, offsets, staged
-from limnos.llm.tokens import END_ID, encoder, tokenizer_path
+from limnos.llm.tokens import END_ID, TEXT_BYTES, encoder, tokenizer_path
 
 HEAD = np.dtype([("key", "<i8"), ("n", "<u4"), ("null", "<u4")])
 BUCKET_KEYS = 50_000
@@ -42,7 +42,7 @@ class Store:
 def _frames(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", TEXT_BYTES):
             ids, counts = enc.block(block.column("text"))
             heads = np.zeros(len(counts), HEAD)
             key = block.column("doc_id")

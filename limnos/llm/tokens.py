@@ -15,7 +15,9 @@ from limnos.llm.common import coded, offsets, spans, split_words
 END_ID = 1
 #: Letters without combining marks, with one full stop or comma at most: lower case and the cut before the mark are safe.
 PLAIN_WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
-CACHE_WORDS = 400_000
+#: Words of one of a worker's two caches, and text that is encoded at once: both bound a worker's memory.
+CACHE_WORDS = 150_000
+TEXT_BYTES = 8 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
