@@ -8,14 +8,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import blocks, coded, staged
+from limnos.llm.common import blocks, coded, offsets
 from limnos.llm.tokens import tokenizer_path
 
 BLOCK_TEXT = 32 << 20
-STAGE = "block long, code int, word string, row int, data binary, doc_id long, n_bytes long"
+#: Pre-tokens of a bucket and sums of documents that a task holds at once.
+KNOWN_WORDS = 1_000_000
+HELD_SUMS = 4_000_000
+STAGE = "block long, bucket int, row int, data binary, doc_id long, n_bytes long"
+SUMS = "block long, row int, data binary, doc_id long, n_bytes long"
+STAGE_NAMES = [c.split()[0] for c in STAGE.split(", ")]
+SUMS_NAMES = [c.split()[0] for c in SUMS.split(", ")]
 
 
 @functools.lru_cache(maxsize=2)
@@ -77,90 +85,116 @@ def _with_runs(words: pa.Array, owner: np.ndarray, size: np.ndarray) -> tuple[pa
     return words.filter(pa.array(keep)), owner[keep]
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block: its distinct pre-tokens, the rows that hold each one with their counts, and the documents."""
-    from pyspark import TaskContext
-    base, schema = TaskContext.get().partitionId() << 32, None
-    for number, block in enumerate(blocks(batches, "text", BLOCK_TEXT)):
-        text = block.column("text")
-        words, owner = pre_tokens(text)
-        codes, names = coded(words)
-        n = block.num_rows
-        pairs, times = np.unique(codes.astype(np.int64) * n + owner, return_counts=True)
-        holders = np.bincount(pairs // n, minlength=len(names)).astype("<u4")
-        data = b"".join((np.array([len(names), len(pairs)], "<u8").tobytes(), holders.tobytes(),
-                         (pairs % n).astype("<u2").tobytes(), times.astype("<u4").tobytes()))
-        block_id = base + number
-        schema = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("word", pa.string()), ("row", pa.int32()),
-                            ("data", pa.binary()), ("doc_id", pa.int64()), ("n_bytes", pa.int64())])
-
-        def rows(count, **columns):
-            return pa.RecordBatch.from_arrays(
-                [columns.get(f.name, pa.nulls(count, f.type)) for f in schema], schema=schema)
-
-        for i in range(0, len(names), 50_000):
-            part = names.slice(i, 50_000)
-            yield rows(len(part), block=pa.array(np.full(len(part), block_id)), word=part,
-                       code=pa.array(np.arange(i, i + len(part)), pa.int32()))
-        yield rows(1, block=pa.array([block_id]), data=pa.array([data], pa.binary()))
-        yield rows(n, block=pa.array(np.full(n, block_id)), row=pa.array(np.arange(n), pa.int32()),
-                   doc_id=block.column("doc_id").cast(pa.int64()),
-                   n_bytes=pc.fill_null(pc.binary_length(text), 0).cast(pa.int64()))
+def _frequencies(buckets: int):
+    """Per block, its documents, and its pre-tokens by bucket: words, rows that hold each one, and how often.
+
+    A word goes to the bucket of its hash; a word that an eighth of a block's rows hold goes to the bucket of the
+    block's number, as all blocks have it.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        base, squeeze = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(1).compress
+        for number, block in enumerate(blocks(batches, "text", BLOCK_TEXT, 1 << 16)):
+            text, n, name = block.column("text"), block.num_rows, base + number
+            words, owner = pre_tokens(text)
+            codes, names = coded(words)
+            pairs, times = np.unique(codes.astype(np.int64) * n + owner, return_counts=True)
+            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in names.to_pylist()), np.int64, len(names))
+            holders = np.bincount(pairs // n, minlength=len(names))
+            bucket[holders > max(8, n // 8)] = xxhash.xxh3_64_intdigest(str(name)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            place = np.argsort(rank[pairs // n], kind="stable")
+            rows, times = (pairs[place] % n).astype("<u2"), times[place].astype("<u4")
+            names, holders, bucket = names.take(pa.array(order)), holders[order].astype("<u4"), bucket[order]
+            lengths = pc.binary_length(names).to_numpy().astype("<u4")
+            letters, at = b"".join(w.encode() for w in names.to_pylist()), offsets(lengths)
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
+            pair_at, data = offsets(holders), []
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+                i, j = pair_at[a], pair_at[b]
+                data.append(squeeze(b"".join((
+                    np.array([b - a, j - i, n], "<u4").tobytes(), lengths[a:b].tobytes(), holders[a:b].tobytes(),
+                    times[i:j].tobytes(), rows[i:j].tobytes(), letters[at[a]:at[b]]))))
+            k = len(data)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(k + n, name)), pa.array(np.r_[bucket[cuts[:-1]], np.arange(n) % buckets], pa.int32()),
+                pa.array(np.r_[np.full(k, -1), np.arange(n)], pa.int32()), pa.array(data + [None] * n, pa.binary()),
+                pa.concat_arrays([pa.nulls(k, pa.int64()), block.column("doc_id").cast(pa.int64())]),
+                pa.concat_arrays([pa.nulls(k, pa.int64()), pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())])],
+                STAGE_NAMES)
+    return run
+
+
+def _unpacked(data: bytes) -> tuple[pa.Array, int, np.ndarray, np.ndarray, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    v, p, n = np.frombuffer(data, "<u4", 3).tolist()
+    lengths, holders = np.frombuffer(data, "<u4", v, 12), np.frombuffer(data, "<u4", v, 12 + 4 * v)
+    times, rows = np.frombuffer(data, "<u4", p, 12 + 8 * v), np.frombuffer(data, "<u2", p, 12 + 8 * v + 4 * p)
+    ends = pa.py_buffer(offsets(lengths).astype("<i4"))
+    letters = pa.py_buffer(data[12 + 8 * v + 6 * p:])
+    return pa.Array.from_buffers(pa.string(), v, [None, ends, letters]), n, holders, times, rows
 
 
 def _count_pieces(path: str):
-    """Rows sorted by pre-token: encode each distinct one once; give each block its counts, packed."""
+    """Rows sorted by bucket: encode each distinct pre-token once, multiply by its frequencies, sum per document.
+
+    Sums are held per block until they are many and then sent on, so a task's memory is bounded. Rows of documents pass.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_count = None, 0
+        model, known, last = _pieces(path), {}, -1
+        sums: dict[int, np.ndarray] = {}
+
+        def sent() -> pa.RecordBatch:
+            k = len(sums)
+            batch = pa.RecordBatch.from_arrays([
+                pa.array(list(sums), pa.int64()), pa.nulls(k, pa.int32()).fill_null(-1),
+                pa.array([zstandard.compress(s.astype("<u4").tobytes(), 1) for s in sums.values()], pa.binary()),
+                pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], SUMS_NAMES)
+            sums.clear()
+            return batch
+
         for batch in batches:
-            codes, names = coded(batch.column("word"))
-            words = names.to_pylist()
-            counts = [len(ids) - ("\n" in word) for word, ids in zip(words, _pieces(path).encode(words, num_threads=1))] \
-                if words != [last] else [last_count]
-            last, last_count = words[-1], counts[-1]
-            each = np.array(counts, "<u4")[codes]
-            block = batch.column("block").to_numpy()
-            order = np.argsort(block, kind="stable")
-            code = batch.column("code").to_numpy()[order].astype("<u4")
-            each, block = each[order], block[order]
-            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(block[cuts[:-1]]),
-                pa.array([code[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                pa.array([each[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["block", "codes", "counts"])
+            docs = pc.greater_equal(batch.column("row"), 0)
+            yield batch.filter(docs).select(SUMS_NAMES)
+            rest = batch.filter(pc.invert(docs))
+            for block, bucket, data in zip(*(rest.column(c).to_pylist() for c in ("block", "bucket", "data"))):
+                if bucket != last or len(known) > KNOWN_WORDS:
+                    known, last = {}, bucket
+                names, n, holders, times, rows = _unpacked(data)
+                words = names.to_pylist()
+                new = [w for w in words if w not in known]
+                known.update((w, len(ids) - ("\n" in w)) for w, ids in zip(new, model.encode(new, num_threads=1)))
+                pieces = np.fromiter((known[w] for w in words), np.int64, len(words))
+                if block not in sums:
+                    if sums and (len(sums) + 1) * n > HELD_SUMS:
+                        yield sent()
+                    sums[block] = np.zeros(n, np.int64)
+                sums[block] += np.bincount(rows, np.repeat(pieces, holders) * times, n).astype(np.int64)
+        yield sent()
     return run
 
 
-def _sum(found: pa.Table, counted: pa.Table) -> pa.Table:
-    """One block: frequencies times pieces, summed per document."""
-    rows = found.filter(pc.is_valid(found["row"]))
-    n = rows.num_rows
-    data = pc.drop_null(found["data"]).to_pylist()[0]
-    v, p = np.frombuffer(data, "<u8", 2).astype(int).tolist()
-    holders = np.frombuffer(data, "<u4", v, 16)
-    row = np.frombuffer(data, "<u2", p, 16 + 4 * v)
-    times = np.frombuffer(data, "<u4", p, 16 + 4 * v + 2 * p)
-    pieces = np.zeros(v, np.int64)
-    for codes, counts in zip(counted["codes"].to_pylist(), counted["counts"].to_pylist()):
-        pieces[np.frombuffer(codes, "<u4")] = np.frombuffer(counts, "<u4")
-    total = np.bincount(row, weights=np.repeat(pieces, holders) * times, minlength=n).astype(np.int64)
-    return pa.table({"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"],
-                     "n_tokens": pa.array(total[rows["row"].to_numpy()])})
+def _sum(found: pa.Table) -> pa.Table:
+    """One block: the sums of its documents."""
+    docs = found.filter(pc.greater_equal(found["row"], 0))
+    total = np.zeros(docs.num_rows, np.int64)
+    for data in pc.drop_null(found["data"]).to_pylist():
+        total += np.frombuffer(zstandard.decompress(data), "<u4")
+    return pa.table({"doc_id": docs["doc_id"], "n_bytes": docs["n_bytes"], "n_tokens": pa.array(total[docs["row"].to_numpy()])})
 
 
 def token_counts(docs: DataFrame, model: str | None = None, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row's whole text; only doc_id and text are read.
 
-    Blocks of documents hold the frequencies; each distinct pre-token of a block is one row, so a word that all
-    documents share is as many rows as there are blocks. A null text is empty and has 0 tokens; a null doc_id stays
-    null; rows are never merged, so repeated rows give repeated results; an empty table gives none.
+    Blocks of rows hold the frequencies; they meet the counts bucket by bucket of the pre-tokens. Docs should come from
+    files or a checkpoint, so that a task that is run again makes the same blocks. A null text is empty and has 0 tokens; a
+    null doc_id stays null; rows are never merged, so repeated rows give repeated results; an empty table gives none.
     """
     model = model or tokenizer_path("piece_bpe_32k.model")
-    found = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_frequencies, STAGE), "token-frequencies")
-    words = found.where("word IS NOT NULL").select("word", "block", "code")
-    counted = (words.repartition("word").sortWithinPartitions("word")
-               .mapInArrow(_count_pieces(model), "block long, codes binary, counts binary"))
-    rest = found.where("word IS NULL").select("block", "row", "data", "doc_id", "n_bytes")
-    return (rest.groupBy("block").cogroup(counted.groupBy("block"))
-            .applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_frequencies(buckets), STAGE)
+            .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_pieces(model), SUMS)
+            .groupBy("block").applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
             .withColumn("over_limit", F.col("n_tokens") > limit))
