@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The season cut, and the least printed p value.
+FIRST_FALL_MONTH = 8
+LEAST_P, LEAST_P_LABEL = 0.001, "< .001"
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -75,7 +79,7 @@ def round_even(c, digits: int) -> Column:
 def season(month) -> Column:
     """Months before August are spring, later ones fall; a missing month has no season."""
     m = col(month)
-    return F.when(m < 8, "spring").when(m > 7, "fall")
+    return F.when(m < FIRST_FALL_MONTH, "spring").when(m >= FIRST_FALL_MONTH, "fall")
 
 
 def even_grid(lo, hi, n: int) -> Column:
@@ -93,7 +97,7 @@ def excludes_zero(lo, hi) -> Column:
 
 def p_label(p, digits: int = 3) -> Column:
     """Printed p value: '< .001' below one thousandth."""
-    return F.when(col(p) < 0.001, F.lit("< .001")).when(col(p).isNotNull(), F.bround(col(p), digits).cast("string"))
+    return F.when(col(p) < LEAST_P, F.lit(LEAST_P_LABEL)).when(col(p).isNotNull(), F.bround(col(p), digits).cast("string"))
 
 
 def log_gamma(x) -> Column:

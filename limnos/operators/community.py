@@ -61,6 +61,11 @@ def prune_taxa(presence: DataFrame, site: Sequence[str], taxon: str) -> DataFram
     return natural_join(presence, counts.where("__n < __sites").select(taxon), "left_semi", [taxon])
 
 
+# Families named after an order, and renamed families.
+ORDER_FAMILIES = {"Amphipoda": "Amphipoda.unsp", "Isopoda": "Isopoda.unsp"}
+FAMILY_RENAMES = {"Agriidae": "Calopterygidae"}
+
+
 def taxonomic_recode(rows: DataFrame, lookup: DataFrame) -> DataFrame:
     """Full order and family names from the code lookup, renames, and the drop lists.
 
@@ -71,9 +76,11 @@ def taxonomic_recode(rows: DataFrame, lookup: DataFrame) -> DataFrame:
             F.col("CODE").alias(level), F.col("TAXONOMIC_ID").alias(f"{level}_full"))
 
     out = lookup_join(lookup_join(rows, names("ORDER"), ["ORDER"], ["ORDER_full"]), names("FAMILY"), ["FAMILY"], ["FAMILY_full"])
-    family = (F.when(F.col("ORDER_full") == "Amphipoda", "Amphipoda.unsp")
-              .when(F.col("ORDER_full") == "Isopoda", "Isopoda.unsp")
-              .when(F.col("FAMILY_full") == "Agriidae", "Calopterygidae").otherwise(F.col("FAMILY_full")))
+    family = F.col("FAMILY_full")
+    for name, new in FAMILY_RENAMES.items():
+        family = F.when(F.col("FAMILY_full") == name, new).otherwise(family)
+    for name, new in ORDER_FAMILIES.items():
+        family = F.when(F.col("ORDER_full") == name, new).otherwise(family)
     return out.withColumn("FAMILY_full", family).where(
         ~F.col("FAMILY_full").isin(SURVEY_FAMILIES_OUT) & ~F.col("ORDER_full").isin(SURVEY_ORDERS_OUT))
 

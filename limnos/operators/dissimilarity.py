@@ -5,7 +5,7 @@ landmarks; the sums over all pairs that PERMANOVA and SIMPER need come from coun
 
     for presence data  d(i, j) = 1 - 2 a / (n_i + n_j)   (Bray; a = shared taxa, n = richness)
     so  sum d^2  over pairs with richness n and m  =  N_n N_m - 4 A / (n + m) + 4 Q / (n + m)^2
-    with  A = sum_s c_n(s) c_m(s)   and   Q = sum_st c_n(s, t) c_m(s, t),
+    with  A = sum_s c_n(s) c_m(s)   and   Q = sum_st c_n(s, t) c_m(s, t) over ordered (s, t),
 
 where c_n(s) and c_n(s, t) count the sites of richness n that hold taxon s, or both s and t. The tables are
 bounded by the taxonomy, whatever the number of sites.
@@ -13,11 +13,12 @@ bounded by the taxonomy, whatever the number of sites.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +26,14 @@ from limnos.operators.reshape import natural_join, top_n
 from limnos.session import checkpointed
 
 
+#: Stands for a missing taxon inside a set: it is a taxon of its own, and sets of NULLs would lose it.
+MISSING = "\u0000missing"
+
+
 def site_sets(presence: DataFrame, site: Sequence[str], taxon: str) -> DataFrame:
-    """(site, taxa, n): the distinct taxa of each site as one array, at most one entry per taxon."""
-    return presence.groupBy(*site).agg(F.array_sort(F.collect_set(taxon)).alias("taxa")).withColumn("n", F.size("taxa"))
+    """(site, taxa, n): the distinct taxa of each site as one array of texts, a missing one included."""
+    name = F.coalesce(F.col(taxon).cast("string"), F.lit(MISSING))
+    return presence.groupBy(*site).agg(F.array_sort(F.collect_set(name)).alias("taxa")).withColumn("n", F.size("taxa"))
 
 
 def presence_distance(shared: Column, n1: Column, n2: Column, method: str) -> Column:
@@ -76,151 +82,196 @@ def landmark_dissimilarity(presence: DataFrame, landmarks: DataFrame, site: str,
     entries = landmarks.select(F.explode("taxa").alias(taxon), F.col(site).alias("landmark"))
     per_taxon = entries.groupBy(taxon).agg(F.collect_list("landmark").alias("__l"))
     listed = landmarks.agg(F.collect_list(F.struct(F.col(site).alias("landmark"), F.col("n").alias("nl")))).scalar()
-    rows = presence.select(site, taxon).distinct()
+    rows = presence.select(site, F.coalesce(F.col(taxon).cast("string"), F.lit(MISSING)).alias(taxon)).distinct()
     hits = natural_join(rows, per_taxon, "left", [taxon])
-    shared = hits.groupBy(site).agg(F.count(taxon).alias("n"), F.flatten(F.collect_list("__l")).alias("__hits"))
-    each = shared.withColumn("__all", listed).select(site, "n", "__hits", F.explode("__all").alias("m"))
-    count = F.size(F.filter("__hits", lambda h: h == F.col("m.landmark")))
-    return each.select(site, F.col("m.landmark").alias("landmark"),
-                       presence_distance(count, F.col("n"), F.col("m.nl"), method).alias("d"))
+    shared = hits.groupBy(site).agg(F.count(taxon).alias("__n"), F.flatten(F.collect_list("__l")).alias("__hits"))
+    each = shared.withColumn("__all", listed).select(site, "__n", "__hits", F.explode("__all").alias("__m"))
+    count = F.size(F.filter("__hits", lambda h: h == F.col("__m.landmark")))
+    return each.select(site, F.col("__m.landmark").alias("landmark"),
+                       presence_distance(count, F.col("__n"), F.col("__m.nl"), method).alias("d"))
 
 
 # --- sums over all pairs -------------------------------------------------------------------------
 
 def pair_counts(sets: DataFrame, cell: str) -> DataFrame:
-    """(cell, n, s, t, c): sites of a cell and richness that hold taxa s and t; s = t for one taxon, both NULL for all sites.
+    """(cell, __n, __s, __t, __c): sites of a cell and richness that hold taxa s and t; s = t for one taxon, both NULL for all sites.
 
     One pass over the sites. A site gives one entry per pair of its own taxa, summed before the shuffle.
     """
     own = F.transform("taxa", lambda s, i: F.struct(s.alias("s"), F.slice("taxa", i + 1, F.size("taxa")).alias("t")))
-    kind = sets.schema["taxa"].dataType.elementType
-    none = F.lit(None).cast(kind)
+    none = F.lit(None).cast("string")
     entries = F.concat(own, F.array(F.struct(none.alias("s"), F.array(none).alias("t"))))
-    each = sets.select(cell, "n", F.explode(entries).alias("p")).select(cell, "n", F.col("p.s").alias("s"), F.explode("p.t").alias("t"))
-    return each.groupBy(cell, "n", "s", "t").agg(F.count(F.lit(1)).alias("c"))
-
-
-def pair_sums(sets: DataFrame, cell: str) -> DataFrame:
-    """(cell1, cell2, d2): sum of squared Bray distances over all ordered pairs between two cells (labels of sites).
-
-    The products A and Q above are Gram matrices of `pair_counts`, summed over partitions of the taxon pairs; the
-    matrices are as wide as the cells times the richness values that occur.
+    each = sets.select(cell, F.col("n").alias("__n"), F.explode(entries).alias("__p")).select(
+        cell, "__n", F.col("__p.s").alias("__s"), F.explode("__p.t").alias("__t"))
+    return each.groupBy(cell, "__n", "__s", "__t").agg(F.count(F.lit(1)).alias("__c"))
+
+
+def _shared_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, same, n, c) of one taxon pair each: sum over all ordered pairs of richness values of c c' w, per group."""
+    for batch in batches:
+        group, same, n, c = batch.columns
+        size = int(pc.max(n.flatten()).as_py() or 0) + 1
+        both = np.add.outer(np.arange(size), np.arange(size)).astype(float)
+        both[0, 0] = np.inf  # no site without taxa is here
+        weights = {True: -4 / both + 4 / both ** 2, False: 8 / both ** 2}
+        own, value = same.to_numpy(zero_copy_only=False), np.zeros(len(n))
+        for first in range(0, len(n), 4096):
+            part, counts = n.slice(first, 4096), c.slice(first, 4096)
+            dense = np.zeros((len(part), size))
+            dense[pc.list_parent_indices(part).to_numpy(), part.flatten().to_numpy()] = counts.flatten().to_numpy()
+            for kind, w in weights.items():
+                rows = np.flatnonzero(own[first:first + 4096] == kind)
+                value[first + rows] = ((dense[rows] @ w) * dense[rows]).sum(axis=1)
+        names = group.dictionary_encode()
+        codes = names.indices.to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([names.dictionary, pa.array(np.bincount(codes, value, len(names.dictionary)))], ["__g", "__v"])
+
+
+def group_sums(counts: DataFrame, group: str) -> DataFrame:
+    """(group, sites, d2): sum of squared Bray distances over all ordered pairs of sites of one group, from `pair_counts`.
+
+    A taxon pair brings its counts by richness together, a list no longer than the richest site; nothing goes to the driver.
     """
-    counts = checkpointed(pair_counts(sets, cell))  # bounded by the taxonomy, not by the sites
-    keys = [(r[cell], r["n"], r["c"]) for r in counts.where("s IS NULL").collect()]  # cells x richness values
-    size = len(keys)
-    if size > 5000:
-        raise ValueError(f"{size} cells x richness values; use fewer cells")
-    n = np.array([k[1] for k in keys], float)
-    sites = np.array([k[2] for k in keys], float)
-    kind = sets.schema[cell].dataType.simpleString()
-    codes = sets.sparkSession.createDataFrame([(c, k, i) for i, (c, k, _) in enumerate(keys)], f"{cell} {kind}, n int, i int")
-    coded = natural_join(counts.where("s IS NOT NULL"), codes, "inner", [cell, "n"])
-    packed = coded.groupBy("s", "t").agg(F.collect_list("i").alias("i"), F.collect_list(F.col("c").cast("double")).alias("c"))
-
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {True: np.zeros((size, size)), False: np.zeros((size, size))}
-        for batch in batches:
-            for pair, part in batch.groupby("pair"):
-                dense = np.zeros((len(part), size))
-                row = np.repeat(np.arange(len(part)), part["i"].map(len))
-                dense[row, np.concatenate(part["i"].to_numpy())] = np.concatenate(part["c"].to_numpy())
-                total[bool(pair)] += dense.T @ dense
-        for pair, m in total.items():
-            i, j = np.nonzero(m)
-            if len(i):
-                yield pd.DataFrame({"pair": pair, "i": i, "j": j, "v": m[i, j]})
-
-    sums = packed.select((F.col("s") != F.col("t")).alias("pair"), "i", "c").mapInPandas(gram, "pair boolean, i long, j long, v double")
-    found = sums.groupBy("pair", "i", "j").agg(F.sum("v").alias("v")).toPandas()  # at most 2 x size x size numbers
-    shared, squared = np.zeros((size, size)), np.zeros((size, size))
-    for matrix, part in ((squared, found[found["pair"]]), (shared, found[~found["pair"].astype(bool)])):
-        matrix[part["i"], part["j"]] = part["v"]
-    squared = shared + 2 * squared  # pairs (s, s) and both orders of (s, t)
-    both = n[:, None] + n[None, :]
-    d2 = np.outer(sites, sites) - 4 * shared / both + 4 * squared / both ** 2
-    names = [k[0] for k in keys]
-    out = pd.DataFrame(d2, index=names, columns=names).T.groupby(level=0).sum().T.groupby(level=0).sum()
-    rows = [(c1, c2, float(out.loc[c1, c2])) for c1 in out.index for c2 in out.columns]
-    sizes = pd.Series(sites, index=names).groupby(level=0).sum()
-    return sets.sparkSession.createDataFrame([(*r, int(sizes[r[0]]), int(sizes[r[1]])) for r in rows],
-                                             f"cell1 {kind}, cell2 {kind}, d2 double, sites1 long, sites2 long")
+    kind = counts.schema[group].dataType.simpleString()
+    code = F.to_json(F.struct(F.col(group).alias("g")), {"ignoreNullFields": "false"})
+    packed = counts.where("__s IS NOT NULL").groupBy(group, "__s", "__t").agg(
+        F.collect_list("__n").alias("n"), F.collect_list(F.col("__c").cast("double")).alias("c"))
+    each = packed.select(code.alias("__g"), (F.col("__s") == F.col("__t")).alias("same"), "n", "c").mapInArrow(_shared_sums, "__g string, __v double")
+    shared = each.groupBy("__g").agg(F.sum("__v").alias("__v"))
+    sites = counts.where("__s IS NULL").groupBy(group).agg(F.sum("__c").alias("sites")).withColumn("__g", code)
+    out = sites.join(shared, "__g", "left")
+    return out.select(F.col(group).cast(kind), "sites", (F.col("sites") * F.col("sites") + F.coalesce("__v", F.lit(0.0))).alias("d2"))
 
 
 def permanova(sets: DataFrame, group: str) -> DataFrame:
-    """PERMANOVA of Bray distances by one grouping of the sites, exact over all pairs."""
-    sums = pair_sums(sets, group)
-    own = F.col("cell1") == F.col("cell2")
-    one = sums.agg(F.sum(F.when(own, F.col("sites1"))).alias("sites"), F.count(F.when(own, 1)).alias("groups"),
-                   F.sum(F.when(own, F.col("d2") / 2 / F.col("sites1"))).alias("ss_within"), F.sum(F.col("d2") / 2).alias("d2"))
-    return _f_ratio(one.withColumn("ss_total", F.col("d2") / F.col("sites")))
+    """PERMANOVA of Bray distances by one grouping of the sites, exact over all pairs; sites without taxa have no distance and are left out."""
+    counts = checkpointed(pair_counts(sets.where("n > 0").select(F.col(group).alias("__g"), "n", "taxa"), "__g"))
+    within = group_sums(counts, "__g").agg(F.sum("sites").alias("sites"), F.count(F.lit(1)).alias("groups"),
+                                           F.sum(F.col("d2") / 2 / F.col("sites")).alias("ss_within"))
+    every = counts.groupBy("__n", "__s", "__t").agg(F.sum("__c").alias("__c")).withColumn("__g", F.lit(0))
+    total = group_sums(every, "__g").select(F.col("d2").alias("__d2"))
+    one = within.join(total, F.lit(True))  # one row each
+    return _f_ratio(one.withColumn("ss_total", F.col("__d2") / 2 / F.col("sites")))
 
 
-def _f_ratio(one: DataFrame) -> DataFrame:
+def _f_value() -> Column:
     between = F.col("ss_total") - F.col("ss_within")
-    return one.select(
-        "ss_total", "ss_within", "groups", "sites", F.try_divide(between, F.col("ss_total")).alias("r2"),
-        F.try_divide(between / (F.col("groups") - 1), F.col("ss_within") / (F.col("sites") - F.col("groups"))).alias("f"))
+    return F.try_divide(between / (F.col("groups") - 1), F.col("ss_within") / (F.col("sites") - F.col("groups")))
 
 
-def permanova_pairs(distances: DataFrame, labels: DataFrame, site: str, group: str, left: str, right: str, d: str) -> DataFrame:
-    """PERMANOVA from a given long table of distances with each unordered pair once (any method)."""
+def _f_ratio(one: DataFrame) -> DataFrame:
+    r2 = F.try_divide(F.col("ss_total") - F.col("ss_within"), F.col("ss_total"))
+    return one.select("ss_total", "ss_within", "groups", "sites", r2.alias("r2"), _f_value().alias("f"))
+
+
+def permanova_pairs(distances: DataFrame, labels: DataFrame, site: str, group: str, left: str, right: str, d: str,
+                    ranks: DataFrame | None = None) -> DataFrame:
+    """PERMANOVA from a given long table of distances with each unordered pair once (any method).
+
+    With `ranks` (perm, site, rank; perm from 1, rank 0-based within a permutation or block of sites, see
+    ordination.permuted_labels for the labels they give) as a table (perm, site, label column), the result has
+    p = (1 + permuted F at least the observed) / (1 + permutations). A site carries its labels as one array, so a pair of
+    sites is one row whatever the number of permutations.
+    """
     n = labels.agg(F.count(F.lit(1)).alias("sites"), F.count_distinct(group).alias("groups"))
-    sizes = labels.groupBy(group).agg(F.count(F.lit(1)).alias("sites"))
-    a = labels.select(F.col(site).alias(left), F.col(group).alias("__ga"))
-    b = labels.select(F.col(site).alias(right), F.col(group).alias("__gb"))
-    rows = distances.join(a, left).join(b, right)
-    sums = rows.groupBy("__ga", "__gb").agg(F.sum(F.col(d) * F.col(d)).alias("d2"))
-    own = sums.where("__ga = __gb").join(sizes, F.col("__ga") == F.col(group))
-    one = n.withColumns({"d2": sums.agg(F.sum("d2")).scalar(), "ss_within": own.agg(F.sum(F.col("d2") / F.col("sites"))).scalar()})
-    return _f_ratio(one.withColumn("ss_total", F.col("d2") / F.col("sites")))
+    sizes = labels.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
+    given = labels.select(F.col(site).alias("__site"), F.lit(0).alias("perm"), F.col(group).alias("__g"))
+    if ranks is not None:
+        given = given.unionByName(ranks.select(F.col(site).alias("__site"), "perm", F.col(group).alias("__g")))
+    weighted = given.join(sizes.select(F.col(group).alias("__g"), "__size"), "__g")
+    arrays = weighted.groupBy("__site").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("perm", F.col("__g").alias("g"), F.col("__size").alias("size")))),
+        lambda x: F.struct(x["g"].alias("g"), x["size"].alias("size"))).alias("__labels"))
+    a = arrays.select(F.col("__site").alias(left), F.col("__labels").alias("__la"))
+    b = arrays.select(F.col("__site").alias(right), F.col("__labels").alias("__lb"))
+    rows = distances.select(left, right, (F.col(d) * F.col(d)).alias("__d2")).join(a, left).join(b, right)
+    share = F.zip_with("__la", "__lb", lambda x, y: F.when(x["g"] == y["g"], F.col("__d2") / x["size"]).otherwise(0.0))
+    each = rows.select("__d2", F.posexplode(share).alias("perm", "__w"))
+    sums = each.groupBy("perm").agg(F.sum("__d2").alias("d2"), F.sum("__w").alias("ss_within"))
+    per = sums.join(n, F.lit(True)).withColumn("ss_total", F.col("d2") / F.col("sites"))
+    fits = per.select("perm", _f_value().alias("f"))
+    one = _f_ratio(per.where("perm = 0"))
+    if ranks is None:
+        return one
+    seen = fits.where("perm = 0").select(F.col("f").alias("__f"))
+    p = fits.where("perm > 0").join(seen, F.lit(True)).agg(
+        ((F.sum((F.col("f") >= F.col("__f") - 1e-12).cast("long")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    return one.join(p, F.lit(True))
+
+
+def _design(rows: DataFrame, terms: Sequence[str], prefix: str) -> tuple[DataFrame, list[list[str]]]:
+    """Indicator columns of each term ("a" or "a:b"), and their names; a term has few levels."""
+    names = []
+    for i, term in enumerate(terms):
+        value = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(term.split(":"))]), {"ignoreNullFields": "false"})
+        levels = sorted(r[0] for r in rows.select(value).distinct().collect())
+        own = [f"{prefix}{i}_{k}" for k in range(len(levels))]
+        rows = rows.withColumns({name: (value == level).cast("double") for name, level in zip(own, levels)})
+        names.append(own)
+    return rows, names
+
+
+def _quadratic(rows: DataFrame, columns: list[str]) -> np.ndarray:
+    """Matrix of sums over all ordered pairs of sites of q_i q_j times the squared Bray distance, for columns q that sum to 0.
+
+    Taxon pairs bring the sums of q by richness together; each task adds up its own matrix, which is as wide as the columns.
+    """
+    own = F.transform("taxa", lambda s, i: F.struct(s.alias("s"), F.slice("taxa", i + 1, F.size("taxa")).alias("t")))
+    each = rows.select("n", *columns, F.explode(own).alias("__p")).select("n", *columns, F.col("__p.s").alias("__s"), F.explode("__p.t").alias("__t"))
+    level = each.groupBy("__s", "__t", "n").agg(*[F.sum(c).alias(c) for c in columns])
+    packed = level.groupBy("__s", "__t").agg(F.collect_list("n").alias("n"), F.collect_list(F.array(*columns)).alias("q"))
+    width = len(columns)
 
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            for same, n, q in zip(batch["same"], batch["n"], batch["q"]):
+                q, n = np.stack(q), np.asarray(n, float)
+                both = n[:, None] + n[None, :]
+                total += q.T @ ((-4 / both + 4 / both ** 2) if same else 8 / both ** 2) @ q
+        yield pd.DataFrame({"at": np.arange(width * width), "v": total.ravel()})
 
-def _cell_design(cells: pd.DataFrame, term: str) -> np.ndarray:
-    parts = [pd.get_dummies(cells[c]).to_numpy(float) for c in term.split(":")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = np.einsum("ij,ik->ijk", out, p).reshape(len(cells), -1)
-    return out
+    parts = packed.select((F.col("__s") == F.col("__t")).alias("same"), "n", "q").mapInPandas(sums, "at int, v double")
+    out = np.zeros(width * width)
+    for r in parts.groupBy("at").agg(F.sum("v").alias("v")).collect():  # columns x columns numbers
+        out[r["at"]] = r["v"]
+    return out.reshape(width, width)
 
 
 def permanova_terms(sets: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Sequential PERMANOVA of Bray distances on several labels: ["water", "cluster", "cluster:season"], say.
 
-    All terms are constant within a cell (a combination of labels), so the sums of squares are traces of
-    cell-sized matrices against the sums between cells; only those come to the driver.
+    The first term may have any number of levels: its sum of squares comes from sums inside its groups. The later terms
+    have few levels; their indicators, less their means inside the first term's groups, make one small matrix of sums
+    over all pairs, and only that comes to the driver. Jaccard distances have no such sums; see `permanova_pairs`.
     """
-    labels = list(dict.fromkeys(c for t in terms for c in t.split(":")))
-    cell = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in labels]))
-    sums = pair_sums(sets.select(cell.alias("__cell"), "n", "taxa"), "__cell").collect()
-    size = {r["cell1"]: r["sites1"] for r in sums}
-    names = sorted(size)
-    at = {c: i for i, c in enumerate(names)}
-    d2 = np.zeros((len(names), len(names)))
-    for r in sums:
-        d2[at[r["cell1"]], at[r["cell2"]]] = r["d2"]
-    cells = pd.DataFrame([json.loads(c) for c in names])
-    weight = np.array([size[c] for c in names], float)
-    n = weight.sum()
-
-    def fitted(design: np.ndarray) -> tuple[float, int]:
-        """Trace of (projection on the design) times (-d2 / 2), with cells weighted by their sites."""
-        u, s, _ = np.linalg.svd(np.sqrt(weight)[:, None] * design, full_matrices=False)
-        q = u[:, s > 1e-9 * s[0]] / np.sqrt(weight)[:, None]
-        return float(-0.5 * np.sum((q @ q.T) * d2)), q.shape[1]
-
-    total = float(d2.sum() / 2 / n)
-    design, rows = np.ones((len(names), 1)), []
-    base, rank = fitted(design)
-    for term in terms:
-        design = np.hstack([design, _cell_design(cells, term)])
-        now, now_rank = fitted(design)
-        rows.append((term, int(now_rank - rank), float(now - base)))
-        base, rank = now, now_rank
-    residual, df = float(total - sum(r[2] for r in rows)), int(n - rank)
-    out = [(t, k, ss, ss / total, (ss / k) / (residual / df) if k and df else None) for t, k, ss in rows]
-    out.append(("residual", df, residual, residual / total, None))
-    return sets.sparkSession.createDataFrame(out, "term string, df int, ss double, r2 double, f double")
+    spark = sets.sparkSession
+    first = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(terms[0].split(":"))]), {"ignoreNullFields": "false"})
+    rows, names = _design(sets.where("n > 0").withColumn("__g", first), terms[1:], "__d")
+    columns = [c for own in names for c in own]
+    rows = checkpointed(rows.select("__g", "n", "taxa", *columns))
+    one = permanova(rows, "__g").first()
+    n, levels, total = one["sites"], one["groups"], one["ss_total"]
+    out = [(terms[0], levels - 1, total - one["ss_within"])]
+    if columns:
+        means = rows.groupBy("__g").agg(*[F.avg(c).alias(f"__m{c}") for c in columns])
+        centred = rows.join(means, "__g").select("n", "taxa", *[(F.col(c) - F.col(f"__m{c}")).alias(c) for c in columns])
+        cross = centred.agg(*[F.sum(F.col(a) * F.col(b)) for i, a in enumerate(columns) for b in columns[i:]]).first()
+        gram = np.zeros((len(columns),) * 2)
+        gram[np.triu_indices(len(columns))] = [v or 0.0 for v in cross]
+        gram = np.triu(gram) + np.triu(gram, 1).T
+        form, base, rank, width = -0.5 * _quadratic(centred, columns), 0.0, 0, 0
+        for term, own in zip(terms[1:], names):
+            width += len(own)
+            values, vectors = np.linalg.eigh(gram[:width, :width])
+            good = values > 1e-9 * max(1.0, values.max(initial=0.0))
+            scaled = vectors[:, good] / np.sqrt(values[good])
+            now, now_rank = float(np.trace(scaled.T @ form[:width, :width] @ scaled)), int(good.sum())
+            out.append((term, now_rank - rank, now - base))
+            base, rank = now, now_rank
+    residual, df = float(total - sum(r[2] for r in out)), int(n - 1 - sum(r[1] for r in out))
+    table = [(t, int(k), float(ss), float(ss / total), float((ss / k) / (residual / df)) if k and df else None) for t, k, ss in out]
+    return spark.createDataFrame([*table, ("residual", df, residual, float(residual / total), None)], "term string, df int, ss double, r2 double, f double")
 
 
 def simper(presence: DataFrame, site: str, taxon: str, cluster: str) -> DataFrame:
@@ -231,7 +282,9 @@ def simper(presence: DataFrame, site: str, taxon: str, cluster: str) -> DataFram
     A pair of sites contributes 1 / (n_i + n_j) to a taxon that exactly one of them has, so the mean over all
     pairs of two clusters needs only the number of sites by richness, with and without the taxon.
     """
-    sets = site_sets(presence, [site, cluster], taxon)
+    own_taxon, own_cluster, taxon, cluster = taxon, cluster, "__taxon", "__cluster"
+    presence = presence.select(F.col(site).alias("__site"), F.col(own_cluster).alias(cluster), F.col(own_taxon).alias(taxon))
+    sets = site_sets(presence, ["__site", cluster], taxon)
     marked = F.explode(F.concat("taxa", F.array(F.lit(None))))  # the NULL entry counts the sites
     counts = checkpointed(sets.select(cluster, "n", marked.alias(taxon)).groupBy(cluster, "n", taxon).agg(F.count(F.lit(1)).alias("p")))
     levels = counts.where(F.col(taxon).isNull()).select(cluster, "n", F.col("p").alias("sites"))
@@ -258,7 +311,8 @@ def simper(presence: DataFrame, site: str, taxon: str, cluster: str) -> DataFram
     out = sums.select("cluster1", "cluster2", taxon, (F.col("v") / F.col("__s1") / F.col("__s2")).alias("average"))
     pair = Window.partitionBy("cluster1", "cluster2")
     running = pair.orderBy(F.round("average", 12).desc(), taxon).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("cusum", F.sum("average").over(running) / F.sum("average").over(pair))
+    out = out.withColumn("cusum", F.sum("average").over(running) / F.sum("average").over(pair))
+    return out.select("cluster1", "cluster2", F.nullif(F.col(taxon), F.lit(MISSING)).alias(own_taxon), "average", "cusum")
 
 
 def simper_select(scores: DataFrame, taxon: str, n: int = 15, by: str = "average_desc") -> DataFrame:

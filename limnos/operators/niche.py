@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from limnos.functions import columns as C
 from limnos.operators.ordination import _hull
 from limnos.operators.reshape import add_share, draw_interval, keep_groups, natural_join, wide
-from limnos.session import cores, spread
+from limnos.session import spread
 
 # Baseline sources that are a class of their own in overlap tables.
 BASELINE_CLASSES = ["LEAF", "PERI", "FISH"]
@@ -80,10 +80,14 @@ def _draw_block(r: dict, keys, block: int, draws: int, prior_df: float) -> pd.Da
 
 # --- areas ---------------------------------------------------------------------------------------
 
+def ellipse_area(draws: DataFrame) -> DataFrame:
+    """Ellipse area per draw."""
+    return draws.withColumn("area", math.pi * F.sqrt(F.col("s_xx") * F.col("s_yy") - F.col("s_xy") * F.col("s_xy")))
+
+
 def niche_area(draws: DataFrame, community: str = "community") -> DataFrame:
-    """Ellipse area per draw, with the community's total in that draw and the share of it."""
-    area = draws.withColumn("area", math.pi * F.sqrt(F.col("s_xx") * F.col("s_yy") - F.col("s_xy") * F.col("s_xy")))
-    return add_share(area, [community, "draw"], "area", "total_area", "relative_area")
+    """Ellipse area per draw, with the community's total in that draw and the share of it (reads the draws twice)."""
+    return add_share(ellipse_area(draws), [community, "draw"], "area", "total_area", "relative_area")
 
 
 def area_by_cluster(areas: DataFrame, community: str, cluster: str) -> DataFrame:
@@ -149,9 +153,9 @@ def layman(points: DataFrame, keys: Sequence[str], x: str = "iso1", y: str = "is
     return rows.select(*keys, *out)
 
 
-def layman_draws(draws: DataFrame, community: str = "community") -> DataFrame:
+def layman_draws(draws: DataFrame, community: str = "community", hull: bool = True) -> DataFrame:
     """Layman metrics of every draw of the group means."""
-    return layman(draws, [community, "draw"], "mu_x", "mu_y")
+    return layman(draws, [community, "draw"], "mu_x", "mu_y", hull)
 
 
 def layman_by_cluster(metrics: DataFrame, clusters: DataFrame, areas: DataFrame, community: str, cluster: str) -> DataFrame:
@@ -235,20 +239,21 @@ def _overlap_share(angles: int, radius2: float):
 
 
 def ellipse_overlap(draws: DataFrame, community: str = "community", group: str = "group_name", p: float = 0.95,
-                    max_draw: int = 50, angles: int = 180) -> DataFrame:
-    """(community, draw, pair members s1 < s2, overlap): shared area over joint area of p ellipses, per draw.
+                    angles: int = 180) -> DataFrame:
+    """(community, draw, pair members s1 < s2, overlap): shared area over joint area of p ellipses, for every draw given.
 
-    One row per unordered pair of groups of a community, which is the result itself; the equi-join runs on
-    (community, draw), partitioned once for both sides. Areas are integrated along rays
-    from the centre of the smaller ellipse.
+    One row per unordered pair of groups of a community, which is the result itself. The groups of a community and
+    draw meet in one list, so the draws are made and shuffled once. Areas are integrated along rays from the centre of
+    the smaller ellipse.
     """
-    few = draws.where(F.col("draw") < max_draw).repartition(cores(draws), community, "draw")
     cols = ["mu_x", "mu_y", "s_xx", "s_xy", "s_yy"]
-    a = few.select(community, "draw", F.col(group).alias("s1"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = few.select(community, "draw", F.col(group).alias("s2"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    listed = draws.groupBy(community, "draw").agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), *cols))).alias("__g"))
+    later = F.transform("__g", lambda a, i: F.transform(
+        F.slice("__g", i + 2, F.size("__g")), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    pairs = listed.select(community, "draw", F.explode(F.flatten(later)).alias("__p")).where("__p.a.g < __p.b.g")
     share = _overlap_share(angles, -2 * math.log(1 - p))
-    pairs = a.join(b, [community, "draw"]).where("s1 < s2")
-    return pairs.select(community, "draw", "s1", "s2", share(*[f"a_{c}" for c in cols], *[f"b_{c}" for c in cols]).alias("overlap"))
+    return pairs.select(community, "draw", F.col("__p.a.g").alias("s1"), F.col("__p.b.g").alias("s2"),
+                        share(*[F.col(f"__p.{side}.{c}") for side in "ab" for c in cols]).alias("overlap"))
 
 
 def overlap_long(overlaps: DataFrame, community: str = "community", digits: int = 3) -> DataFrame:

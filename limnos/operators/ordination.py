@@ -121,9 +121,10 @@ def monotone_fit(sites: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.
 
 def stress_by_k(presence: DataFrame, site: str, taxon: str, ks: Sequence[int], landmarks: int = 50, rounds: int = 3,
                 method: str = "jaccard") -> DataFrame:
-    """(k, stress) for several numbers of axes."""
-    rows = [(k, ordinate(presence, site, taxon, k, landmarks, rounds, method)[1]) for k in ks]
-    return presence.sparkSession.createDataFrame(rows, "k int, stress double")
+    """(k, landmark_stress, landmarks) for several numbers of axes: stress-1 over the pairs of a site and a landmark."""
+    presence = checkpointed(presence.select(site, taxon).distinct())
+    rows = [(k, ordinate(presence, site, taxon, k, landmarks, rounds, method)[1], landmarks) for k in ks]
+    return presence.sparkSession.createDataFrame(rows, "k int, landmark_stress double, landmarks int")
 
 
 def axes(sites: DataFrame, site: str, k: int, prefix: str = "MDS") -> DataFrame:
@@ -211,12 +212,13 @@ def permuted_ranks(sites: DataFrame, site: str, perms: int, seed: int, blocks: S
     """(perm, blocks, site, rank): 0-based rank of each site in permutations first .. perms, within its block.
 
     Ranks follow a hash of (seed, perm, site), so they do not depend on the partitioning. Sites are ranked inside
-    1,024 hash ranges and the ranges are put together by their counts: no task holds a whole permutation.
+    hash ranges of about 8,192 sites and the ranges are put together by their counts: no task holds a whole permutation.
     """
     keys = ["perm", *blocks]
+    bits = max(1, (sites.count() >> 13).bit_length() + 1)
     rows = sites.select(site, *blocks).withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(perms))))
     h = F.xxhash64(F.lit(seed), F.col("perm"), F.col(site).cast("string"))
-    rows = rows.withColumns({"__h": h, "__b": F.shiftright(h, 54)})
+    rows = rows.withColumns({"__h": h, "__b": F.shiftright(h, 64 - bits)})
     counts = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
     offsets = counts.select(*keys, "__b", (F.sum("__c").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__c")).alias("__o"))
     ranked = natural_join(rows, offsets, "inner", [*keys, "__b"])
@@ -224,14 +226,18 @@ def permuted_ranks(sites: DataFrame, site: str, perms: int, seed: int, blocks: S
     return ranked.select(*keys, site, (F.col("__o") + inside - 1).alias("rank"))
 
 
-def permuted_labels(labels: DataFrame, site: str, group: str, perms: int, seed: int, blocks: Sequence[str] = ()) -> DataFrame:
-    """(perm, site, group): labels shuffled among the sites (of a block), group sizes kept; perm 0 as given."""
+def permuted_labels(labels: DataFrame, site: str, group: str, perms: int, seed: int, blocks: Sequence[str] = (),
+                    ranks: DataFrame | None = None) -> DataFrame:
+    """(perm, site, group): labels shuffled among the sites (of a block), group sizes kept; perm 0 as given.
+
+    `ranks` (perm, blocks, site, rank), perm from 1, takes the place of drawn permutations.
+    """
     blocks = list(blocks)
     sizes = labels.groupBy(*blocks, group).agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*blocks).orderBy(group) if blocks else Window.orderBy(group)  # one row per group
     stop = F.sum("__c").over(w)
     spans = sizes.select(*blocks, F.struct(stop.alias("stop"), F.col(group).alias("label")).alias("s"))
-    ranks = permuted_ranks(labels, site, perms, seed, blocks)
+    ranks = permuted_ranks(labels, site, perms, seed, blocks) if ranks is None else ranks
     if blocks:
         ranks = natural_join(ranks, spans.groupBy(*blocks).agg(F.array_sort(F.collect_list("s")).alias("__s")), "inner", blocks)
     else:
@@ -253,9 +259,9 @@ def permutation_p(values: DataFrame, statistic: str, keys: Sequence[str] = ()) -
 
 
 def permanova_coordinates(coords: DataFrame, site: str, axis: Sequence[str], group: str, perms: int = 999, seed: int = 1,
-                          blocks: Sequence[str] = ()) -> DataFrame:
+                          blocks: Sequence[str] = (), ranks: DataFrame | None = None) -> DataFrame:
     """(f, p) of a grouping in ordination space, labels permuted (within blocks): sums per permutation and group only."""
-    shuffled = permuted_labels(coords, site, group, perms, seed, blocks)
+    shuffled = permuted_labels(coords, site, group, perms, seed, blocks, ranks)
     rows = natural_join(shuffled, coords.select(site, *axis), "inner", [site])
     sums = rows.groupBy("perm", group).agg(
         F.count(F.lit(1)).alias("k"), *[F.sum(a).alias(a) for a in axis],
@@ -285,14 +291,18 @@ def _fit_sums(rows: DataFrame, keys: Sequence[str], x: str, y: str, v: str) -> D
 
 
 def envfit(coords: DataFrame, env: DataFrame, site: str, x: str, y: str, metric: str = "metric", value: str = "value",
-           perms: int = 0, seed: int = 1) -> DataFrame:
-    """(metric, r2, a1, a2[, p]): fit of each environmental variable (long form) to the first two axes."""
+           perms: int = 0, seed: int = 1, ranks: DataFrame | None = None) -> DataFrame:
+    """(metric, r2, a1, a2[, p]): fit of each environmental variable (long form) to the first two axes.
+
+    `ranks` (perm, site, rank) takes the place of drawn permutations: perm 0 numbers the sites, and in a permutation a site
+    takes the place of the site whose number is its rank.
+    """
     rows = natural_join(env, coords.select(site, x, y), "inner", [site])
     fit = _fit_sums(rows, [metric], x, y, value)
-    if not perms:
+    if not perms and ranks is None:
         return fit
-    sites = rows.select(site).distinct()
-    ranks = permuted_ranks(sites, site, perms, seed, first=0)
+    if ranks is None:
+        ranks = permuted_ranks(rows.select(site).distinct(), site, perms, seed, first=0)
     home = ranks.where("perm = 0").select("rank", F.col(site).alias("__from"))
     moved = ranks.where("perm > 0").join(home, "rank").select("perm", site, "__from")
     place = coords.select(F.col(site).alias("__from"), x, y)

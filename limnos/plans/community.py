@@ -212,11 +212,38 @@ def permanova_f(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("r2", 8).alias("r2"), F.round("f", 6).alias("f"))
 
 
+_SETS = f"""WITH {D.SPECIMENS}, {D.SITE_LABELS},
+pres AS (SELECT DISTINCT "WATER", "MONTH", "FAMILY" FROM specimens WHERE {_VALID}),
+st AS (SELECT "WATER", "MONTH", cluster, list(DISTINCT "FAMILY") AS taxa, count(*) AS n FROM pres JOIN site_labels USING ("WATER") GROUP BY 1, 2, 3),
+d2 AS (SELECT a."WATER" AS w1, b."WATER" AS w2, a."MONTH" AS m1, b."MONTH" AS m2, a.cluster AS c1, b.cluster AS c2,
+              pow(1 - 2.0 * len(list_intersect(a.taxa, b.taxa)) / (a.n + b.n), 2) AS d FROM st a, st b),
+nn AS (SELECT count(*) AS n FROM st),
+z AS (SELECT cluster, count(*) AS k FROM st GROUP BY 1),
+zm AS (SELECT cluster, "MONTH", count(*) AS k FROM st GROUP BY 1, 2),
+v AS (SELECT (SELECT sum(d) / 2 / n FROM d2, nn GROUP BY n) AS total,
+             (SELECT sum(s / 2 / k) FROM (SELECT c1, sum(d) AS s FROM d2 WHERE c1 = c2 GROUP BY 1) JOIN z ON c1 = cluster) AS within_c,
+             (SELECT sum(s / 2 / k) FROM (SELECT c1, m1, sum(d) AS s FROM d2 WHERE c1 = c2 AND m1 = m2 GROUP BY 1, 2)
+              JOIN zm ON c1 = cluster AND m1 = "MONTH") AS within_cm, (SELECT count(*) FROM z) AS kc, (SELECT count(*) FROM zm) AS kcm, n FROM nn),
+t AS (SELECT 'cluster' AS term, kc - 1 AS df, total - within_c AS ss, total, within_cm / (n - kcm) AS ms FROM v
+      UNION ALL SELECT 'cluster:MONTH', kcm - kc, within_c - within_cm, total, within_cm / (n - kcm) FROM v
+      UNION ALL SELECT 'residual', n - kcm, within_cm, total, NULL FROM v)
+SELECT term, CAST(df AS INT) AS df, round(ss, 6) AS ss, round(ss / total, 8) AS r2, round(ss / df / ms, 6) AS f FROM t"""
+
+
+def _season_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    presence = K.presence_table(D.specimens(spark, sf_dir), ["WATER", "MONTH"]).join(D.site_labels(spark, sf_dir), "WATER")
+    return S.site_sets(presence, ["WATER", "MONTH", "cluster"], "FAMILY")
+
+
+@query("permanova_nested", _SETS)
+def permanova_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.permanova_terms(_season_sets(spark, sf_dir), ["cluster", "cluster:MONTH"])
+    return out.select("term", "df", F.round("ss", 6).alias("ss"), F.round("r2", 8).alias("r2"), F.round("f", 6).alias("f"))
+
+
 @query("permanova_terms")
 def permanova_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    presence = K.presence_table(D.specimens(spark, sf_dir), ["WATER", "MONTH"]).join(D.site_labels(spark, sf_dir), "WATER")
-    sets = S.site_sets(presence, ["WATER", "MONTH", "cluster"], "FAMILY")
-    return S.permanova_terms(sets, ["cluster", "MONTH", "cluster:MONTH"])
+    return S.permanova_terms(_season_sets(spark, sf_dir), ["WATER", "cluster", "MONTH"])
 
 
 _SIMPER = _FALL + """,
@@ -284,12 +311,11 @@ cv AS (SELECT a."WATER", a.n, sum((a.n_sites * coalesce(fst, 0) - a.f * b.f) / s
        WHERE a.f < a.n_sites AND b.f < b.n_sites GROUP BY 1, 2)
 SELECT "WATER", n AS sites, round(sum(1 - q), 6) AS richness,
        round(sqrt(greatest(0, sum(q * (1 - q)) + 2 * coalesce(any_value(cv), 0))), 4) AS sd
-FROM q LEFT JOIN cv USING ("WATER", n) WHERE n < n_sites GROUP BY 1, 2""")
+FROM q LEFT JOIN cv USING ("WATER", n) GROUP BY 1, 2""")
 def accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     presence = K.presence_table(D.specimens(spark, sf_dir), ["WATER", "YSAMP"])
     curves = K.accumulation(presence, ["WATER"], "YSAMP", "FAMILY")
-    last = curves.groupBy("WATER").agg(F.max("sites").alias("all"))
-    return curves.join(last, "WATER").where("sites < all").select(
+    return curves.select(
         "WATER", "sites", F.round("richness", 6).alias("richness"), F.round("sd", 4).alias("sd"))
 
 

@@ -120,12 +120,12 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("niche_draws")
 def niche_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.niche_draws(_stats(spark, sf_dir), ["community", "group_name"], 200, block=200)
+    return N.niche_draws(_stats(spark, sf_dir), ["community", "group_name"])
 
 
 @query("niche_area")
 def niche_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = N.niche_area(N.niche_draws(_stats(spark, sf_dir), ["community", "group_name"], 200, block=200))
+    areas = N.ellipse_area(N.niche_draws(_stats(spark, sf_dir), ["community", "group_name"]))
     return N.interval_summary(areas, ["community", "group_name"], "area")
 
 
@@ -154,10 +154,10 @@ def _cluster_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("layman_draws")
 def layman_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draws = checkpointed(N.niche_draws(_stats(spark, sf_dir), ["community", "group_name"], 100, block=100))
+    draws = checkpointed(N.niche_draws(_stats(spark, sf_dir), ["community", "group_name"]))
     clusters = _cluster_of(spark, sf_dir)
-    areas = N.area_by_cluster(natural_join(N.niche_area(draws), clusters), "community", "cluster")
-    rows = N.layman_by_cluster(N.layman_draws(draws), clusters, areas, "community", "cluster")
+    areas = N.area_by_cluster(natural_join(N.ellipse_area(draws), clusters), "community", "cluster")
+    rows = N.layman_by_cluster(N.layman_draws(draws, hull=False), clusters, areas, "community", "cluster")
     return N.interval_summary(rows, ["cluster", "metric"], "value")
 
 
@@ -170,10 +170,48 @@ def ellipse_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("overlap_by_cluster")
 def overlap_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draws = N.niche_draws(_stats(spark, sf_dir), ["community", "group_name"], 20, block=20)
+    draws = N.niche_draws(_stats(spark, sf_dir), ["community", "group_name"], 50, block=50)
     return N.overlap_by_cluster(N.overlap_long(N.ellipse_overlap(draws)), _cluster_of(spark, sf_dir))
 
 
+# --- given draws: the ellipse of each day of the month stands for a draw ------------------------------
+
+def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(community, group_name, draw, mu_x, mu_y, s_xx, s_xy, s_yy): ellipses of the mixtures of each remainder of iso1."""
+    frame = niche_frame(spark, sf_dir).withColumn("draw", F.floor(F.col("iso1")).cast("int") % 3)
+    stats = N.ellipse_stats(frame, ["community", "group_name", "draw"])
+    return stats.select("community", "group_name", "draw", F.col("mean_x").alias("mu_x"), F.col("mean_y").alias("mu_y"),
+                        F.col("var_x").alias("s_xx"), F.col("cov_xy").alias("s_xy"), F.col("var_y").alias("s_yy"))
+
+
+_GIVEN = _NICHE + """,
+gd AS (SELECT community, group_name, CAST(floor(iso1) AS INT) % 3 AS draw, avg(iso1) AS mx, avg(iso2) AS my, var_samp(iso1) AS vx,
+              covar_samp(iso1, iso2) AS xy, var_samp(iso2) AS vy FROM niche GROUP BY 1, 2, 3),
+ga AS (SELECT *, pi() * sqrt(greatest(0, vx * vy - xy * xy)) AS area FROM gd)"""
+
+
+@query("niche_area_given", _GIVEN + """
+SELECT community, group_name, draw, round(area, 5) AS area, round(sum(area) OVER w, 5) AS total_area FROM ga
+WHERE vx * vy - xy * xy > 1e-9 * vx * vy WINDOW w AS (PARTITION BY community, draw)""")
+def niche_area_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = F.col("s_xx") * F.col("s_yy") - F.col("s_xy") * F.col("s_xy") > 1e-9 * F.col("s_xx") * F.col("s_yy")
+    out = N.niche_area(_given(spark, sf_dir).where(flat))
+    return rounded(out.select("community", "group_name", "draw", "area", "total_area"), 5, "area", "total_area")
+
+
+@query("layman_draws_given", _GIVEN + """,
+m AS (SELECT community, draw, max(mx) - min(mx) AS dx, max(my) - min(my) AS dy, avg(mx) AS cx, avg(my) AS cy FROM gd GROUP BY 1, 2),
+c AS (SELECT community, draw, avg(sqrt(pow(mx - cx, 2) + pow(my - cy, 2))) AS cd FROM gd JOIN m USING (community, draw) GROUP BY 1, 2),
+nn AS (SELECT community, draw, a.group_name, min(sqrt(pow(a.mx - b.mx, 2) + pow(a.my - b.my, 2))) AS d
+       FROM gd a JOIN gd b USING (community, draw) WHERE a.group_name <> b.group_name GROUP BY 1, 2, 3),
+ns AS (SELECT community, draw, avg(d) AS nnd, stddev_samp(d) AS sdnnd FROM nn GROUP BY 1, 2)
+SELECT community, draw, round(dx, 9) AS "dX_range", round(dy, 9) AS "dY_range", round(cd, 9) AS "CD", round(nnd, 9) AS "NND",
+       round(sdnnd, 9) AS "SDNND" FROM m LEFT JOIN c USING (community, draw) LEFT JOIN ns USING (community, draw)""")
+def layman_draws_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["dX_range", "dY_range", "CD", "NND", "SDNND"]
+    return rounded(N.layman_draws(_given(spark, sf_dir), hull=False), 9, *names)
+
+
 # --- fixed draw table: day of the month stands for the draw -----------------------------------------
 
 _DRAWS = f"""draws AS (
@@ -251,14 +289,18 @@ def contrasts_fixed_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIR_ROWS = f"""WITH {_DRAWS},
-op AS (SELECT "WATER" AS water, season, community, cluster, draw, CASE WHEN group_name < 'medium' THEN group_name || '_medium' ELSE 'medium_' || group_name END AS pair,
-              round_even(overlap, 3) AS overlap FROM named WHERE group_name <> 'medium')"""
+op AS (SELECT a."WATER" AS water, a.season, a.community, a.cluster, a.draw, a.group_name || '_' || b.group_name AS pair,
+              round_even(least(a.overlap, b.overlap), 3) AS overlap
+       FROM named a JOIN named b ON a.community = b.community AND a.draw = b.draw AND a.group_name < b.group_name)"""
 
 
 def _pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixed_draws(spark, sf_dir).where("group_name <> 'medium'")
-    members = rows.select("community", "draw", F.col("group_name").alias("s1"), F.lit("medium").alias("s2"), "overlap")
-    return N.overlap_long(members)
+    """All unordered pairs of groups of a community and draw, formed inside one list."""
+    value = F.array_sort(F.collect_list(F.struct("group_name", "overlap")))
+    listed = fixed_draws(spark, sf_dir).groupBy("community", "draw").agg(value.alias("g"))
+    later = F.transform("g", lambda a, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda b: F.struct(
+        b["group_name"].alias("s1"), a["group_name"].alias("s2"), F.least(a["overlap"], b["overlap"]).alias("overlap"))))
+    return N.overlap_long(listed.select("community", "draw", F.explode(F.flatten(later)).alias("p")).select("community", "draw", "p.*"))
 
 
 @query("pair_canonical", _PAIR_ROWS + " SELECT community, draw, pair, overlap, water, season FROM op")
@@ -268,9 +310,9 @@ def pair_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("overlap_cluster_interval", _PAIR_ROWS + """,
 a AS (SELECT community, cluster, draw, avg(overlap) AS o FROM op GROUP BY 1, 2, 3), b AS (SELECT cluster, draw, avg(o) AS o FROM a GROUP BY 1, 2)
-SELECT cluster, round(avg(o), 6) AS mean, round(quantile_cont(o, 0.025), 6) AS low, round(quantile_cont(o, 0.975), 6) AS high FROM b GROUP BY 1""")
+SELECT cluster, round(avg(o), 9) AS mean, round(quantile_cont(o, 0.025), 9) AS low, round(quantile_cont(o, 0.975), 9) AS high FROM b GROUP BY 1""")
 def overlap_cluster_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(N.overlap_by_cluster(_pair_rows(spark, sf_dir), _cluster_of(spark, sf_dir)), 6, "mean", "low", "high")
+    return rounded(N.overlap_by_cluster(_pair_rows(spark, sf_dir), _cluster_of(spark, sf_dir)), 9, "mean", "low", "high")
 
 
 @query("overlap_season_shift", _PAIR_ROWS + """,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from limnos.operators import ordination as O
@@ -21,7 +21,7 @@ def ordination_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stress_by_k")
 def stress_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.stress_by_k(fall_presence(spark, sf_dir), "WATER", "FAMILY", [2, 3, 4], 50, 1)
+    return O.stress_by_k(fall_presence(spark, sf_dir), "WATER", "FAMILY", [2, 3, 4], 50, 3)
 
 
 @query("taxon_scores", f"""WITH {D.SPECIMENS},
@@ -41,7 +41,7 @@ def cluster_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_elbow")
 def kmeans_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.elbow(D.coordinates(spark, sf_dir), ["x", "y"], range(1, 7), 3)
+    return O.elbow(D.coordinates(spark, sf_dir), ["x", "y"])
 
 
 @query("hull_vertices", f"""WITH {D.COORDINATES},
@@ -67,21 +67,82 @@ def envfit_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("envfit_permuted")
 def envfit_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.envfit(D.coordinates(spark, sf_dir), D.environment(spark, sf_dir), "site", "x", "y", perms=99)
+    return O.envfit(D.coordinates(spark, sf_dir), D.environment(spark, sf_dir), "site", "x", "y", perms=999)
 
 
 @query("envfit_table")
 def envfit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = O.envfit(D.coordinates(spark, sf_dir), D.environment(spark, sf_dir), "site", "x", "y", perms=49)
+    fit = O.envfit(D.coordinates(spark, sf_dir), D.environment(spark, sf_dir), "site", "x", "y", perms=999)
     return O.envfit_table(fit, labels={"v2": "Second"}, skip=["v9"])
 
 
 @query("permanova_permuted")
 def permanova_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.permanova_coordinates(D.coordinates(spark, sf_dir), "site", ["x", "y"], "cluster", 199)
+    return O.permanova_coordinates(D.coordinates(spark, sf_dir), "site", ["x", "y"], "cluster", 999)
 
 
 @query("permanova_blocked")
 def permanova_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     coords = D.coordinates(spark, sf_dir).withColumn("block", F.col("site") % 10)
-    return O.permanova_coordinates(coords, "site", ["x", "y"], "cluster", 99, blocks=["block"])
+    return O.permanova_coordinates(coords, "site", ["x", "y"], "cluster", 999, blocks=["block"])
+
+
+@query("envfit_arrows")
+def envfit_arrows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = O.envfit(D.coordinates(spark, sf_dir), D.environment(spark, sf_dir), "site", "x", "y", perms=999)
+    return O.envfit_arrows(fit)
+
+
+# --- given permutations: the labels move round by 7 sites for each permutation ------------------------
+
+def _numbered(coords: DataFrame, blocks: tuple[str, ...] = ()) -> DataFrame:
+    """Sites with their number (in a block) and the number of sites; one window over the given small table of sites."""
+    w = Window.partitionBy(*blocks) if blocks else Window.partitionBy(F.lit(0))
+    return coords.withColumns({"at": F.row_number().over(w.orderBy("site")) - 1, "n": F.count(F.lit(1)).over(w)})
+
+
+def _moved(coords: DataFrame, first: int, blocks: tuple[str, ...] = ()) -> DataFrame:
+    perms = _numbered(coords, blocks).withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(40))))
+    return perms.select("perm", *blocks, "site", ((F.col("at") + 7 * F.col("perm")) % F.col("n")).alias("rank"))
+
+
+@query("envfit_given", f"""WITH {D.COORDINATES}, {D.ENVIRONMENT},
+num AS (SELECT *, row_number() OVER (ORDER BY site) - 1 AS at, count(*) OVER () AS n FROM coords),
+mv AS (SELECT p.perm, a.site, b.x, b.y FROM num a, (SELECT unnest(range(0, 41)) AS perm) p JOIN num b ON b.at = (a.at + 7 * p.perm) % a.n),
+s AS (SELECT perm, metric, covar_samp(x, value) AS xv, covar_samp(y, value) AS yv, covar_samp(x, y) AS xy, var_samp(x) AS xx,
+             var_samp(y) AS yy, var_samp(value) AS vv FROM environment JOIN mv USING (site) GROUP BY 1, 2),
+r AS (SELECT perm, metric, (((xv * yy - yv * xy) * xv + (yv * xx - xv * xy) * yv) / (xx * yy - xy * xy)) / vv AS r2 FROM s)
+SELECT metric, round(max(r2) FILTER (WHERE perm = 0), 8) AS r2,
+       (1 + count(*) FILTER (WHERE perm > 0 AND r2 >= o - 1e-12)) / 41 AS p
+FROM r JOIN (SELECT metric, r2 AS o FROM r WHERE perm = 0) USING (metric) GROUP BY 1""")
+def envfit_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coords = D.coordinates(spark, sf_dir)
+    fit = O.envfit(coords, D.environment(spark, sf_dir), "site", "x", "y", ranks=_moved(coords, 0))
+    return fit.select("metric", F.round("r2", 8).alias("r2"), "p")
+
+
+def _given_sql(blocks: str) -> str:
+    return f"""WITH {D.COORDINATES},
+num AS (SELECT *, site % 10 AS block, row_number() OVER (PARTITION BY {blocks} ORDER BY site) - 1 AS at, count(*) OVER (PARTITION BY {blocks}) AS n FROM coords),
+lab AS (SELECT *, row_number() OVER (PARTITION BY {blocks} ORDER BY cluster) - 1 AS place FROM num),
+mv AS (SELECT 0 AS perm, cluster, x, y FROM num
+       UNION ALL SELECT p.perm, b.cluster, a.x, a.y FROM num a, (SELECT unnest(range(1, 41)) AS perm) p
+       JOIN lab b ON {blocks.replace('block', 'a.block = b.block') if blocks == 'block' else 'true'} AND b.place = (a.at + 7 * p.perm) % a.n),
+g AS (SELECT perm, cluster, count(*) AS k, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS sq FROM mv GROUP BY 1, 2),
+t AS (SELECT perm, sum(sq) AS sq, sum((sx * sx + sy * sy) / k) AS b, sum(k) AS n, count(*) AS g, sum(sx) AS sx, sum(sy) AS sy FROM g GROUP BY 1),
+f AS (SELECT perm, ((b - (sx * sx + sy * sy) / n) / (g - 1)) / ((sq - b) / (n - g)) AS f FROM t)
+SELECT round(o, 8) AS f, (1 + count(*) FILTER (WHERE perm > 0 AND f >= o - 1e-12)) / 41 AS p FROM f, (SELECT f AS o FROM f WHERE perm = 0) GROUP BY o"""
+
+
+@query("permanova_given", _given_sql("1"))
+def permanova_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coords = D.coordinates(spark, sf_dir)
+    out = O.permanova_coordinates(coords, "site", ["x", "y"], "cluster", ranks=_moved(coords, 1))
+    return out.select(F.round("f", 8).alias("f"), "p")
+
+
+@query("permanova_blocked_given", _given_sql("block"))
+def permanova_blocked_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coords = D.coordinates(spark, sf_dir).withColumn("block", F.col("site") % 10)
+    out = O.permanova_coordinates(coords, "site", ["x", "y"], "cluster", blocks=["block"], ranks=_moved(coords, 1, ("block",)))
+    return out.select(F.round("f", 8).alias("f"), "p")

@@ -11,12 +11,13 @@ from limnos.functions.columns import fold_nan
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header and a given schema; NA and empty text are missing, NaN too.
+    """CSV with a header and a given schema; NA and empty text are missing, NaN too; blanks in names become dots.
 
     Numeric columns that hold other text are best declared string and read with `to_number`.
     """
-    return fold_nan(spark.read.schema(schema).option("header", True).option("nullValue", "NA")
+    rows = fold_nan(spark.read.schema(schema).option("header", True).option("nullValue", "NA")
                     .option("emptyValue", None).option("enforceSchema", False).csv(path))
+    return rows.toDF(*[name.replace(" ", ".") for name in rows.columns])
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -35,35 +36,12 @@ def write_stage(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.parquet(path)
 
 
-class VersionedTable:
-    """A table that a job may read and rewrite in one go.
+def rewrite(df: DataFrame, root: str) -> DataFrame:
+    """Write a frame, which may come from an older folder under `root`, to a new folder there and read it back.
 
-    Each write goes to a new folder under `root`; a one-row pointer table then names it. Readers that
-    started before keep the old folder, and a failed write leaves the table as it was.
+    What was read before stays as it is; the caller goes on from the returned frame.
     """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _versions(self) -> DataFrame:
-        return self.spark.read.schema("seq long, folder string").json(f"{self.root}/pointer")
-
-    def read(self) -> DataFrame:
-        latest = self._versions().orderBy("seq", ascending=False).first()
-        return self.spark.read.parquet(f"{self.root}/{latest.folder}")
-
-    def write(self, df: DataFrame) -> DataFrame:
-        folder = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{folder}")
-        try:
-            seq = self._versions().orderBy("seq", ascending=False).first().seq + 1
-        except Exception as missing:  # first write: no pointer yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            seq = 0
-        self.spark.createDataFrame([(seq, folder)], "seq long, folder string").coalesce(1) \
-            .write.mode("append").json(f"{self.root}/pointer")
-        return self.spark.read.parquet(f"{self.root}/{folder}")
+    return write_stage(df, f"{root.rstrip('/')}/v-{uuid.uuid4().hex}")
 
 
 def literal_rows(df: DataFrame, rows: list[tuple]) -> DataFrame:

@@ -14,12 +14,15 @@ def test_csv_round_trip(spark, tmp_path):
     assert {tuple(r) for r in S.read_csv(spark, str(tmp_path / "out"), schema).collect()} == {("020329", 1.5), ("040768", None), (None, None)}
 
 
-def test_versioned_table_can_rewrite_what_it_reads(spark, tmp_path):
-    table = S.VersionedTable(spark, str(tmp_path / "t"))
-    table.write(spark.range(3))
-    old = table.read()
-    table.write(old.withColumn("id", F.col("id") + 10))
-    assert {r.id for r in table.read().collect()} == {10, 11, 12} and {r.id for r in old.collect()} == {0, 1, 2}
+def test_rewrite_of_what_is_read(spark, tmp_path):
+    old = S.rewrite(spark.range(3).toDF("id"), str(tmp_path / "t"))
+    new = S.rewrite(old.withColumn("id", F.col("id") + 10), str(tmp_path / "t"))
+    assert {r.id for r in new.collect()} == {10, 11, 12} and {r.id for r in old.collect()} == {0, 1, 2}
+
+
+def test_blanks_in_names_become_dots(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("Visual Water Color,x\nbrown,1\n")
+    assert S.read_csv(spark, str(tmp_path / "in.csv"), T.StructType().add("Visual Water Color", "string").add("x", "int")).columns == ["Visual.Water.Color", "x"]
 
 
 def test_stage_and_saved_frame(spark, tmp_path):
