@@ -163,8 +163,8 @@ class Fit:
 
 
 def random_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str, cell: str | None = None,
-                     keys: Sequence[str] = (), method: str = "reml") -> list[Fit]:
-    """Random-intercept models, one per key, by profiling the ratio of group to residual variance.
+                     keys: Sequence[str] = (), method: str = "reml", ratio: float | None = None) -> list[Fit]:
+    """Random-intercept models, one per key, by profiling the ratio of group to residual variance (or at a given ratio).
 
     With `cell`, every cell (family, say) has its own intercept and slopes: the full interaction, in the form whose
     coefficients are the cell means and slopes themselves. Raw rows are read once.
@@ -172,7 +172,7 @@ def random_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str, cell:
     parts = [F.lit(1.0), *[F.col(x).cast("double") for x in xs], F.col(y).cast("double")]
     width = len(parts)
     rows = df.dropna(subset=[y, group, *xs, *([cell] if cell else [])])
-    key = F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in keys])) if keys else F.lit("{}")
+    key = F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in keys]), {"ignoreNullFields": "false"}) if keys else F.lit("{}")
     level = F.col(cell).cast("string") if cell else F.lit("")
     upper = [(i, j) for i in range(width) for j in range(i, width)]
     sums = rows.groupBy(key.alias("k"), F.col(group).alias("g"), level.alias("cell")).agg(
@@ -187,14 +187,15 @@ def random_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str, cell:
 
     models = {k: _Profile(m, method, width - 1) for k, m in full.items()}
     grid = {k: [0.0, *np.geomspace(1e-4, 1e3, 15)] for k in models}
-    for _ in range(3):
+    for _ in range(3 if ratio is None else 0):
         for k, found in _corrections(groups, grid, at, width).items():
             models[k].add(grid[k], found)
         grid = {k: m.closer() for k, m in models.items()}
-    last = {k: [m.top(), m.top() * 1.02, m.top() * 0.98] for k, m in models.items()}
+    best = {k: m.top() if ratio is None else float(ratio) for k, m in models.items()}
+    last = {k: [r, r * 1.02, r * 0.98] for k, r in best.items()}
     found = _corrections(groups, last, at, width)
     terms = [(c, x) for c in cells for x in ["(Intercept)", *xs]]
-    return [models[k].finish(json.loads(k), terms, found[k], counts[k]) for k in sorted(models)]
+    return [models[k].finish(json.loads(k), terms, found[k], counts[k], best[k]) for k in sorted(models)]
 
 
 def _stack(total, upper, at, width) -> dict[str, np.ndarray]:
@@ -297,8 +298,8 @@ class _Profile:
         a, b, _ = np.polyfit(known[i - 1:i + 2] - known[i], np.array(self.values)[first[i - 1:i + 2]], 2)
         return float(np.clip(known[i] - b / (2 * a), known[i - 1], known[i + 1])) if a > 0 else self.best
 
-    def finish(self, key: dict, terms, found: np.ndarray, groups: int) -> Fit:
-        n, p, r = self.rows, self.p, self.top()
+    def finish(self, key: dict, terms, found: np.ndarray, groups: int, r: float) -> Fit:
+        n, p = self.rows, self.p
         inverse, beta, rss, _, _ = self._parts(found[0])
         s2 = rss / (n if self.method == "ml" else n - p)
         cov, gradient, spread = s2 * inverse, np.zeros((2, p, p)), np.zeros((2, 2))
@@ -332,10 +333,10 @@ def variances(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
 
 
 def model_sweep(df: DataFrame, keys: Sequence[str], predictors: Sequence[str], y: str, group: str, alpha: float | None = None,
-                cell: str | None = None) -> DataFrame:
+                cell: str | None = None, ratio: float | None = None) -> DataFrame:
     """Random-intercept slope of y on each predictor (and key), all in one set of jobs; optionally p below alpha."""
     keep = [*keys, y, group, *([cell] if cell else [])]
-    fits = random_intercept(long_predictors(df, keep, predictors), y, ["x"], group, cell, ["predictor", *keys])
+    fits = random_intercept(long_predictors(df, keep, predictors), y, ["x"], group, cell, ["predictor", *keys], ratio=ratio)
     out = coefficients(df.sparkSession, fits).where("term = 'x'")
     out = out.withColumn("predictor", F.get_json_object("key", "$.predictor"))
     for k in keys:

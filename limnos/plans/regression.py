@@ -215,3 +215,104 @@ def tile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     for fit in fits[1:]:
         slopes = slopes.unionByName(R.family_slopes(spark, fit, "x", fit.key["predictor"]))
     return R.tile_table(slopes, D.taxon_frame(spark, sf_dir))
+
+
+# --- mixed models at a given ratio of the variances: closed sums --------------------------------------
+
+_RATIO = 0.5
+
+
+def _mixed(keys: str, x: str, y: str = "y") -> str:
+    """Generalised least squares of y on x with a random intercept of brand at the given ratio, per key."""
+    by = f"{keys}, " if keys else ""
+    on = f"GROUP BY {keys}" if keys else ""
+    return f"""gs AS (SELECT {by}brand, count(*) AS n, sum({x}) AS sx, sum({y}) AS sy, sum({x} * {x}) AS xx, sum({x} * {y}) AS xy, sum({y} * {y}) AS yy,
+                   {_RATIO} / (1 + count(*) * {_RATIO}) AS w FROM rows GROUP BY {by}brand),
+ab AS (SELECT {by}sum(n) AS n, count(*) AS groups, sum(n) - sum(w * n * n) AS a11, sum(sx) - sum(w * n * sx) AS a12, sum(xx) - sum(w * sx * sx) AS a22,
+              sum(sy) - sum(w * n * sy) AS b1, sum(xy) - sum(w * sx * sy) AS b2, sum(yy) - sum(w * sy * sy) AS c, sum(ln(1 + n * {_RATIO})) AS logs FROM gs {on}),
+bt AS (SELECT *, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS t1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS t2,
+              a11 * a22 - a12 * a12 AS det FROM ab),
+ft AS (SELECT *, c - b1 * t1 - b2 * t2 AS rss FROM bt)"""
+
+
+@query("random_intercept_given", f"""WITH {D.SALES}, rows AS (FROM sales), {_mixed('', 'quantity')}
+SELECT '(Intercept)' AS term, round(t1, 6) AS estimate, round(sqrt(rss / (n - 2) * a22 / det), 6) AS se FROM ft
+UNION ALL SELECT 'quantity', round(t2, 6), round(sqrt(rss / (n - 2) * a11 / det), 6) FROM ft""")
+def random_intercept_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = R.random_intercept(D.sales(spark, sf_dir), "y", ["quantity"], "brand", ratio=_RATIO)
+    return R.coefficients(spark, fits).select("term", F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"))
+
+
+@query("model_sweep_given", f"""WITH {D.SALES},
+rows AS (SELECT flag, 'quantity' AS predictor, quantity AS x, y, brand FROM sales UNION ALL SELECT flag, 'discount', discount, y, brand FROM sales
+         UNION ALL SELECT flag, 'tax', tax, y, brand FROM sales), {_mixed('flag, predictor', 'x')}
+SELECT flag, predictor, round(t2, 5) AS estimate, round(sqrt(rss / (n - 2) * a11 / det), 5) AS se FROM ft""")
+def model_sweep_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.model_sweep(D.sales(spark, sf_dir), ["flag"], ["quantity", "discount", "tax"], "y", "brand", ratio=_RATIO)
+    return out.select("flag", "predictor", F.round("estimate", 5).alias("estimate"), F.round("se", 5).alias("se"))
+
+
+@query("aic_compare_given", f"""WITH {D.SALES}, rows AS (FROM sales), {_mixed('', 'quantity')}
+SELECT 'quantity' AS model, 4 AS parameters, round(n * (ln(2 * pi() * rss / n) + 1) + logs, 4) AS criterion,
+       round(n * (ln(2 * pi() * rss / n) + 1) + logs + 8, 4) AS aic FROM ft""")
+def aic_compare_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = R.random_intercept(D.sales(spark, sf_dir), "y", ["quantity"], "brand", method="ml", ratio=_RATIO)[0]
+    return R.aic_compare(spark, {"quantity": fit}).select("model", "parameters", F.round("criterion", 4).alias("criterion"), F.round("aic", 4).alias("aic"))
+
+
+_CELLS = f"""WITH {D.SALES},
+m AS (SELECT flag, count(*) AS n, avg(quantity) AS mx, avg(y) AS my, var_pop(quantity) AS a, covar_pop(quantity, y) AS b, var_pop(y) AS c FROM sales GROUP BY 1),
+s AS (SELECT sum(n * (c - b * b / a)) / (sum(n) - 2 * count(*)) AS s2, sum(n) - 2 * count(*) AS df FROM m)"""
+
+
+def _cells(spark: SparkSession, sf_dir: str):
+    """Cell means and slopes without a group variance: one least-squares line per flag, one residual variance."""
+    return R.random_intercept(D.sales(spark, sf_dir), "y", ["quantity"], "brand", "flag", ratio=0.0)[0]
+
+
+@query("family_slopes_given", _CELLS + """
+SELECT flag AS family, round(b / a, 6) AS trend, round(sqrt(s2 / n / a), 6) AS "SE", CAST(df AS DOUBLE) AS df FROM m, s""")
+def family_slopes_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.family_slopes(spark, _cells(spark, sf_dir), "quantity")
+    return out.select("family", F.round("trend", 6).alias("trend"), F.round("SE", 6).alias("SE"), "df")
+
+
+@query("family_means_given", _CELLS + """
+SELECT flag AS cell, round(my - b / a * mx, 6) AS emmean, round(sqrt(s2 * (1 / n + mx * mx / n / a)), 6) AS "SE", CAST(df AS DOUBLE) AS df FROM m, s""")
+def family_means_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.marginal_means(spark, _cells(spark, sf_dir))
+    return out.select("cell", F.round("emmean", 6).alias("emmean"), F.round("SE", 6).alias("SE"), "df")
+
+
+@query("family_contrasts_given", _CELLS + """
+SELECT u.flag AS first, v.flag AS second, round(u.my - u.b / u.a * u.mx - v.my + v.b / v.a * v.mx, 6) AS estimate,
+       round(sqrt(s2 * (1 / u.n + u.mx * u.mx / u.n / u.a + 1 / v.n + v.mx * v.mx / v.n / v.a)), 6) AS "SE", CAST(df AS DOUBLE) AS df
+FROM m u JOIN m v ON u.flag < v.flag, s""")
+def family_contrasts_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.pairwise_contrasts(spark, _cells(spark, sf_dir))
+    return out.select("first", "second", F.round("estimate", 6).alias("estimate"), F.round("SE", 6).alias("SE"), "df")
+
+
+@query("family_contrasts")
+def family_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = R.random_intercept(_trophic_chemistry(spark, sf_dir), "trophic_position_weighted", ["DOC_update"], "WATER", "FAMILY")[0]
+    return R.pairwise_contrasts(spark, fit)
+
+
+@query("cooks_mixed")
+def cooks_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.sales(spark, sf_dir)
+    fit = R.random_intercept(rows, "y", ["quantity"], "brand")[0]
+    return R.cooks_distance(rows, "y", ["quantity"], fit, "brand")
+
+
+@query("presence_logit_two_valued", """WITH r AS (SELECT CAST(quality AS DOUBLE) AS y, CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END AS x FROM labels JOIN documents USING (doc_id)),
+k AS (SELECT count(*) FILTER (WHERE x = 1 AND y = 1) AS a, count(*) FILTER (WHERE x = 1 AND y = 0) AS b,
+             count(*) FILTER (WHERE x = 0 AND y = 1) AS c, count(*) FILTER (WHERE x = 0 AND y = 0) AS d FROM r)
+SELECT 'long' AS term, round(ln(a * d / (b * c)), 5) AS estimate, round(sqrt(1 / a + 1 / b + 1 / c + 1 / d), 5) AS se FROM k
+UNION ALL SELECT '(Intercept)', round(ln(c / d), 5), round(sqrt(1 / c + 1 / d), 5) FROM k""")
+def presence_logit_two_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = D.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"))
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 2000).cast("double").alias("long"))
+    out = R.presence_logit(labels.join(docs, "doc_id"), "quality", ["long"])
+    return out.select("term", F.round("estimate", 5).alias("estimate"), F.round("se", 5).alias("se"))
