@@ -321,7 +321,7 @@ def simper_select(scores: DataFrame, taxon: str, n: int = 15, by: str = "average
     by='average_desc' takes the largest contributions; by='cumulative_desc' the largest running shares.
     """
     order = {"average_desc": [F.round("average", 12).desc(), F.col(taxon)],
-             "cumulative_desc": [F.col("cusum").desc(), F.col(taxon)]}[by]
+             "cumulative_desc": [F.round("cusum", 9).desc(), F.col(taxon)]}[by]
     first = top_n(scores, ["cluster1", "cluster2"], order, n).select(taxon)
     closing = scores.where(F.abs(F.col("cusum") - 1) < 1e-12).select(taxon)
     return first.unionByName(closing).distinct()

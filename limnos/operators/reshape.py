@@ -125,7 +125,11 @@ def ordered_counts(df: DataFrame, keys: Sequence[str], value: str, buckets: int
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = 64) -> DataFrame:
     """Exact quantiles per group with linear interpolation, for groups of any size."""
-    ranked = ordered_counts(df, keys, value, buckets)
+    return quantiles_of(ordered_counts(df, keys, value, buckets), keys, value, probs)
+
+
+def quantiles_of(ranked: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Quantiles from `ordered_counts`."""
     at = {name: (F.col("n") - 1) * F.lit(p) for name, p in probs.items()}
 
     def pick(index: Column) -> Column:

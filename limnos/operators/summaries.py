@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 
 from limnos.functions import columns as C
 from limnos.operators.regress import ols_slopes, prediction_band
-from limnos.operators.reshape import natural_join, quantiles, whole_frame
+from limnos.operators.reshape import natural_join, ordered_counts, quantiles, quantiles_of, whole_frame
 
 
 def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers (last values within 1.5 IQR of the box) and number of outliers, per key."""
-    box = quantiles(df, keys, value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    ranked = ordered_counts(df, keys, value)  # distinct values with their counts: the raw rows are read once
+    box = quantiles_of(ranked, keys, value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
     iqr = F.col("q75") - F.col("q25")
     box = box.withColumns({"__lo": F.col("q25") - 1.5 * iqr, "__hi": F.col("q75") + 1.5 * iqr})
     inside = F.col(value).between(F.col("__lo"), F.col("__hi"))
-    rows = natural_join(df.where(F.col(value).isNotNull()).select(*keys, value), box, "inner", keys)
-    ends = rows.groupBy(*keys, "q25", "median", "q75").agg(
+    times = F.col("stop") - F.col("start")
+    ends = natural_join(ranked.drop("n"), box, "inner", keys).groupBy(*keys, "q25", "median", "q75").agg(
         F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"),
-        F.count(F.when(~inside, 1)).alias("outliers"), F.count(F.lit(1)).alias("n"))
+        F.sum(F.when(~inside, times).otherwise(0)).alias("outliers"), F.sum(times).alias("n"))
     return ends.select(*keys, "low", "q25", "median", "q75", "high", "outliers", "n")
 
 
@@ -44,9 +45,9 @@ def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
                                      (F.min("lo") + (F.col("bin") + 1) * F.min("w")).alias("hi"), F.sum("c").alias("count"))
 
 
-def linear_trend(df: DataFrame, keys: Sequence[str], x: str, y: str, n: int = 80) -> DataFrame:
-    """Least-squares line per key with its 95 % band on an even grid."""
-    return prediction_band(ols_slopes(df, keys, x, y), keys, n, x, z=None)
+def linear_trend(df: DataFrame, keys: Sequence[str], x: str, y: str, n: int = 80, z: float | None = None) -> DataFrame:
+    """Least-squares line per key with its 95 % band on an even grid; z in place of the t quantile, if given."""
+    return prediction_band(ols_slopes(df, keys, x, y), keys, n, x, z=z)
 
 
 def data_ellipse(stats: DataFrame, keys: Sequence[str], level: float = 0.4, segments: int = 51) -> DataFrame:

@@ -279,6 +279,16 @@ def simper_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.simper_select(S.simper(presence, "WATER", "FAMILY", "cluster"), "FAMILY")
 
 
+@query("simper_select_cumulative", _SIMPER + """,
+r AS (SELECT *, sum(average) OVER (PARTITION BY cluster1, cluster2 ORDER BY round(average, 12) DESC, "FAMILY" ROWS UNBOUNDED PRECEDING)
+         / sum(average) OVER (PARTITION BY cluster1, cluster2) AS cusum FROM av),
+o AS (SELECT *, row_number() OVER (PARTITION BY cluster1, cluster2 ORDER BY round(cusum, 9) DESC, "FAMILY") AS i FROM r)
+SELECT DISTINCT "FAMILY" FROM o WHERE i <= 15 OR abs(cusum - 1) < 1e-12""")
+def simper_select_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    presence = K.prune_taxa(labelled_presence(spark, sf_dir), ["WATER"], "FAMILY")
+    return S.simper_select(S.simper(presence, "WATER", "FAMILY", "cluster"), "FAMILY", by="cumulative_desc")
+
+
 @query("cluster_frequency", _FALL + """,
 p AS (SELECT * FROM pres JOIN site_labels USING ("WATER")),
 n AS (SELECT cluster, count(DISTINCT "WATER") AS n FROM p GROUP BY 1),

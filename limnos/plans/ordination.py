@@ -146,3 +146,9 @@ def permanova_blocked_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     coords = D.coordinates(spark, sf_dir).withColumn("block", F.col("site") % 10)
     out = O.permanova_coordinates(coords, "site", ["x", "y"], "cluster", blocks=["block"], ranks=_moved(coords, 1, ("block",)))
     return out.select(F.round("f", 8).alias("f"), "p")
+
+
+@query("elbow_one", f"""WITH {D.COORDINATES}
+SELECT CAST(1 AS INT) AS k, round(sum((x - mx) * (x - mx) + (y - my) * (y - my)), 6) AS wss FROM coords, (SELECT avg(x) AS mx, avg(y) AS my FROM coords)""")
+def elbow_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.elbow(D.coordinates(spark, sf_dir), ["x", "y"], [1]).select("k", F.round("wss", 6).alias("wss"))

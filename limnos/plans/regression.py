@@ -316,3 +316,19 @@ def presence_logit_two_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = D.table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 2000).cast("double").alias("long"))
     out = R.presence_logit(labels.join(docs, "doc_id"), "quality", ["long"])
     return out.select("term", F.round("estimate", 5).alias("estimate"), F.round("se", 5).alias("se"))
+
+
+@query("linear_trend_given", _OLS + f""",
+g AS (SELECT *, lo + i * (hi - lo) / 79.0 AS x FROM f, (SELECT unnest(range(0, 80)) AS i) WHERE predictor = 'quantity')
+SELECT brand, {_F('x')} AS quantity, {_F('a + b * x')} AS fit, {_F('a + b * x - 1.96 * sigma * sqrt(1.0 / n + (x - mx) * (x - mx) / sxx)')} AS lower,
+       {_F('a + b * x + 1.96 * sigma * sqrt(1.0 / n + (x - mx) * (x - mx) / sxx)')} AS upper FROM g""")
+def linear_trend_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return single(Y.linear_trend(D.sales(spark, sf_dir), ["brand"], "quantity", "y", z=1.96), "quantity", "fit", "lower", "upper")
+
+
+@query("boxplot_outliers", f"""WITH {D.SALES},
+q AS (SELECT brand, quantile_cont(y, 0.25) AS q25, quantile_cont(y, 0.75) AS q75 FROM sales GROUP BY 1)
+SELECT brand, y FROM sales JOIN q USING (brand) WHERE NOT (y BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25))""")
+def boxplot_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.sales(spark, sf_dir).select("brand", "y")
+    return Y.boxplot_outliers(rows, ["brand"], "y", Y.boxplot_stats(rows, ["brand"], "y"))
