@@ -58,9 +58,12 @@ def min_group_size(frame: DataFrame, keys: Sequence[str] = ("community", "group_
     return keep_groups(frame, list(keys), F.count(F.lit(1)), lambda n: n > more_than).dropna(subset=["iso1", "iso2"])
 
 
-def group_centroids(frame: DataFrame, keys: Sequence[str] = ("community", "group_name")) -> DataFrame:
-    """Mean isotopes per community and group, rare groups included."""
-    return frame.dropna(subset=["iso1", "iso2"]).groupBy(*keys).agg(F.avg("iso1").alias("iso1"), F.avg("iso2").alias("iso2"))
+def group_centroids(frame: DataFrame, keys: Sequence[str] = ("community", "group_name"), more_than: int = 0) -> DataFrame:
+    """Mean isotopes per community and group, rare groups included; `more_than` leaves groups out as `min_group_size` does."""
+    both = F.col("iso1").isNotNull() & F.col("iso2").isNotNull()
+    means = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__all"), F.avg(F.when(both, F.col("iso1"))).alias("iso1"),
+                                     F.avg(F.when(both, F.col("iso2"))).alias("iso2"))
+    return means.where(F.col("iso1").isNotNull() & (F.col("__all") > more_than)).drop("__all")
 
 
 def legends(frame: DataFrame) -> tuple[DataFrame, DataFrame]:

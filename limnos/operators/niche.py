@@ -20,12 +20,18 @@ from limnos.session import spread
 BASELINE_CLASSES = ["LEAF", "PERI", "FISH"]
 
 
-def ellipse_stats(frame: DataFrame, keys: Sequence[str], x: str = "iso1", y: str = "iso2") -> DataFrame:
-    """n, means, covariance, standard ellipse area and its small-sample form per group."""
-    rows = frame.dropna(subset=[x, y])
-    s = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.var_samp(x).alias("var_x"),
-        F.covar_samp(x, y).alias("cov_xy"), F.var_samp(y).alias("var_y"))
+def ellipse_stats(frame: DataFrame, keys: Sequence[str], x: str = "iso1", y: str = "iso2", more_than: int | None = None) -> DataFrame:
+    """n, means, covariance, standard ellipse area and its small-sample form per group.
+
+    `more_than` leaves out groups with so few rows or fewer, rows with a missing isotope counted (see
+    isotopes.min_group_size), in the same pass.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    u, v = F.when(both, F.col(x)), F.when(both, F.col(y))
+    s = frame.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__all"), F.count(u).alias("n"), F.avg(u).alias("mean_x"), F.avg(v).alias("mean_y"),
+        F.var_samp(u).alias("var_x"), F.covar_samp(u, v).alias("cov_xy"), F.var_samp(v).alias("var_y"))
+    s = s.where((F.col("n") > 0) & (F.col("__all") > (0 if more_than is None else more_than))).drop("__all")
     det = F.col("var_x") * F.col("var_y") - F.col("cov_xy") * F.col("cov_xy")
     flat = det <= 1e-12 * F.col("var_x") * F.col("var_y")  # points on a line: no area, whatever the rounding
     s = s.withColumn("sea", math.pi * F.sqrt(F.when(flat, 0.0).otherwise(det)))

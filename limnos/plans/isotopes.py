@@ -34,9 +34,17 @@ def mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.isotope_frame(D.isotope_rows(spark, sf_dir), D.taxon_frame(spark, sf_dir))
 
 
+#: Groups of a niche frame have more rows than this.
+FEW = 3
+
+
+def niche_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Niche frame with its small groups: statistics by group leave these out in the same pass."""
+    return I.isotope_frame(D.isotope_rows(spark, sf_dir), D.taxon_frame(spark, sf_dir), I.NICHE_GROUPS_OUT, lower_names=True)
+
+
 def niche_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = I.isotope_frame(D.isotope_rows(spark, sf_dir), D.taxon_frame(spark, sf_dir), I.NICHE_GROUPS_OUT, lower_names=True)
-    return I.min_group_size(frame)
+    return I.min_group_size(niche_rows(spark, sf_dir), more_than=FEW)
 
 
 _NICHE = f"""WITH {D.MIXTURES},
@@ -110,12 +118,12 @@ SELECT community, group_name, n, CAST(mean_x::FLOAT AS DOUBLE) AS mean_x, CAST(c
        CAST((pi() * sqrt(CASE WHEN var_x * var_y - cov_xy * cov_xy <= 1e-12 * var_x * var_y THEN 0 ELSE var_x * var_y - cov_xy * cov_xy END))::FLOAT AS DOUBLE) AS sea,
        CAST((pi() * sqrt(CASE WHEN var_x * var_y - cov_xy * cov_xy <= 1e-12 * var_x * var_y THEN 0 ELSE var_x * var_y - cov_xy * cov_xy END) * (n - 1) / nullif(n - 2, 0))::FLOAT AS DOUBLE) AS seac FROM st""")
 def ellipse_sea(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = N.ellipse_stats(niche_frame(spark, sf_dir), ["community", "group_name"])
+    out = N.ellipse_stats(niche_rows(spark, sf_dir), ["community", "group_name"], more_than=FEW)
     return single(out.select("community", "group_name", "n", "mean_x", "cov_xy", "sea", "seac"), "mean_x", "cov_xy", "sea", "seac")
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.ellipse_stats(niche_frame(spark, sf_dir), ["community", "group_name"])
+    return N.ellipse_stats(niche_rows(spark, sf_dir), ["community", "group_name"], more_than=FEW)
 
 
 @query("niche_draws")
@@ -144,7 +152,7 @@ ta AS (SELECT community, sum(z) / 2 AS ta FROM e GROUP BY 1)
 SELECT community, CAST(dx::FLOAT AS DOUBLE) AS "dX_range", CAST(dy::FLOAT AS DOUBLE) AS "dY_range", CAST(coalesce(ta, 0)::FLOAT AS DOUBLE) AS "TA", CAST(cd::FLOAT AS DOUBLE) AS "CD", CAST(nnd::FLOAT AS DOUBLE) AS "NND",
        CAST(sdnnd::FLOAT AS DOUBLE) AS "SDNND" FROM m LEFT JOIN c USING (community) LEFT JOIN ns USING (community) LEFT JOIN ta USING (community)""")
 def layman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = I.group_centroids(niche_frame(spark, sf_dir))
+    points = I.group_centroids(niche_rows(spark, sf_dir), more_than=FEW)
     return single(N.layman(points, ["community"]), "dX_range", "dY_range", "TA", "CD", "NND", "SDNND")
 
 
