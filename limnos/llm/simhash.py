@@ -23,7 +23,7 @@ from limnos.llm.common import blocks, offsets, staged
 SHINGLE = 4
 DISTANCE = 4
 #: Fingerprints that live in a shard, about; the least set that is searched pair by pair.
-SHARD = 8192
+SHARD = 32768
 LEAF = 256
 #: Fingerprints that shape the tree: so many for a shard, so many at most. The tree's shape has no effect on the links.
 SAMPLE_EACH = 64
