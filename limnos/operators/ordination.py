@@ -305,13 +305,52 @@ def envfit(coords: DataFrame, env: DataFrame, site: str, x: str, y: str, metric:
         ranks = permuted_ranks(rows.select(site).distinct(), site, perms, seed, first=0)
     home = ranks.where("perm = 0").select("rank", F.col(site).alias("__from"))
     moved = ranks.where("perm > 0").join(home, "rank").select("perm", site, "__from")
-    place = coords.select(F.col(site).alias("__from"), x, y)
-    shuffled = natural_join(moved.join(place, "__from"), env, "inner", [site])
-    again = _fit_sums(shuffled, ["perm", metric], x, y, value).select("perm", metric, "r2")
+    moved = moved.join(coords.select(F.col(site).alias("__from"), x, y), "__from")
+    again = _moved_fits(moved, env, site, x, y, metric, value)
     both = again.unionByName(fit.select(F.lit(0).alias("perm"), metric, "r2"))
     return natural_join(fit, permutation_p(both, "r2", [metric]).select(metric, "p"), "left", [metric])
 
 
+def _moved_fits(moved: DataFrame, env: DataFrame, site: str, x: str, y: str, metric: str, value: str) -> DataFrame:
+    """(perm, metric, r2): fits of all variables to all permutations of the places (perm, site, x, y).
+
+    A site carries its places in all permutations and its variables as arrays; a task multiplies the two, so no row is
+    made for a site, permutation and variable. A missing value leaves its site out of the sums of that variable.
+    """
+    perms = sorted(r[0] for r in moved.select("perm").distinct().collect())
+    names = sorted(r[0] for r in env.select(metric).distinct().collect())  # the variables, as many as columns
+    places = F.array_sort(F.collect_list(F.struct("perm", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
+    left = moved.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(site).agg(places.alias("p"))
+    wide_env = env.groupBy(site).pivot(metric, names).agg(F.first(value)).select(site, F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("v"))
+    both = left.join(wide_env, site).where(F.size("p") == len(perms)).select(F.col("p.x").alias("x"), F.col("p.y").alias("y"), "v")
+    shape = len(perms), len(names)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((10, *shape))
+        for batch in batches:
+            for first in range(0, len(batch), 1024):
+                part = batch.iloc[first:first + 1024]
+                px, py, v = (np.stack(part[c].to_numpy()).astype(float) for c in ("x", "y", "v"))
+                there = (~np.isnan(v)).astype(float)
+                v = np.nan_to_num(v)
+                ones = np.ones_like(px)
+                for i, (a, b) in enumerate(((ones, there), (px, there), (py, there), (ones, v), (px * px, there), (py * py, there),
+                                            (px * py, there), (ones, v * v), (px, v), (py, v))):
+                    sums[i] += a.T @ b
+        i, j = np.indices(shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), **{f"s{k}": sums[k].ravel() for k in range(10)}})
+
+    total = both.mapInPandas(add, "i int, j int, " + ", ".join(f"s{k} double" for k in range(10))).groupBy("i", "j").agg(
+        *[F.sum(f"s{k}").alias(f"s{k}") for k in range(10)])
+    n, sx, sy, sv, xx, yy, xy, vv, xv, yv = (F.col(f"s{k}") for k in range(10))
+    part = total.select("i", "j", (xx - sx * sx / n).alias("xx"), (yy - sy * sy / n).alias("yy"), (xy - sx * sy / n).alias("xy"),
+                        (vv - sv * sv / n).alias("vv"), (xv - sx * sv / n).alias("xv"), (yv - sy * sv / n).alias("yv"))
+    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+    explained = F.col("xv") * (F.col("xv") * F.col("yy") - F.col("yv") * F.col("xy")) + F.col("yv") * (F.col("yv") * F.col("xx") - F.col("xv") * F.col("xy"))
+    label = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(i) + 1)
+    return part.select(label(perms, "i").alias("perm"), label(names, "j").alias(metric), F.try_divide(explained, det * F.col("vv")).alias("r2"))
+
+
 def envfit_arrows(fit: DataFrame, metric: str = "metric", alpha: float = 0.05, stretch: float = 2.0) -> DataFrame:
     """Arrows of the variables with p below alpha, at twice unit length."""
     return fit.where(F.col("p") < alpha).select(metric, (F.col("a1") * stretch).alias("a1"), (F.col("a2") * stretch).alias("a2"), "p")

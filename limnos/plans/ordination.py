@@ -36,12 +36,13 @@ def taxon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cluster_sites")
 def cluster_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.cluster_sites(D.coordinates(spark, sf_dir).select("site", "x", "y"), ["x", "y"], 3, 10)
+    axes = [f"c{i}" for i in range(D.COMPONENTS)]
+    return O.cluster_sites(D.components(spark, sf_dir), axes, 3, 10).select("site", "cluster")
 
 
 @query("kmeans_elbow")
 def kmeans_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.elbow(D.coordinates(spark, sf_dir), ["x", "y"])
+    return O.elbow(D.components(spark, sf_dir), [f"c{i}" for i in range(D.COMPONENTS)])
 
 
 @query("hull_vertices", f"""WITH {D.COORDINATES},
@@ -148,7 +149,8 @@ def permanova_blocked_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.round("f", 8).alias("f"), "p")
 
 
-@query("elbow_one", f"""WITH {D.COORDINATES}
-SELECT CAST(1 AS INT) AS k, round(sum((x - mx) * (x - mx) + (y - my) * (y - my)), 6) AS wss FROM coords, (SELECT avg(x) AS mx, avg(y) AS my FROM coords)""")
+@query("elbow_one", """WITH c AS (SELECT unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings)
+SELECT CAST(1 AS INT) AS k, round(sum(s), 4) AS wss FROM (SELECT i, var_pop(CAST(v AS DOUBLE)) * count(*) AS s FROM c GROUP BY 1)""")
 def elbow_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.elbow(D.coordinates(spark, sf_dir), ["x", "y"], [1]).select("k", F.round("wss", 6).alias("wss"))
+    axes = [f"c{i}" for i in range(D.COMPONENTS)]
+    return O.elbow(D.components(spark, sf_dir), axes, [1]).select("k", F.round("wss", 4).alias("wss"))

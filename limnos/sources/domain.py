@@ -218,6 +218,16 @@ results AS (
 acd AS (SELECT * FROM results LEFT JOIN samples USING ("YSAMP_N"))"""
 
 
+#: Length of the given vectors.
+COMPONENTS = 64
+
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, c0 .. c63): all components of each vector as axes."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("site"), *[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(COMPONENTS)])
+
+
 def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site, x, y, cluster): first two components of each vector."""
     return table(spark, sf_dir, "embeddings").select(
@@ -230,16 +240,16 @@ COORDINATES = """coords AS (
 
 
 def environment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(site, metric, value): three components of each vector as site variables, in long form."""
+    """(site, metric, value): the other 62 components of each vector as site variables, in long form."""
     vectors = table(spark, sf_dir, "embeddings")
     pairs = F.array(*[F.struct(F.lit(f"v{i}").alias("metric"), F.col("embedding")[i].cast("double").alias("value"))
-                      for i in range(2, 10)])
+                      for i in range(2, COMPONENTS)])
     return vectors.select(F.col("vec_id").alias("site"), F.explode(pairs).alias("p")).select("site", "p.*")
 
 
 ENVIRONMENT = """environment AS (
   SELECT vec_id AS site, 'v' || i AS metric, CAST(embedding[i + 1] AS DOUBLE) AS value
-  FROM embeddings, (SELECT unnest(range(2, 10)) AS i))"""
+  FROM embeddings, (SELECT unnest(range(2, 64)) AS i))"""
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
