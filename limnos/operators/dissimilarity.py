@@ -151,12 +151,12 @@ def permanova(sets: DataFrame, group: str) -> DataFrame:
     every = counts.groupBy("__n", "__s", "__t").agg(F.sum("__c").alias("__c")).withColumn("__g", F.lit(0))
     total = group_sums(every, "__g").select(F.col("d2").alias("__d2"))
     one = within.join(total, F.lit(True))  # one row each
-    return _f_ratio(one.withColumn("ss_total", F.col("__d2") / 2 / F.col("sites")))
+    return _f_ratio(one.withColumn("ss_total", F.try_divide(F.col("__d2") / 2, F.col("sites"))))
 
 
 def _f_value() -> Column:
     between = F.col("ss_total") - F.col("ss_within")
-    return F.try_divide(between / (F.col("groups") - 1), F.col("ss_within") / (F.col("sites") - F.col("groups")))
+    return F.try_divide(F.try_divide(between, F.col("groups") - 1), F.try_divide(F.col("ss_within"), F.col("sites") - F.col("groups")))
 
 
 def _f_ratio(one: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def permanova_pairs(distances: DataFrame, labels: DataFrame, site: str, group: s
     share = F.zip_with("__la", "__lb", lambda x, y: F.when(x["g"] == y["g"], F.col("__d2") / x["size"]).otherwise(0.0))
     each = rows.select("__d2", F.posexplode(share).alias("perm", "__w"))
     sums = each.groupBy("perm").agg(F.sum("__d2").alias("d2"), F.sum("__w").alias("ss_within"))
-    per = sums.join(n, F.lit(True)).withColumn("ss_total", F.col("d2") / F.col("sites"))
+    per = sums.join(n, F.lit(True)).withColumn("ss_total", F.try_divide(F.col("d2"), F.col("sites")))
     fits = per.select("perm", _f_value().alias("f"))
     one = _f_ratio(per.where("perm = 0"))
     if ranks is None:

@@ -114,6 +114,49 @@ def test_permanova_from_jaccard_pairs(spark):
     assert got.ss_within == pytest.approx(within) and got.ss_total == pytest.approx(np.triu(d ** 2, 1).sum() / 12)
 
 
+def test_permanova_p_of_pairs(spark):
+    x, labels = random_presence(14, 7, 4)
+    d = bray(x)
+    pairs = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(14) for j in range(i + 1, 14)], "i int, j int, d double")
+    lab = spark.createDataFrame(list(enumerate(labels)), "site int, cluster string")
+    moved = [(p, i, labels[(i + 3 * p) % 14]) for p in range(1, 13) for i in range(14)]
+    got = S.permanova_pairs(pairs, lab, "site", "cluster", "i", "j", "d", spark.createDataFrame(moved, "perm int, site int, cluster string")).first()
+
+    def ratio(g):
+        g = np.array(g)
+        within = sum(np.triu(d[np.ix_(g == c, g == c)] ** 2, 1).sum() / (g == c).sum() for c in set(labels))
+        total = np.triu(d ** 2, 1).sum() / 14
+        return ((total - within) / (len(set(labels)) - 1)) / (within / (14 - len(set(labels))))
+    seen = ratio(labels)
+    more = sum(ratio([labels[(i + 3 * p) % 14] for i in range(14)]) >= seen - 1e-12 for p in range(1, 13))
+    assert got.f == pytest.approx(seen) and got.p == pytest.approx((1 + more) / 13)
+
+
+def test_missing_taxa_are_a_taxon_and_names_may_clash(spark):
+    x, labels = random_presence(18, 6, 9)
+    rows = [(i, labels[i], None if t == 2 else f"t{t}") for i in range(18) for t in range(6) if x[i, t]]
+    plain = as_frame(spark, x, labels)
+    df = spark.createDataFrame(rows, "s int, c string, n string").withColumn("t", F.lit("x"))
+    want = S.permanova(S.site_sets(plain, ["site", "cluster"], "taxon"), "cluster").first()
+    sets = S.site_sets(df, ["s", "c"], "n").withColumnRenamed("n", "k").withColumnRenamed("k", "n")
+    assert S.permanova(sets, "c").first().f == pytest.approx(want.f)
+    terms = {r.term: r.ss for r in S.permanova_terms(sets, ["c"]).collect()}
+    assert terms["c"] == pytest.approx(want.ss_total - want.ss_within)
+    a = {(r.cluster1, r.cluster2, r.taxon or "t2"): r.average for r in S.simper(plain, "site", "taxon", "cluster").collect()}
+    b = {(r.cluster1, r.cluster2, r.n or "t2"): r.average for r in S.simper(df, "s", "n", "c").collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    marks = S.choose_landmarks(S.site_sets(df, ["s"], "n"), "s", 18)
+    far = {(r.s, r.landmark): r.d for r in S.landmark_dissimilarity(df, marks, "s", "n", "bray").collect()}
+    d = bray(x)
+    assert all(far[k] == pytest.approx(d[k]) for k in far)
+
+
+def test_permanova_of_many_groups(spark):
+    rows = [(i, f"g{i}", t) for i in range(6000) for t in ("a", "b" if i % 2 else "c")]
+    sets = S.site_sets(spark.createDataFrame(rows, "site int, g string, taxon string"), ["site", "g"], "taxon")
+    assert S.permanova(sets, "g").first().groups == 6000
+
+
 def test_simper_equals_pairs(spark):
     x, labels = random_presence(21, 7, 6)
     got = {(r.cluster1, r.cluster2, r.taxon): r for r in S.simper(as_frame(spark, x, labels), "site", "taxon", "cluster").collect()}

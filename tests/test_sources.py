@@ -22,7 +22,7 @@ def test_rewrite_of_what_is_read(spark, tmp_path):
 
 def test_blanks_in_names_become_dots(spark, tmp_path):
     (tmp_path / "in.csv").write_text("Visual Water Color,x\nbrown,1\n")
-    assert S.read_csv(spark, str(tmp_path / "in.csv"), T.StructType().add("Visual Water Color", "string").add("x", "int")).columns == ["Visual.Water.Color", "x"]
+    assert S.read_csv(spark, str(tmp_path / "in.csv"), T.StructType([T.StructField("Visual Water Color", T.StringType()), T.StructField("x", T.IntegerType())])).columns == ["Visual.Water.Color", "x"]
 
 
 def test_stage_and_saved_frame(spark, tmp_path):
