@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from limnos.llm.common import blocks, coded, offsets
 from limnos.llm.tokens import tokenizer_path
 
-BLOCK_TEXT = 32 << 20
+BLOCK_TEXT = 12 << 20
 #: Pre-tokens of a bucket and sums of documents that a task holds at once.
 KNOWN_WORDS = 1_000_000
 HELD_SUMS = 4_000_000
