@@ -57,31 +57,37 @@ def niche_draws(stats: DataFrame, keys: Sequence[str], draws: int = 4000, seed:
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False, name=None):
-                yield _draw_block(dict(zip(batch.columns, row)), keys, block, draws, prior_df)
+            for first in range(0, len(batch), 64):
+                yield _draw_blocks(batch.iloc[first:first + 64], keys, block, draws, prior_df)
 
     return spread(rows, *keys, "__b").mapInPandas(draw, schema)
 
 
-def _draw_block(r: dict, keys, block: int, draws: int, prior_df: float) -> pd.DataFrame:
-    start = int(r["__b"]) * block
-    m = min(block, draws - start)
-    rng = np.random.default_rng(int(r["__seed"]) & 0xFFFFFFFFFFFFFFFF)
-    n, sx, sy = r["n"], math.sqrt(r["var_x"]), math.sqrt(r["var_y"])
-    corr = r["cov_xy"] / (sx * sy)
-    root = np.linalg.cholesky(np.linalg.inv(np.array([[n, (n - 1) * corr], [(n - 1) * corr, n]])))  # I + S on z-scores
-    df = prior_df + n - 1
-    a = np.zeros((m, 2, 2))
-    a[:, 0, 0] = np.sqrt(rng.chisquare(df, m))
-    a[:, 1, 1] = np.sqrt(rng.chisquare(df - 1, m))
-    a[:, 1, 0] = rng.standard_normal(m)
-    half = root @ a
-    sigma = np.linalg.inv(half @ half.transpose(0, 2, 1))
-    z = np.einsum("dij,dj->di", np.linalg.cholesky(sigma / n), rng.standard_normal((m, 2)))
-    out = {k: [r[k]] * m for k in keys}
-    out.update(draw=np.arange(start, start + m), mu_x=r["mean_x"] + sx * z[:, 0], mu_y=r["mean_y"] + sy * z[:, 1],
-               s_xx=sx * sx * sigma[:, 0, 0], s_xy=sx * sy * sigma[:, 0, 1], s_yy=sy * sy * sigma[:, 1, 1])
-    return pd.DataFrame(out)
+def _draw_blocks(rows: pd.DataFrame, keys, block: int, draws: int, prior_df: float) -> pd.DataFrame:
+    """Draws of several blocks as arrays (rows x draws); each block has a generator of its own, the algebra of 2 x 2 matrices is written out."""
+    n, sx, sy = rows["n"].to_numpy(float)[:, None], np.sqrt(rows["var_x"].to_numpy())[:, None], np.sqrt(rows["var_y"].to_numpy())[:, None]
+    c = (n - 1) * rows["cov_xy"].to_numpy()[:, None] / (sx * sy)  # I + S on z-scores is [[n, c], [c, n]]
+    det = n * n - c * c
+    r11 = np.sqrt(n / det)
+    r21, r22 = -c / det / r11, np.sqrt(n / det - (c / det / r11) ** 2)
+    a11, a22, a21, e0, e1 = (np.empty((len(rows), block)) for _ in range(5))
+    for i, (seed, size) in enumerate(zip(rows["__seed"], rows["n"])):
+        rng, df = np.random.default_rng(int(seed) & 0xFFFFFFFFFFFFFFFF), prior_df + size - 1
+        a11[i], a22[i] = rng.chisquare(df, block), rng.chisquare(df - 1, block)
+        a21[i], e0[i], e1[i] = rng.standard_normal((3, block))
+    a11, a22 = np.sqrt(a11), np.sqrt(a22)
+    h11, h21, h22 = r11 * a11, r21 * a11 + r22 * a21, r22 * a22  # root of the drawn inverse covariance
+    w = (h11 * h22) ** 2
+    s11, s12, s22 = (h21 ** 2 + h22 ** 2) / w, -h11 * h21 / w, h11 ** 2 / w
+    l11 = np.sqrt(s11 / n)
+    l21 = s12 / n / l11
+    l22 = np.sqrt(np.maximum(s22 / n - l21 ** 2, 0))
+    number = rows["__b"].to_numpy()[:, None] * block + np.arange(block)
+    keep = (number < draws).ravel()
+    out = {k: np.repeat(rows[k].to_numpy(), block) for k in keys}
+    values = {"draw": number, "mu_x": rows["mean_x"].to_numpy()[:, None] + sx * l11 * e0, "mu_y": rows["mean_y"].to_numpy()[:, None] + sy * (l21 * e0 + l22 * e1),
+              "s_xx": sx * sx * s11, "s_xy": sx * sy * s12, "s_yy": sy * sy * s22}
+    return pd.DataFrame({**out, **{k: v.ravel() for k, v in values.items()}})[keep]
 
 
 # --- areas ---------------------------------------------------------------------------------------
