@@ -154,8 +154,8 @@ def smoothing_scores(moments: DataFrame, k: int, strengths: list[float]) -> Data
 def profile_smooth(df: DataFrame, id: str, x: str, y: str, k: int = 10, strengths: list[float] | None = None) -> DataFrame:
     """(id, lo, hi, first, last, beta): penalised spline per ID with one smoothing strength shared by all IDs.
 
-    The raw rows are read once: the moments (one short row per ID) are checkpointed for both passes, and
-    only the best strength comes to the driver.
+    The raw rows are read twice, for the range of x and for the moments; the moments (one short row per ID) are
+    checkpointed for both passes over them, and only the best strength comes to the driver.
     """
     strengths = strengths or [10.0 ** e for e in np.arange(-3, 4.01, 0.5)]
     moments = checkpointed(smooth_moments(df, id, x, y, k))
@@ -181,12 +181,48 @@ def predict_smooth(coefficients: DataFrame, id: str, x: str, name: str, n: int =
     return placed.select(id, x, (cubic[0] + t * (cubic[1] + t * (cubic[2] + t * cubic[3]))).alias(name))
 
 
+def model_layer(model: DataFrame, id: str, n: int = 500, k: int = 10, threshold_prop: float = 0.5) -> DataFrame:
+    """Layer of steep slope per ID (see `gradient_layer`) straight from the curves' coefficients.
+
+    An ID is one short row, its grid lives in an array only: no row per grid point and no shuffle.
+    """
+    kind = model.schema[id].dataType.simpleString()
+
+    def layers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                rows = batch.iloc[at:at + 1024]
+                lo, hi, first, last = (rows[c].to_numpy(float)[:, None] for c in ("lo", "hi", "first", "last"))
+                x = lo + np.arange(n) * (hi - lo) / max(n - 1, 1)
+                u = (x - first) * (k - 3) / (last - first)
+                m = np.minimum(np.floor(u), k - 4).astype(int)
+                t = u - m
+                beta = np.stack(rows["beta"].to_numpy())
+                cubic = np.take_along_axis(beta[:, None, :], m[:, :, None] + np.arange(4), axis=2) @ SEGMENT
+                y = cubic[..., 0] + t * (cubic[..., 1] + t * (cubic[..., 2] + t * cubic[..., 3]))
+                dx = np.diff(x)
+                steep = np.abs(np.divide(np.diff(y), dx, out=np.full_like(dx, np.nan), where=dx != 0))
+                some = np.isfinite(steep).any(axis=1)
+                height = np.where(some, np.nanmax(np.where(np.isfinite(steep), steep, -1.0), axis=1), np.nan)
+                passing = steep >= threshold_prop * height[:, None]
+                place = np.where(passing, x[:, 1:], np.nan)
+                out = pd.DataFrame({id: rows[id].to_numpy(), "mid_depth": x[np.arange(len(x)), 1 + np.argmax(steep == height[:, None], axis=1)],
+                                    "grad_max": height, "thresh": threshold_prop * height,
+                                    "top": np.fmin.reduce(place, axis=1), "bottom": np.fmax.reduce(place, axis=1)})
+                out.loc[~some, "mid_depth"] = np.nan
+                yield out
+
+    found = model.select(id, "lo", "hi", "first", "last", "beta").mapInPandas(
+        layers, f"{id} {kind}, mid_depth double, grad_max double, thresh double, top double, bottom double")
+    return C.fold_nan(found)
+
+
 def extract_thermocline(df: DataFrame, id: str, x: str, y: str, k: int = 10, n_grid: int = 500,
                         threshold_prop: float = 0.5) -> dict[str, DataFrame]:
     """Smooth curve, its profile with gradients, and the layer per ID."""
     model = profile_smooth(df, id, x, y, k)
     profile = profile_gradient(predict_smooth(model, id, x, f"{y}_pred", n_grid, k), id, x, f"{y}_pred")
-    return {"model": model, "profile": profile, "layer": gradient_layer(profile, id, x, threshold_prop)}
+    return {"model": model, "profile": profile, "layer": model_layer(model, id, n_grid, k, threshold_prop)}
 
 
 def extract_oxycline(df: DataFrame, id: str, x: str, y: str, k: int = 10, n_grid: int = 500,
