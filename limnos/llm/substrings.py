@@ -24,6 +24,8 @@ WINDOW = 35
 SEED = 12
 #: Occurrences of an anchor that meet in one group; more common anchors are divided by the hash of the window.
 GROUP = 2048
+#: Text of a block: bounds the memory of a task.
+TEXT_BYTES = 6 << 20
 STAGE = "block long, row int, doc_id long, text string, anchor long, times long"
 WINDOWS = "anchor long, part int, block long, windows binary"
 FOUND = "block long, data binary"
@@ -92,7 +94,7 @@ def _anchors(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         base = TaskContext.get().partitionId() << 32
-        for number, block in enumerate(blocks(batches, "text")):
+        for number, block in enumerate(blocks(batches, "text", TEXT_BYTES)):
             n, name = block.num_rows, base + number
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(n, name)), pa.array(np.arange(n), pa.int32()), block.column("doc_id").cast(pa.int64()),
