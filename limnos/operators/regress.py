@@ -332,16 +332,71 @@ def variances(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
     return spark.createDataFrame(rows, "key string, group_variance double, residual_variance double, n int, groups int, criterion double, aic double")
 
 
+COEFFICIENTS = "estimate double, se double, df double, t double, p double, low double, high double"
+
+
+def random_intercept_table(df: DataFrame, y: str, xs: Sequence[str], group: str, keys: Sequence[str] = (), method: str = "reml",
+                           ratio: float | None = None) -> DataFrame:
+    """(keys, term, estimate, se, df, t, p, low, high) of random-intercept models, one per key, solved on the executors.
+
+    A group enters the criterion by its number of rows and its sums only, so groups of one size are added up first: a key
+    is then as many short rows as it has group sizes, and one task fits it for all ratios without another pass.
+    """
+    parts = [F.lit(1.0), *[F.col(x).cast("double") for x in xs], F.col(y).cast("double")]
+    width = len(parts)
+    upper = [(i, j) for i in range(width) for j in range(i, width)]
+    rows = df.dropna(subset=[y, group, *xs])
+    sums = rows.groupBy(*keys, F.col(group).alias("__g")).agg(*[F.sum(p).alias(f"__s{i}") for i, p in enumerate(parts)],
+                                                              *[F.sum(parts[i] * parts[j]).alias(f"__c{i}_{j}") for i, j in upper])
+    sizes = sums.groupBy(*keys, F.col("__s0").alias("__n")).agg(
+        F.count(F.lit(1)).alias("__groups"), *[F.sum(F.col(f"__s{i}") * F.col(f"__s{j}")).alias(f"__o{i}_{j}") for i, j in upper],
+        *[F.sum(f"__c{i}_{j}").alias(f"__c{i}_{j}") for i, j in upper])
+    types = {k: df.schema[k].dataType.simpleString() for k in keys}
+    terms = [("", x) for x in ["(Intercept)", *xs]]
+    names = ["estimate", "se", "df", "t", "p", "low", "high"]
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        full = np.zeros((width, width))
+        for i, j in upper:
+            full[i, j] = full[j, i] = part[f"__c{i}_{j}"].sum()
+        outer = part[[f"__o{i}_{j}" for i, j in upper]].to_numpy(float)
+        n, times = part["__n"].to_numpy(float), part["__groups"].to_numpy(float)
+
+        def found(grid: Sequence[float]) -> np.ndarray:
+            return np.array([np.append((r / (1 + n * r)) @ outer, times @ np.log1p(n * r)) for r in grid])
+
+        model, grid = _Profile(full, method, width - 1), [0.0, *np.geomspace(1e-4, 1e3, 15)]
+        for _ in range(3 if ratio is None else 0):
+            model.add(grid, found(grid))
+            grid = model.closer()
+        best = model.top() if ratio is None else float(ratio)
+        fit = model.finish({}, terms, found([best, best * 1.02, best * 0.98]), int(times.sum()), best)
+        out = pd.DataFrame([fit.contrast(np.eye(len(fit.terms))[i]) for i in range(len(fit.terms))], columns=names)
+        out.insert(0, "term", [t for _, t in fit.terms])
+        for k in reversed(keys):
+            out.insert(0, k, [part[k].iloc[0]] * len(out))
+        return out
+
+    schema = "".join(f"`{k}` {t}, " for k, t in types.items()) + f"term string, {COEFFICIENTS}"
+    if not keys:
+        sizes = sizes.withColumn("__one", F.lit(1))
+    return sizes.groupBy(*(keys or ["__one"])).applyInPandas(solve, schema)
+
+
 def model_sweep(df: DataFrame, keys: Sequence[str], predictors: Sequence[str], y: str, group: str, alpha: float | None = None,
                 cell: str | None = None, ratio: float | None = None) -> DataFrame:
     """Random-intercept slope of y on each predictor (and key), all in one set of jobs; optionally p below alpha."""
     keep = [*keys, y, group, *([cell] if cell else [])]
-    fits = random_intercept(long_predictors(df, keep, predictors), y, ["x"], group, cell, ["predictor", *keys], ratio=ratio)
-    out = coefficients(df.sparkSession, fits).where("term = 'x'")
-    out = out.withColumn("predictor", F.get_json_object("key", "$.predictor"))
-    for k in keys:
-        out = out.withColumn(k, F.get_json_object("key", f"$.{k}"))
-    out = out.drop("key", "term")
+    rows = long_predictors(df, keep, predictors)
+    if cell is None:
+        out = random_intercept_table(rows, y, ["x"], group, ["predictor", *keys], ratio=ratio).where("term = 'x'")
+        out = out.select("predictor", F.lit("").alias("cell"), *keys, *[c.split()[0] for c in COEFFICIENTS.split(", ")])
+    else:
+        fits = random_intercept(rows, y, ["x"], group, cell, ["predictor", *keys], ratio=ratio)
+        out = coefficients(df.sparkSession, fits).where("term = 'x'")
+        for k in ("predictor", *keys):
+            out = out.withColumn(k, F.get_json_object("key", f"$.{k}"))
+        out = out.drop("key", "term")
     return out if alpha is None else out.where(F.col("p") < alpha)
 
 

@@ -114,7 +114,7 @@ def cooks_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("random_intercept")
 def random_intercept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.coefficients(spark, R.random_intercept(D.sales(spark, sf_dir), "y", ["quantity"], "brand"))
+    return R.random_intercept_table(D.sales(spark, sf_dir), "y", ["quantity"], "brand")
 
 
 @query("model_sweep")
@@ -239,8 +239,7 @@ ft AS (SELECT *, c - b1 * t1 - b2 * t2 AS rss FROM bt)"""
 SELECT '(Intercept)' AS term, round(t1, 6) AS estimate, round(sqrt(rss / (n - 2) * a22 / det), 6) AS se FROM ft
 UNION ALL SELECT 'quantity', round(t2, 6), round(sqrt(rss / (n - 2) * a11 / det), 6) FROM ft""")
 def random_intercept_given(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = R.random_intercept(D.sales(spark, sf_dir), "y", ["quantity"], "brand", ratio=_RATIO)
-    return R.coefficients(spark, fits).select("term", F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"))
+    return R.random_intercept_table(D.sales(spark, sf_dir), "y", ["quantity"], "brand", ratio=_RATIO).select("term", F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"))
 
 
 @query("model_sweep_given", f"""WITH {D.SALES},
