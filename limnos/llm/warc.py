@@ -12,10 +12,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm.common import new_folder
+from limnos.llm.common import new_folder, staged
 
-# Names and formats of the WARC 1.1 standard.
+# Names and formats of the WARC 1.1 standard; the writer's HTTP headers are shorter than HTTP_BYTES.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP_BYTES = 4096
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 
@@ -69,20 +70,34 @@ def _id(name: str) -> Column:
     return F.regexp_extract(_field(name), "<urn:uuid:(.*)>", 1)
 
 
-def read_archive(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Records of an archive, as given to `write_archive`; a response's length and digest are taken from its payload."""
+def _parts(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(__head, __http, __raw, __at): header lines, HTTP header lines, bytes of the record, place of the block in them."""
     text = spark.read.option("lineSep", f"WARC-Warcinfo-ID: <urn:uuid:{name}>{CRLF}").text(path).where(F.col("value").startswith("WARC-Type: "))
     head = F.substring_index("value", CRLF * 2, 1)
-    parts = text.select(F.concat(F.lit(CRLF), head).alias("__head"), F.col("value").cast("binary").alias("__raw"), F.octet_length(head).alias("__size"))
-    block = F.substring(F.col("__raw"), F.col("__size") + 5, _field("Content-Length").cast("int"))
-    parts = parts.select("__head", block.alias("__block"), F.octet_length(F.substring_index(block.cast("string"), CRLF * 2, 1)).alias("__http"))
-    payload = F.substring(F.col("__block"), F.col("__http") + 5, F.octet_length("__block"))
-    told = F.regexp_extract(F.col("__block").cast("string"), "Content-Length: ([0-9]+)", 1)
+    parts = text.select(F.concat(F.lit(CRLF), head).alias("__head"), F.col("value").cast("binary").alias("__raw"), (F.octet_length(head) + 5).alias("__at"))
+    # the HTTP header is short and ends at the first empty line of the block
+    http = F.substring_index(F.substring(F.col("__raw"), F.col("__at"), F.lit(HTTP_BYTES)).cast("string"), CRLF * 2, 1)
+    return parts.select("__head", http.alias("__http"), "__raw", "__at")
+
+
+def read_heads(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(record_id, page_id, uri, payload_digest, payload_bytes) of an archive's records as their headers tell them."""
+    return _parts(spark, path, name).select(
+        _id("WARC-Record-ID").alias("record_id"), _field("X-Page-ID").cast("long").alias("page_id"), _field("WARC-Target-URI").alias("uri"),
+        F.substring_index(_field("WARC-Payload-Digest"), ":", -1).alias("payload_digest"),
+        F.regexp_extract("__http", "Content-Length: ([0-9]+)", 1).cast("long").alias("payload_bytes"))
+
+
+def read_archive(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Records of an archive, as given to `write_archive`; a response's length and digest are taken from its payload."""
     kind = _field("WARC-Type")
-    out = parts.select(
+    size = F.octet_length("__http") + 4
+    payload = F.substring(F.col("__raw"), F.col("__at") + size, _field("Content-Length").cast("int") - size)
+    out = _parts(spark, path, name).select(
         _id("WARC-Record-ID").alias("record_id"), _field("X-Page-ID").cast("long").alias("page_id"), _field("WARC-Target-URI").alias("uri"),
         kind.alias("record_type"), F.when(kind == "response", payload).alias("payload"), _field("WARC-Payload-Digest").alias("__digest"),
-        F.when(kind == "revisit", told).cast("long").alias("__told"), F.nullif(_id("WARC-Refers-To"), F.lit("")).alias("refers_to_record"),
+        F.when(kind == "revisit", F.regexp_extract("__http", "Content-Length: ([0-9]+)", 1)).cast("long").alias("__told"),
+        F.nullif(_id("WARC-Refers-To"), F.lit("")).alias("refers_to_record"),
         _field("X-Refers-To-Page-ID").cast("long").alias("refers_to"), _field("WARC-Refers-To-Target-URI").alias("refers_to_uri"))
     return out.select(
         "record_id", "page_id", "uri", "record_type", F.col("payload").cast("string").alias("payload"),
@@ -91,14 +106,14 @@ def read_archive(spark: SparkSession, path: str, name: str) -> DataFrame:
         "refers_to_record", "refers_to", "refers_to_uri")
 
 
-def resolve_revisits(records: DataFrame, least: int = 0) -> DataFrame:
-    """Records with revisits in place of repeated payloads.
+def resolve_revisits(records: DataFrame, heads: DataFrame, least: int = 0) -> DataFrame:
+    """Records with revisits in place of repeated payloads; `heads` has the headers of the same records (see `read_heads`).
 
     Headers go by payload digest and length; of equal payloads of at least `least` bytes the record with the largest
     page_id stays the response (a null page_id is the smallest; of equal ones the largest record_id), and the others
     revisit it. Maxima are taken before the shuffle, so a payload that many records share is no large group.
     """
-    heads = records.select("record_id", "page_id", "uri", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= least)
+    heads = heads.where(F.col("payload_bytes") >= least)
     first = heads.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "record_id", "uri")).alias("__first"))
     again = (heads.join(first, ["payload_digest", "payload_bytes"]).where("record_id <> __first.record_id")
              .select("record_id", F.col("__first.record_id").alias("refers_to_record"), F.col("__first.page_id").alias("refers_to"),
@@ -126,8 +141,9 @@ def warc_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     raw, final = new_folder(spark, "warc"), new_folder(spark, "warc-deduplicated")
-    records = read_archive(spark, raw, write_archive(page_records(pages), raw))
-    done = read_archive(spark, final, write_archive(resolve_revisits(records, least), final))
+    name = write_archive(page_records(pages), raw)
+    heads = staged(read_heads(spark, raw, name), "warc-heads")
+    done = read_archive(spark, final, write_archive(resolve_revisits(read_archive(spark, raw, name), heads, least), final))
     return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
