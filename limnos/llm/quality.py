@@ -96,9 +96,12 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     return hosts.select("host", *[rate.alias(name) for name, rate in rates.items()], kept.alias("host_kept"))
 
 
-def _with_verdicts(rows: DataFrame) -> DataFrame:
-    # the table of hosts is written, so Spark knows its size when it chooses the join
-    verdicts = staged(host_verdicts(rows).select(F.col("host").alias("__host"), "host_kept"), "host-verdicts")
+def _verdicts(rows: DataFrame) -> DataFrame:
+    """Written, so that Spark knows its size when it chooses the join."""
+    return staged(host_verdicts(rows).select(F.col("host").alias("__host"), "host_kept"), "host-verdicts")
+
+
+def _judged(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     return rows.join(verdicts, F.col("host").eqNullSafe(F.col("__host")), "left")
 
 
@@ -110,16 +113,19 @@ def host_quality(docs: DataFrame) -> DataFrame:
     """
     rows = staged(measured(docs.select("doc_id", "text", F.col("source").alias("host"))).select(
         "doc_id", "host", *[F.col(path).alias(name) for name, path in MEASURES.items()]), "measured")
-    judged = _with_verdicts(rows).withColumn("base_failed", F.expr(BASE_FAILED))
+    judged = _judged(rows, _verdicts(rows)).withColumn("base_failed", F.expr(BASE_FAILED))
     return judged.select("doc_id", *[c for c in MEASURES if c != "n_lines"], "base_failed",
                          (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns; each text is measured once."""
+    """The rows of docs that are kept, with all their columns.
+
+    Texts are measured twice, for the hosts' verdicts and for their own, and are neither written nor shuffled for it.
+    """
     named = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("text").alias("text"), F.col("source").alias("host"))
-    rows = staged(measured(named).select("__doc", "host", *[F.col(path).alias(name) for name, path in MEASURES.items()]), "measured")
-    return _with_verdicts(rows).where(f"host_kept AND NOT ({BASE_FAILED})").select("__doc.*")
+    rows = measured(named).select("__doc", "host", *[F.col(path).alias(name) for name, path in MEASURES.items()])
+    return _judged(rows, _verdicts(rows)).where(f"host_kept AND NOT ({BASE_FAILED})").select("__doc.*")
 
 
 def _rate(name: str) -> str:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limnos.llm.common import blocks, coded, offsets, split_words, staged
 
@@ -26,10 +27,10 @@ SEED = 12
 GROUP = 2048
 #: Text of a block: bounds the memory of a task.
 TEXT_BYTES = 6 << 20
-STAGE = "block long, row int, doc_id long, text string, anchor long, times long"
+STAGE = "block long, row int, anchor long, times long"
 WINDOWS = "anchor long, part int, block long, windows binary"
 FOUND = "block long, data binary"
-RESULT = "block long, row int, doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,last:int>>, kept_text string, text_hash long"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,last:int>>"
 
 ODD_1, ODD_2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
@@ -91,21 +92,23 @@ class Words:
 
 
 def _anchors(window: int, seed: int):
+    """Each block's rows (all columns of the input), and its distinct anchors with their number of places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         base = TaskContext.get().partitionId() << 32
         for number, block in enumerate(blocks(batches, "text", TEXT_BYTES)):
             n, name = block.num_rows, base + number
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, name)), pa.array(np.arange(n), pa.int32()), block.column("doc_id").cast(pa.int64()),
-                block.column("text"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
-                ["block", "row", "doc_id", "text", "anchor", "times"])
+            kinds = {"block": pa.int64(), "row": pa.int32(), "anchor": pa.int64(), "times": pa.int64()}
+            names = ["block", "row", "anchor", "times", *block.schema.names]
+            kinds |= {f.name: f.type for f in block.schema}
+            own = {"block": pa.array(np.full(n, name)), "row": pa.array(np.arange(n), pa.int32())}
+            own |= {c: block.column(c) for c in block.schema.names}
+            yield pa.RecordBatch.from_arrays([own.get(c, pa.nulls(n, kinds[c])) for c in names], names)
             found = Words(block.column("text"), window, seed)
             anchors, times = np.unique(found.seeds[np.unique(found.anchors)], return_counts=True)
             k = len(anchors)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(k, name)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()),
-                pa.array(anchors.view(np.int64)), pa.array(times)], ["block", "row", "doc_id", "text", "anchor", "times"])
+            own = {"block": pa.array(np.full(k, name)), "anchor": pa.array(anchors.view(np.int64)), "times": pa.array(times)}
+            yield pa.RecordBatch.from_arrays([own.get(c, pa.nulls(k, kinds[c])) for c in names], names)
     return run
 
 
@@ -225,8 +228,6 @@ def _both(anchor: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 REMOVED = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-COVERED = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
-                     ("kept_sha256", pa.string()), ("removed", REMOVED), ("kept_text", pa.string()), ("text_hash", pa.int64())])
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -241,15 +242,13 @@ def _cut(raw: bytes, runs: list[dict]) -> str:
 
 
 def _cover(window: int, seed: int, with_text: bool):
-    """A block's result: words inside repeated windows, their runs, and the digest of the rest."""
+    """A block's result: words inside repeated windows, their runs, the digest of the rest, and the text without them."""
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return COVERED.empty_table()
         docs = docs.sort_by("row")
         texts = _text(docs)
         words, counts = split_words(texts)
         at, gone = offsets(counts), np.zeros(len(words), bool)
-        if told.num_rows:
+        if told.num_rows and docs.num_rows:
             anchor, hashes = _pairs(told["data"].to_pylist())
             found = Words(texts, window, seed)
             hit = found.starts[np.isin(_both(found.seeds[found.anchors], found.hashes), _both(anchor, hashes))]
@@ -259,36 +258,40 @@ def _cover(window: int, seed: int, with_text: bool):
             gone = np.cumsum(edge[:-1]) > 0
         total = offsets(gone)
         removed = total[at[1:]] - total[at[:-1]]
-        shas, runs, kept, keys = [], [], [], []
+        shas, runs, kept = [], [], []
         for i, text in enumerate(texts.to_pylist()):
             raw = (text or "").encode()
-            own, cuts, rest, key = raw.split(), [], None, None
+            own, cuts = raw.split(), []
             if removed[i]:
                 mask = gone[at[i]:at[i + 1]]
                 cuts = [{"first": a, "last": b - 1} for a, b in np.flatnonzero(np.diff(np.r_[0, mask, 0])).reshape(-1, 2).tolist()]
                 own = [w for w, m in zip(own, mask.tolist()) if not m]
-                if with_text:
-                    rest, key = _cut(raw, cuts), int(np.uint64(xxhash.xxh64_intdigest(raw, 42)).view(np.int64))
+            if with_text:
+                kept.append(_cut(raw, cuts) if cuts else text)
             shas.append(hashlib.sha256(b" ".join(own)).hexdigest())
             runs.append(cuts)
-            kept.append(rest)
-            keys.append(key)
-        return pa.Table.from_arrays([
-            docs["block"], docs["row"], docs["doc_id"], pa.array(counts), pa.array(removed), pa.array(shas), pa.array(runs, REMOVED),
-            pa.array(kept, pa.string()), pa.array(keys, pa.int64())], schema=COVERED)
+        out = {"doc_id": docs["doc_id"], "n_words": pa.array(counts), "n_removed": pa.array(removed), "kept_sha256": pa.array(shas, pa.string()),
+               "removed": pa.array(runs, REMOVED)}
+        if with_text:
+            out |= {"text": pa.array(kept, pa.string()), "rest": docs["rest"]}
+        return pa.table(out)
     return run
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with_text: bool = False) -> DataFrame:
-    """Result rows (see RESULT); kept_text and text_hash are given for changed rows where `with_text` is set."""
-    both = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_anchors(window, seed), STAGE), "anchors")
-    texts = both.where("anchor IS NULL").select("block", "row", "doc_id", "text")
+def repeats(docs: DataFrame, window: int, seed: int, with_text: bool) -> DataFrame:
+    """Result rows (see RESULT); with `with_text` also the text that is left and `rest`, a struct of the other columns."""
+    rest = [F.struct(*[c for c in docs.columns if c != "text"]).alias("rest")] if with_text else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)
+    carried = [T.StructField(f.name, f.dataType) for f in rows.schema]  # null in the rows of anchors
+    stage = T.StructType([*T.StructType.fromDDL(STAGE).fields, *carried])
+    both = staged(rows.mapInArrow(_anchors(window, seed), stage), "anchors")
+    texts = both.where("anchor IS NULL").drop("anchor", "times")
     anchors = both.where("anchor IS NOT NULL").select("anchor", "block", "times")
     again = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated_anchors, FOUND)
-    near = texts.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_windows(window, seed), WINDOWS)
+    near = texts.select("block", "text").groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_windows(window, seed), WINDOWS)
     found = near.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_repeated_windows, FOUND)
-    return (texts.groupBy("block").cogroup(found.groupBy("block"))
-            .applyInArrow(_cover(window, seed, with_text), RESULT))
+    result = T.StructType([*T.StructType.fromDDL(RESULT).fields, *([texts.schema["text"], texts.schema["rest"]] if with_text else [])])
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cover(window, seed, with_text), result)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -298,21 +301,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     else, in the same row too; windows are judged on the input. Two rows with one text lose all windows. A null or empty
     text has no words and the digest of nothing; a null doc_id stays null; an empty table gives none.
     """
-    return repeats(docs, window, seed).select("doc_id", "n_words", "n_removed", "kept_sha256", "removed")
+    return repeats(docs, window, seed, False)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """The rows of docs with repeated passages cut out of `text` (and `n_chars` set anew, if there); all rows stay.
 
-    Blanks after a removed run go with it. Rows are found again by doc_id and the hash of their text; rows that agree
-    in both lose the same words. Rows without removed words are not touched.
+    Blanks after a removed run go with it. Rows without removed words are not touched; rows are never joined by a key.
     """
-    changed = (repeats(docs, window, seed, True).where("n_removed > 0")
-               .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept_text").alias("__kept"))
-               .dropDuplicates(["__id", "__hash"]))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    out = docs.join(changed, same, "left")
-    new = F.col("__kept").isNotNull()
-    columns = {"text": F.coalesce("__kept", "text"), "n_chars": F.when(new, F.length("__kept")).otherwise(F.col("n_chars"))
-               if "n_chars" in docs.columns else None}
-    return out.select(*[columns[f.name].cast(f.dataType).alias(f.name) if columns.get(f.name) is not None else F.col(f.name) for f in docs.schema])
+    found = repeats(docs, window, seed, True)
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("rest.n_chars"))
+    return found.select(*[changed.get(f.name, F.col("rest").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema])

@@ -24,7 +24,7 @@ def test_substring_dedup(spark, monkeypatch, window, seed, group):
 def test_repeats_are_cut_out_of_the_text(spark):
     docs = cases.documents(spark)
     got = substrings.without_repeats(docs)
-    assert got.schema == docs.schema and got.count() == docs.count()
+    assert got.dtypes == docs.dtypes and got.count() == docs.count()
     found = cases.pairs(docs)
     want = sorted(x[2] for x in cases.without_windows([t for _, t in found], 35))
     assert sorted(hashlib.sha256(b" ".join(cases.words(t))).hexdigest() for _, t in cases.pairs(got)) == want
