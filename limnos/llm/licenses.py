@@ -1,9 +1,12 @@
 """License scans by patience alignment.
 
-A text is looked at in overlapping windows of twice a template's words, so any passage as long as the template lies
-whole in one of them. A window whose words can cover enough of the template at all (an exact bound) is aligned: words
-that occur once in both are anchors, the longest increasing run of them is kept, and the gaps between are aligned in
-the same way; a gap without anchors is matched from its two ends and then by the longest common subsequence.
+A passage is at most twice as long as its template, and every place of a text may begin one. Windows from each template
+word on whose words can cover enough of the template at all (an exact bound) are measured by the length of their longest
+common subsequence, in bits of whole numbers; a window that has enough is cut to the words that reach this length, so
+what is found does not depend on the place in the text. These passages are aligned: words that occur once in both are
+anchors, the longest increasing run of them is kept, and the gaps between are aligned in the same way; a gap without
+anchors is matched from its two ends and then by the longest common subsequence. Where anchors that cross cost words,
+the longest common subsequence of the whole passage is taken.
 """
 
 from __future__ import annotations
@@ -117,15 +120,58 @@ class _Template:
     def __init__(self, name: str, words: list[str], threshold: float):
         self.name, self.words, self.counts = name, words, Counter(words)
         self.least = max(1, int(np.ceil(round(threshold * len(words), 9))))
-
-    def windows(self, known: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, first, end): windows with enough words of the template; known: for each word of the block, if it is one."""
-        total, size = offsets(known), len(self.words)
-        for doc in np.flatnonzero(total[at[1:]] - total[at[:-1]] >= self.least).tolist():
-            first = np.arange(at[doc], max(at[doc] + 1, at[doc + 1] - size), size)
-            end = np.minimum(first + 2 * size, at[doc + 1])
-            for i in np.flatnonzero(total[end] - total[first] >= self.least).tolist():
-                yield doc, int(first[i]), int(end[i])
+        self.places = {w: sum(1 << k for k, x in enumerate(words) if x == w) for w in self.counts}
+        self.mirrored = {w: sum(1 << k for k, x in enumerate(reversed(words)) if x == w) for w in self.counts}
+
+    def _longest(self, words: Iterator[str], places: dict[str, int], enough: int) -> tuple[int, int]:
+        """(length, read): longest common subsequence, and the words read until it or `enough` was reached."""
+        full = (1 << len(self.words)) - 1
+        row, length, read = full, 0, 0
+        for k, w in enumerate(words, 1):
+            hit = row & places[w]
+            grown = row + hit
+            row = (grown | (row - hit)) & full
+            if grown > full:
+                length, read = length + 1, k
+                if length == enough:
+                    break
+        return length, read
+
+    def passages(self, words: list[str], places: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(first, end, matched) of words; places: where template words are; ends: for each, the end of its text."""
+        size, k = len(self.words), np.arange(len(places))
+        reach = np.searchsorted(places, np.minimum(places + 2 * size, ends))
+        near = np.flatnonzero(reach - k >= self.least)
+        held, enough, low, high, done, last = Counter(), 0, 0, 0, 0, None
+        for k, to in zip(near.tolist(), reach[near].tolist()):
+            if k >= high:
+                held.clear()
+                enough, low, high = 0, k, k
+            for w in (words[i] for i in places[low:k].tolist()):
+                held[w] -= 1
+                enough -= held[w] < self.counts[w]
+            for w in (words[i] for i in places[high:to].tolist()):
+                enough += held[w] < self.counts[w]
+                held[w] += 1
+            low, high = k, to
+            if enough < self.least or k < done:
+                continue
+            window = [words[i] for i in places[k:to].tolist()]
+            matched, read = self._longest(iter(window), self.places, size)
+            if matched < self.least:
+                continue
+            first = k + read - self._longest(reversed(window[:read]), self.mirrored, matched)[1]
+            if matched == size:
+                done = first + 1  # windows up to there have the same passage
+            found = int(places[first]), int(places[k + read - 1]) + 1, matched
+            if found != last:
+                yield found
+            last = found
+
+
+def _pairs(passage: list[str], template: list[str], matched: int) -> list[tuple[int, int]]:
+    pairs = align(passage, template)
+    return pairs if len(pairs) >= matched else _common(passage, template)
 
 
 def _scan(templates: list[tuple[str, str]], threshold: float):
@@ -140,13 +186,13 @@ def _scan(templates: list[tuple[str, str]], threshold: float):
             names = names.to_pylist()
             for template in made:
                 known = np.fromiter((w in template.counts for w in names), bool, len(names))[codes] if names else np.zeros(0, bool)
+                places = np.flatnonzero(known)
+                owner = np.searchsorted(at, places, "right") - 1
                 best: dict[int, tuple] = {}
-                for doc, first, end in template.windows(known, at):
-                    window = flat[first:end]
-                    if sum((Counter(window) & template.counts).values()) < template.least:
-                        continue
-                    pairs = align(window, template.words)
-                    if len(pairs) >= template.least and (doc not in best or len(pairs) > best[doc][0]):
+                for first, end, matched in template.passages(flat, places, at[owner + 1]):
+                    doc = int(np.searchsorted(at, first, "right")) - 1
+                    if doc not in best or matched > best[doc][0]:
+                        pairs = _pairs(flat[first:end], template.words, matched)
                         start = first - int(at[doc])
                         best[doc] = len(pairs), start + pairs[0][0], start + pairs[-1][0]
                 for doc, (matched, first, last) in best.items():
@@ -162,8 +208,8 @@ def default_templates(spark: SparkSession) -> DataFrame:
 def license_scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, license, coverage, n_licenses, found) of each row's whole text.
 
-    `found` has each template (license, text) that a passage covers to `threshold` or more, with the words of its best
-    passage (the first of equal ones); `license` is that of the greatest coverage, then of most words, then by name. A
+    `found` has each template (license, text) that a passage of at most twice its words covers to `threshold` or more,
+    in order, with the words of its best passage (the first of equal ones); `license` is that of the greatest coverage, then of most words, then by name. A
     null or empty text and one without a license have null and 0; a template without words is never found; a null name
     counts as empty; a null doc_id stays null; repeated rows stay; an empty table gives none.
     """

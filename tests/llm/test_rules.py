@@ -56,6 +56,44 @@ def test_align():
     assert licenses.align(list("abc"), list("abc")) == [(0, 0), (1, 1), (2, 2)]
 
 
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        for j, (before, y) in enumerate(zip(row[:], b), 1):
+            row[j] = before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def brute_force(words, template):
+    """Greatest number of template words in order in any window of twice the template's words."""
+    return max([common_length(words[i:i + 2 * len(template)], template) for i in range(len(words))], default=0)
+
+
+def test_license_at_every_place(spark):
+    text, size = "Licensed under the terms of the Apache License, Version 2.0", len(licenses.words_of(licenses.TEMPLATES["Apache-2.0"]))
+    notice = licenses.words_of(licenses.TEMPLATES["GPL-3.0-notice"])
+    marked = " ".join(w if k % 6 else f"dnl {w}" for k, w in enumerate(notice))
+    rows = [(k, f"{'x ' * k}{t} {'y ' * 100}", n) for n, t, m in (("Apache-2.0", text, size), ("GPL-3.0-notice", marked, len(notice))) for k in range(m)]
+    got = licenses.license_scan(spark.createDataFrame(rows, "k long, text string, name string").selectExpr("row_number() OVER (ORDER BY name, k) AS doc_id", "*")).collect()
+    want = sorted((n, k, t) for k, t, n in rows)
+    assert len(got) == len(want)
+    for r in got:
+        name, k, text = want[r["doc_id"] - 1]
+        assert (r["license"], r["coverage"]) == (name, 1.0), (name, k)
+        assert [x["first"] for x in r["found"] if x["license"] == name] == [k + ("dnl" in text)]
+
+
+def test_license_coverage_is_exact(spark):
+    r = random.Random(4)
+    template = "a b c a d e b f g a".split()
+    docs = [(k, " ".join(r.choice("abcdefgxy") for _ in range(r.randint(0, 60)))) for k in range(300)]
+    one = spark.createDataFrame([("t", " ".join(template))], "license string, text string")
+    got = {x["doc_id"]: x["coverage"] for x in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string"), one, 0.6).collect()}
+    best = {k: brute_force(t.split(), template) for k, t in docs}
+    assert got == {k: n / 10 if n >= 6 else 0.0 for k, n in best.items()}
+    assert len({*got.values()}) > 3
+
+
 def test_license_scan(spark):
     filler = " ".join(f"x{i}" for i in range(500))
     full = {n: t for n, t in licenses.TEMPLATES.items()}
