@@ -7,14 +7,18 @@ what is found does not depend on the place in the text. These passages are align
 anchors, the longest increasing run of them is kept, and the gaps between are aligned in the same way; a gap without
 anchors is matched from its two ends and then by the longest common subsequence. Where anchors that cross cost words,
 the longest common subsequence of the whole passage is taken.
+
+Names and version numbers of a template must match. Where passages of two templates overlap, one that leaves more of its
+own words unmatched than the other does there goes, so that a text counts as the nearest variant.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,29 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.llm.common import blocks, coded, offsets
+from limnos.llm.license_texts import TEMPLATES, must_match
 
 THRESHOLD = 0.9
 WORD = re.compile(r"[^\W_]+")
 #: Bytes of templates that may be sent to all tasks.
 TEMPLATE_BYTES = 8 << 20
 
-# License statements and notices as they are published.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
-                         "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-                    "following conditions are met",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-                      "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MIT": "Released under the MIT License",
-    "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-                  "documentation files (the \"Software\"), to deal in the Software without restriction",
-}
-
 FOUND = "array<struct<license:string,coverage:double,matched:int,first:int,last:int>>"
 FOUND_TYPE = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]))
 
@@ -117,8 +105,10 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
 
 
 class _Template:
-    def __init__(self, name: str, words: list[str], threshold: float):
-        self.name, self.words, self.counts = name, words, Counter(words)
+    def __init__(self, number: int, name: str, words: list[str], threshold: float):
+        self.number = number
+        self.name, self.words, self.counts, self.must = name, words, Counter(words), frozenset(must_match(words))
+        self.named = Counter(words[k] for k in self.must)
         self.least = max(1, int(np.ceil(round(threshold * len(words), 9))))
         self.places = {w: sum(1 << k for k, x in enumerate(words) if x == w) for w in self.counts}
         self.mirrored = {w: sum(1 << k for k, x in enumerate(reversed(words)) if x == w) for w in self.counts}
@@ -137,10 +127,11 @@ class _Template:
                     break
         return length, read
 
-    def passages(self, words: list[str], places: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(first, end, matched) of words; places: where template words are; ends: for each, the end of its text."""
-        size, k = len(self.words), np.arange(len(places))
-        reach = np.searchsorted(places, np.minimum(places + 2 * size, ends))
+    def passages(self, words: list[str], known: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(first, end, matched) of words; known: for each, if it is one of the template's; at: where the texts begin."""
+        size, total, places = len(self.words), offsets(known), np.flatnonzero(known)
+        k, ends = np.arange(len(places)), np.repeat(at[1:], total[at[1:]] - total[at[:-1]])
+        reach = total[np.minimum(places + 2 * size, ends)]
         near = np.flatnonzero(reach - k >= self.least)
         held, enough, low, high, done, last = Counter(), 0, 0, 0, 0, None
         for k, to in zip(near.tolist(), reach[near].tolist()):
@@ -169,34 +160,85 @@ class _Template:
             last = found
 
 
-def _pairs(passage: list[str], template: list[str], matched: int) -> list[tuple[int, int]]:
-    pairs = align(passage, template)
-    return pairs if len(pairs) >= matched else _common(passage, template)
+    def hits(self, words: list[str], known: np.ndarray, at: np.ndarray) -> Iterator[_Hit]:
+        """The best passages that do not overlap: of most matched words, then the shortest, then the first."""
+        group, reach = [], 0
+        for passage in self.passages(words, known, at):
+            if group and passage[0] >= reach:
+                yield from self._best(words, group)
+                group = []
+            group.append(passage)
+            reach = max(reach, passage[1])
+        yield from self._best(words, group)
+
+    def _best(self, words: list[str], group: list[tuple[int, int, int]]) -> Iterator[_Hit]:
+        taken: list[tuple[int, int]] = []
+        for first, end, matched in sorted(group, key=lambda x: (-x[2], x[1] - x[0], x[0])):
+            k = bisect_left(taken, (end, 0))
+            if k and taken[k - 1][1] > first or not self.named <= Counter(words[first:end]):
+                continue
+            for way in (align, _common):
+                pairs = way(words[first:end], self.words)
+                if len(pairs) >= matched and self.must <= {b for _, b in pairs}:
+                    insort(taken, (first, end))
+                    yield _Hit(self, first, end, [first + a for a, _ in pairs])
+                    break
+
+
+@dataclass
+class _Hit:
+    template: _Template
+    first: int
+    end: int
+    places: list[int]
+    nearer: bool = True
+
+    @property
+    def rank(self) -> tuple[int, int]:
+        return -len(self.places), self.end - self.first
+
+    def left(self, first: int, end: int) -> int:
+        """Words of a stretch that this one does not match."""
+        return end - first - (bisect_left(self.places, end) - bisect_left(self.places, first))
+
+    def yields_to(self, other: _Hit) -> bool:
+        mine, others = ((x.left(self.first, self.end), -len(x.places), len(x.template.words)) for x in (self, other))
+        return others < mine
+
+
+def _nearest(hits: list[_Hit]) -> list[_Hit]:
+    """Those that yield to no other one that they overlap, in the order of the text."""
+    hits = sorted(hits, key=lambda x: x.first)
+    for k, a in enumerate(hits):
+        for b in hits[k + 1:]:
+            if b.first >= a.end:
+                break
+            a.nearer, b.nearer = a.nearer and not a.yields_to(b), b.nearer and not b.yields_to(a)
+    return [x for x in hits if x.nearer]
 
 
 def _scan(templates: list[tuple[str, str]], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [_Template(name, words, threshold) for name, text in templates if (words := words_of(text))]
+        made = [_Template(k, name, words, threshold) for k, (name, text) in enumerate(templates) if (words := words_of(text))]
         for block in blocks(batches, "text"):
             each = [words_of(t) for t in block.column("text").to_pylist()]
             counts = np.fromiter(map(len, each), np.int64, len(each))
-            at, found = offsets(counts), [[] for _ in each]
+            at, found, hits = offsets(counts), [[] for _ in each], []
             flat = [w for words in each for w in words]
             codes, names = coded(pa.array(flat, pa.string()))
             names = names.to_pylist()
             for template in made:
                 known = np.fromiter((w in template.counts for w in names), bool, len(names))[codes] if names else np.zeros(0, bool)
-                places = np.flatnonzero(known)
-                owner = np.searchsorted(at, places, "right") - 1
-                best: dict[int, tuple] = {}
-                for first, end, matched in template.passages(flat, places, at[owner + 1]):
-                    doc = int(np.searchsorted(at, first, "right")) - 1
-                    if doc not in best or matched > best[doc][0]:
-                        pairs = _pairs(flat[first:end], template.words, matched)
-                        start = first - int(at[doc])
-                        best[doc] = len(pairs), start + pairs[0][0], start + pairs[-1][0]
-                for doc, (matched, first, last) in best.items():
-                    found[doc].append({"license": template.name, "coverage": matched / len(template.words), "matched": matched, "first": first, "last": last})
+                hits += template.hits(flat, known, at)
+            best: dict[tuple, _Hit] = {}
+            for hit in _nearest(hits):
+                key = int(np.searchsorted(at, hit.first, "right")) - 1, hit.template.number
+                if key not in best or hit.rank < best[key].rank:
+                    best[key] = hit
+            for (doc, _), hit in sorted(best.items()):
+                matched, start = len(hit.places), int(at[doc])
+                found[doc].append({"license": hit.template.name, "coverage": matched / len(hit.template.words), "matched": matched,
+                                   "first": hit.first - start, "last": hit.end - 1 - start})
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(counts), pa.array(found, FOUND_TYPE)], ["doc_id", "n_words", "found"])
     return run
 
@@ -209,8 +251,10 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, threshold:
     """(doc_id, n_words, license, coverage, n_licenses, found) of each row's whole text.
 
     `found` has each template (license, text) that a passage of at most twice its words covers to `threshold` or more,
-    in order, with the words of its best passage (the first of equal ones); `license` is that of the greatest coverage, then of most words, then by name. A
-    null or empty text and one without a license have null and 0; a template without words is never found; a null name
+    in order and with all names and version numbers, and that no overlapping passage of another template matches better
+    (fewer unmatched words there, then more words in all, then a shorter template), with the words of its best passage
+    (most matched words, then the shortest, then the first). `license` is that of the greatest coverage, then of most
+    words, then by name. A null or empty text and one without a license have null and 0; a template without words is never found; a null name
     counts as empty; a null doc_id stays null; repeated rows stay; an empty table gives none.
     """
     templates = default_templates(docs.sparkSession) if templates is None else templates

@@ -94,6 +94,31 @@ def test_license_coverage_is_exact(spark):
     assert len({*got.values()}) > 3
 
 
+VARIANTS = [
+    ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 1", None),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0-notice"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 2.0 International License", None),
+    ("Released under the Foo License", None),
+    (licenses.TEMPLATES["GPL-3.0-notice"].replace("General", "Lesser General"), "LGPL-3.0-notice"),
+    (licenses.TEMPLATES["GPL-3.0-notice"].replace("3", "2"), "GPL-2.0-notice"),
+    (licenses.TEMPLATES["Apache-2.0-notice"].replace("this file", "these files"), "Apache-2.0-notice"),
+]
+
+
+def test_license_variants(spark):
+    whole = [(t, n) for n, t in licenses.TEMPLATES.items()]
+    assert {"GPL-2.0", "LGPL-2.1", "CC-BY-SA-4.0", "BSD-3-Clause", "BSD-4-Clause", "MPL-2.0", "ISC", "CC0-1.0"} <= {n for _, n in whole}
+    lesser = f"{VARIANTS[6][0]} {'x ' * 200} {licenses.TEMPLATES['GPL-3.0-notice'].replace('redistribute', 'share')}"
+    rows = [(k, f"x x {t} y y") for k, (t, _) in enumerate(VARIANTS + whole)] + [(1000, lesser)]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (text, name) in enumerate(VARIANTS + whole):
+        assert {x["license"] for x in got[k]["found"]} == ({name} if name else set()), (text, got[k]["found"])
+        assert got[k]["license"] == name
+    assert {x["license"] for x in got[1000]["found"]} == {"LGPL-3.0-notice", "GPL-3.0-notice"}
+
+
 def test_license_scan(spark):
     filler = " ".join(f"x{i}" for i in range(500))
     full = {n: t for n, t in licenses.TEMPLATES.items()}
