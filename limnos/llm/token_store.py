@@ -8,6 +8,7 @@ the vocabulary has more than 65,536 entries). The last id of each frame is the e
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ HEAD = np.dtype([("key", "<i8"), ("n", "<u4"), ("null", "<u4")])
 BUCKET_KEYS = 50_000
 PER_SLOT = 2.0
 LEVELS = 24
+#: Frames of one run that a lookup reads at once.
+STRETCH = 4096
 ENTRY = "key long, none boolean, shard long, offset long, docs_before long, docs long"
 INDEX = "bucket int, levels binary, slots binary, left binary"
 SLOT = np.dtype([("print", "<u4"), ("shard", "<i8"), ("offset", "<i8"), ("before", "<i8"), ("docs", "<i8")])
@@ -56,10 +59,13 @@ def _frames(tokenizer: str):
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str) -> int:
-    """Write the frames of all rows in ascending doc_id order (nulls first); returns the bytes of an id."""
+    """Write the frames of all rows in ascending doc_id order (nulls first); returns the bytes of an id.
+
+    A hash of the row's number lets a range end between rows that share both id and text.
+    """
     item = encoder(tokenizer).dtype.itemsize
-    (docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("__tie"))
-     .repartitionByRange("doc_id", "__tie").sortWithinPartitions("doc_id", "__tie").select("doc_id", "text")
+    (docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("__tie"), F.xxhash64(F.monotonically_increasing_id()).alias("__row"))
+     .repartitionByRange("doc_id", "__tie", "__row").sortWithinPartitions("doc_id", "__tie").select("doc_id", "text")
      .mapInArrow(_frames(tokenizer), "value binary").select(F.col("value").cast("string"))
      .write.option("lineSep", END_ID.to_bytes(item, "little").decode("latin-1")).text(path))
     return item
@@ -73,11 +79,11 @@ def _shards(spark: SparkSession, path: str) -> DataFrame:
 
 def _parse(content: np.ndarray, item: int, at: int = 0, docs: int | None = None) -> np.ndarray:
     """(place of the head, key, n, null) of each frame from `at` on."""
-    out = []
+    out = array("q")
     view = memoryview(content)
     while at < len(content) and docs != 0:
         key, n, none = np.frombuffer(view, HEAD, 1, at)[0].tolist()
-        out.append((at, key, n, none))
+        out.extend((at, key, n, none))
         at += HEAD.itemsize + n * item
         docs = None if docs is None else docs - 1
     return np.array(out, np.int64).reshape(-1, 4)
@@ -239,23 +245,26 @@ def _read(item: int):
     dtype = np.dtype(f"<u{item}")
 
     def run(places: pa.Table, shard: pa.Table) -> pa.Table:
-        columns = {"doc_id": [], "before": [], "n": [], "crc": []}
+        columns = {c: array("q") for c in ("doc_id", "none", "before", "n", "crc")}
         if places.num_rows and shard.num_rows:
             content = _content(shard["content"].combine_chunks() if isinstance(shard["content"], pa.ChunkedArray)
                                and shard["content"].num_chunks != 1 else shard["content"].chunk(0), 0)
             for place in places.to_pylist():
-                frames = _parse(content, item, place["offset"], place["docs"])
-                wanted = (0 if place["none"] else place["key"], place["none"])
-                for nth, (at, key, n, none) in enumerate(frames.tolist()):
-                    if (key, none == 1) != wanted:
+                wanted, end = (0 if place["none"] else place["key"], int(place["none"])), place["offset"]
+                for nth in range(place["docs"]):
+                    if nth % STRETCH == 0:
+                        frames = _parse(content, item, end, min(STRETCH, place["docs"] - nth)).tolist()
+                    at, key, n, none = frames[nth % STRETCH]
+                    if (key, none) != wanted:
                         break  # a strange key that had a known fingerprint
-                    ids = content[at + HEAD.itemsize:at + HEAD.itemsize + n * item].view(dtype)
-                    columns["doc_id"].append(None if none else key)
-                    columns["before"].append((at - HEAD.itemsize * (place["docs_before"] + nth)) // item)
-                    columns["n"].append(n)
-                    columns["crc"].append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    end = at + HEAD.itemsize + n * item
+                    ids = content[at + HEAD.itemsize:end].view(dtype)
+                    values = key, none, (at - HEAD.itemsize * (place["docs_before"] + nth)) // item, n, zlib.crc32(ids.astype("<u4").tobytes())
+                    for column, value in zip(columns.values(), values):
+                        column.append(value)
+        columns = {c: np.array(v, np.int64) for c, v in columns.items()}
         shards = pa.nulls(0, pa.int64()) if not places.num_rows else pa.array([places["shard"][0].as_py()] * len(columns["n"]), pa.int64())
-        return pa.table({"doc_id": pa.array(columns["doc_id"], pa.int64()), "shard": shards,
+        return pa.table({"doc_id": pa.array(columns["doc_id"], pa.int64(), mask=columns["none"] == 1), "shard": shards,
                          "before": pa.array(columns["before"], pa.int64()), "n_tokens": pa.array(columns["n"], pa.int64()),
                          "ids_crc32": pa.array(columns["crc"], pa.int64())})
     return run

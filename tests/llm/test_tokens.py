@@ -87,6 +87,22 @@ def test_token_store(spark):
     assert token_store.token_store(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_share_no_shard(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "STRETCH", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, IF(id % 3 = 1, 5, id)) AS doc_id", "IF(id % 3 < 2, 'same text', concat('text ', id)) AS text")
+        store = token_store.write_store(docs, str(tmp_path / "store"))
+        token_store.write_shards(docs.where("doc_id = 5"), str(tmp_path / "one"), token_store.tokenizer_path())
+        sizes = [p.stat().st_size for p in (tmp_path / "one").glob("part-*")]
+        assert max(sizes) < 0.6 * sum(sizes), sizes
+        got = sorted(token_store.lookup(store, docs.select("doc_id")).collect(), key=lambda r: r["start"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["doc_id"] for r in got] == [None] * 1000 + sorted([5 if i % 3 == 1 else i for i in range(3000) if i % 3])
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+
+
 def test_unknown_keys_give_no_row(spark, tmp_path):
     docs = cases.documents(spark).where("doc_id IS NOT NULL")
     store = token_store.write_store(docs, str(tmp_path / "store"))
