@@ -1,9 +1,11 @@
 """Exact substring dedup over all documents by seed and extend.
 
 Seeds are winnowed anchors: of each run of `window - seed + 1` consecutive word seeds the least hash is picked, so two
-equal windows pick the same anchor at the same place. Documents meet on anchors that occur more than once; around
-these the match is extended word by word to both sides as far as the window length allows, by comparing hashes of the
-windows that picked the anchor. Repeated windows that overlap make up the maximal repeats over the threshold.
+equal windows pick the same anchor at the same place. Documents meet on anchors that occur more than once. In place of
+extending a match word by word, the whole windows that picked the anchor are counted by 63 bits of their hash, as pairs
+of occurrences would grow with the square of a common anchor. Every part of `window` words of a longer repeat is itself
+a repeated window, so the union of repeated windows has the words that extension would give; the repeats as such, and
+which occurrences belong to each, are not made.
 """
 
 from __future__ import annotations
