@@ -116,8 +116,8 @@ def window_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters:
     return at[order], value[order]
 
 
-def _hot(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: CharClass) -> list[tuple[int, int, float]]:
-    """(start, end, highest entropy) of the stretches that windows at or over the limit cover."""
+def _hot(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: CharClass) -> list[tuple[int, int, float, int]]:
+    """(start, end, highest entropy, run) of the stretches that windows at or over the limit cover."""
     if not len(starts):
         return []
     at, sums = window_sums(data, starts, ends, kind.letters, kind.window)
@@ -153,14 +153,15 @@ def _scan(raw: bytes, data: np.ndarray, rows: np.ndarray, may_assign: np.ndarray
     out += [(row_of(a), a, b, "hex", None) for a, b in zip(*(x.tolist() for x in runs(data, rows, DIGITS + "abcdef", HEX_LEAST)))]
     for name, kind in classes.items():
         starts, ends = runs(data, rows, kind.letters, kind.window)
-        found = []
+        found, seen, row, free = [], -1, 0, False
         for a, b, bits, run in _hot(data, starts, ends, kind):
-            row, head, tail = row_of(a), int(starts[run]), int(ends[run])
-            if allowed and allowed.fullmatch(raw, head, tail):
-                continue
-            if before and before.search(raw[max(int(rows[row]), head - BEFORE_BYTES):head]):
-                continue
-            found.append((row, a, b, name, bits))
+            if run != seen:  # a candidate is held against the allow-list once
+                seen, head = run, int(starts[run])
+                row = row_of(head)
+                free = bool((allowed and allowed.fullmatch(raw, head, int(ends[run])))
+                            or (before and before.search(raw[max(int(rows[row]), head - BEFORE_BYTES):head])))
+            if not free:
+                found.append((row, a, b, name, bits))
         out = _merged(out, found)
     return out
 
