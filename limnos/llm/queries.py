@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from limnos.llm import chat, decontaminate, licenses, packing, quality, secrets, simhash, substrings, token_counts, token_store, warc
+from limnos.llm import align, chat, decontaminate, licenses, packing, quality, secrets, simhash, substrings, token_counts, token_store, warc
 from limnos.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -74,3 +74,8 @@ def _(spark, sf_dir):
 @query("op12_secret_scan")
 def _(spark, sf_dir):
     return secrets.digests(secrets.secret_scan(table(spark, sf_dir, "documents")))
+
+
+@query("op11_alignment")
+def _(spark, sf_dir):
+    return align.alignment(table(spark, sf_dir, "documents"))
