@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from limnos.llm import align, chat, decontaminate, licenses, packing, quality, secrets, simhash, substrings, token_counts, token_store, warc
+from limnos.llm import align, chat, decontaminate, licenses, packing, quality, secrets, simhash, substrings, token_counts, token_store, trie, warc
 from limnos.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -79,3 +79,8 @@ def _(spark, sf_dir):
 @query("op11_alignment")
 def _(spark, sf_dir):
     return align.alignment(table(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_trie", trie.ORACLE)
+def _(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
