@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -199,81 +198,6 @@ def permanova_pairs(distances: DataFrame, labels: DataFrame, site: str, group: s
     return one.join(p, F.lit(True))
 
 
-def _design(rows: DataFrame, terms: Sequence[str], prefix: str) -> tuple[DataFrame, list[list[str]]]:
-    """Indicator columns of each term ("a" or "a:b"), and their names; a term has few levels."""
-    names = []
-    for i, term in enumerate(terms):
-        value = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(term.split(":"))]), {"ignoreNullFields": "false"})
-        levels = sorted(r[0] for r in rows.select(value).distinct().collect())
-        own = [f"{prefix}{i}_{k}" for k in range(len(levels))]
-        rows = rows.withColumns({name: (value == level).cast("double") for name, level in zip(own, levels)})
-        names.append(own)
-    return rows, names
-
-
-def _quadratic(rows: DataFrame, columns: list[str]) -> np.ndarray:
-    """Matrix of sums over all ordered pairs of sites of q_i q_j times the squared Bray distance, for columns q that sum to 0.
-
-    Taxon pairs bring the sums of q by richness together; each task adds up its own matrix, which is as wide as the columns.
-    """
-    own = F.transform("taxa", lambda s, i: F.struct(s.alias("s"), F.slice("taxa", i + 1, F.size("taxa")).alias("t")))
-    each = rows.select("n", *columns, F.explode(own).alias("__p")).select("n", *columns, F.col("__p.s").alias("__s"), F.explode("__p.t").alias("__t"))
-    level = each.groupBy("__s", "__t", "n").agg(*[F.sum(c).alias(c) for c in columns])
-    packed = level.groupBy("__s", "__t").agg(F.collect_list("n").alias("n"), F.collect_list(F.array(*columns)).alias("q"))
-    width = len(columns)
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width))
-        for batch in batches:
-            for same, n, q in zip(batch["same"], batch["n"], batch["q"]):
-                q, n = np.stack(q), np.asarray(n, float)
-                both = n[:, None] + n[None, :]
-                total += q.T @ ((-4 / both + 4 / both ** 2) if same else 8 / both ** 2) @ q
-        yield pd.DataFrame({"at": np.arange(width * width), "v": total.ravel()})
-
-    parts = packed.select((F.col("__s") == F.col("__t")).alias("same"), "n", "q").mapInPandas(sums, "at int, v double")
-    out = np.zeros(width * width)
-    for r in parts.groupBy("at").agg(F.sum("v").alias("v")).collect():  # columns x columns numbers
-        out[r["at"]] = r["v"]
-    return out.reshape(width, width)
-
-
-def permanova_terms(sets: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Sequential PERMANOVA of Bray distances on several labels: ["water", "cluster", "cluster:season"], say.
-
-    The first term may have any number of levels: its sum of squares comes from sums inside its groups. The later terms
-    have few levels; their indicators, less their means inside the first term's groups, make one small matrix of sums
-    over all pairs, and only that comes to the driver. Jaccard distances have no such sums; see `permanova_pairs`.
-    """
-    spark = sets.sparkSession
-    first = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(terms[0].split(":"))]), {"ignoreNullFields": "false"})
-    rows, names = _design(sets.where("n > 0").withColumn("__g", first), terms[1:], "__d")
-    columns = [c for own in names for c in own]
-    rows = checkpointed(rows.select("__g", "n", "taxa", *columns))
-    one = permanova(rows, "__g").first()
-    n, levels, total = one["sites"], one["groups"], one["ss_total"]
-    out = [(terms[0], levels - 1, total - one["ss_within"])]
-    if columns:
-        means = rows.groupBy("__g").agg(*[F.avg(c).alias(f"__m{c}") for c in columns])
-        centred = rows.join(means, "__g").select("n", "taxa", *[(F.col(c) - F.col(f"__m{c}")).alias(c) for c in columns])
-        cross = centred.agg(*[F.sum(F.col(a) * F.col(b)) for i, a in enumerate(columns) for b in columns[i:]]).first()
-        gram = np.zeros((len(columns),) * 2)
-        gram[np.triu_indices(len(columns))] = [v or 0.0 for v in cross]
-        gram = np.triu(gram) + np.triu(gram, 1).T
-        form, base, rank, width = -0.5 * _quadratic(centred, columns), 0.0, 0, 0
-        for term, own in zip(terms[1:], names):
-            width += len(own)
-            values, vectors = np.linalg.eigh(gram[:width, :width])
-            good = values > 1e-9 * max(1.0, values.max(initial=0.0))
-            scaled = vectors[:, good] / np.sqrt(values[good])
-            now, now_rank = float(np.trace(scaled.T @ form[:width, :width] @ scaled)), int(good.sum())
-            out.append((term, now_rank - rank, now - base))
-            base, rank = now, now_rank
-    residual, df = float(total - sum(r[2] for r in out)), int(n - 1 - sum(r[1] for r in out))
-    table = [(t, int(k), float(ss), float(ss / total), float((ss / k) / (residual / df)) if k and df else None) for t, k, ss in out]
-    return spark.createDataFrame([*table, ("residual", df, residual, float(residual / total), None)], "term string, df int, ss double, r2 double, f double")
-
-
 def simper(presence: DataFrame, site: str, taxon: str, cluster: str) -> DataFrame:
     """(cluster1, cluster2, taxon, average, cusum): contributions of taxa to Bray distances between clusters.
 

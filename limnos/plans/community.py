@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from limnos.operators import community as K
 from limnos.operators import dissimilarity as S
+from limnos.operators import permanova as A
 from limnos.plans.registry import registry
 from limnos.sources import domain as D
 
@@ -237,13 +238,13 @@ def _season_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("permanova_nested", _SETS)
 def permanova_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.permanova_terms(_season_sets(spark, sf_dir), ["cluster", "cluster:MONTH"])
+    out = A.permanova_terms(_season_sets(spark, sf_dir), ["cluster", "cluster:MONTH"])
     return out.select("term", "df", F.round("ss", 6).alias("ss"), F.round("r2", 8).alias("r2"), F.round("f", 6).alias("f"))
 
 
 @query("permanova_terms")
 def permanova_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.permanova_terms(_season_sets(spark, sf_dir), ["WATER", "cluster", "MONTH"])
+    return A.permanova_terms(_season_sets(spark, sf_dir), ["WATER", "cluster", "MONTH"])
 
 
 _SIMPER = _FALL + """,

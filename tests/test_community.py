@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from limnos.operators import community as K
 from limnos.operators import dissimilarity as S
 from limnos.operators import ordination as O
+from limnos.operators import permanova as A
 
 
 def random_presence(n=24, p=9, seed=0, groups=("a", "b", "c")):
@@ -85,7 +86,7 @@ def test_permanova_terms_equals_projection(spark):
     df = as_frame(spark, x, labels)
     seasons = spark.createDataFrame([(i, str(season[i])) for i in range(30)], "site int, season string")
     sets = S.site_sets(df.join(seasons, "site"), ["site", "cluster", "season"], "taxon")
-    got = {r.term: r for r in S.permanova_terms(sets, ["cluster", "season", "cluster:season"]).collect()}
+    got = {r.term: r for r in A.permanova_terms(sets, ["cluster", "season", "cluster:season"]).collect()}
     c = np.eye(30) - 1 / 30
     g = -0.5 * c @ bray(x) ** 2 @ c
     a = (np.array(labels)[:, None] == np.unique(labels)).astype(float)
@@ -140,7 +141,7 @@ def test_missing_taxa_are_a_taxon_and_names_may_clash(spark):
     want = S.permanova(S.site_sets(plain, ["site", "cluster"], "taxon"), "cluster").first()
     sets = S.site_sets(df, ["s", "c"], "n").withColumnRenamed("n", "k").withColumnRenamed("k", "n")
     assert S.permanova(sets, "c").first().f == pytest.approx(want.f)
-    terms = {r.term: r.ss for r in S.permanova_terms(sets, ["c"]).collect()}
+    terms = {r.term: r.ss for r in A.permanova_terms(sets, ["c"]).collect()}
     assert terms["c"] == pytest.approx(want.ss_total - want.ss_within)
     a = {(r.cluster1, r.cluster2, r.taxon or "t2"): r.average for r in S.simper(plain, "site", "taxon", "cluster").collect()}
     b = {(r.cluster1, r.cluster2, r.n or "t2"): r.average for r in S.simper(df, "s", "n", "c").collect()}
