@@ -11,16 +11,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.functions import columns as C
 from limnos.operators.dissimilarity import choose_landmarks, presence_distance, site_sets
+from limnos.operators.permutations import codes_of, label_codes, permutation_p, with_ranks
 from limnos.operators.reshape import natural_join
-from limnos.session import checkpointed
+from limnos.session import checkpointed, cores
 
 
 # Printed names of environmental variables, and variables left out of the printed table.
@@ -208,71 +210,76 @@ def convex_hull(points: DataFrame, group: str, x: str, y: str) -> DataFrame:
 
 # --- permutations --------------------------------------------------------------------------------
 
-def permuted_ranks(sites: DataFrame, site: str, perms: int, seed: int, blocks: Sequence[str] = (), first: int = 1) -> DataFrame:
-    """(perm, blocks, site, rank): 0-based rank of each site in permutations first .. perms, within its block.
+#: Permutations whose sums travel in one row, sites that are moved at once, and places of a task's table.
+PERM_CHUNK = 32
+SITE_BATCH = 256
+PLACES = 1 << 20
 
-    Ranks follow a hash of (seed, perm, site), so they do not depend on the partitioning. Sites are ranked inside
-    hash ranges of about 8,192 sites and the ranges are put together by their counts: no task holds a whole permutation.
-    """
-    keys = ["perm", *blocks]
-    bits = max(1, (sites.count() >> 13).bit_length() + 1)
-    rows = sites.select(site, *blocks).withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(perms))))
-    h = F.xxhash64(F.lit(seed), F.col("perm"), F.col(site).cast("string"))
-    rows = rows.withColumns({"__h": h, "__b": F.shiftright(h, 64 - bits)})
-    counts = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    offsets = counts.select(*keys, "__b", (F.sum("__c").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__c")).alias("__o"))
-    ranked = natural_join(rows, offsets, "inner", [*keys, "__b"])
-    inside = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__h", site))
-    return ranked.select(*keys, site, (F.col("__o") + inside - 1).alias("rank"))
-
-
-def permuted_labels(labels: DataFrame, site: str, group: str, perms: int, seed: int, blocks: Sequence[str] = (),
-                    ranks: DataFrame | None = None) -> DataFrame:
-    """(perm, site, group): labels shuffled among the sites (of a block), group sizes kept; perm 0 as given.
-
-    `ranks` (perm, blocks, site, rank), perm from 1, takes the place of drawn permutations.
-    """
-    blocks = list(blocks)
-    sizes = labels.groupBy(*blocks, group).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*blocks).orderBy(group) if blocks else Window.orderBy(group)  # one row per group
-    stop = F.sum("__c").over(w)
-    spans = sizes.select(*blocks, F.struct(stop.alias("stop"), F.col(group).alias("label")).alias("s"))
-    ranks = permuted_ranks(labels, site, perms, seed, blocks) if ranks is None else ranks
-    if blocks:
-        ranks = natural_join(ranks, spans.groupBy(*blocks).agg(F.array_sort(F.collect_list("s")).alias("__s")), "inner", blocks)
-    else:
-        ranks = ranks.withColumn("__s", spans.agg(F.array_sort(F.collect_list("s"))).scalar())
-    label = F.filter("__s", lambda s: s["stop"] > F.col("rank"))[0]["label"]
-    given = labels.select(F.lit(0).alias("perm"), site, group)
-    return given.unionByName(ranks.select("perm", site, label.alias(group)))
 
+def _chunks(sums: np.ndarray) -> pa.RecordBatch:
+    """Rows (part, w) of sums whose first index is the permutation."""
+    parts = [sums[i:i + PERM_CHUNK] for i in range(0, len(sums), PERM_CHUNK)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "w"])
 
-def permutation_p(values: DataFrame, statistic: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, statistic, p): p = (1 + permuted values at least the observed) / (1 + permutations); perm 0 is observed."""
-    tolerance = 1e-12
-    observed = values.where("perm = 0").select(*keys, F.col(statistic).alias("__o"))
-    rows = values.where("perm > 0")
-    rows = natural_join(rows, observed, "inner", keys) if keys else rows.withColumn("__o", observed.select("__o").scalar())
-    return rows.groupBy(*keys).agg(
-        F.max("__o").alias(statistic),
-        ((F.sum((F.col(statistic) >= F.col("__o") - tolerance).cast("long")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+
+def _by_chunk(rows: DataFrame, shape: tuple[int, ...], statistic, schema: str) -> DataFrame:
+    """Add up the rows of `_chunks` and give statistic(first permutation, sums) as rows of the schema."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, None
+        for batch in batches:
+            for number, w in zip(batch.column("part").to_pylist(), batch.column("w").to_pylist()):
+                now = np.frombuffer(w).reshape(-1, *shape)
+                if number == part:
+                    total = total + now
+                else:
+                    if part is not None:
+                        yield statistic(part * PERM_CHUNK, total)
+                    part, total = number, now
+        if part is not None:
+            yield statistic(part * PERM_CHUNK, total)
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def permanova_coordinates(coords: DataFrame, site: str, axis: Sequence[str], group: str, perms: int = 999, seed: int = 1,
                           blocks: Sequence[str] = (), ranks: DataFrame | None = None) -> DataFrame:
-    """(f, p) of a grouping in ordination space, labels permuted (within blocks): sums per permutation and group only."""
-    shuffled = permuted_labels(coords, site, group, perms, seed, blocks, ranks)
-    rows = natural_join(shuffled, coords.select(site, *axis), "inner", [site])
-    sums = rows.groupBy("perm", group).agg(
-        F.count(F.lit(1)).alias("k"), *[F.sum(a).alias(a) for a in axis],
-        F.sum(sum((F.col(a) * F.col(a) for a in axis[1:]), F.col(axis[0]) * F.col(axis[0]))).alias("sq"))
-    square = lambda c: F.col(c) * F.col(c)
-    inner = sum((square(a) for a in axis[1:]), square(axis[0])) / F.col("k")
-    per = sums.groupBy("perm").agg(F.sum("sq").alias("sq"), F.sum(inner).alias("between0"), F.sum("k").alias("n"),
-                                   F.count(F.lit(1)).alias("g"), *[F.sum(a).alias(a) for a in axis])
-    mean = sum((square(a) for a in axis[1:]), square(axis[0])) / F.col("n")
-    f = ((F.col("between0") - mean) / (F.col("g") - 1)) / ((F.col("sq") - F.col("between0")) / (F.col("n") - F.col("g")))
-    return permutation_p(per.select("perm", f.alias("f")), "f")
+    """(f, p) of a grouping in ordination space, labels permuted (within blocks).
+
+    A task finds its sites' labels in all permutations and adds up their coordinates per permutation and group; groups are few.
+    `ranks` (perm, site, rank), perm from 1, takes the place of drawn permutations.
+    """
+    keys = [f"__b_{b}" for b in blocks]
+    complete = coords.dropna(subset=list(axis))
+    rows = complete.select(F.col(site).alias("__site"), F.col(group).alias("__group"), *[F.col(b).alias(k) for b, k in zip(blocks, keys)],
+                           F.array(*[F.col(a).cast("double") for a in axis]).alias("__x"))
+    rows, how = with_ranks(rows, "__site", perms, seed, keys, None if ranks is None else ranks.withColumnRenamed(site, "__site"))
+    rows, labels = label_codes(rows, F.col("__group"), keys)
+    middle = [m or 0.0 for m in complete.agg(*[F.avg(a) for a in axis]).first()]
+    groups, width = len(labels), len(axis) + 2
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((how.perms + 1, groups, width))
+        for batch in batches:
+            for i in range(0, batch.num_rows, SITE_BATCH):
+                part = batch.slice(i, SITE_BATCH)
+                x = part.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1) - middle
+                x = np.column_stack([np.ones(len(x)), (x * x).sum(axis=1), x])
+                codes = codes_of(how.of(part.column("__ranks")), part.column("__code"), part.column("__stops"))
+                for g in range(groups):
+                    sums[:, g] += (codes == g).T.astype(float) @ x
+        yield _chunks(sums)
+
+    def ratio(first: int, sums: np.ndarray) -> pa.RecordBatch:
+        n, square, total = sums[..., 0], sums[..., 1].sum(axis=1), sums[..., 2:].sum(axis=1)
+        between = ((sums[..., 2:] ** 2).sum(axis=2) / np.maximum(n, 1)).sum(axis=1) - (total ** 2).sum(axis=1) / n.sum(axis=1)
+        whole = square - (total ** 2).sum(axis=1) / n.sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            f = (between / (groups - 1)) / ((whole - between) / (n.sum(axis=1) - groups))
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(f)), pa.int32()), pa.array(f, from_pandas=True)], ["perm", "f"])
+
+    laid = rows.select("__x", "__ranks", "__code", "__stops").repartition(cores(rows), F.xxhash64("__x"))
+    found = _by_chunk(laid.mapInArrow(add, "part int, w binary"), (groups, width), ratio, "perm int, f double")
+    return permutation_p(checkpointed(found), "f")
 
 
 def _fit_sums(rows: DataFrame, keys: Sequence[str], x: str, y: str, v: str) -> DataFrame:
@@ -294,61 +301,94 @@ def envfit(coords: DataFrame, env: DataFrame, site: str, x: str, y: str, metric:
            perms: int = 0, seed: int = 1, ranks: DataFrame | None = None) -> DataFrame:
     """(metric, r2, a1, a2[, p]): fit of each environmental variable (long form) to the first two axes.
 
-    `ranks` (perm, site, rank) takes the place of drawn permutations: perm 0 numbers the sites, and in a permutation a site
-    takes the place of the site whose number is its rank.
+    A site may have a variable several times or not at all; its values go together when sites are permuted. `ranks` (perm, site, rank)
+    takes the place of drawn permutations: perm 0 numbers the sites, and in a permutation a site takes the place of the
+    site whose number is its rank; every site with values and coordinates must be in every permutation.
     """
     rows = natural_join(env, coords.select(site, x, y), "inner", [site])
     fit = _fit_sums(rows, [metric], x, y, value)
     if not perms and ranks is None:
         return fit
-    if ranks is None:
-        ranks = permuted_ranks(rows.select(site).distinct(), site, perms, seed, first=0)
-    home = ranks.where("perm = 0").select("rank", F.col(site).alias("__from"))
-    moved = ranks.where("perm > 0").join(home, "rank").select("perm", site, "__from")
-    moved = moved.join(coords.select(F.col(site).alias("__from"), x, y), "__from")
-    again = _moved_fits(moved, env, site, x, y, metric, value)
-    both = again.unionByName(fit.select(F.lit(0).alias("perm"), metric, "r2"))
+    fit = checkpointed(fit)
+    names = sorted(r[0] for r in fit.select(metric).collect())  # the variables, as many as columns
+    again = _permuted_fits(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()), names, site, x, y, metric, value, perms, seed, ranks)
+    both = checkpointed(again).unionByName(fit.select(F.lit(0).alias("perm"), metric, "r2"))
     return natural_join(fit, permutation_p(both, "r2", [metric]).select(metric, "p"), "left", [metric])
 
 
-def _moved_fits(moved: DataFrame, env: DataFrame, site: str, x: str, y: str, metric: str, value: str) -> DataFrame:
-    """(perm, metric, r2): fits of all variables to all permutations of the places (perm, site, x, y).
+def _permuted_fits(rows: DataFrame, names: list, site: str, x: str, y: str, metric: str, value: str, perms: int, seed: int,
+                   ranks: DataFrame | None) -> DataFrame:
+    """(perm, metric, r2): fits of all variables with the sites' places permuted.
 
-    A site carries its places in all permutations and its variables as arrays; a task multiplies the two, so no row is
-    made for a site, permutation and variable. A missing value leaves its site out of the sums of that variable.
+    A site has three numbers per variable (values, their sum and square sum), so repeated and missing values count as in the
+    plain fit. Blocks of sites meet chunks of places; a task looks up its sites' places in all permutations and multiplies, so
+    no row is made for a site and permutation.
     """
-    perms = sorted(r[0] for r in moved.select("perm").distinct().collect())
-    names = sorted(r[0] for r in env.select(metric).distinct().collect())  # the variables, as many as columns
-    places = F.array_sort(F.collect_list(F.struct("perm", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
-    left = moved.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(site).agg(places.alias("p"))
-    wide_env = env.groupBy(site).pivot(metric, names).agg(F.first(value)).select(site, F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("v"))
-    both = left.join(wide_env, site).where(F.size("p") == len(perms)).select(F.col("p.x").alias("x"), F.col("p.y").alias("y"), "v")
-    shape = len(perms), len(names)
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((10, *shape))
-        for batch in batches:
-            for first in range(0, len(batch), 1024):
-                part = batch.iloc[first:first + 1024]
-                px, py, v = (np.stack(part[c].to_numpy()).astype(float) for c in ("x", "y", "v"))
-                there = (~np.isnan(v)).astype(float)
-                v = np.nan_to_num(v)
-                ones = np.ones_like(px)
-                for i, (a, b) in enumerate(((ones, there), (px, there), (py, there), (ones, v), (px * px, there), (py * py, there),
-                                            (px * py, there), (ones, v * v), (px, v), (py, v))):
-                    sums[i] += a.T @ b
-        i, j = np.indices(shape)
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), **{f"s{k}": sums[k].ravel() for k in range(10)}})
-
-    total = both.mapInPandas(add, "i int, j int, " + ", ".join(f"s{k} double" for k in range(10))).groupBy("i", "j").agg(
-        *[F.sum(f"s{k}").alias(f"s{k}") for k in range(10)])
-    n, sx, sy, sv, xx, yy, xy, vv, xv, yv = (F.col(f"s{k}") for k in range(10))
-    part = total.select("i", "j", (xx - sx * sx / n).alias("xx"), (yy - sy * sy / n).alias("yy"), (xy - sx * sy / n).alias("xy"),
-                        (vv - sv * sv / n).alias("vv"), (xv - sx * sv / n).alias("xv"), (yv - sy * sv / n).alias("yv"))
-    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-    explained = F.col("xv") * (F.col("xv") * F.col("yy") - F.col("yv") * F.col("xy")) + F.col("yv") * (F.col("yv") * F.col("xx") - F.col("xv") * F.col("xy"))
-    label = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(i) + 1)
-    return part.select(label(perms, "i").alias("perm"), label(names, "j").alias(metric), F.try_divide(explained, det * F.col("vv")).alias("r2"))
+    middle = rows.agg(F.avg(x), F.avg(y)).first()
+    centres = rows.groupBy(metric).agg(F.avg(value).alias("__mean"))
+    v = F.col(value).cast("double") - F.col("__mean")
+    numbers = natural_join(rows, centres, "inner", [metric]).groupBy(site, metric).agg(
+        F.count(value).cast("double").alias("c"), F.coalesce(F.sum(v), F.lit(0.0)).alias("s"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias("q"),
+        F.first(F.col(x).cast("double") - (middle[0] or 0.0)).alias("__x"), F.first(F.col(y).cast("double") - (middle[1] or 0.0)).alias("__y"))
+    at = natural_join(numbers, rows.sparkSession.createDataFrame(list(enumerate(names)), f"i int, `{metric}` {rows.schema[metric].dataType.simpleString()}"), "inner", [metric])
+    sites = at.groupBy(F.col(site).alias("__site")).agg(F.first("__x").alias("__x"), F.first("__y").alias("__y"), F.collect_list(F.struct("i", "c", "s", "q")).alias("__v"))
+    sites, how = with_ranks(sites, "__site", perms, seed, (), None if ranks is None else ranks.withColumnRenamed(site, "__site"))
+    if ranks is None:
+        sites = sites.withColumn("__number", F.col("__ranks.at"))
+    else:
+        home = ranks.where("perm = 0").select(F.col(site).alias("__site"), F.col("rank").cast("long").alias("__number"))
+        sites = natural_join(sites, home, "left", ["__site"]).withColumn(
+            "__number", F.coalesce("__number", F.raise_error(F.lit("a site is not numbered in permutation 0"))))
+    sites = checkpointed(sites)
+    n = sites.count()
+    chunks, block = -(-n // PLACES), max(8 * SITE_BATCH, -(-n // (4 * cores(sites))))
+    blocks = -(-n // block)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(max(k - 1, 0))))
+    movers = sites.withColumn("block", F.pmod(F.xxhash64("__site"), F.lit(max(blocks, 1))).cast("int")).withColumn("chunk", every(chunks)).select("block", "chunk", "__ranks", "__v")
+    places = sites.withColumn("of_block", every(blocks)).select("of_block", (F.col("__number") / PLACES).cast("int").alias("of_chunk"), "__number", "__x", "__y")
+    m = len(names)
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        sums = np.zeros((how.perms, 11, m))
+        if len(left):
+            first = left["chunk"][0].as_py() * PLACES
+            table = np.full((3, PLACES if chunks > 1 else max(n, 1)), 0.0)
+            number = right["__number"].to_numpy() - first
+            if (number < 0).any() or (number >= table.shape[1]).any():
+                raise ValueError("sites are not numbered from 0 on")
+            table[0, number], table[1, number], table[2, number] = 1.0, right["__x"].to_numpy(), right["__y"].to_numpy()
+            left = left.combine_chunks()
+            for i in range(0, len(left), SITE_BATCH):
+                part = left.slice(i, SITE_BATCH)
+                move = how.of(part["__ranks"]) - first
+                inside = (move >= 0) & (move < table.shape[1])
+                here, px, py = table[:, np.where(inside, move, 0)] * inside
+                values = part["__v"].combine_chunks()
+                owner, of = np.repeat(np.arange(len(part)), np.diff(values.offsets.to_numpy())), values.flatten()
+                own = np.zeros((3, len(part), m))
+                for k, name in enumerate("csq"):
+                    own[k, owner, of.field("i").to_numpy()] = of.field(name).to_numpy()
+                c, s, q = own
+                for k, (a, b) in enumerate(((here, c), (px, c), (py, c), (here, s), (px * px, c), (py * py, c), (px * py, c), (here, q), (px, s), (py, s))):
+                    sums[:, k] += a.T @ b
+                sums[:, 10] += here.sum(axis=0)[:, None]
+        return pa.Table.from_batches([_chunks(sums)])
+
+    def r2(first: int, sums: np.ndarray) -> pa.RecordBatch:
+        k, sx, sy, sv, sxx, syy, sxy, svv, sxv, syv, met = np.moveaxis(sums, 1, 0)
+        if (met != n).any():
+            raise ValueError("a rank names no site")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            xx, yy, xy, vv, xv, yv = sxx - sx * sx / k, syy - sy * sy / k, sxy - sx * sy / k, svv - sv * sv / k, sxv - sx * sv / k, syv - sy * sv / k
+            found = (xv * (xv * yy - yv * xy) + yv * (yv * xx - xv * xy)) / ((xx * yy - xy * xy) * vv)
+        perm = np.repeat(np.arange(first + 1, first + 1 + len(found)), m)
+        return pa.RecordBatch.from_arrays([pa.array(perm, pa.int32()), pa.array(np.tile(np.arange(m), len(found)), pa.int32()),
+                                           pa.array(np.where(np.isfinite(found), found, np.nan).ravel(), from_pandas=True)], ["perm", "i", "r2"])
+
+    laid = movers.groupBy("block", "chunk").cogroup(places.groupBy("of_block", "of_chunk")).applyInArrow(add, "part int, w binary")
+    found = _by_chunk(laid, (11, m), r2, "perm int, i int, r2 double")
+    label = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("i") + 1) if names else F.lit(None)
+    return found.select("perm", label.alias(metric), "r2")
 
 
 def envfit_arrows(fit: DataFrame, metric: str = "metric", alpha: float = 0.05, stretch: float = 2.0) -> DataFrame:

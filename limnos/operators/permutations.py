@@ -89,8 +89,6 @@ class Ranks:
         if isinstance(values, pa.ChunkedArray):
             values = values.combine_chunks()
         if self.given:
-            if (np.diff(values.offsets.to_numpy()) != self.perms).any() or values.null_count:
-                raise ValueError("a site lacks a rank in some permutation")
             return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, self.perms)
         at, size, block = (values.field(c).to_numpy(zero_copy_only=False) for c in ("at", "size", "block"))
         with np.errstate(over="ignore"):
@@ -116,7 +114,8 @@ def with_ranks(sites: DataFrame, site: str, perms: int, seed: int, blocks: Seque
     perms = rows.agg(F.max("perm")).first()[0] or 0
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("perm", F.col("rank").cast("long").alias("rank")))), lambda x: x["rank"])
     arrays = rows.groupBy(site).agg(ordered.alias("__ranks"))
-    return natural_join(sites, arrays, "left", [site]), Ranks(perms, seed, True)
+    whole = F.when(F.size("__ranks") == perms, F.col("__ranks")).otherwise(F.raise_error(F.lit("a site lacks a rank in some permutation")))
+    return natural_join(sites, arrays, "left", [site]).withColumn("__ranks", whole), Ranks(perms, seed, True)
 
 
 def permuted_ranks(sites: DataFrame, site: str, perms: int, seed: int, blocks: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from limnos.operators import community as K
 from limnos.operators import dissimilarity as S
 from limnos.operators import permanova as A
+from limnos.operators.permutations import numbered
 from limnos.plans.registry import registry
 from limnos.sources import domain as D
 
@@ -247,6 +248,114 @@ def permanova_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.permanova_terms(_season_sets(spark, sf_dir), ["WATER", "cluster", "MONTH"])
 
 
+_JACCARD = _SETS[:_SETS.index("d2 AS")] + """
+d2 AS (SELECT a."WATER" AS w1, b."WATER" AS w2, a."MONTH" AS m1, b."MONTH" AS m2,
+              pow(1 - len(list_intersect(a.taxa, b.taxa)) / (a.n + b.n - len(list_intersect(a.taxa, b.taxa))), 2) AS d FROM st a, st b),
+q AS (SELECT "WATER", "MONTH", ("MONTH" = 'FALL')::DOUBLE - avg(("MONTH" = 'FALL')::INT) OVER (PARTITION BY "WATER") AS x FROM st),
+z AS (SELECT "WATER", count(*) AS k FROM st GROUP BY 1),
+v AS (SELECT (SELECT count(*) FROM st) AS n, (SELECT count(*) FROM z) AS k, (SELECT sum(x * x) FROM q) AS qq, (SELECT sum(d) FROM d2) AS s,
+             (SELECT sum(d / 2 / k) FROM d2 JOIN z ON "WATER" = w1 WHERE w1 = w2) AS within,
+             (SELECT -0.5 * sum(a.x * b.x * d) FROM d2 JOIN q a ON a."WATER" = w1 AND a."MONTH" = m1 JOIN q b ON b."WATER" = w2 AND b."MONTH" = m2) AS form),
+t AS (SELECT n, k, s / 2 / n AS total, s / 2 / n - within AS water, form / qq AS month FROM v),
+u AS (SELECT 'WATER' AS term, k - 1 AS df, water AS ss, total, (total - water - month) / (n - k - 1) AS ms FROM t
+      UNION ALL SELECT 'cluster', 0, 0, total, NULL FROM t UNION ALL SELECT 'MONTH', 1, month, total, (total - water - month) / (n - k - 1) FROM t
+      UNION ALL SELECT 'residual', n - k - 1, total - water - month, total, NULL FROM t)
+SELECT term, CAST(df AS INT) AS df, round(ss, 6) + 0 AS ss, round(ss / total, 8) + 0 AS r2, round(ss / df / ms, 6) AS f FROM u"""
+
+
+@query("permanova_terms_jaccard", _JACCARD)
+def permanova_terms_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = A.permanova_terms(_season_sets(spark, sf_dir), ["WATER", "cluster", "MONTH"], "jaccard")
+    return out.select("term", "df", (F.round("ss", 6) + 0.0).alias("ss"), (F.round("r2", 8) + 0.0).alias("r2"), F.round("f", 6).alias("f"))
+
+
+def _p_sql(distance: str) -> str:
+    return _FALL + f""",
+s0 AS (SELECT "WATER", cluster, list("FAMILY") AS taxa, count(*) AS n FROM pres JOIN site_labels USING ("WATER") GROUP BY 1, 2),
+num AS (SELECT *, row_number() OVER (ORDER BY "WATER") - 1 AS at, row_number() OVER (ORDER BY cluster) - 1 AS place, count(*) OVER () AS sites FROM s0),
+d AS (SELECT a.at AS i, b.at AS j, pow({distance}, 2) AS d2
+      FROM (SELECT a.at, a.n, b.at AS other, b.n AS m, len(list_intersect(a.taxa, b.taxa)) AS s FROM num a JOIN num b ON a.at < b.at) a JOIN num b ON b.at = a.other),
+mv AS (SELECT 0 AS perm, num.at, cluster FROM num
+       UNION ALL SELECT p.perm, a.at, b.cluster FROM num a, (SELECT unnest(range(1, 41)) AS perm) p JOIN num b ON b.place = (a.at + 7 * p.perm) % a.sites),
+z AS (SELECT cluster, count(*) AS k FROM num GROUP BY 1),
+w AS (SELECT x.perm, sum(d2 / k) AS ssw FROM mv x JOIN d ON i = x.at JOIN mv y ON y.perm = x.perm AND y.at = j AND y.cluster = x.cluster JOIN z ON z.cluster = x.cluster GROUP BY 1),
+t AS (SELECT (SELECT sum(d2) FROM d) / count(*) AS sst, count(*) AS n, (SELECT count(*) FROM z) AS g FROM num),
+f AS (SELECT perm, ssw, sst, n, g, ((sst - ssw) / (g - 1)) / (ssw / (n - g)) AS f FROM w, t),
+p AS (SELECT (1 + count(*) FILTER (WHERE perm > 0 AND f >= (SELECT f - 1e-9 FROM f WHERE perm = 0))) / 41 AS p FROM f)
+SELECT 'cluster' AS term, CAST(g - 1 AS INT) AS df, round(sst - ssw, 6) AS ss, round(f, 6) AS f, p FROM f, p WHERE perm = 0
+UNION ALL SELECT 'residual', CAST(n - g AS INT), round(ssw, 6), NULL, NULL FROM f WHERE perm = 0"""
+
+
+def _fall_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.site_sets(labelled_presence(spark, sf_dir), ["WATER", "cluster"], "FAMILY")
+
+
+def _p_given(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """Labels move round by 7 sites for each of 40 permutations."""
+    sets = _fall_sets(spark, sf_dir)
+    moved = numbered(sets.select("WATER"), ["WATER"]).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    ranks = moved.select("perm", "WATER", ((F.col("at") + 7 * F.col("perm")) % F.col("size")).alias("rank"))
+    out = A.permanova_test(sets, "WATER", ["cluster"], ranks=ranks, method=method)
+    return out.select("term", "df", F.round("ss", 6).alias("ss"), F.round("f", 6).alias("f"), "p")
+
+
+@query("permanova_p", _p_sql("1 - 2.0 * a.s / (a.n + a.m)"))
+def permanova_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p_given(spark, sf_dir, "bray")
+
+
+@query("permanova_p_jaccard", _p_sql("1 - a.s / (a.n + a.m - a.s)"))
+def permanova_p_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p_given(spark, sf_dir, "jaccard")
+
+
+_TURN = """(at + perm // (1 + "WATER" % 7))"""
+_P_BLOCKED = _SETS[:_SETS.index("d2 AS")] + f"""
+num AS (SELECT *, row_number() OVER (PARTITION BY "WATER" ORDER BY "MONTH") - 1 AS at, count(*) OVER (PARTITION BY "WATER") AS size,
+               row_number() OVER (ORDER BY "WATER", "MONTH") AS id FROM st),
+d AS (SELECT a.id AS i, b.id AS j, a.cluster = b.cluster AS same, a.cluster AS c, pow(1 - 2.0 * len(list_intersect(a.taxa, b.taxa)) / (a.n + b.n), 2) AS d2
+      FROM num a JOIN num b ON a.id < b.id),
+mv AS (SELECT 0 AS perm, id, cluster, "MONTH" FROM num
+       UNION ALL SELECT p.perm, a.id, a.cluster, b."MONTH" FROM (SELECT *, unnest(range(1, 41)) AS perm FROM num) a
+       JOIN (SELECT unnest(range(1, 41)) AS perm) p USING (perm) JOIN num b ON b."WATER" = a."WATER" AND b.at = {_TURN.replace('at +', 'a.at +').replace('perm', 'p.perm').replace('"WATER"', 'a."WATER"')} % a.size),
+z AS (SELECT cluster, count(*) AS k FROM num GROUP BY 1),
+zm AS (SELECT cluster, "MONTH", count(*) AS k FROM num GROUP BY 1, 2),
+c AS (SELECT sum(d2 / k) AS within_c FROM d JOIN z ON cluster = c WHERE same),
+w AS (SELECT x.perm, sum(d2 / k) AS within_cm FROM d JOIN mv x ON x.id = i JOIN mv y ON y.id = j AND y.perm = x.perm AND y."MONTH" = x."MONTH"
+      JOIN zm ON zm.cluster = x.cluster AND zm."MONTH" = x."MONTH" WHERE same GROUP BY 1),
+t AS (SELECT (SELECT sum(d2) FROM d) / count(*) AS total, count(*) AS n, (SELECT count(*) FROM z) AS kc, (SELECT count(*) FROM zm) AS kcm FROM num),
+f AS (SELECT *, (total - within_c) / (kc - 1) / (within_cm / (n - kcm)) AS f1, (within_c - within_cm) / (kcm - kc) / (within_cm / (n - kcm)) AS f2 FROM w, c, t),
+o AS (SELECT * FROM f WHERE perm = 0),
+p AS (SELECT (1 + count(*) FILTER (WHERE f.perm > 0 AND f.f1 >= o.f1 - 1e-9)) / 41 AS p1, (1 + count(*) FILTER (WHERE f.perm > 0 AND f.f2 >= o.f2 - 1e-9)) / 41 AS p2 FROM f, o)
+SELECT 'cluster' AS term, CAST(kc - 1 AS INT) AS df, round(total - within_c, 6) AS ss, round(f1, 6) AS f, p1 AS p FROM o, p
+UNION ALL SELECT 'cluster:MONTH', CAST(kcm - kc AS INT), round(within_c - within_cm, 6), round(f2, 6), p2 FROM o, p
+UNION ALL SELECT 'residual', CAST(n - kcm AS INT), round(within_cm, 6), NULL, NULL FROM o"""
+
+
+def _season_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _season_sets(spark, sf_dir).withColumn("ID", F.concat_ws("_", "WATER", "MONTH"))
+
+
+@query("permanova_p_blocked", _P_BLOCKED)
+def permanova_p_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seasons change places inside a lake."""
+    sets = _season_ids(spark, sf_dir)
+    moved = numbered(sets.select("ID", "WATER", "MONTH"), ["MONTH"], ["WATER"]).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    ranks = moved.select("perm", "ID", F.expr("""(at + perm div (1 + WATER % 7)) % size""").alias("rank"))
+    out = A.permanova_test(sets, "ID", ["cluster", "cluster:MONTH"], blocks=["WATER"], ranks=ranks)
+    return out.select("term", "df", F.round("ss", 6).alias("ss"), F.round("f", 6).alias("f"), "p")
+
+
+@query("permanova_p_drawn")
+def permanova_p_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.permanova_test(_fall_sets(spark, sf_dir), "WATER", ["cluster"], 999)
+
+
+@query("permanova_crossed_drawn")
+def permanova_crossed_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.permanova_test(_season_ids(spark, sf_dir), "ID", ["cluster", "MONTH", "cluster:MONTH"], 999, blocks=["WATER"], method="jaccard")
+
+
 _SIMPER = _FALL + """,
 k AS (SELECT "FAMILY" FROM pres GROUP BY 1 HAVING count(*) < (SELECT count(DISTINCT "WATER") FROM pres)),
 p AS (SELECT "WATER", cluster, "FAMILY" FROM pres JOIN site_labels USING ("WATER") WHERE "FAMILY" IN (FROM k)),

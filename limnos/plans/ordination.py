@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.operators import ordination as O
+from limnos.operators.permutations import numbered
 from limnos.plans.community import fall_presence
 from limnos.plans.registry import registry
 from limnos.sources import domain as D
@@ -77,15 +78,24 @@ def envfit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.envfit_table(fit, labels={"v2": "Second"}, skip=["v9"])
 
 
+AXES = [f"c{i}" for i in range(D.COMPONENTS)]
+
+
+def _labelled_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, c0 .. c63, cluster, block): all components as axes, labels, and ten blocks of sites."""
+    vectors = D.table(spark, sf_dir, "embeddings")
+    return vectors.select(F.col("vec_id").alias("site"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(AXES)],
+                          F.col("label").alias("cluster"), (F.col("vec_id") % 10).alias("block"))
+
+
 @query("permanova_permuted")
 def permanova_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.permanova_coordinates(D.coordinates(spark, sf_dir), "site", ["x", "y"], "cluster", 999)
+    return O.permanova_coordinates(_labelled_components(spark, sf_dir), "site", AXES, "cluster", 999)
 
 
 @query("permanova_blocked")
 def permanova_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coords = D.coordinates(spark, sf_dir).withColumn("block", F.col("site") % 10)
-    return O.permanova_coordinates(coords, "site", ["x", "y"], "cluster", 999, blocks=["block"])
+    return O.permanova_coordinates(_labelled_components(spark, sf_dir), "site", AXES, "cluster", 999, blocks=["block"])
 
 
 @query("envfit_arrows")
@@ -96,15 +106,9 @@ def envfit_arrows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- given permutations: the labels move round by 7 sites for each permutation ------------------------
 
-def _numbered(coords: DataFrame, blocks: tuple[str, ...] = ()) -> DataFrame:
-    """Sites with their number (in a block) and the number of sites; one window over the given small table of sites."""
-    w = Window.partitionBy(*blocks) if blocks else Window.partitionBy(F.lit(0))
-    return coords.withColumns({"at": F.row_number().over(w.orderBy("site")) - 1, "n": F.count(F.lit(1)).over(w)})
-
-
-def _moved(coords: DataFrame, first: int, blocks: tuple[str, ...] = ()) -> DataFrame:
-    perms = _numbered(coords, blocks).withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(40))))
-    return perms.select("perm", *blocks, "site", ((F.col("at") + 7 * F.col("perm")) % F.col("n")).alias("rank"))
+def _moved(sites: DataFrame, site: str, first: int, blocks: tuple[str, ...] = ()) -> DataFrame:
+    perms = numbered(sites.select(site, *blocks), [site], blocks).withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(40))))
+    return perms.select("perm", *blocks, site, ((F.col("at") + 7 * F.col("perm")) % F.col("size")).alias("rank"))
 
 
 @query("envfit_given", f"""WITH {D.COORDINATES}, {D.ENVIRONMENT},
@@ -118,34 +122,59 @@ SELECT metric, round(max(r2) FILTER (WHERE perm = 0), 8) AS r2,
 FROM r JOIN (SELECT metric, r2 AS o FROM r WHERE perm = 0) USING (metric) GROUP BY 1""")
 def envfit_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     coords = D.coordinates(spark, sf_dir)
-    fit = O.envfit(coords, D.environment(spark, sf_dir), "site", "x", "y", ranks=_moved(coords, 0))
+    fit = O.envfit(coords, D.environment(spark, sf_dir), "site", "x", "y", ranks=_moved(coords, "site", 0))
+    return fit.select("metric", F.round("r2", 8).alias("r2"), "p")
+
+
+@query("envfit_repeated_given", f"""WITH {D.COORDINATES}, {D.ENVIRONMENT},
+e AS (SELECT site, metric, CASE WHEN site % 11 > 0 THEN value END AS value FROM environment WHERE site % 7 > 0 UNION ALL
+      SELECT site, metric, value * value - site % 3 FROM environment WHERE site % 2 = 0),
+s0 AS (SELECT DISTINCT site, x, y FROM coords JOIN e USING (site)),
+num AS (SELECT *, row_number() OVER (ORDER BY site) - 1 AS at, count(*) OVER () AS n FROM s0),
+mv AS (SELECT p.perm, a.site, b.x, b.y FROM num a, (SELECT unnest(range(0, 41)) AS perm) p JOIN num b ON b.at = (a.at + 7 * p.perm) % a.n),
+s AS (SELECT perm, metric, covar_samp(x, value) AS xv, covar_samp(y, value) AS yv, covar_samp(x, y) AS xy, var_samp(x) AS xx,
+             var_samp(y) AS yy, var_samp(value) AS vv FROM e JOIN mv USING (site) WHERE value IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT perm, metric, (((xv * yy - yv * xy) * xv + (yv * xx - xv * xy) * yv) / (xx * yy - xy * xy)) / vv AS r2 FROM s)
+SELECT metric, round(max(r2) FILTER (WHERE perm = 0), 8) AS r2,
+       (1 + count(*) FILTER (WHERE perm > 0 AND r2 >= o - 1e-12)) / 41 AS p
+FROM r JOIN (SELECT metric, r2 AS o FROM r WHERE perm = 0) USING (metric) GROUP BY 1""")
+def envfit_repeated_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coords, env = D.coordinates(spark, sf_dir), D.environment(spark, sf_dir)
+    once = env.where("site % 7 > 0").withColumn("value", F.when(F.col("site") % 11 > 0, F.col("value")))
+    again = env.where("site % 2 = 0").withColumn("value", F.col("value") * F.col("value") - F.col("site") % 3)
+    both = once.unionByName(again)
+    ranks = _moved(coords.join(both.select("site").distinct(), "site"), "site", 0)
+    fit = O.envfit(coords, both, "site", "x", "y", ranks=ranks)
     return fit.select("metric", F.round("r2", 8).alias("r2"), "p")
 
 
 def _given_sql(blocks: str) -> str:
-    return f"""WITH {D.COORDINATES},
-num AS (SELECT *, site % 10 AS block, row_number() OVER (PARTITION BY {blocks} ORDER BY site) - 1 AS at, count(*) OVER (PARTITION BY {blocks}) AS n FROM coords),
+    same = "a.block = b.block" if blocks == "block" else "true"
+    return f"""WITH num AS (SELECT vec_id AS site, embedding, label AS cluster, vec_id % 10 AS block, row_number() OVER (PARTITION BY {blocks} ORDER BY vec_id) - 1 AS at,
+                                   count(*) OVER (PARTITION BY {blocks}) AS n FROM (SELECT *, vec_id % 10 AS block FROM embeddings)),
 lab AS (SELECT *, row_number() OVER (PARTITION BY {blocks} ORDER BY cluster) - 1 AS place FROM num),
-mv AS (SELECT 0 AS perm, cluster, x, y FROM num
-       UNION ALL SELECT p.perm, b.cluster, a.x, a.y FROM num a, (SELECT unnest(range(1, 41)) AS perm) p
-       JOIN lab b ON {blocks.replace('block', 'a.block = b.block') if blocks == 'block' else 'true'} AND b.place = (a.at + 7 * p.perm) % a.n),
-g AS (SELECT perm, cluster, count(*) AS k, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS sq FROM mv GROUP BY 1, 2),
-t AS (SELECT perm, sum(sq) AS sq, sum((sx * sx + sy * sy) / k) AS b, sum(k) AS n, count(*) AS g, sum(sx) AS sx, sum(sy) AS sy FROM g GROUP BY 1),
-f AS (SELECT perm, ((b - (sx * sx + sy * sy) / n) / (g - 1)) / ((sq - b) / (n - g)) AS f FROM t)
+mv AS (SELECT 0 AS perm, site, cluster FROM num
+       UNION ALL SELECT p.perm, a.site, b.cluster FROM num a, (SELECT unnest(range(1, 41)) AS perm) p JOIN lab b ON {same} AND b.place = (a.at + 7 * p.perm) % a.n),
+c AS (SELECT vec_id AS site, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+z AS (SELECT site, i, v - avg(v) OVER (PARTITION BY i) AS v FROM c),
+w AS (SELECT sum(v * v) AS total FROM z),
+g AS (SELECT perm, cluster, i, count(*) AS k, sum(v) AS s FROM mv JOIN z USING (site) GROUP BY 1, 2, 3),
+b AS (SELECT perm, sum(s * s / k) AS b, count(DISTINCT cluster) AS g, (SELECT count(*) FROM num) AS n FROM g GROUP BY 1),
+f AS (SELECT perm, (b / (g - 1)) / ((total - b) / (n - g)) AS f FROM b, w)
 SELECT round(o, 8) AS f, (1 + count(*) FILTER (WHERE perm > 0 AND f >= o - 1e-12)) / 41 AS p FROM f, (SELECT f AS o FROM f WHERE perm = 0) GROUP BY o"""
 
 
 @query("permanova_given", _given_sql("1"))
 def permanova_given(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coords = D.coordinates(spark, sf_dir)
-    out = O.permanova_coordinates(coords, "site", ["x", "y"], "cluster", ranks=_moved(coords, 1))
+    rows = _labelled_components(spark, sf_dir)
+    out = O.permanova_coordinates(rows, "site", AXES, "cluster", ranks=_moved(rows, "site", 1))
     return out.select(F.round("f", 8).alias("f"), "p")
 
 
 @query("permanova_blocked_given", _given_sql("block"))
 def permanova_blocked_given(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coords = D.coordinates(spark, sf_dir).withColumn("block", F.col("site") % 10)
-    out = O.permanova_coordinates(coords, "site", ["x", "y"], "cluster", blocks=["block"], ranks=_moved(coords, 1, ("block",)))
+    rows = _labelled_components(spark, sf_dir)
+    out = O.permanova_coordinates(rows, "site", AXES, "cluster", blocks=["block"], ranks=_moved(rows, "site", 1, ("block",)))
     return out.select(F.round("f", 8).alias("f"), "p")
 
 

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from limnos.operators import community as K
 from limnos.operators import dissimilarity as S
 from limnos.operators import ordination as O
 from limnos.operators import permanova as A
+from limnos.operators import permutations as P
 
 
 def random_presence(n=24, p=9, seed=0, groups=("a", "b", "c")):
@@ -211,16 +213,50 @@ def test_hull_and_clusters(spark):
     assert wss[0] > wss[1] > wss[2]
 
 
-def test_permutations_keep_sizes_and_blocks(spark):
+def test_labels_keep_sizes_in_blocks(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2], i % 5) for i in range(50)], "site int, g string, b int")
-    got = O.permuted_labels(df, "site", "g", 3, 7, ["b"]).join(df.select("site", "b"), "site")
-    sizes = got.groupBy("perm", "b", "g").count().collect()
-    assert {r["count"] for r in sizes} == {5}
-    one = {tuple(r) for r in O.permuted_labels(df.repartition(1), "site", "g", 3, 7).collect()}
-    eight = {tuple(r) for r in O.permuted_labels(df.repartition(8), "site", "g", 3, 7).collect()}
-    assert one == eight and len(one) == 200
-    ranks = O.permuted_ranks(df, "site", 2, 1).groupBy("perm").agg(F.count_distinct("rank").alias("k"), F.max("rank").alias("m")).collect()
-    assert {(r.k, r.m) for r in ranks} == {(50, 49)}
+    rows, how = P.with_ranks(df, "site", 3, 7, ["b"])
+    rows, labels = P.label_codes(rows, F.col("g"), ["b"])
+    assert labels == ["a", "b"]
+    batch = pa.Table.from_pandas(rows.toPandas()).combine_chunks()
+    ranks = pa.array(batch["__ranks"].to_pylist(), pa.struct([("at", pa.int64()), ("size", pa.int64()), ("block", pa.int64())]))
+    codes = P.codes_of(how.of(ranks), batch["__code"].combine_chunks(), batch["__stops"].combine_chunks())
+    assert codes.shape == (50, 4) and [labels[c] for c in codes[:, 0]] == batch["g"].to_pylist()
+    for b in range(5):
+        assert (codes[np.array(batch["b"].to_pylist()) == b].sum(axis=0) == 5).all()
+
+
+def test_repeated_values_move_with_their_site(spark):
+    rng = np.random.default_rng(6)
+    coords = spark.createDataFrame([(i, float(rng.normal()) + 1e6, float(rng.normal())) for i in range(20)], "site int, x double, y double")
+    env = spark.createDataFrame([(i, m, float(i * k % 7) + 1e5 if (i, m) != (3, "v") else None) for i in range(20) for m in "uv" for k in (1, 2) if m == "v" or k == 1 or i % 2],
+                                "site int, metric string, value double")
+    same = spark.createDataFrame([(p, i, i) for p in range(5) for i in range(20)], "perm int, site int, rank int")
+    got = {r.metric: r for r in O.envfit(coords, env, "site", "x", "y", ranks=same).collect()}
+    assert {r.p for r in got.values()} == {1.0}
+    turned = spark.createDataFrame([(p, i, (i + 3 * p) % 20) for p in range(7) for i in range(20)], "perm int, site int, rank int")
+    place = {r.site: (r.x, r.y) for r in coords.collect()}
+    rows = [tuple(r) for r in env.collect() if r.value is not None]
+
+    def r2(metric, shift):
+        z = np.array([[*place[(s + shift) % 20], v] for s, m, v in rows if m == metric])
+        z -= z.mean(axis=0)
+        a = np.column_stack([z[:, :2]])
+        return 1 - ((z[:, 2] - a @ np.linalg.lstsq(a, z[:, 2], rcond=None)[0]) ** 2).sum() / (z[:, 2] ** 2).sum()
+    got = {r.metric: r for r in O.envfit(coords, env, "site", "x", "y", ranks=turned).collect()}
+    for m in "uv":
+        seen = r2(m, 0)
+        assert got[m].r2 == pytest.approx(seen, abs=1e-6) and got[m].p == (1 + sum(r2(m, 3 * p) >= seen - 1e-12 for p in range(1, 7))) / 7
+
+
+def test_a_site_without_a_permutation_is_an_error(spark):
+    coords = spark.createDataFrame([(i, float(i), float(i * i)) for i in range(6)], "site int, x double, y double")
+    env = spark.createDataFrame([(i, "v", float(i % 4)) for i in range(6)], "site int, metric string, value double")
+    ranks = [(p, i, (i + p) % 6) for p in range(3) for i in range(6)]
+    for lost in ((2, 5, 1), (0, 5, 5)):
+        with pytest.raises(Exception, match="lacks a rank|numbered"):
+            O.envfit(coords, env, "site", "x", "y", ranks=spark.createDataFrame([r for r in ranks if r != lost], "perm int, site int, rank int")).collect()
+    assert O.envfit(coords, env, "site", "x", "y", ranks=spark.createDataFrame(ranks, "perm int, site int, rank int")).first().p <= 1
 
 
 def test_permutation_p_finds_a_difference(spark):
