@@ -1,28 +1,24 @@
-"""Linear models from sums: ordinary least squares, one random intercept, slopes, means and contrasts per family.
+"""Ordinary least squares from sums, influence of rows, logistic regression, and frames and tables of results.
 
-Rows are reduced to cross-products with partial sums before any shuffle. A random-intercept fit needs one short
-row per group; the profile of the variance ratio is then a sum over groups, worked out for a list of ratios in one
-job. Only matrices as wide as the number of coefficients come to the driver.
+Rows are reduced to central moments with partial sums before any shuffle. Models with a random intercept are in `mixed`.
 """
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 
 from limnos.functions import columns as C
-from limnos.functions.special import t_critical, t_p_value, t_quantile, t_two_sided
-from limnos.operators.reshape import keep_groups, natural_join, zscores
-from limnos.session import checkpointed
+from limnos.functions.special import t_critical, t_p_value, t_two_sided
+from limnos.operators.mixed import RandomIntercept, freed_of_groups
+from limnos.operators.reshape import keep_groups, long_predictors, natural_join, zscores
 
 
 # --- ordinary least squares ----------------------------------------------------------------------
@@ -85,11 +81,6 @@ def ols(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str) -> DataFr
     return each.select(*keys, F.col("e.term").alias("term"), *[F.col("e.v")[i].alias(c) for i, c in enumerate(names)])
 
 
-def long_predictors(df: DataFrame, keep: Sequence[str], predictors: Sequence[str]) -> DataFrame:
-    """One row per row and predictor: (keep, predictor, x). A loop over predictors becomes a key."""
-    return df.unpivot(list(keep), [F.col(p).cast("double").alias(p) for p in predictors], "predictor", "x")
-
-
 def ols_sweep(df: DataFrame, keys: Sequence[str], predictors: Sequence[str], y: str, alpha: float | None = None) -> DataFrame:
     """One-predictor models of y for every predictor (and key), in one job; optionally those with p below alpha."""
     out = ols_slopes(long_predictors(df, [*keys, y], predictors), ["predictor", *keys], "x", y)
@@ -127,351 +118,25 @@ def prediction_at_means(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y
     return fit.select(*keys, term, line.alias("fit"), (line - half).alias("lower"), (line + half).alias("upper"))
 
 
-# --- random intercept ----------------------------------------------------------------------------
-
-@dataclass
-class Fit:
-    """y ~ cells x (1, xs) + (1 | group): cell means and slopes, their covariance and the variances."""
-
-    key: dict
-    terms: list[tuple[str, str]]
-    beta: np.ndarray
-    cov: np.ndarray
-    sigma2: float
-    tau2: float
-    n: int
-    groups: int
-    criterion: float
-    aic: float
-    gradient: np.ndarray = field(repr=False)  # derivative of cov in the two variances
-    spread: np.ndarray = field(repr=False)  # covariance of the two variances
-
-    def degrees(self, l: np.ndarray) -> float:
-        """Satterthwaite degrees of freedom of the contrast l."""
-        if self.tau2 <= 0:
-            return float(self.n - len(self.beta))
-        g = np.array([l @ d @ l for d in self.gradient])
-        wobble = g @ self.spread @ g
-        return float(2 * (l @ self.cov @ l) ** 2 / wobble) if wobble > 0 else float(self.n - len(self.beta))
-
-    def contrast(self, l: np.ndarray) -> tuple[float, float, float, float, float, float, float]:
-        """estimate, se, df, t, p, low, high of the contrast l."""
-        est, se, df = float(l @ self.beta), float(np.sqrt(max(l @ self.cov @ l, 0))), self.degrees(l)
-        t = est / se if se > 0 else float("nan")
-        half = float(t_quantile(0.975, np.array([df]))[0]) * se
-        return est, se, df, t, float(t_two_sided([t], [df])[0]), est - half, est + half
-
-
-def random_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str, cell: str | None = None,
-                     keys: Sequence[str] = (), method: str = "reml", ratio: float | None = None) -> list[Fit]:
-    """Random-intercept models, one per key, by profiling the ratio of group to residual variance (or at a given ratio).
-
-    With `cell`, every cell (family, say) has its own intercept and slopes: the full interaction, in the form whose
-    coefficients are the cell means and slopes themselves. Raw rows are read once.
-    """
-    parts = [F.lit(1.0), *[F.col(x).cast("double") for x in xs], F.col(y).cast("double")]
-    width = len(parts)
-    rows = df.dropna(subset=[y, group, *xs, *([cell] if cell else [])])
-    key = F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in keys]), {"ignoreNullFields": "false"}) if keys else F.lit("{}")
-    level = F.col(cell).cast("string") if cell else F.lit("")
-    upper = [(i, j) for i in range(width) for j in range(i, width)]
-    sums = rows.groupBy(key.alias("k"), F.col(group).alias("g"), level.alias("cell")).agg(
-        F.array(*[F.sum(p) for p in parts]).alias("s"), F.array(*[F.sum(parts[i] * parts[j]) for i, j in upper]).alias("c"))
-    sums = checkpointed(sums)
-    total = sums.groupBy("k", "cell").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(upper))]).collect()
-    counts = {r["k"]: r["n"] for r in sums.groupBy("k").agg(F.count_distinct("g").alias("n")).collect()}
-    cells = sorted({r["cell"] for r in total})
-    at = {c: i for i, c in enumerate(cells)}
-    full = _stack(total, upper, at, width)
-    groups = sums.groupBy("k", "g").agg(F.collect_list("cell").alias("cells"), F.collect_list("s").alias("s"))
-
-    models = {k: _Profile(m, method, width - 1) for k, m in full.items()}
-    grid = {k: [0.0, *np.geomspace(1e-4, 1e3, 15)] for k in models}
-    for _ in range(3 if ratio is None else 0):
-        for k, found in _corrections(groups, grid, at, width).items():
-            models[k].add(grid[k], found)
-        grid = {k: m.closer() for k, m in models.items()}
-    best = {k: m.top() if ratio is None else float(ratio) for k, m in models.items()}
-    last = {k: [r, r * 1.02, r * 0.98] for k, r in best.items()}
-    found = _corrections(groups, last, at, width)
-    terms = [(c, x) for c in cells for x in ["(Intercept)", *xs]]
-    return [models[k].finish(json.loads(k), terms, found[k], counts[k], best[k]) for k in sorted(models)]
-
-
-def _stack(total, upper, at, width) -> dict[str, np.ndarray]:
-    """Cross-products of (all cell columns, y) per key, as one matrix each."""
-    q = width - 1
-    size = len(at) * q + 1
-    out = {}
-    for r in total:
-        m = out.setdefault(r["k"], np.zeros((size, size)))
-        base = at[r["cell"]] * q
-        for i, (a, b) in enumerate(upper):
-            u, v = (base + a if a < q else size - 1), (base + b if b < q else size - 1)
-            m[u, v] += r[f"c{i}"]
-            if u != v:
-                m[v, u] += r[f"c{i}"]
-    return out
-
-
-def _corrections(groups: DataFrame, grid: dict[str, list[float]], at: dict[str, int], width: int) -> dict[str, np.ndarray]:
-    """Per key and ratio r: sum over groups of r / (1 + n r) * s s', and of log(1 + n r); s = column sums of the group."""
-    q = width - 1
-    size = len(at) * q + 1
-    rows, cols = np.triu_indices(size)
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, logs = {}, {}
-        for batch in batches:
-            for k, part in batch.groupby("k"):
-                flat = np.array([v for row in part["s"] for v in row])
-                owner = np.repeat(np.arange(len(part)), part["cells"].map(len))
-                base = np.array([at[c] for row in part["cells"] for c in row]) * q
-                t = np.zeros((len(part), size))
-                np.add.at(t, (owner[:, None], base[:, None] + np.arange(q)), flat[:, :q])
-                np.add.at(t[:, -1], owner, flat[:, q])
-                n = np.bincount(owner, flat[:, 0])
-                for i, r in enumerate(grid[k]):
-                    m = (t * (r / (1 + n * r))[:, None]).T @ t
-                    sums[k, i] = sums.get((k, i), 0) + m[rows, cols]
-                    logs[k, i] = logs.get((k, i), 0) + np.log1p(n * r).sum()
-        for (k, i), v in sums.items():
-            yield pd.DataFrame({"k": k, "i": i, "pos": np.arange(len(v) + 1), "v": np.append(v, logs[k, i])})
-
-    found = groups.mapInPandas(add, "k string, i int, pos int, v double").groupBy("k", "i", "pos").agg(F.sum("v").alias("v"))
-    out = {k: np.zeros((len(g), len(rows) + 1)) for k, g in grid.items()}
-    for k, part in found.toPandas().groupby("k"):  # keys x ratios x coefficients^2 numbers
-        out[k][part["i"], part["pos"]] = part["v"]
-    return out
-
-
-class _Profile:
-    """Criterion of one model as a function of the variance ratio."""
-
-    def __init__(self, full: np.ndarray, method: str, q: int):
-        keep = np.diag(full)[:-1] > 0  # cells without rows for this key have no column
-        self.keep = np.append(keep, True)
-        self.full, self.method = full, method
-        self.p = int(keep.sum())
-        self.rows = int(round(np.diag(full)[:-1:q].sum()))  # every q-th column is a cell's column of ones
-        self.ratios, self.values = [], []
-
-    def _parts(self, flat: np.ndarray):
-        size = len(self.full)
-        m = np.zeros((size, size))
-        m[np.triu_indices(size)] = flat[:-1]
-        m = self.full - (m + m.T - np.diag(np.diag(m)))
-        m = m[np.ix_(self.keep, self.keep)]
-        a, b, c = m[:-1, :-1], m[:-1, -1], m[-1, -1]
-        inverse = np.linalg.pinv(a)
-        beta = inverse @ b
-        return inverse, beta, max(c - b @ beta, 1e-300), np.linalg.slogdet(a)[1], flat[-1]
-
-    def value(self, flat: np.ndarray, n: int) -> float:
-        _, _, rss, logdet, logs = self._parts(flat)
-        if self.method == "ml":
-            return n * (math.log(2 * math.pi * rss / n) + 1) + logs
-        df = n - self.p
-        return df * (math.log(2 * math.pi * rss / df) + 1) + logdet + logs
-
-    def add(self, grid: list[float], found: np.ndarray) -> None:
-        n = self.rows
-        self.ratios += list(grid)
-        self.values += [self.value(f, n) for f in found]
-
-    @property
-    def best(self) -> float:
-        return self.ratios[int(np.argmin(self.values))]
-
-    def closer(self) -> list[float]:
-        known = np.unique(self.ratios)
-        i = int(np.searchsorted(known, self.best))
-        lo, hi = known[max(i - 1, 0)], known[min(i + 1, len(known) - 1)]
-        return list(np.linspace(lo, hi, 13))
-
-    def top(self) -> float:
-        """Vertex of the parabola through the best ratio and its neighbours."""
-        known, first = np.unique(self.ratios, return_index=True)
-        i = int(np.searchsorted(known, self.best))
-        if i == 0 or i == len(known) - 1:
-            return self.best
-        a, b, _ = np.polyfit(known[i - 1:i + 2] - known[i], np.array(self.values)[first[i - 1:i + 2]], 2)
-        return float(np.clip(known[i] - b / (2 * a), known[i - 1], known[i + 1])) if a > 0 else self.best
-
-    def finish(self, key: dict, terms, found: np.ndarray, groups: int, r: float) -> Fit:
-        n, p = self.rows, self.p
-        inverse, beta, rss, _, _ = self._parts(found[0])
-        s2 = rss / (n if self.method == "ml" else n - p)
-        cov, gradient, spread = s2 * inverse, np.zeros((2, p, p)), np.zeros((2, 2))
-        if r > 0:
-            h = 0.02 * r
-            side = [self._parts(f) for f in found]
-            f = [x[3] + x[4] + x[2] / s2 for x in side]
-            rss1 = (side[1][2] - side[2][2]) / (2 * h)
-            hessian = np.array([[-(n - p) / s2 ** 2 + 2 * rss / s2 ** 3, -rss1 / s2 ** 2],
-                                [-rss1 / s2 ** 2, (f[1] - 2 * f[0] + f[2]) / h ** 2]])
-            spread = 2 * np.linalg.pinv(hessian)
-            gradient = np.array([inverse, s2 * (side[1][0] - side[2][0]) / (2 * h)])
-        value = float(self.value(found[0], n))
-        kept = [t for t, k in zip(terms, self.keep) if k]
-        return Fit(key, kept, beta, cov, float(s2), float(s2 * r), n, groups, value, value + 2 * (p + 2), gradient, spread)
-
-
-def coefficients(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
-    """(key, cell, term, estimate, se, df, t, p, low, high) of the models."""
-    rows = []
-    for fit in fits:
-        for i, (cell, term) in enumerate(fit.terms):
-            rows.append((json.dumps(fit.key), cell, term, *fit.contrast(np.eye(len(fit.terms))[i])))
-    names = "estimate double, se double, df double, t double, p double, low double, high double"
-    return spark.createDataFrame(rows, f"key string, cell string, term string, {names}")
-
-
-def variances(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
-    rows = [(json.dumps(f.key), f.tau2, f.sigma2, f.n, f.groups, f.criterion, f.aic) for f in fits]
-    return spark.createDataFrame(rows, "key string, group_variance double, residual_variance double, n int, groups int, criterion double, aic double")
-
-
-COEFFICIENTS = "estimate double, se double, df double, t double, p double, low double, high double"
-
-
-def random_intercept_table(df: DataFrame, y: str, xs: Sequence[str], group: str, keys: Sequence[str] = (), method: str = "reml",
-                           ratio: float | None = None) -> DataFrame:
-    """(keys, term, estimate, se, df, t, p, low, high) of random-intercept models, one per key, solved on the executors.
-
-    A group enters the criterion by its number of rows and its sums only, so groups of one size are added up first: a key
-    is then as many short rows as it has group sizes, and one task fits it for all ratios without another pass.
-    """
-    parts = [F.lit(1.0), *[F.col(x).cast("double") for x in xs], F.col(y).cast("double")]
-    width = len(parts)
-    upper = [(i, j) for i in range(width) for j in range(i, width)]
-    rows = df.dropna(subset=[y, group, *xs])
-    sums = rows.groupBy(*keys, F.col(group).alias("__g")).agg(*[F.sum(p).alias(f"__s{i}") for i, p in enumerate(parts)],
-                                                              *[F.sum(parts[i] * parts[j]).alias(f"__c{i}_{j}") for i, j in upper])
-    sizes = sums.groupBy(*keys, F.col("__s0").alias("__n")).agg(
-        F.count(F.lit(1)).alias("__groups"), *[F.sum(F.col(f"__s{i}") * F.col(f"__s{j}")).alias(f"__o{i}_{j}") for i, j in upper],
-        *[F.sum(f"__c{i}_{j}").alias(f"__c{i}_{j}") for i, j in upper])
-    types = {k: df.schema[k].dataType.simpleString() for k in keys}
-    terms = [("", x) for x in ["(Intercept)", *xs]]
-    names = ["estimate", "se", "df", "t", "p", "low", "high"]
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        full = np.zeros((width, width))
-        for i, j in upper:
-            full[i, j] = full[j, i] = part[f"__c{i}_{j}"].sum()
-        outer = part[[f"__o{i}_{j}" for i, j in upper]].to_numpy(float)
-        n, times = part["__n"].to_numpy(float), part["__groups"].to_numpy(float)
-
-        def found(grid: Sequence[float]) -> np.ndarray:
-            return np.array([np.append((r / (1 + n * r)) @ outer, times @ np.log1p(n * r)) for r in grid])
-
-        model, grid = _Profile(full, method, width - 1), [0.0, *np.geomspace(1e-4, 1e3, 15)]
-        for _ in range(3 if ratio is None else 0):
-            model.add(grid, found(grid))
-            grid = model.closer()
-        best = model.top() if ratio is None else float(ratio)
-        fit = model.finish({}, terms, found([best, best * 1.02, best * 0.98]), int(times.sum()), best)
-        out = pd.DataFrame([fit.contrast(np.eye(len(fit.terms))[i]) for i in range(len(fit.terms))], columns=names)
-        out.insert(0, "term", [t for _, t in fit.terms])
-        for k in reversed(keys):
-            out.insert(0, k, [part[k].iloc[0]] * len(out))
-        return out
-
-    schema = "".join(f"`{k}` {t}, " for k, t in types.items()) + f"term string, {COEFFICIENTS}"
-    if not keys:
-        sizes = sizes.withColumn("__one", F.lit(1))
-    return sizes.groupBy(*(keys or ["__one"])).applyInPandas(solve, schema)
-
-
-def model_sweep(df: DataFrame, keys: Sequence[str], predictors: Sequence[str], y: str, group: str, alpha: float | None = None,
-                cell: str | None = None, ratio: float | None = None) -> DataFrame:
-    """Random-intercept slope of y on each predictor (and key), all in one set of jobs; optionally p below alpha."""
-    keep = [*keys, y, group, *([cell] if cell else [])]
-    rows = long_predictors(df, keep, predictors)
-    if cell is None:
-        out = random_intercept_table(rows, y, ["x"], group, ["predictor", *keys], ratio=ratio).where("term = 'x'")
-        out = out.select("predictor", F.lit("").alias("cell"), *keys, *[c.split()[0] for c in COEFFICIENTS.split(", ")])
-    else:
-        fits = random_intercept(rows, y, ["x"], group, cell, ["predictor", *keys], ratio=ratio)
-        out = coefficients(df.sparkSession, fits).where("term = 'x'")
-        for k in ("predictor", *keys):
-            out = out.withColumn(k, F.get_json_object("key", f"$.{k}"))
-        out = out.drop("key", "term")
-    return out if alpha is None else out.where(F.col("p") < alpha)
-
-
-def _unit(fit: Fit, cell: str, term: str) -> np.ndarray:
-    return np.array([1.0 if t == (cell, term) else 0.0 for t in fit.terms])
-
+# --- influence -----------------------------------------------------------------------------------
 
-def family_slopes(spark: SparkSession, fit: Fit, x: str, metric: str | None = None) -> DataFrame:
-    """(metric, family, trend, SE, df, lower_CL, upper_CL, sig): slope per cell, marked where the interval excludes 0."""
-    rows = []
-    for cell, term in fit.terms:
-        if term == x:
-            est, se, df, _, _, low, high = fit.contrast(_unit(fit, cell, term))
-            rows.append((metric or x, cell, est, se, df, low, high, bool(np.sign(low) == np.sign(high))))
-    return spark.createDataFrame(rows, "metric string, family string, trend double, SE double, df double, lower_CL double, upper_CL double, sig boolean")
-
-
-def marginal_means(spark: SparkSession, fit: Fit, at: dict[str, float] | None = None) -> DataFrame:
-    """(cell, emmean, SE, df, lower_CL, upper_CL): fitted mean of each cell, predictors at the given values (zero if not)."""
-    rows = []
-    for cell in sorted({c for c, _ in fit.terms}):
-        est, se, df, _, _, low, high = fit.contrast(_mean_row(fit, cell, at or {}))
-        rows.append((cell, est, se, df, low, high))
-    return spark.createDataFrame(rows, "cell string, emmean double, SE double, df double, lower_CL double, upper_CL double")
-
-
-def _mean_row(fit: Fit, cell: str, at: dict[str, float]) -> np.ndarray:
-    return np.array([(1.0 if t == "(Intercept)" else at.get(t, 0.0)) if c == cell else 0.0 for c, t in fit.terms])
-
-
-def pairwise_contrasts(spark: SparkSession, fit: Fit, at: dict[str, float] | None = None, within: str | None = None) -> DataFrame:
-    """Differences of cell means with interval, p and Holm-adjusted p.
-
-    `within` is the separator of two-part cells ("family|season"): then only cells that share the first part.
-    """
-    cells = sorted({c for c, _ in fit.terms})
-    rows = []
-    for i, a in enumerate(cells):
-        for b in cells[i + 1:]:
-            if within and a.split(within)[0] != b.split(within)[0]:
-                continue
-            rows.append([a, b, *fit.contrast(_mean_row(fit, a, at or {}) - _mean_row(fit, b, at or {}))])
-    order = np.argsort([r[6] for r in rows], kind="stable")
-    top = 0.0
-    for place, i in enumerate(order):
-        top = max(top, min(1.0, (len(rows) - place) * rows[i][6]))
-        rows[i].append(float(top))
-        rows[i].append(bool(np.sign(rows[i][7]) == np.sign(rows[i][8])))
-    return spark.createDataFrame(
-        [tuple(r) for r in rows], "first string, second string, estimate double, SE double, df double, t double, p double, "
-                                  "lower_CL double, upper_CL double, p_holm double, sig boolean")
-
-
-def aic_compare(spark: SparkSession, fits: dict[str, Fit]) -> DataFrame:
-    """(model, coefficients, criterion, aic), best first; compare fits of the same method only."""
-    rows = [(name, len(f.beta) + 2, f.criterion, f.aic) for name, f in fits.items()]
-    return spark.createDataFrame(rows, "model string, parameters int, criterion double, aic double").orderBy("aic")
-
-
-def cooks_distance(df: DataFrame, y: str, xs: Sequence[str], fit: Fit | None = None, group: str | None = None) -> DataFrame:
+def cooks_distance(df: DataFrame, y: str, xs: Sequence[str], group: str | None = None, ratio: float | None = None) -> DataFrame:
     """Leverage, Cook's distance and the flag D > 4 / n per row.
 
-    With a random-intercept fit, rows are first freed of the group part (each variable minus a share of its group
-    mean), which turns the model into ordinary least squares.
+    With a group, the model has a random intercept (at the ratio of its variance to the residual one that is given or fits
+    best): rows are first freed of the group part, which turns the model into ordinary least squares.
     """
     used = [*xs, y]
-    rows = df.dropna(subset=used)
-    cols = {"__1": F.lit(1.0), **{f"__x{i}": F.col(x).cast("double") for i, x in enumerate(xs)}, "__y": F.col(y).cast("double")}
+    rows = df.dropna(subset=[*used, *([group] if group else [])])
+    names = {f"__x{i}": x for i, x in enumerate(xs)} | {"__y": y}
+    middle = rows.agg(*[F.avg(c).alias(n) for n, c in names.items()]).first()
+    cols = {"__1": F.lit(1.0), **{n: F.col(c).cast("double") - (middle[n] or 0.0) for n, c in names.items()}}
     rows = rows.withColumns(cols)
-    if fit is not None and fit.tau2 > 0:
-        names = list(cols)
-        means = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"), *[F.avg(c).alias(f"__m{c}") for c in names])
-        share = 1 - 1 / F.sqrt(1 + F.col("__n") * (fit.tau2 / fit.sigma2))
-        rows = natural_join(rows, means, "inner", [group]).withColumns({c: F.col(c) - share * F.col(f"__m{c}") for c in names})
-        rows = rows.drop("__n", *[f"__m{c}" for c in names])
+    if group:
+        if ratio is None:
+            found = RandomIntercept(df, y, xs, group).variances().first()
+            ratio = found["group_variance"] / found["residual_variance"]
+        rows = freed_of_groups(rows, list(cols), group, ratio)
     x = ["__1", *[f"__x{i}" for i in range(len(xs))]]
     every = [*x, "__y"]
     one = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for i, a in enumerate(every) for b in every[i:]]).first()

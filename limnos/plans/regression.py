@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.functions import columns as C
+from limnos.operators import mixed as M
 from limnos.operators import niche as N
 from limnos.operators import regress as R
 from limnos.operators import reshape as X
@@ -114,12 +115,12 @@ def cooks_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("random_intercept")
 def random_intercept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.random_intercept_table(D.sales(spark, sf_dir), "y", ["quantity"], "brand")
+    return M.RandomIntercept(D.sales(spark, sf_dir), "y", ["quantity"], "brand").coefficients().drop("cell")
 
 
 @query("model_sweep")
 def model_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.model_sweep(D.sales(spark, sf_dir), ["flag"], ["quantity", "discount", "tax"], "y", "brand")
+    return M.model_sweep(D.sales(spark, sf_dir), ["flag"], ["quantity", "discount", "tax"], "y", "brand")
 
 
 def _trophic_chemistry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +129,13 @@ def _trophic_chemistry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.zscores(X.natural_join(rows, chemistry, "left", ["WATER", "season"]), ["DOC_update", "DDO5"])
 
 
+def _by_family(spark: SparkSession, sf_dir: str) -> M.RandomIntercept:
+    return M.RandomIntercept(_trophic_chemistry(spark, sf_dir), "trophic_position_weighted", ["DOC_update"], "WATER", "FAMILY")
+
+
 @query("family_slopes")
 def family_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = R.random_intercept(_trophic_chemistry(spark, sf_dir), "trophic_position_weighted", ["DOC_update"], "WATER", "FAMILY")[0]
-    return R.family_slopes(spark, fit, "DOC_update", "DOC")
+    return _by_family(spark, sf_dir).family_slopes("DOC_update", "DOC")
 
 
 @query("season_contrasts")
@@ -139,22 +143,18 @@ def season_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = trophic_rows(spark, sf_dir).withColumns({"WATER": C.separate("community", 1), "season": C.separate("community", 2)})
     both = X.keep_groups(rows, ["WATER", "FAMILY"], C.n_distinct("season"), lambda n: n > 1)
     both = both.withColumn("cell", F.concat_ws("|", "FAMILY", "season"))
-    fit = R.random_intercept(both, "trophic_position_weighted", [], "WATER", "cell")[0]
-    return R.pairwise_contrasts(spark, fit, within="|")
+    return M.RandomIntercept(both, "trophic_position_weighted", [], "WATER", "cell").pairwise_contrasts(within="|")
 
 
 @query("family_means")
 def family_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = R.random_intercept(_trophic_chemistry(spark, sf_dir), "trophic_position_weighted", ["DOC_update"], "WATER", "FAMILY")[0]
-    return R.marginal_means(spark, fit)
+    return _by_family(spark, sf_dir).marginal_means()
 
 
 @query("aic_compare")
 def aic_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.sales(spark, sf_dir)
-    fits = {"quantity": R.random_intercept(rows, "y", ["quantity"], "brand", method="ml")[0],
-            "quantity + tax": R.random_intercept(rows, "y", ["quantity", "tax"], "brand", method="ml")[0]}
-    return R.aic_compare(spark, fits)
+    return M.aic_compare({" + ".join(xs): M.RandomIntercept(rows, "y", xs, "brand", method="ml") for xs in (["quantity"], ["quantity", "tax"])})
 
 
 @query("presence_logit")
@@ -209,100 +209,154 @@ def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tile_table")
 def tile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _trophic_chemistry(spark, sf_dir)
-    fits = R.random_intercept(R.long_predictors(rows, ["trophic_position_weighted", "WATER", "FAMILY"], ["DOC_update", "DDO5"]),
-                              "trophic_position_weighted", ["x"], "WATER", "FAMILY", ["predictor"])
-    slopes = R.family_slopes(spark, fits[0], "x", fits[0].key["predictor"])
-    for fit in fits[1:]:
-        slopes = slopes.unionByName(R.family_slopes(spark, fit, "x", fit.key["predictor"]))
+    rows = X.long_predictors(rows, ["trophic_position_weighted", "WATER", "FAMILY"], ["DOC_update", "DDO5"])
+    slopes = M.RandomIntercept(rows, "trophic_position_weighted", ["x"], "WATER", "FAMILY", ["predictor"]).family_slopes("x")
+    slopes = slopes.withColumn("metric", F.col("predictor")).drop("predictor", "t", "p")
     return R.tile_table(slopes, D.taxon_frame(spark, sf_dir))
 
 
-# --- mixed models at a given ratio of the variances: closed sums --------------------------------------
+# --- mixed models at a given ratio of the variances: generalised least squares by the sweep operator ------------------
 
 _RATIO = 0.5
 
 
-def _mixed(keys: str, x: str, y: str = "y") -> str:
-    """Generalised least squares of y on x with a random intercept of brand at the given ratio, per key."""
-    by = f"{keys}, " if keys else ""
-    on = f"GROUP BY {keys}" if keys else ""
-    return f"""gs AS (SELECT {by}brand, count(*) AS n, sum({x}) AS sx, sum({y}) AS sy, sum({x} * {x}) AS xx, sum({x} * {y}) AS xy, sum({y} * {y}) AS yy,
-                   {_RATIO} / (1 + count(*) * {_RATIO}) AS w FROM rows GROUP BY {by}brand),
-ab AS (SELECT {by}sum(n) AS n, count(*) AS groups, sum(n) - sum(w * n * n) AS a11, sum(sx) - sum(w * n * sx) AS a12, sum(xx) - sum(w * sx * sx) AS a22,
-              sum(sy) - sum(w * n * sy) AS b1, sum(xy) - sum(w * sx * sy) AS b2, sum(yy) - sum(w * sy * sy) AS c, sum(ln(1 + n * {_RATIO})) AS logs FROM gs {on}),
-bt AS (SELECT *, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS t1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS t2,
-              a11 * a22 - a12 * a12 AS det FROM ab),
-ft AS (SELECT *, c - b1 * t1 - b2 * t2 AS rss FROM bt)"""
+def _swept(design: str, keys: str = "", p: int = 2, reml: bool = True) -> str:
+    """Models at the ratio and two per cent to either side, from `design` (k, g, r, i, v): row r of key k and group g has v in column i.
+
+    Column p + 1 is the response. Sweeping all p columns leaves the coefficients, less the inverse, and the residual sum; df are
+    Satterthwaite's, from differences over the two sides; p values by Simpson's rule over the t density. Result `co`.
+    """
+    left = "CASE WHEN i = k AND j = k THEN -1 / m[k][k] WHEN i = k OR j = k THEN m[i][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END"
+    nested = f"list_transform(range(1, {p + 2}), lambda i: list_transform(range(1, {p + 2}), lambda j: {left.replace('k', 'step')}))"
+    return f"""design AS ({design}),
+rat AS (SELECT unnest([-1, 0, 1]) AS side, {_RATIO} * (1 + 0.02 * unnest([-1, 0, 1])) AS ratio),
+size AS (SELECT k, g, count(DISTINCT r) AS n FROM design GROUP BY 1, 2),
+tot AS (SELECT a.k, a.i, b.i AS j, sum(a.v * b.v) AS v FROM design a JOIN design b ON a.k = b.k AND a.r = b.r GROUP BY ALL),
+gs AS (SELECT k, g, i, sum(v) AS s FROM design GROUP BY ALL),
+off AS (SELECT side, a.k, a.i, b.i AS j, sum(ratio / (1 + n * ratio) * a.s * b.s) AS v FROM rat, gs a JOIN gs b ON a.k = b.k AND a.g = b.g
+        JOIN size z ON z.k = a.k AND z.g = a.g GROUP BY ALL),
+cell AS (SELECT rat.side, z.k, ij.i, ij.j, coalesce(t.v, 0) - coalesce(o.v, 0) AS v FROM rat, (SELECT DISTINCT k FROM size) z,
+         (SELECT unnest(range(1, {p + 2})) AS i, j FROM (SELECT unnest(range(1, {p + 2})) AS j)) ij
+         LEFT JOIN tot t ON t.k = z.k AND t.i = ij.i AND t.j = ij.j LEFT JOIN off o ON o.side = rat.side AND o.k = z.k AND o.i = ij.i AND o.j = ij.j),
+mat AS (SELECT side, k, list(line ORDER BY i) AS m FROM (SELECT side, k, i, list(v ORDER BY j) AS line FROM cell GROUP BY ALL) GROUP BY ALL),
+sw AS (WITH RECURSIVE s(side, k, step, m, logdet) AS (
+         SELECT side, k, 0, m, 0.0::DOUBLE FROM mat
+         UNION ALL SELECT side, k, step + 1, {nested.replace('step', '(step + 1)')}, logdet + ln(m[step + 1][step + 1]) FROM s WHERE step < {p})
+       SELECT side, k, m, logdet FROM s WHERE step = {p}),
+par AS (SELECT k, sum(n) AS n FROM size GROUP BY 1),
+all3 AS (SELECT k, list(m ORDER BY side) AS m, list(logdet ORDER BY side) AS ld FROM sw GROUP BY 1),
+lg3 AS (SELECT k, list(l ORDER BY side) AS lg FROM (SELECT k, side, sum(ln(1 + n * ratio)) AS l FROM size, rat GROUP BY ALL) GROUP BY 1),
+v0 AS (SELECT k, par.n, m, m[2][{p + 1}][{p + 1}] AS rss, m[2][{p + 1}][{p + 1}] / (par.n - {p if reml else 0}) AS s2, 0.02 * {_RATIO} AS h, ld, lg,
+              m[1][{p + 1}][{p + 1}] AS r1, m[3][{p + 1}][{p + 1}] AS r3 FROM all3 JOIN par USING (k) JOIN lg3 USING (k)),
+v1 AS (SELECT *, -(n - {p}) / (s2 * s2) + 2 * rss / (s2 * s2 * s2) AS haa, -((r3 - r1) / (2 * h)) / (s2 * s2) AS hab,
+              ((ld[3] + lg[3] + r3 / s2) - 2 * (ld[2] + lg[2] + rss / s2) + (ld[1] + lg[1] + r1 / s2)) / (h * h) AS hbb FROM v0)"""
+
+
+def _contrast(rows: str) -> str:
+    """Columns of the contrasts `rows` (k, name, l): estimate, SE, df, t and p."""
+    form = "list_sum(list_transform(range(1, len(l) + 1), lambda i: l[i] * list_sum(list_transform(range(1, len(l) + 1), lambda j: l[j] * -m[{side}][i][j]))))"
+    return f"""con AS ({rows}),
+q AS (SELECT con.*, n, h, s2, haa, hab, hbb, list_sum(list_transform(range(1, len(l) + 1), lambda i: l[i] * m[2][i][len(l) + 1])) AS estimate,
+             {form.format(side=2)} AS c0, s2 * ({form.format(side=3)} - {form.format(side=1)}) / (2 * h) AS g2 FROM con JOIN v1 USING (k)),
+w AS (SELECT *, 2 * (c0 * c0 * hbb - 2 * c0 * g2 * hab + g2 * g2 * haa) / (haa * hbb - hab * hab) AS wobble FROM q),
+d AS (SELECT *, sqrt(s2 * c0) AS se, CASE WHEN wobble > 0 THEN 2 * pow(s2 * c0, 2) / wobble ELSE n - len(l) END AS df FROM w),
+t AS (SELECT *, estimate / se AS t FROM d),
+co AS (SELECT *, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * least(abs(t), 60) / 3000 * list_sum(list_transform(range(0, 1001),
+              lambda i: CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(least(abs(t), 60) * i / 1000, 2) / df, -(df + 1) / 2))) AS p FROM t)"""
+
+
+_PLAIN = "SELECT 0 AS k, brand AS g, id AS r, unnest([1, 2, 3]) AS i, unnest([1.0, quantity, y]) AS v FROM (SELECT *, row_number() OVER () AS id FROM sales)"
+_UNITS = "SELECT k, 1 AS at, '(Intercept)' AS term, [1.0, 0.0] AS l FROM v1 UNION ALL SELECT k, 2, 'x', [0.0, 1.0] FROM v1"
+
+
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
+
+
+@query("random_intercept_given", f"""WITH {D.SALES}, {_swept(_PLAIN)}, {_contrast(_UNITS)}
+SELECT CASE term WHEN 'x' THEN 'quantity' ELSE term END AS term, round(estimate, 6) AS estimate, round(se, 6) AS se, round(df, 2) AS df, round(t, 5) AS t, round(p, 6) + 0 AS p FROM co""")
+def random_intercept_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.RandomIntercept(D.sales(spark, sf_dir), "y", ["quantity"], "brand", ratio=_RATIO).coefficients().select("term", "estimate", "se", "df", "t", "p")
+    return _rounded(_rounded(_rounded(out, 6, "estimate", "se", "p"), 5, "t"), 2, "df")
 
 
-@query("random_intercept_given", f"""WITH {D.SALES}, rows AS (FROM sales), {_mixed('', 'quantity')}
-SELECT '(Intercept)' AS term, round(t1, 6) AS estimate, round(sqrt(rss / (n - 2) * a22 / det), 6) AS se FROM ft
-UNION ALL SELECT 'quantity', round(t2, 6), round(sqrt(rss / (n - 2) * a11 / det), 6) FROM ft""")
-def random_intercept_given(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.random_intercept_table(D.sales(spark, sf_dir), "y", ["quantity"], "brand", ratio=_RATIO).select("term", F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"))
+_SWEEP = """SELECT flag || '/' || predictor AS k, brand AS g, id AS r, unnest([1, 2, 3]) AS i, unnest([1.0, x, y]) AS v
+FROM (SELECT *, row_number() OVER () AS id FROM sales) UNPIVOT (x FOR predictor IN (quantity, discount, tax))"""
 
 
-@query("model_sweep_given", f"""WITH {D.SALES},
-rows AS (SELECT flag, 'quantity' AS predictor, quantity AS x, y, brand FROM sales UNION ALL SELECT flag, 'discount', discount, y, brand FROM sales
-         UNION ALL SELECT flag, 'tax', tax, y, brand FROM sales), {_mixed('flag, predictor', 'x')}
-SELECT flag, predictor, round(t2, 5) AS estimate, round(sqrt(rss / (n - 2) * a11 / det), 5) AS se FROM ft""")
+@query("model_sweep_given", f"""WITH {D.SALES}, {_swept(_SWEEP)}, {_contrast(_UNITS)}
+SELECT split_part(k, '/', 1) AS flag, split_part(k, '/', 2) AS predictor, round(estimate, 5) AS estimate, round(se, 5) AS se, round(df, 2) AS df, round(t, 5) AS t, round(p, 6) + 0 AS p
+FROM co WHERE term = 'x'""")
 def model_sweep_given(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = R.model_sweep(D.sales(spark, sf_dir), ["flag"], ["quantity", "discount", "tax"], "y", "brand", ratio=_RATIO)
-    return out.select("flag", "predictor", F.round("estimate", 5).alias("estimate"), F.round("se", 5).alias("se"))
+    out = M.model_sweep(D.sales(spark, sf_dir), ["flag"], ["quantity", "discount", "tax"], "y", "brand", ratio=_RATIO)
+    out = out.select("flag", "predictor", "estimate", "se", "df", "t", "p")
+    return _rounded(_rounded(_rounded(out, 5, "estimate", "se", "t"), 6, "p"), 2, "df")
 
 
-@query("aic_compare_given", f"""WITH {D.SALES}, rows AS (FROM sales), {_mixed('', 'quantity')}
-SELECT 'quantity' AS model, 4 AS parameters, round(n * (ln(2 * pi() * rss / n) + 1) + logs, 4) AS criterion,
-       round(n * (ln(2 * pi() * rss / n) + 1) + logs + 8, 4) AS aic FROM ft""")
+@query("aic_compare_given", f"""WITH {D.SALES}, {_swept(_PLAIN, reml=False)}
+SELECT 'quantity' AS model, CAST(4 AS INT) AS parameters, round(n * (ln(2 * pi() * rss / n) + 1) + lg[2], 4) AS criterion,
+       round(n * (ln(2 * pi() * rss / n) + 1) + lg[2] + 8, 4) AS aic FROM v1""")
 def aic_compare_given(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = R.random_intercept(D.sales(spark, sf_dir), "y", ["quantity"], "brand", method="ml", ratio=_RATIO)[0]
-    return R.aic_compare(spark, {"quantity": fit}).select("model", "parameters", F.round("criterion", 4).alias("criterion"), F.round("aic", 4).alias("aic"))
+    model = M.RandomIntercept(D.sales(spark, sf_dir), "y", ["quantity"], "brand", method="ml", ratio=_RATIO)
+    return _rounded(M.aic_compare({"quantity": model}), 4, "criterion", "aic")
 
 
-_CELLS = f"""WITH {D.SALES},
-m AS (SELECT flag, count(*) AS n, avg(quantity) AS mx, avg(y) AS my, var_pop(quantity) AS a, covar_pop(quantity, y) AS b, var_pop(y) AS c FROM sales GROUP BY 1),
-s AS (SELECT sum(n * (c - b * b / a)) / (sum(n) - 2 * count(*)) AS s2, sum(n) - 2 * count(*) AS df FROM m)"""
+# three cells (flags) that share their groups (brands): six coefficients
+_FLAGS = """SELECT 0 AS k, brand AS g, id AS r, unnest([2 * f - 1, 2 * f, 7]) AS i, unnest([1.0, quantity, y]) AS v
+FROM (SELECT *, dense_rank() OVER (ORDER BY flag) AS f, row_number() OVER () AS id FROM sales)"""
+_NAMES = "(SELECT DISTINCT flag, dense_rank() OVER (ORDER BY flag) AS f FROM sales)"
+_ROW = "list_transform(range(1, 7), lambda i: CASE WHEN i = {at} THEN 1.0 ELSE 0.0 END)"
 
 
-def _cells(spark: SparkSession, sf_dir: str):
-    """Cell means and slopes without a group variance: one least-squares line per flag, one residual variance."""
-    return R.random_intercept(D.sales(spark, sf_dir), "y", ["quantity"], "brand", "flag", ratio=0.0)[0]
+def _cells(spark: SparkSession, sf_dir: str) -> M.RandomIntercept:
+    return M.RandomIntercept(D.sales(spark, sf_dir), "y", ["quantity"], "brand", "flag", ratio=_RATIO)
 
 
-@query("family_slopes_given", _CELLS + """
-SELECT flag AS family, round(b / a, 6) AS trend, round(sqrt(s2 / n / a), 6) AS "SE", CAST(df AS DOUBLE) AS df FROM m, s""")
+@query("family_slopes_given", f"""WITH {D.SALES}, {_swept(_FLAGS, p=6)}, {_contrast(f"SELECT 0 AS k, flag, {_ROW.format(at='2 * f')} AS l FROM {_NAMES}")}
+SELECT flag AS family, round(estimate, 6) AS trend, round(se, 6) AS "SE", round(df, 2) AS df, round(t, 5) AS t, round(p, 6) + 0 AS p FROM co""")
 def family_slopes_given(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = R.family_slopes(spark, _cells(spark, sf_dir), "quantity")
-    return out.select("family", F.round("trend", 6).alias("trend"), F.round("SE", 6).alias("SE"), "df")
+    out = _cells(spark, sf_dir).family_slopes("quantity").select("family", "trend", "SE", "df", "t", "p")
+    return _rounded(_rounded(_rounded(out, 6, "trend", "SE", "p"), 5, "t"), 2, "df")
 
 
-@query("family_means_given", _CELLS + """
-SELECT flag AS cell, round(my - b / a * mx, 6) AS emmean, round(sqrt(s2 * (1 / n + mx * mx / n / a)), 6) AS "SE", CAST(df AS DOUBLE) AS df FROM m, s""")
+@query("family_means_given", f"""WITH {D.SALES}, {_swept(_FLAGS, p=6)},
+{_contrast(f"SELECT 0 AS k, flag, list_transform(range(1, 7), lambda i: CASE WHEN i = 2 * f - 1 THEN 1.0 WHEN i = 2 * f THEN 20.0 ELSE 0.0 END) AS l FROM {_NAMES}")}
+SELECT flag AS cell, round(estimate, 6) AS emmean, round(se, 6) AS "SE", round(df, 2) AS df FROM co""")
 def family_means_given(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = R.marginal_means(spark, _cells(spark, sf_dir))
-    return out.select("cell", F.round("emmean", 6).alias("emmean"), F.round("SE", 6).alias("SE"), "df")
+    out = _cells(spark, sf_dir).marginal_means({"quantity": 20.0})
+    return _rounded(_rounded(out.select("cell", "emmean", "SE", "df"), 6, "emmean", "SE"), 2, "df")
 
 
-@query("family_contrasts_given", _CELLS + """
-SELECT u.flag AS first, v.flag AS second, round(u.my - u.b / u.a * u.mx - v.my + v.b / v.a * v.mx, 6) AS estimate,
-       round(sqrt(s2 * (1 / u.n + u.mx * u.mx / u.n / u.a + 1 / v.n + v.mx * v.mx / v.n / v.a)), 6) AS "SE", CAST(df AS DOUBLE) AS df
-FROM m u JOIN m v ON u.flag < v.flag, s""")
+@query("family_contrasts_given", f"""WITH {D.SALES}, {_swept(_FLAGS, p=6)},
+{_contrast(f"SELECT 0 AS k, a.flag AS one, b.flag AS two, list_transform(range(1, 7), lambda i: CASE WHEN i = 2 * a.f - 1 THEN 1.0 WHEN i = 2 * b.f - 1 THEN -1.0 ELSE 0.0 END) AS l FROM {_NAMES} a JOIN {_NAMES} b ON a.flag < b.flag")}
+SELECT one AS first, two AS second, round(estimate, 6) AS estimate, round(se, 6) AS "SE", round(df, 2) AS df, round(t, 5) AS t, round(p, 6) + 0 AS p FROM co""")
 def family_contrasts_given(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = R.pairwise_contrasts(spark, _cells(spark, sf_dir))
-    return out.select("first", "second", F.round("estimate", 6).alias("estimate"), F.round("SE", 6).alias("SE"), "df")
+    out = _cells(spark, sf_dir).pairwise_contrasts().select("first", "second", "estimate", "SE", "df", "t", "p")
+    return _rounded(_rounded(_rounded(out, 6, "estimate", "SE", "p"), 5, "t"), 2, "df")
 
 
 @query("family_contrasts")
 def family_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = R.random_intercept(_trophic_chemistry(spark, sf_dir), "trophic_position_weighted", ["DOC_update"], "WATER", "FAMILY")[0]
-    return R.pairwise_contrasts(spark, fit)
+    return _by_family(spark, sf_dir).pairwise_contrasts()
 
 
 @query("cooks_mixed")
 def cooks_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.sales(spark, sf_dir)
-    fit = R.random_intercept(rows, "y", ["quantity"], "brand")[0]
-    return R.cooks_distance(rows, "y", ["quantity"], fit, "brand")
+    return R.cooks_distance(D.sales(spark, sf_dir), "y", ["quantity"], "brand")
+
+
+@query("cooks_mixed_given", f"""WITH {D.SALES},
+g AS (SELECT brand, 1 - 1 / sqrt(1 + count(*) * {_RATIO}) AS s, avg(quantity) AS mx, avg(y) AS my FROM sales GROUP BY 1),
+z AS (SELECT brand, 1 - s AS u, quantity - s * mx AS x, y - s * my AS y FROM sales JOIN g USING (brand)),
+m AS (SELECT count(*) AS n, sum(u * u) AS a, sum(u * x) AS b, sum(x * x) AS d, sum(u * y) AS e, sum(x * y) AS f, sum(y * y) AS w FROM z),
+c AS (SELECT *, a * d - b * b AS det, (d * e - b * f) / (a * d - b * b) AS b1, (a * f - b * e) / (a * d - b * b) AS b2 FROM m),
+r AS (SELECT brand, n, (u * u * d - 2 * u * x * b + x * x * a) / det AS h, z.y - u * b1 - x * b2 AS e, (w - b1 * c.e - b2 * f) / (n - 2) AS s2 FROM z, c),
+k AS (SELECT brand, n, h, e * e * h / (2 * s2 * (1 - h) * (1 - h)) AS cook FROM r)
+SELECT brand, count(*) AS n, round(max(cook), 8) AS worst, round(sum(h), 8) AS leverage, count(*) FILTER (WHERE cook > 4.0 / n) AS influential FROM k GROUP BY 1""")
+def cooks_mixed_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.cooks_distance(D.sales(spark, sf_dir), "y", ["quantity"], "brand", _RATIO)
+    return out.groupBy("brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("cooks"), 8).alias("worst"), F.round(F.sum("leverage"), 8).alias("leverage"),
+                                    F.count(F.when(F.col("influential"), 1)).alias("influential"))
 
 
 @query("presence_logit_two_valued", """WITH r AS (SELECT CAST(quality AS DOUBLE) AS y, CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END AS x FROM labels JOIN documents USING (doc_id)),

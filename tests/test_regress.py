@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from limnos.functions.special import t_quantile, t_two_sided
+from limnos.operators import mixed as M
 from limnos.operators import regress as R
 from limnos.operators import summaries as Y
 
@@ -47,35 +50,72 @@ def dense_reml(x, y, g):
     return (grid[i], *fit(grid[i]))
 
 
-def test_random_intercept_equals_dense(spark):
+def fitted(model):
+    """Coefficients by (cell, term), and the variances."""
+    return {(r.cell, r.term): r for r in model.coefficients().collect()}, model.variances().first()
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_random_intercept_equals_dense(spark, shift):
     g, c, x, y = data()
-    fit = R.random_intercept(frame(spark, g, c, x, y), "y", ["x"], "g")[0]
+    rows, v = fitted(M.RandomIntercept(frame(spark, g, c, x + shift, y), "y", ["x"], "g"))
     r, dev, b, s2, cov = dense_reml(np.column_stack([np.ones_like(x), x]), y, g)
-    assert fit.beta == pytest.approx(b, rel=1e-4) and fit.sigma2 == pytest.approx(s2, rel=1e-3) and fit.tau2 == pytest.approx(r * s2, rel=5e-3)
-    assert fit.criterion == pytest.approx(dev, abs=1e-3) and fit.cov == pytest.approx(cov, rel=1e-2)
-    assert fit.groups == 12 and fit.n == 72
+    slope = rows["", "x"]
+    assert slope.estimate == pytest.approx(b[1], rel=1e-4) and slope.se == pytest.approx(np.sqrt(cov[1, 1]), rel=1e-2)
+    assert rows["", "(Intercept)"].estimate == pytest.approx(b[0] - b[1] * shift, rel=1e-4)
+    assert v.residual_variance == pytest.approx(s2, rel=1e-3) and v.group_variance == pytest.approx(r * s2, rel=5e-3)
+    assert v.criterion == pytest.approx(dev, abs=1e-3) and v.groups == 12 and v.n == 72 and v.parameters == 4
+    if not shift:
+        assert rows["", "(Intercept)"].se == pytest.approx(np.sqrt(cov[0, 0]), rel=1e-2)
 
 
-def test_cells_equal_dense(spark):
+def test_cells_equal_dense(spark, monkeypatch):
+    monkeypatch.setattr(M, "SUM_BYTES", 1)
     g, c, x, y = data(cells=3, seed=2)
-    fit = R.random_intercept(frame(spark, g, c, x, y), "y", ["x"], "g", "c")[0]
+    model = M.RandomIntercept(frame(spark, g, c, x, y), "y", ["x"], "g", "c")
+    rows, _ = fitted(model)
     f = (c[:, None] == np.arange(3)).astype(float)
     design = np.column_stack([v for j in range(3) for v in (f[:, j], f[:, j] * x)])
     _, _, b, _, cov = dense_reml(design, y, g)
-    assert fit.terms == [(f"f{j}", t) for j in range(3) for t in ("(Intercept)", "x")]
-    assert fit.beta == pytest.approx(b, rel=1e-3, abs=1e-4) and np.diag(fit.cov) == pytest.approx(np.diag(cov), rel=1e-2)
-    slopes = {r.family: r for r in R.family_slopes(spark, fit, "x", "M").collect()}
+    names = [(f"f{j}", t) for j in range(3) for t in ("(Intercept)", "x")]
+    assert set(rows) == set(names)
+    assert [rows[k].estimate for k in names] == pytest.approx(b, rel=1e-3, abs=1e-4) and [rows[k].se ** 2 for k in names] == pytest.approx(np.diag(cov), rel=1e-2)
+    slopes = {r.family: r for r in model.family_slopes("x", "M").collect()}
     assert slopes["f1"].trend == pytest.approx(b[3], rel=1e-3) and slopes["f1"].sig == (np.sign(slopes["f1"].lower_CL) == np.sign(slopes["f1"].upper_CL))
-    pairs = R.pairwise_contrasts(spark, fit).collect()
-    assert len(pairs) == 3 and all(r.p_holm >= r.p for r in pairs)
-    means = {r.cell: r.emmean for r in R.marginal_means(spark, fit, {"x": 1.0}).collect()}
+    pairs = {(r.first, r.second): r for r in model.pairwise_contrasts({"x": 0.5}).collect()}
+    l = np.array([1, .5, 0, 0, -1, -.5])
+    assert len(pairs) == 3 and all(r.p_holm >= r.p for r in pairs.values())
+    assert pairs["f0", "f2"].estimate == pytest.approx(l @ b, abs=1e-3) and pairs["f0", "f2"].SE == pytest.approx(np.sqrt(l @ cov @ l), rel=1e-2)
+    means = {r.cell: r.emmean for r in model.marginal_means({"x": 1.0}).collect()}
     assert means["f0"] == pytest.approx(b[0] + b[1], rel=1e-3)
+    assert model.pairwise_contrasts(within="|").count() == 0
+
+
+def test_models_by_key_are_those_of_their_rows(spark):
+    g, c, x, y = data(cells=2, seed=11)
+    df = frame(spark, g, c, x, y).withColumn("k", F.when(F.col("x") > 0, 1))  # a missing key is a key
+    both = M.RandomIntercept(df, "y", ["x"], "g", "c", ["k"], ratio=0.7).coefficients().collect()
+    for k in (1, None):
+        alone = M.RandomIntercept(df.where(F.col("k").eqNullSafe(F.lit(k))), "y", ["x"], "g", "c", ratio=0.7).coefficients().collect()
+        for name in ("estimate", "df"):
+            mine, theirs = ({(r.cell, r.term): r[name] for r in rows} for rows in ([r for r in both if r.k == k], alone))
+            assert mine == pytest.approx(theirs)
+
+
+def test_what_rows_do_not_determine_is_missing(spark):
+    g, c, x, y = data(cells=2, seed=12)
+    x = np.where(c == 1, 3.0, x)  # one value of x in a cell
+    model = M.RandomIntercept(frame(spark, g, c, x, y), "y", ["x"], "g", "c", ratio=0.5)
+    rows = {(r.cell, r.term): r for r in model.coefficients().collect()}
+    assert rows["f1", "x"].estimate is None and rows["f1", "(Intercept)"].se is None and rows["f0", "x"].estimate is not None
+    at = {r.cell: r.emmean for r in model.marginal_means({"x": 3.0}).collect()}
+    assert at["f1"] is not None
+    assert {r.family: r.sig for r in model.family_slopes("x").collect()}["f1"] is None
 
 
 def test_balanced_intercept_has_group_degrees(spark):
     g, c, x, y = data(groups=10, per=5, seed=3)
-    fit = R.random_intercept(frame(spark, g, c, x, y), "y", [], "g")[0]
-    assert fit.degrees(np.array([1.0])) == pytest.approx(9, rel=0.02)
+    assert M.RandomIntercept(frame(spark, g, c, x, y), "y", [], "g").coefficients().first().df == pytest.approx(9, rel=0.02)
 
 
 def test_no_group_variance_gives_least_squares(spark):
@@ -85,17 +125,19 @@ def test_no_group_variance_gives_least_squares(spark):
     y = 1 + x + rng.normal(size=60)
     y -= np.array([y[g == k].mean() for k in range(6)])[g] - y.mean()  # group means all equal
     x -= np.array([x[g == k].mean() for k in range(6)])[g]
-    fit = R.random_intercept(frame(spark, g, np.zeros(60, int), x, y), "y", ["x"], "g")[0]
+    rows, v = fitted(M.RandomIntercept(frame(spark, g, np.zeros(60, int), x, y), "y", ["x"], "g"))
     b = np.linalg.lstsq(np.column_stack([np.ones(60), x]), y, rcond=None)[0]
-    assert fit.tau2 == 0 and fit.beta == pytest.approx(b) and fit.degrees(np.array([0.0, 1.0])) == 58
+    assert v.group_variance == 0 and [rows["", "(Intercept)"].estimate, rows["", "x"].estimate] == pytest.approx(b) and rows["", "x"].df == 58
 
 
 def test_sweep_is_one_model_per_key(spark):
     g, c, x, y = data(seed=5)
     df = frame(spark, g, c, x, y).selectExpr("g", "c", "x AS a", "-x AS b", "y")
-    got = {r.predictor: r for r in R.model_sweep(df, [], ["a", "b"], "y", "g").collect()}
+    got = {r.predictor: r for r in M.model_sweep(df, [], ["a", "b"], "y", "g").collect()}
     assert got["a"].estimate == pytest.approx(-got["b"].estimate) and got["a"].p == pytest.approx(got["b"].p)
-    assert R.model_sweep(df, [], ["a", "b"], "y", "g", alpha=0.05).count() == 2
+    assert M.model_sweep(df, [], ["a", "b"], "y", "g", alpha=0.05).count() == 2
+    models = {n: M.RandomIntercept(df, "y", xs, "g", method="ml") for n, xs in (("with", ["a"]), ("without", []))}
+    assert [r.model for r in M.aic_compare(models).collect()] == ["with", "without"]
 
 
 def test_ols_equals_lstsq(spark):
@@ -129,8 +171,10 @@ def test_cooks_distance_equals_deletion(spark):
         want.append((x[i], ((d @ (b - bi)) ** 2).sum() / (2 * s2)))
     assert [v for _, v, _ in got] == pytest.approx([v for _, v in sorted(want)])
     assert any(f for _, _, f in got)
-    fit = R.random_intercept(frame(spark, g, c, x, y), "y", ["x"], "g")[0]
-    assert R.cooks_distance(frame(spark, g, c, x, y), "y", ["x"], fit, "g").count() == 20
+    assert R.cooks_distance(frame(spark, g, c, x, y), "y", ["x"], "g").count() == 20
+    far = R.cooks_distance(frame(spark, g, c, x + 1e7, y), "y", ["x"], "g", 0.4).collect()
+    near = {round(r.y, 9): r.cooks for r in R.cooks_distance(frame(spark, g, c, x, y), "y", ["x"], "g", 0.4).collect()}
+    assert all(r.cooks == pytest.approx(near[round(r.y, 9)], rel=1e-4) for r in far)
 
 
 def test_logit_recovers(spark):
