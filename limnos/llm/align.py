@@ -27,13 +27,16 @@ from pyspark.sql import functions as F
 from limnos.llm.common import blocks, coded, offsets, spans, staged
 from limnos.llm.tokens import tokenizer_path
 
-BLOCK_TEXT = 4 << 20
-#: Words whose tokens a worker keeps, in one of two generations, and tokens of a document that one row of the state vector merges.
-CACHE_WORDS = 150_000
+BLOCK_TEXT = 2 << 20
+#: Words that are encoded as one text, in bytes, and tokens of a document that one row of the state vector merges.
+TEXT_BYTES = 1 << 16
 STRETCH = 1024
+#: Longer words are encoded by themselves, by the library of A's file.
+LONG_WORD = 1000
 BLANK = 0x20
 #: Bytes that may begin a white-space character of any kind: no cut before a blank that one of them follows.
 MAY_BE_BLANK = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]
+NO_CUT = np.isin(np.arange(256), MAY_BE_BLANK)
 
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 DOC = "struct<doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string>"
@@ -51,7 +54,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Pair:
-    """Two tokenizers, and the tokens of the words that a worker has met.
+    """Two tokenizers and the bytes of their tokens.
 
     A word is what stands between two safe cuts of blank+text: before a blank that follows no blank and that no white space
     follows. Neither model has a token that reaches over such a place, and both split the text alike on either side.
@@ -65,7 +68,8 @@ class Pair:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary = file["model"]["vocab"]
         letters = _byte_letters()
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
@@ -73,9 +77,8 @@ class Pair:
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         if max(len(self.bytes_a), len(self.bytes_b)) > 1 << 16:
             raise ValueError("ids of up to 16 bits only")
+        self.ranks = _rank_encoder(file, self.bytes_a)
         self.len_a, self.len_b = (np.array([len(x) for x in many], np.int64) for many in (self.bytes_a, self.bytes_b))
-        self.new: dict[str, tuple[bytes, bytes, bool]] = {}
-        self.old: dict[str, tuple[bytes, bytes, bool]] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -85,33 +88,98 @@ class Pair:
             raise ValueError("the model has pieces that reach over a blank or a line end; texts cannot be cut there")
         return piece.replace("▁", " ").encode()
 
-    def _learn(self, words: list[str]) -> None:
-        missing = []
-        for word in words:
-            if word not in self.new:
-                if word in self.old:
-                    self.new[word] = self.old[word]
-                else:
-                    missing.append(word)
-        for i in range(0, len(missing), 4096):
-            part = missing[i:i + 4096]
-            for word, a, b in zip(part, self.a.encode_batch_fast(part, add_special_tokens=False),
-                                  self.b.encode([w[1:] for w in part], num_threads=1)):
-                raw, ids = word.encode(), a.ids
-                same = b"".join([self.bytes_a[x] for x in ids]) == raw and b"".join([self.bytes_b[x] for x in b]) == raw
-                self.new[word] = np.array(ids, "<u2").tobytes(), np.array(b, "<u2").tobytes(), same
-
-    def tokens(self, words: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """Codes of the words, and by code: pools of ids and numbers of ids (A, B), and if both give the word's bytes."""
+    def _same(self, a: list[int], b: list[int], raw: bytes) -> bool:
+        return b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
+
+    def tokens(self, words: pa.Array) -> Tokens:
+        """Tokens of the distinct words, each encoded once: many words that may stand one after the other go in as one text.
+
+        The ids of such a text are cut again where the bytes of its words end.
+        """
         codes, names = coded(words)
-        names = names.to_pylist()
-        self._learn(names)
-        found = [self.new[w] for w in names]
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        pools = [np.frombuffer(b"".join([f[k] for f in found]), "<u2") for k in (0, 1)]
-        counts = [np.fromiter((len(f[k]) >> 1 for f in found), np.int64, len(found)) for k in (0, 1)]
-        return codes, pools, counts, np.fromiter((f[2] for f in found), bool, len(found))
+        n = len(names)
+        counts, starts = np.zeros((2, n), np.int64), np.zeros((2, n), np.int64)
+        same, pools, filled = np.zeros(n, bool), ([], []), [0, 0]
+
+        def put(which: np.ndarray, a: list[int], b: list[int], number: list[np.ndarray]) -> None:
+            for side, ids in enumerate((a, b)):
+                counts[side, which] = number[side]
+                starts[side, which] = filled[side] + np.cumsum(number[side]) - number[side]
+                pools[side].append(np.array(ids, "<u2"))
+                filled[side] += len(ids)
+            same[which] = True
+
+        at, data = _buffers(names)
+        marked = pc.match_substring(names, "▁").to_numpy(zero_copy_only=False)  # B gives a blank for it
+        size = np.diff(at)
+        may = ~marked & (size >= 2) & (size <= LONG_WORD) & (data[at[1:] - 1] != BLANK) & ~NO_CUT[data[np.minimum(at[:-1] + 1, len(data) - 1)]] if n else marked
+        alone = list(np.flatnonzero(~marked & ~may))
+        free = np.flatnonzero(may)
+        ends = np.cumsum(size[free])
+        joined = bytes(data[spans(size[free], at[free])])
+        cut = np.flatnonzero(np.r_[True, np.diff(np.r_[0, ends[:-1]] // TEXT_BYTES) > 0, True]) if len(free) else []
+        for i, j in zip(cut, cut[1:]):
+            begin = int(ends[i - 1]) if i else 0
+            raw = joined[begin:int(ends[j - 1])]
+            text = raw.decode()
+            a, b = self._ids(text), self.b.encode(text[1:])
+            number = [_tokens_by_word(length[np.array(ids, np.int64)], ends[i:j] - begin) for ids, length in ((a, self.len_a), (b, self.len_b))]
+            if all(x is not None for x in number) and self._same(a, b, raw):
+                put(free[i:j], a, b, number)
+            else:
+                alone += list(free[i:j])
+        for k in alone:
+            raw = bytes(data[at[k]:at[k + 1]])
+            text = raw.decode()
+            a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+            if self._same(a, b, raw):
+                put(np.array([k]), a, b, [np.array([len(a)]), np.array([len(b)])])
+        return Tokens(codes, [np.concatenate([*p, np.empty(0, "<u2")]) for p in pools], starts, counts, same)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.ranks.encode_ordinary(text) if self.ranks else self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
+def _rank_encoder(file: dict, bytes_by_id: list[bytes]):
+    """A rank encoder of the same vocabulary, some four times as fast, if the file says no more than ranks do.
+
+    That is a byte-level model without normalizer whose merges are its ids in their order.
+    """
+    model, split = file["model"], file["pre_tokenizer"] or {}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [model["vocab"].get("".join(m)) for m in pairs]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not file["normalizer"]
+    if not plain or ids != list(range(256, 256 + len(ids))) or any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback")):
+        return None
+    import public_tokenizers
+    import tiktoken
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={b: i for i, b in enumerate(bytes_by_id[:256 + len(ids)])}, special_tokens={})
+
+
+class Tokens(NamedTuple):
+    """Codes of words; by code and side (A, B): ids in a pool, from where and how many; and if both sides give the word's bytes."""
+    codes: np.ndarray
+    pools: list[np.ndarray]
+    starts: np.ndarray
+    counts: np.ndarray
+    same: np.ndarray
+
+
+def _tokens_by_word(lengths: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+    """Number of tokens of each word, if tokens end where words do."""
+    token_ends = np.cumsum(lengths)
+    last = np.searchsorted(token_ends, ends)
+    if not len(token_ends) or last[-1] != len(token_ends) - 1 or (token_ends[last] != ends).any():
+        return None
+    return np.diff(np.r_[-1, last])
+
+
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a large_string array."""
+    if not len(texts):
+        return np.zeros(1, np.int64), np.empty(0, np.uint8)
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    return at - at[0], np.frombuffer(texts.buffers()[2], np.uint8)[at[0]:at[-1]]
 
 
 @functools.lru_cache(maxsize=2)
@@ -128,15 +196,11 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     joined = pc.binary_join_element_wise(pa.scalar(" ", kind), texts.filter(full).cast(kind), pa.scalar("", kind))
     if not len(joined):
         return pa.array([], kind), np.zeros(len(texts), np.int64)
-    at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset:joined.offset + len(joined) + 1]
-    data = np.frombuffer(joined.buffers()[2], np.uint8)[at[0]:at[-1]]
-    at = at - at[0]
+    at, data = _buffers(joined)
     blank = data == BLANK
-    no_cut = np.zeros(256, bool)
-    no_cut[MAY_BE_BLANK] = True
     cut = blank.copy()
     cut[1:] &= ~blank[:-1]
-    cut[:-1] &= ~no_cut[data[1:]]
+    cut[:-1] &= ~NO_CUT[data[1:]]
     cut[at[1:] - 1] = False
     cut[at[:-1]] = True
     places = np.flatnonzero(cut)
@@ -221,23 +285,24 @@ def group_texts(ids_a: np.ndarray, ids_b: np.ndarray, groups: Groups) -> tuple[n
     """Bytes of `a1,a2|b1;a3|b2,b3;` over all groups, and where each group ends in them."""
     size_a, size_b = groups.a1 - groups.a0, groups.b1 - groups.b0
     total = len(ids_a) + len(ids_b)
-    ids, mark = np.empty(total, np.int64), np.full(total, ord(","), np.uint8)
+    ids, mark = np.empty(total, np.int32), np.full(total, ord(","), np.uint8)
     ids[np.arange(len(ids_a)) + np.repeat(groups.b0, size_a)] = ids_a
     ids[np.arange(len(ids_b)) + np.repeat(groups.a1, size_b)] = ids_b
     mark[groups.a1 + groups.b0 - 1] = ord("|")
     mark[groups.a1 + groups.b1 - 1] = ord(";")
-    width = 1 + sum((ids >= 10 ** k).astype(np.int64) for k in range(1, 5))
-    at = offsets(width + 1)
-    out = np.empty(int(at[-1]), np.uint8)
+    parts = _numerals().take(pa.array(ids))
+    at, data = _buffers(parts)
+    out = data.copy()
     out[at[1:] - 1] = mark
-    rest, place = ids, at[1:] - 2
-    while len(rest):  # the last digit of all numbers, then the one before of those that have one
-        out[place] = 48 + rest % 10
-        more = rest >= 10
-        rest, place = rest[more] // 10, place[more] - 1
     return out, at[groups.a1 + groups.b1]
 
 
+@functools.lru_cache(maxsize=1)
+def _numerals() -> pa.Array:
+    """Decimal text of each 16-bit id with one byte more for the mark."""
+    return pa.array([f"{i}," for i in range(1 << 16)], pa.large_string())
+
+
 class Aligned(NamedTuple):
     """Tokens and groups of a block's documents, and how many of each they have."""
     ids_a: np.ndarray
@@ -250,16 +315,13 @@ class Aligned(NamedTuple):
 
 def aligned(texts: pa.Array, pair: Pair) -> Aligned:
     words, counts = words_of(texts)
-    codes, pools, sizes, same = pair.tokens(words)
+    made = pair.tokens(words)
     owner = np.repeat(np.arange(len(texts)), counts)
-    bad = np.bincount(owner, ~same[codes], len(texts)) > 0
+    bad = np.bincount(owner, ~made.same[made.codes], len(texts)) > 0
     good = ~bad[owner]
-    codes, owner = codes[good], owner[good]
-    ids, each = [], []
-    for pool, size in zip(pools, sizes):
-        start = np.cumsum(size) - size
-        each.append(size[codes])
-        ids.append(pool[spans(each[-1], start[codes])])
+    codes, owner = made.codes[good], owner[good]
+    each = [count[codes] for count in made.counts]
+    ids = [pool[spans(n, start[codes])] for pool, start, n in zip(made.pools, made.starts, each)]
     ends = [np.cumsum(length[x]) for length, x in zip((pair.len_a, pair.len_b), ids)]
     at = [offsets(x) for x in each]
     # a stretch begins with a document, and at the words where so many tokens more have gone by

@@ -85,6 +85,22 @@ def test_tokens_and_groups_equal_the_library_on_whole_texts(pair):
     assert got == [groups(*x) for x in want]
 
 
+def test_ranks_give_the_ids_of_the_library(pair):
+    r = random.Random(2)
+    odd = [chr(r.choice([r.randint(32, 126), r.randint(97, 122), r.randint(0x20, 0x24ff), r.randint(0x3000, 0x9fff), r.randint(0x1f300, 0x1f9ff)])) for _ in range(4000)]
+    many = ["".join(r.choice(odd) for _ in range(r.randint(1, 50))) for _ in range(5000)] + [t for t in strings(3000, 4) if t]
+    assert pair.ranks is not None
+    assert [pair.ranks.encode_ordinary(t) for t in many] == [e.ids for e in pair.a.encode_batch(many, add_special_tokens=False)]
+
+
+def test_very_long_words(pair):
+    many = ["a" * 5000, "ab" * 600 + " c", "日本" * 700, " ".join(["x" * n for n in range(990, 1010)])]
+    found = align.aligned(pa.array(many), pair)
+    want = library(many)
+    assert found.n_a.tolist() == [len(a) for a, _ in want] and found.n_b.tolist() == [len(b) for _, b in want]
+    assert found.ids_a.tolist() == [i for a, _ in want for i, _ in a]
+
+
 @pytest.mark.parametrize("stretch", [1, 5, 1 << 30])
 def test_stretches_change_nothing(pair, monkeypatch, stretch):
     many = strings(300)
