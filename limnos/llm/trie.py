@@ -28,7 +28,7 @@ from limnos.session import cores
 BASE, MOST_SHARED = 20, 4
 #: Levels of a shard; nodes that a shard should hold; messages that a task keeps in memory; bytes of one piece of a list of members.
 BAND = 4096
-SHARD_NODES = 50_000
+SHARD_NODES = 20_000
 QUEUE_MESSAGES = 200_000
 PIECE_BYTES = 1 << 16
 KEY = ["depth", "k1", "k2"]
@@ -352,7 +352,7 @@ def prefix_trie(conversations: DataFrame, band: int = BAND, shard_nodes: int = S
     rows, sizes = _rebuilt(*_turns(conversations))
     paths = _paths(rows, sizes)
     n_rows = sizes.agg(F.sum(F.col("size") + 1)).first()[0] or 0
-    shards = max(cores(conversations), -(-n_rows // shard_nodes))
+    shards = max(4 * cores(conversations), -(-n_rows // shard_nodes))
     group = F.pmod(F.xxhash64((F.col("conv_id") - F.col("conv_id") % BASE)), F.lit(shards)).cast("int")
     paths = staged(paths.withColumn("shard", group), "prefixes")
     local = staged(paths.groupBy("shard", *KEY, "p1", "p2").agg(
