@@ -5,14 +5,18 @@ Presence is long and sparse: one row per (site, taxon) that occurs. A wide matri
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limnos.functions import columns as C
+from limnos.operators.permutations import numbered
 from limnos.operators.reshape import add_group_values, keep_groups, long, lookup_join, natural_join, wide
-from limnos.session import checkpointed
+from limnos.session import checkpointed, cores
 
 # Names that stand for specimens without a usable family.
 INVALID_FAMILIES = ["unidentified", "degraded", "terrestrial"]
@@ -121,8 +125,8 @@ def cluster_frequency(presence: DataFrame, site: str, taxon: str, cluster: str,
                       important: DataFrame | None = None) -> DataFrame:
     """Share of a cluster's sites that hold each taxon, and that share summed over clusters.
 
-    `orders` (taxon, ORDER) adds the order; `important` (taxon) marks members with Y. `rank` runs by order,
-    then by falling total share.
+    `orders` (taxon, ORDER) adds the order, and `rank`, which numbers the rows by order (missing ones last), falling total
+    share, taxon and cluster. `important` (taxon) marks members with Y, others with N.
     """
     sizes = presence.groupBy(cluster).agg(C.n_distinct(site).alias("n"))
     counts = presence.groupBy(cluster, taxon).agg(F.count(F.lit(1)).alias("total_waters"))
@@ -133,6 +137,10 @@ def cluster_frequency(presence: DataFrame, site: str, taxon: str, cluster: str,
     if important is not None:
         marks = important.select(taxon).distinct().withColumn("__m", F.lit("Y"))
         out = natural_join(out, marks, "left", [taxon]).withColumn("important", F.coalesce("__m", F.lit("N"))).drop("__m")
+    if orders is not None:
+        place = {"__late": F.isnull("ORDER"), "__less": -F.round("total_clust", 12)}
+        out = numbered(out.withColumns(place), ["__late", "ORDER", "__less", taxon, cluster]).withColumn("rank", F.col("at") + 1)
+        out = out.drop(*place, "at", "size")
     return out
 
 
@@ -169,35 +177,24 @@ def cluster_season_shift(sites: DataFrame, water: str, season: str, cluster: str
 
 # --- accumulation curves -------------------------------------------------------------------------
 
+#: Sizes n of a curve that one row of work covers.
+CURVE_BLOCK = 1024
+
+
 def accumulation(presence: DataFrame, keys: Sequence[str], site: str, taxon: str, sizes: Sequence[int] | None = None) -> DataFrame:
-    """Expected richness and its sd in n of the N sites of each key.
+    """Expected richness and its sd in n of the N sites of each key, for n = 1 .. N (or the given `sizes` up to N).
 
-    A taxon in f sites is missed by n of N sites with probability q = C(N-f, n) / C(N, n), which depends on
-    (N, f, n) only. The sd adds the covariances of taxon pairs, q(1-q) weighted by the correlation of occurrences:
-    pairs that share sites are counted by their two frequencies, in one pass over the sites, and the product of
-    marginals is a difference of squares. `sizes` limits n where a key has very many sites.
+    A taxon in f sites is missed by n of N sites with probability q = C(N-f, n) / C(N, n). The sd adds the covariances of taxon
+    pairs, q(1-q) weighted by the correlation of occurrences: pairs that share sites are counted by their two frequencies, in one
+    pass over the sites, and the product of marginals is a difference of squares. A key then has a number per frequency and per pair
+    of frequencies; blocks of n are products of these with the matrix of weights (frequencies x n).
     """
     presence = checkpointed(presence.select(*keys, site, taxon).distinct())  # what lies behind it runs once
     per_site = presence.groupBy(*keys, site).agg(F.count(F.lit(1)).alias("k"))
     totals_n = per_site.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sites"))
     freq = natural_join(presence.groupBy(*keys, taxon).agg(F.count(F.lit(1)).alias("f")), totals_n, "inner", keys)
-    counts = freq.groupBy(*keys, "n_sites", "f").agg(F.count(F.lit(1)).alias("taxa"))
-
-    n_values = F.sequence(F.lit(1).cast("long"), F.col("n_sites")) if sizes is None else \
-        F.filter(F.array(*[F.lit(int(s)).cast("long") for s in sizes]), lambda s: s <= F.col("n_sites"))
-    missed = F.when(F.col("n_sites") - F.col("f") < F.col("n"), 0.0).otherwise(
-        F.exp(C.log_choose(F.col("n_sites") - F.col("f"), "n") - C.log_choose("n_sites", "n")))
-    shapes = counts.select("n_sites", "f").distinct().withColumn("n", F.explode(n_values)).select("n_sites", "f", "n", missed.alias("q"))
-    shapes = checkpointed(shapes)  # distinct (N, f, n): small, and read three times
-    spread = F.col("f") * (F.col("n_sites") - F.col("f"))
-    v = F.greatest(F.col("q") * (1 - F.col("q")), F.lit(0.0))
-    shapes = shapes.withColumns({"v": v, "w": F.when(spread > 0, F.sqrt(v / spread)).otherwise(0.0)})
-
-    each = natural_join(counts, shapes, "inner", ["n_sites", "f"])
-    fw = F.col("f") * F.col("w")
-    totals = each.groupBy(*keys, "n", "n_sites").agg(
-        F.sum(F.col("taxa") * (1 - F.col("q"))).alias("richness"), F.sum(F.col("taxa") * F.col("v")).alias("v"),
-        F.sum(F.col("taxa") * fw).alias("fw"), F.sum(F.col("taxa") * fw * fw).alias("fw2"))
+    counts = freq.groupBy(*keys, "n_sites", "f").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    single = counts.groupBy(*keys, "n_sites").agg(F.collect_list(F.struct("f", "c")).alias("single"))
 
     tagged = natural_join(presence, freq.where("f < n_sites").select(*keys, taxon, "n_sites", "f"), "inner", [*keys, taxon])
     tagged = tagged.groupBy(*keys, site, "n_sites", "f").agg(F.count(F.lit(1)).alias("m"))
@@ -205,14 +202,53 @@ def accumulation(presence: DataFrame, keys: Sequence[str], site: str, taxon: str
     pairs = F.explode(F.transform("a", lambda x, i: F.struct(x.alias("x"), F.slice("a", i + 1, F.size("a")).alias("y"))))
     pairs = own.select(*keys, "n_sites", pairs.alias("p")).select(*keys, "n_sites", F.col("p.x").alias("x"), F.explode("p.y").alias("y"))
     together = F.when(F.col("x.f") == F.col("y.f"), F.col("x.m") * (F.col("x.m") - 1) / 2).otherwise(F.col("x.m") * F.col("y.m"))
-    pairs = pairs.groupBy(*keys, "n_sites", F.col("x.f").alias("f"), F.col("y.f").alias("g")).agg(F.sum(together).alias("c")).where("c > 0")
-    first = shapes.select("n_sites", "f", "n", F.col("w").alias("wf"))
-    second = shapes.select("n_sites", F.col("f").alias("g"), "n", F.col("w").alias("wg"))
-    joint = natural_join(natural_join(pairs, first, "inner", ["n_sites", "f"]), second, "inner", ["n_sites", "g", "n"])
-    joint = joint.groupBy(*keys, "n").agg((2 * F.sum(F.col("c") * F.col("wf") * F.col("wg"))).alias("joint"))
-    out = natural_join(totals, joint, "left", [*keys, "n"])
-    variance = F.col("v") + F.col("n_sites") * F.coalesce("joint", F.lit(0.0)) - (F.col("fw") * F.col("fw") - F.col("fw2"))
-    return out.select(*keys, F.col("n").alias("sites"), "richness", F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sd"))
+    pairs = pairs.groupBy(*keys, F.col("x.f").alias("f"), F.col("y.f").alias("g")).agg(F.sum(together).alias("c")).where("c > 0")
+    pairs = pairs.groupBy(*keys).agg(F.collect_list(F.struct("f", "g", "c")).alias("pairs"))
+
+    if sizes is None:
+        starts = F.sequence(F.lit(1).cast("long"), F.col("n_sites"), F.lit(CURVE_BLOCK).cast("long"))
+        blocks = F.transform(starts, lambda x: F.sequence(x, F.least(x + CURVE_BLOCK - 1, F.col("n_sites"))))
+    else:
+        blocks = F.array(F.filter(F.array(*[F.lit(int(n)).cast("long") for n in sizes]), lambda n: n <= F.col("n_sites")))
+    work = natural_join(single, pairs, "left", keys).withColumn("__block", F.explode(blocks))
+    work = work.repartition(cores(presence), F.xxhash64(*keys, F.col("__block")))
+    schema = T.StructType([*[presence.schema[k] for k in keys], *T.StructType.fromDDL("sites long, richness double, sd double").fields])
+    return work.mapInArrow(_curves(list(keys)), schema)
+
+
+def _curves(keys: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sites, richness, sd = [], [], [], []
+            for row, (total, single, pairs, block) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("n_sites", "single", "pairs", "__block")])):
+                logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, total + 1)))])  # log k!
+                f, taxa = (np.array([x[k] for x in single], t) for k, t in (("f", int), ("c", float)))
+                n = np.array(block, int)
+                left = total - f[:, None] - n[None, :]
+                inside = left >= 0
+                q = np.where(inside, np.exp(logs[total - f][:, None] - logs[np.where(inside, left, 0)] - logs[total] + logs[total - n][None, :]), 0.0)
+                v = np.maximum(q * (1 - q), 0)
+                spread = (f * (total - f)).astype(float)[:, None]
+                w = np.where(spread > 0, np.sqrt(v / np.where(spread > 0, spread, 1)), 0.0)
+                fw = f[:, None] * w
+                joint = np.zeros(len(n))
+                if pairs:
+                    at = {k: i for i, k in enumerate(f.tolist())}
+                    c = np.zeros((len(f), len(f)))
+                    for x in pairs:
+                        c[at[x["f"]], at[x["g"]]] += x["c"]
+                    joint = 2 * (w * (c @ w)).sum(axis=0)
+                variance = taxa @ v + total * joint - ((taxa @ fw) ** 2 - taxa @ fw ** 2)
+                rows += [row] * len(n)
+                sites.append(n)
+                richness.append(taxa @ (1 - q))
+                sd.append(np.sqrt(np.maximum(variance, 0)))
+            flat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in keys], flat(sites, pa.int64()), flat(richness, pa.float64()), flat(sd, pa.float64())],
+                                             [*keys, "sites", "richness", "sd"])
+
+    return run
 
 
 def with_origin(curves: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.operators.reshape import natural_join, top_n
-from limnos.session import checkpointed
+from limnos.session import checkpointed, cores
 
 
 #: Stands for a missing taxon inside a set: it is a taxon of its own, and sets of NULLs would lose it.
@@ -213,11 +213,15 @@ def simper(presence: DataFrame, site: str, taxon: str, cluster: str) -> DataFram
     counts = checkpointed(sets.select(cluster, "n", marked.alias(taxon)).groupBy(cluster, "n", taxon).agg(F.count(F.lit(1)).alias("p")))
     levels = counts.where(F.col(taxon).isNull()).select(cluster, "n", F.col("p").alias("sites"))
     held = counts.where(F.col(taxon).isNotNull())
-    # weight[c, d, n]: sum over the sites of d of 1 / (n + m), for the richness values n of c
-    every = levels.agg(F.collect_list(F.struct(F.col(cluster).alias("c"), "n", "sites")).alias("all"))
-    both = every.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a.c != b.c")
-    weight = both.groupBy(F.col("a.c").alias("c"), F.col("a.n").alias("n"), F.col("b.c").alias("d")).agg(
-        F.sum(F.col("b.sites") / (F.col("a.n") + F.col("b.n"))).alias("w"))
+    # weight[c, d, n]: sum over the sites of d of 1 / (n + m), for the richness values n of c; a cluster's levels are one short list
+    parts = cores(presence)
+    lists = checkpointed(levels.groupBy(cluster).agg(F.collect_list(F.struct("n", "sites")).alias("l")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    part = F.pmod(F.xxhash64(cluster), F.lit(parts)).cast("int").alias("part")
+    left = lists.select(F.col(cluster).alias("c"), F.col("l").alias("a"), every)
+    both = left.join(lists.select(F.col(cluster).alias("d"), F.col("l").alias("b"), part), "part").where("c != d")
+    total = F.aggregate("b", F.lit(0.0), lambda s, x: s + x["sites"] / (F.col("x.n") + x["n"]))
+    weight = both.select("c", "d", "b", F.explode("a").alias("x")).select("c", F.col("x.n").alias("n"), "d", total.alias("w"))
     mine = held.select(F.col(cluster).alias("c"), "n", taxon, "p")
     alone = mine.join(weight, ["c", "n"]).groupBy("c", "d", taxon).agg(F.sum(F.col("p") * F.col("w")).alias("v"))
     alone = alone.select(F.least("c", "d").alias("cluster1"), F.greatest("c", "d").alias("cluster2"), taxon, "v")
@@ -225,9 +229,9 @@ def simper(presence: DataFrame, site: str, taxon: str, cluster: str) -> DataFram
     shared = mine.join(other, taxon).where("c < d").select(
         F.col("c").alias("cluster1"), F.col("d").alias("cluster2"), taxon,
         (-2 * F.col("p") * F.col("q") / (F.col("n") + F.col("m"))).alias("v"))
-    listed = every.select(F.array_distinct(F.flatten(F.transform("all", lambda a: F.transform(
-        F.filter("all", lambda b: a["c"] < b["c"]), lambda b: F.struct(a["c"].alias("cluster1"), b["c"].alias("cluster2"))))))).scalar()
-    absent = held.select(taxon).distinct().select(F.explode(listed).alias("p"), taxon).select("p.*", taxon, F.lit(0.0).alias("v"))
+    # zeros for all taxa and pairs of clusters, as the result lists them
+    pairs = both.where("c < d").select(F.col("c").alias("cluster1"), F.col("d").alias("cluster2"), F.pmod(F.xxhash64("c", "d"), F.lit(parts)).cast("int").alias("part"))
+    absent = held.select(taxon).distinct().select(taxon, every).join(pairs, "part").select("cluster1", "cluster2", taxon, F.lit(0.0).alias("v"))
     sums = alone.unionByName(shared).unionByName(absent).groupBy("cluster1", "cluster2", taxon).agg(F.sum("v").alias("v"))
     sizes = levels.groupBy(cluster).agg(F.sum("sites").alias("__s"))
     sums = sums.join(sizes.select(F.col(cluster).alias("cluster1"), F.col("__s").alias("__s1")), "cluster1")

@@ -12,11 +12,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limnos.functions import columns as C
 from limnos.operators.dissimilarity import choose_landmarks, presence_distance, site_sets
@@ -141,32 +140,153 @@ def taxon_scores(presence: DataFrame, coords: DataFrame, site: str, taxon: str,
     return rows.groupBy(taxon).agg(*[(F.sum(w * F.col(a)) / F.sum(w)).alias(a) for a in axis])
 
 
+# --- sums of many numbers per task --------------------------------------------------------------
+
+#: Permutations (or centres) whose sums travel in one row, sites that are moved at once, and places of a task's table.
+PERM_CHUNK = 32
+SITE_BATCH = 256
+PLACES = 1 << 20
+
+
+def _chunks(sums: np.ndarray) -> pa.RecordBatch:
+    """Rows (part, w) of sums whose first index is the permutation or centre."""
+    parts = [sums[i:i + PERM_CHUNK] for i in range(0, len(sums), PERM_CHUNK)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "w"])
+
+
+def _by_chunk(rows: DataFrame, shape: tuple[int, ...], statistic, schema: str) -> DataFrame:
+    """Add up the rows of `_chunks` and give statistic(first permutation, sums) as rows of the schema."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, None
+        for batch in batches:
+            for number, w in zip(batch.column("part").to_pylist(), batch.column("w").to_pylist()):
+                now = np.frombuffer(w).reshape(-1, *shape)
+                if number == part:
+                    total = total + now
+                else:
+                    if part is not None:
+                        yield statistic(part * PERM_CHUNK, total)
+                    part, total = number, now
+        if part is not None:
+            yield statistic(part * PERM_CHUNK, total)
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
 # --- clusters ------------------------------------------------------------------------------------
 
-def _vectors(coords: DataFrame, axis: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(axis), outputCol="__v").transform(coords)
+class KMeansSweep:
+    """k-means for several numbers of clusters and restarts at once: each round is one pass over the sites.
+
+    A task finds the nearest centre of every model for its sites and adds up numbers, coordinates and squared distances by centre;
+    only sums by centre come to the driver. Starts are sites picked by a hash, or `centres` gives them ({k: list of models, each
+    a list of k points}).
+    """
+
+    def __init__(self, coords: DataFrame, axis: Sequence[str], ks: Sequence[int], restarts: int = 10, seed: int = 1, rounds: int = 30,
+                 centres: dict[int, list] | None = None):
+        self.axis = list(axis)
+        self.data = checkpointed(coords.withColumn("__x", F.array(*[F.col(a).cast("double") for a in axis])))
+        one = self.data.agg(*[F.avg(a) for a in axis]).first()
+        self.middle = np.array([m or 0.0 for m in one])
+        if centres is None:
+            centres = self._starts(ks, restarts, seed)
+        self.models = [(k, i) for k in centres for i in range(len(centres[k]))]
+        self.cuts = np.cumsum([0, *[k for k, _ in self.models]])
+        self.centres = np.concatenate([np.asarray(centres[k][i], float).reshape(k, -1) for k, i in self.models]) - self.middle
+        for _ in range(rounds):
+            sums = self._pass()
+            moved = np.where(sums[:, :1] > 0, sums[:, 2:] / np.maximum(sums[:, :1], 1), self.centres)  # an empty cluster stays
+            same = np.abs(moved - self.centres).max(initial=0) <= 1e-9 * (1 + np.abs(moved).max(initial=0))
+            self.centres = moved
+            if same:
+                break
+        sums = self._pass()
+        self.wss = [float(sums[a:b, 1].sum()) for a, b in zip(self.cuts, self.cuts[1:])]
+
+    def _starts(self, ks: Sequence[int], restarts: int, seed: int) -> dict[int, list]:
+        """Each restart takes its own sites from those with the least hashes: at most the greatest k times restarts."""
+        different = self.data.where(F.forall("__x", lambda v: v.isNotNull())).select("__x").distinct()
+        found = [r[0] for r in different.orderBy(F.xxhash64(F.lit(seed), "__x"), "__x").limit(max(ks) * restarts).collect()]
+        if not found:
+            raise ValueError("no site has coordinates")
+        return {k: [[found[(i * max(ks) + j) % len(found)] for j in range(k)] for i in range(restarts if k > 1 else 1)] for k in ks}
+
+    def _nearest(self):
+        centres, cuts, middle = self.centres, self.cuts, self.middle
+        square = (centres ** 2).sum(axis=1)
+
+        def find(x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            """Per model its first centre, the nearest one of each site and the squared distance, for centred coordinates."""
+            gap = (x ** 2).sum(axis=1)[:, None] - 2 * x @ centres.T + square
+            for a, b in zip(cuts, cuts[1:]):
+                near = gap[:, a:b].argmin(axis=1)
+                yield a, near, np.maximum(gap[np.arange(len(x)), a + near], 0)
+
+        def coordinates(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(middle)) - middle
+            return x, ~np.isnan(x).any(axis=1)
+
+        return find, coordinates
+
+    def _pass(self) -> np.ndarray:
+        """(number, squared distances, coordinates) summed by centre."""
+        find, coordinates = self._nearest()
+        shape = len(self.centres), len(self.middle) + 2
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(shape)
+            for batch in batches:
+                for i in range(0, batch.num_rows, 2048):
+                    x, whole = coordinates(batch.column("__x").slice(i, 2048))
+                    x = x[whole]
+                    columns = np.column_stack([np.ones(len(x)), np.zeros(len(x)), x])
+                    for a, near, gap in find(x):
+                        k = int(near.max(initial=-1)) + 1
+                        sums[a:a + k] += (near[:, None] == np.arange(k)).T.astype(float) @ columns
+                        sums[a:a + k, 1] += np.bincount(near, gap, k)
+            yield _chunks(sums)
+
+        whole = lambda first, sums: pa.RecordBatch.from_arrays([pa.array([first]), pa.array([sums.tobytes()], pa.binary())], ["first", "w"])
+        rows = _by_chunk(self.data.select("__x").mapInArrow(add, "part int, w binary"), shape[1:], whole, "first long, w binary").collect()
+        out = np.zeros(shape)
+        for r in rows:  # a number per centre and axis
+            part = np.frombuffer(r["w"]).reshape(-1, shape[1])
+            out[r["first"]:r["first"] + len(part)] = part
+        return out
 
+    def best(self, k: int) -> int:
+        """The model of k clusters with the least sum of squares."""
+        return min((i for i, (own, _) in enumerate(self.models) if own == k), key=lambda i: self.wss[i])
 
-def cluster_sites(coords: DataFrame, axis: Sequence[str], k: int, restarts: int = 10, seed: int = 1) -> DataFrame:
-    """k-means cluster (1 .. k) of each site, from the best of several seeds."""
-    data = checkpointed(_vectors(coords, axis))
-    models = [KMeans(featuresCol="__v", predictionCol="__c", k=k, seed=seed + i, initMode="random").fit(data) for i in range(restarts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(data).withColumn("cluster", F.col("__c") + 1).drop("__v", "__c")
+    def clusters(self, k: int) -> DataFrame:
+        """The sites with their `cluster` (1 .. k); one without coordinates has none."""
+        i = self.best(k)
+        a = self.cuts[i]
+        centres = self.centres[a:a + k]
+        _, coordinates = self._nearest()
+        names = [c for c in self.data.columns if c != "__x"]
 
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, whole = coordinates(batch.column("__x"))
+                near = ((x ** 2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres ** 2).sum(axis=1)).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(near + 1, pa.int32(), mask=~whole)], [*names, "cluster"])
 
-def elbow(coords: DataFrame, axis: Sequence[str], ks: Sequence[int] = tuple(range(1, 11)), restarts: int = 10,
-          seed: int = 1) -> DataFrame:
-    """(k, wss): smallest total within-cluster sum of squares per number of clusters."""
-    data = checkpointed(_vectors(coords, axis))
-    rows = []
-    for k in ks:
-        if k == 1:
-            one = coords.agg(*[(F.var_pop(a) * F.count(a)).alias(a) for a in axis]).first()
-            rows.append((1, float(sum(one))))
-        else:
-            rows.append((k, min(KMeans(featuresCol="__v", k=k, seed=seed + i, initMode="random").fit(data).summary.trainingCost for i in range(restarts))))
-    return coords.sparkSession.createDataFrame(rows, "k int, wss double")
+        schema = self.data.select(*names).schema
+        return self.data.mapInArrow(assign, T.StructType([*schema.fields, T.StructField("cluster", T.IntegerType())]))
+
+
+def cluster_sites(coords: DataFrame, axis: Sequence[str], k: int, restarts: int = 10, seed: int = 1, rounds: int = 30, centres: list | None = None) -> DataFrame:
+    """k-means cluster (1 .. k) of each site, from the best of several starts (or from given centres)."""
+    return KMeansSweep(coords, axis, [k], restarts, seed, rounds, None if centres is None else {k: [centres]}).clusters(k)
+
+
+def elbow(coords: DataFrame, axis: Sequence[str], ks: Sequence[int] = tuple(range(1, 11)), restarts: int = 10, seed: int = 1,
+          rounds: int = 30, centres: dict[int, list] | None = None) -> DataFrame:
+    """(k, wss): smallest total within-cluster sum of squares per number of clusters; all of them in the same passes."""
+    sweep = KMeansSweep(coords, axis, ks, restarts, seed, rounds, centres)
+    return coords.sparkSession.createDataFrame([(k, sweep.wss[sweep.best(k)]) for k in ks], "k int, wss double")
 
 
 def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -210,37 +330,6 @@ def convex_hull(points: DataFrame, group: str, x: str, y: str) -> DataFrame:
 
 # --- permutations --------------------------------------------------------------------------------
 
-#: Permutations whose sums travel in one row, sites that are moved at once, and places of a task's table.
-PERM_CHUNK = 32
-SITE_BATCH = 256
-PLACES = 1 << 20
-
-
-def _chunks(sums: np.ndarray) -> pa.RecordBatch:
-    """Rows (part, w) of sums whose first index is the permutation."""
-    parts = [sums[i:i + PERM_CHUNK] for i in range(0, len(sums), PERM_CHUNK)]
-    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "w"])
-
-
-def _by_chunk(rows: DataFrame, shape: tuple[int, ...], statistic, schema: str) -> DataFrame:
-    """Add up the rows of `_chunks` and give statistic(first permutation, sums) as rows of the schema."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, total = None, None
-        for batch in batches:
-            for number, w in zip(batch.column("part").to_pylist(), batch.column("w").to_pylist()):
-                now = np.frombuffer(w).reshape(-1, *shape)
-                if number == part:
-                    total = total + now
-                else:
-                    if part is not None:
-                        yield statistic(part * PERM_CHUNK, total)
-                    part, total = number, now
-        if part is not None:
-            yield statistic(part * PERM_CHUNK, total)
-
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
-
-
 def permanova_coordinates(coords: DataFrame, site: str, axis: Sequence[str], group: str, perms: int = 999, seed: int = 1,
                           blocks: Sequence[str] = (), ranks: DataFrame | None = None) -> DataFrame:
     """(f, p) of a grouping in ordination space, labels permuted (within blocks).

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.session import checkpointed
+
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left", on: Sequence[str] | None = None) -> DataFrame:
     """Join on all common columns (or on `on`); missing matches missing."""
@@ -107,20 +109,18 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def ordered_counts(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 64) -> DataFrame:
+def ordered_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values per group with their 0-based rank range [start, stop) and the group size n.
 
-    Equal values are counted before the shuffle. Each group is then cut into value ranges that are ranked
-    in separate tasks and put together by the range counts, so a group of any size is spread out.
+    Equal values are counted before the shuffle, so a value that many rows hold is one row. The rest is dealt into ranges of
+    (keys, value) of about equal size, whatever the groups' sizes: a group has as many ranges as its number of values asks for.
+    Ranges are ranked in separate tasks and put together by their counts.
     """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("__cuts"))
-    placed = (natural_join(counts, cuts, "inner", keys) if keys else counts.withColumn("__cuts", cuts.scalar()))
-    placed = placed.withColumn("__b", F.size(F.filter("__cuts", lambda s: s < F.col(value)))).drop("__cuts")
+    counts = checkpointed(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
+    placed = checkpointed(counts.repartitionByRange(*keys, value).withColumn("__b", F.spark_partition_id()))
     sizes = placed.groupBy(*keys, "__b").agg(F.sum("__c").alias("__size"))
-    group = Window.partitionBy(*keys)
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # a row per group and range
     sizes = sizes.select(*keys, "__b", F.sum("__size").over(group).alias("n"),
                          (F.sum("__size").over(group.orderBy("__b")) - F.col("__size")).alias("__offset"))
     ranked = natural_join(placed, sizes, "inner", [*keys, "__b"])
@@ -128,9 +128,9 @@ def ordered_counts(df: DataFrame, keys: Sequence[str], value: str, buckets: int
     return ranked.withColumn("stop", stop).select(*keys, value, (F.col("stop") - F.col("__c")).alias("start"), "stop", "n")
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = 64) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles per group with linear interpolation, for groups of any size."""
-    return quantiles_of(ordered_counts(df, keys, value, buckets), keys, value, probs)
+    return quantiles_of(ordered_counts(df, keys, value), keys, value, probs)
 
 
 def quantiles_of(ranked: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -399,16 +399,24 @@ def simper_select_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.simper_select(S.simper(presence, "WATER", "FAMILY", "cluster"), "FAMILY", by="cumulative_desc")
 
 
-@query("cluster_frequency", _FALL + """,
-p AS (SELECT * FROM pres JOIN site_labels USING ("WATER")),
-n AS (SELECT cluster, count(DISTINCT "WATER") AS n FROM p GROUP BY 1),
-c AS (SELECT cluster, "FAMILY", count(*) AS total_waters FROM p GROUP BY 1, 2),
-o AS (SELECT DISTINCT "FAMILY", "ORDER" FROM specimens)
-SELECT cluster, "FAMILY", total_waters, n, round(total_waters / n, 9) AS prop_clust, "ORDER",
-       round(sum(total_waters / n) OVER (PARTITION BY "FAMILY"), 9) AS total_clust
-FROM c JOIN n USING (cluster) LEFT JOIN o USING ("FAMILY")""")
+@query("cluster_frequency", _SIMPER + """,
+sr AS (SELECT *, row_number() OVER (PARTITION BY cluster1, cluster2 ORDER BY round(average, 12) DESC, "FAMILY") AS i, sum(average) OVER (
+         PARTITION BY cluster1, cluster2 ORDER BY round(average, 12) DESC, "FAMILY" ROWS UNBOUNDED PRECEDING)
+         / sum(average) OVER (PARTITION BY cluster1, cluster2) AS cusum FROM av),
+sel AS (SELECT DISTINCT "FAMILY" FROM sr WHERE i <= 15 OR abs(cusum - 1) < 1e-12),
+ap AS (SELECT * FROM pres JOIN site_labels USING ("WATER")),
+cn AS (SELECT cluster, count(DISTINCT "WATER") AS n FROM ap GROUP BY 1),
+cc AS (SELECT cluster, "FAMILY", count(*) AS total_waters FROM ap GROUP BY 1, 2),
+od AS (SELECT DISTINCT "FAMILY", "ORDER" FROM specimens),
+fr AS (SELECT cluster, "FAMILY", total_waters, n, total_waters / n AS prop, "ORDER", sum(total_waters / n) OVER (PARTITION BY "FAMILY") AS total
+       FROM cc JOIN cn USING (cluster) LEFT JOIN od USING ("FAMILY"))
+SELECT cluster, "FAMILY", total_waters, n, round(prop, 9) AS prop_clust, "ORDER", round(total, 9) AS total_clust,
+       CASE WHEN "FAMILY" IN (FROM sel) THEN 'Y' ELSE 'N' END AS important,
+       row_number() OVER (ORDER BY "ORDER" NULLS LAST, round(total, 12) DESC, "FAMILY", cluster) AS rank FROM fr""")
 def cluster_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = K.cluster_frequency(labelled_presence(spark, sf_dir), "WATER", "FAMILY", "cluster", D.specimens(spark, sf_dir))
+    presence = labelled_presence(spark, sf_dir)
+    selected = S.simper_select(S.simper(K.prune_taxa(presence, ["WATER"], "FAMILY"), "WATER", "FAMILY", "cluster"), "FAMILY")
+    out = K.cluster_frequency(presence, "WATER", "FAMILY", "cluster", D.specimens(spark, sf_dir), selected)
     return out.withColumns({"prop_clust": F.round("prop_clust", 9), "total_clust": F.round("total_clust", 9)})
 
 

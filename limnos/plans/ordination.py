@@ -181,5 +181,37 @@ def permanova_blocked_given(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("elbow_one", """WITH c AS (SELECT unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings)
 SELECT CAST(1 AS INT) AS k, round(sum(s), 4) AS wss FROM (SELECT i, var_pop(CAST(v AS DOUBLE)) * count(*) AS s FROM c GROUP BY 1)""")
 def elbow_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axes = [f"c{i}" for i in range(D.COMPONENTS)]
-    return O.elbow(D.components(spark, sf_dir), axes, [1]).select("k", F.round("wss", 4).alias("wss"))
+    return O.elbow(D.components(spark, sf_dir), AXES, [1]).select("k", F.round("wss", 4).alias("wss"))
+
+
+# --- k-means from given centres (the first k sites), two rounds ---------------------------------------
+
+_KS = [2, 3, 5]
+
+
+def _first_sites(spark: SparkSession, sf_dir: str) -> dict[int, list]:
+    """The first k sites as centres, for each k."""
+    rows = D.table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(max(_KS)).collect()
+    return {k: [[[float(v) for v in r["embedding"]] for r in rows[:k]]] for k in _KS}
+
+
+def _kmeans_sql(rounds: int) -> str:
+    """Assignments (k, site, c, d) to the centres after so many rounds; ties go to the first centre."""
+    gap = "list_sum(list_transform(range(1, 65), lambda i: pow(e.x[i] - c.x[i], 2)))"
+    steps = [f"""c0 AS (SELECT k, i AS c, x FROM (SELECT *, row_number() OVER (ORDER BY site) AS i FROM e) , (SELECT unnest({_KS}) AS k) WHERE i <= k)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS (SELECT c.k, e.site, e.x, c.c, {gap} AS d FROM e, c{n} c QUALIFY row_number() OVER (PARTITION BY c.k, e.site ORDER BY {gap}, c.c) = 1)""")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS (SELECT k, c, list(v ORDER BY i) AS x FROM (SELECT k, c, i, avg(v) AS v FROM (SELECT k, c, unnest(range(64)) AS i, unnest(x) AS v FROM a{n}) GROUP BY ALL) GROUP BY ALL)""")
+    return "WITH e AS (SELECT vec_id AS site, [CAST(v AS DOUBLE) FOR v IN embedding] AS x FROM embeddings),\n" + ",\n".join(steps)
+
+
+@query("elbow_given", _kmeans_sql(2) + " SELECT CAST(k AS INT) AS k, round(sum(d), 4) AS wss FROM a2 GROUP BY 1")
+def elbow_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = O.elbow(D.components(spark, sf_dir), AXES, _KS, rounds=2, centres=_first_sites(spark, sf_dir))
+    return out.select("k", F.round("wss", 4).alias("wss"))
+
+
+@query("cluster_given", _kmeans_sql(2) + " SELECT site, CAST(c AS INT) AS cluster FROM a2 WHERE k = 3")
+def cluster_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.cluster_sites(D.components(spark, sf_dir), AXES, 3, rounds=2, centres=_first_sites(spark, sf_dir)[3][0]).select("site", "cluster")

@@ -379,9 +379,9 @@ def linear_trend_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single(Y.linear_trend(D.sales(spark, sf_dir), ["brand"], "quantity", "y", z=1.96), "quantity", "fit", "lower", "upper")
 
 
-@query("boxplot_outliers", f"""WITH {D.SALES},
-q AS (SELECT brand, quantile_cont(y, 0.25) AS q25, quantile_cont(y, 0.75) AS q75 FROM sales GROUP BY 1)
-SELECT brand, y FROM sales JOIN q USING (brand) WHERE NOT (y BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25))""")
+@query("boxplot_outliers", f"""WITH {D.SALES}, r AS (SELECT brand, y * y * y AS v FROM sales),
+q AS (SELECT brand, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75 FROM r GROUP BY 1)
+SELECT brand, round(v, 6) AS v FROM r JOIN q USING (brand) WHERE NOT (v BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25))""")
 def boxplot_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.sales(spark, sf_dir).select("brand", "y")
-    return Y.boxplot_outliers(rows, ["brand"], "y", Y.boxplot_stats(rows, ["brand"], "y"))
+    rows = D.sales(spark, sf_dir).select("brand", (F.col("y") * F.col("y") * F.col("y")).alias("v"))
+    return Y.boxplot_outliers(rows, ["brand"], "v", Y.boxplot_stats(rows, ["brand"], "v")).withColumn("v", F.round("v", 6))

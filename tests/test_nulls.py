@@ -81,7 +81,7 @@ def test_log_choose(spark):
 def test_quantiles_match_percentile(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("k"), (F.xxhash64("id") % 97).cast("double").alias("x"))
     df = df.unionByName(spark.createDataFrame([(0, None), (7, 4.0)], "k long, x double"))
-    got = {r.k: (r.a, r.b) for r in X.quantiles(df, ["k"], "x", {"a": 0.025, "b": 0.6}, 16).collect()}
+    got = {r.k: (r.a, r.b) for r in X.quantiles(df, ["k"], "x", {"a": 0.025, "b": 0.6}).collect()}
     for r in df.groupBy("k").agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.6))).alias("q")).collect():
         assert got[r.k] == pytest.approx(tuple(r.q))
     whole = X.quantiles(df.select("x"), [], "x", {"m": 0.5}).first()[0]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from limnos.functions.special import t_quantile, t_two_sided
 from limnos.operators import mixed as M
 from limnos.operators import regress as R
+from limnos.operators import reshape as X
 from limnos.operators import summaries as Y
 
 
@@ -196,6 +197,25 @@ def test_boxplot_and_histogram(spark):
     assert h == {0: 5, 9: 1}
 
 
+def test_ranges_grow_with_the_group(spark):
+    """A group of a hundred times the rows has more ranges, no larger ones; equal values are one row."""
+    big, small = 40_000, 400
+    df = spark.range(big + small).select(F.when(F.col("id") < big, "big").otherwise("small").alias("k"), (F.col("id") * 7919 % 50_021).cast("double").alias("v"))
+    df = df.unionByName(spark.range(5000).select(F.lit("big").alias("k"), F.lit(3.5).alias("v"))).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        ranked = X.ordered_counts(df, ["k"], "v")
+        work = ranked.groupBy("k", F.spark_partition_id().alias("p")).count().groupBy("k").agg(F.max("count").alias("m")).collect()
+        assert max(r.m for r in work) < 2.5 * (big + small) / 16 * 2
+        got = {r.k: r for r in X.quantiles(df, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 1.0}).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for k, part in df.toPandas().groupby("k"):
+        assert (got[k].a, got[k].b, got[k].c) == pytest.approx(tuple(np.quantile(part.v, [0.1, 0.5, 1.0])))
+
+
 def test_result_table_rounds_half_even(spark):
     t = spark.createDataFrame([("a", 0.0625)], "term string, estimate double")
     assert R.result_table([t, t], 3, {"estimate": "Estimate"}).first().Estimate == 0.062
