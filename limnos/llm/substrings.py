@@ -29,7 +29,7 @@ SEED = 12
 GROUP = 2048
 #: Text of a block: bounds the memory of a task.
 TEXT_BYTES = 6 << 20
-STAGE = "block long, row int, anchor long, times long"
+STAGE = "block long, data binary, anchor long, times long"
 WINDOWS = "anchor long, part int, block long, windows binary"
 FOUND = "block long, data binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,last:int>>"
@@ -93,24 +93,33 @@ class Words:
         self.anchors = _least(self.seeds, window - seed + 1)[self.starts] if len(self.starts) else self.starts
 
 
+def _packed(block: pa.RecordBatch) -> bytes:
+    """A block's rows with all their columns, compressed: texts are written once and shuffled twice."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
+        writer.write_batch(block)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(rows: pa.Table) -> pa.Table:
+    """The rows of one block from its only row."""
+    with pa.ipc.open_stream(rows["data"][0].as_buffer()) as reader:
+        return reader.read_all()
+
+
 def _anchors(window: int, seed: int):
-    """Each block's rows (all columns of the input), and its distinct anchors with their number of places."""
+    """Each block's rows as one, and its distinct anchors with their number of places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         base = TaskContext.get().partitionId() << 32
+        names = ["block", "data", "anchor", "times"]
         for number, block in enumerate(blocks(batches, "text", TEXT_BYTES)):
-            n, name = block.num_rows, base + number
-            kinds = {"block": pa.int64(), "row": pa.int32(), "anchor": pa.int64(), "times": pa.int64()}
-            names = ["block", "row", "anchor", "times", *block.schema.names]
-            kinds |= {f.name: f.type for f in block.schema}
-            own = {"block": pa.array(np.full(n, name)), "row": pa.array(np.arange(n), pa.int32())}
-            own |= {c: block.column(c) for c in block.schema.names}
-            yield pa.RecordBatch.from_arrays([own.get(c, pa.nulls(n, kinds[c])) for c in names], names)
             found = Words(block.column("text"), window, seed)
             anchors, times = np.unique(found.seeds[np.unique(found.anchors)], return_counts=True)
+            del found
             k = len(anchors)
-            own = {"block": pa.array(np.full(k, name)), "anchor": pa.array(anchors.view(np.int64)), "times": pa.array(times)}
-            yield pa.RecordBatch.from_arrays([own.get(c, pa.nulls(k, kinds[c])) for c in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array([base + number]), pa.array([_packed(block)], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, base + number)), pa.nulls(k, pa.binary()), pa.array(anchors.view(np.int64)), pa.array(times)], names)
     return run
 
 
@@ -178,7 +187,7 @@ def _windows(window: int, seed: int):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         columns = ([], [], [], [])
         if docs.num_rows and told.num_rows:
-            found = Words(_text(docs), window, seed)
+            found = Words(_text(_unpacked(docs)), window, seed)
             known, parts = _pairs(told["data"].to_pylist())
             order = np.argsort(known)
             known, parts = known[order], parts[order]
@@ -246,7 +255,7 @@ def _cut(raw: bytes, runs: list[dict]) -> str:
 def _cover(window: int, seed: int, with_text: bool):
     """A block's result: words inside repeated windows, their runs, the digest of the rest, and the text without them."""
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        docs = docs.sort_by("row")
+        docs = _unpacked(docs)
         texts = _text(docs)
         words, counts = split_words(texts)
         at, gone = offsets(counts), np.zeros(len(words), bool)
@@ -284,15 +293,13 @@ def repeats(docs: DataFrame, window: int, seed: int, with_text: bool) -> DataFra
     """Result rows (see RESULT); with `with_text` also the text that is left and `rest`, a struct of the other columns."""
     rest = [F.struct(*[c for c in docs.columns if c != "text"]).alias("rest")] if with_text else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)
-    carried = [T.StructField(f.name, f.dataType) for f in rows.schema]  # null in the rows of anchors
-    stage = T.StructType([*T.StructType.fromDDL(STAGE).fields, *carried])
-    both = staged(rows.mapInArrow(_anchors(window, seed), stage), "anchors")
-    texts = both.where("anchor IS NULL").drop("anchor", "times")
+    both = staged(rows.mapInArrow(_anchors(window, seed), STAGE), "anchors")
+    texts = both.where("data IS NOT NULL").select("block", "data")
     anchors = both.where("anchor IS NOT NULL").select("anchor", "block", "times")
     again = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated_anchors, FOUND)
-    near = texts.select("block", "text").groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_windows(window, seed), WINDOWS)
+    near = texts.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_windows(window, seed), WINDOWS)
     found = near.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_repeated_windows, FOUND)
-    result = T.StructType([*T.StructType.fromDDL(RESULT).fields, *([texts.schema["text"], texts.schema["rest"]] if with_text else [])])
+    result = T.StructType([*T.StructType.fromDDL(RESULT).fields, *([rows.schema["text"], rows.schema["rest"]] if with_text else [])])
     return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cover(window, seed, with_text), result)
 
 

@@ -74,5 +74,5 @@ def test_queries_equal_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in queries.QUERIES}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}
     assert set(queries.ORACLE) <= set(queries.QUERIES) and quality.HOST_LIMIT == 0.5
