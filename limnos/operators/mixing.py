@@ -27,47 +27,63 @@ def _lattice(k: int, steps: int) -> np.ndarray:
 
 
 def _log_posterior(p, n, means, squares, mu, sd, shape, rate):
-    """Log posterior of shares p, with the residual sd of each tracer summed out over a grid."""
-    total = -np.log(p).sum(axis=1)
-    z = np.log(p) - np.log(p).mean(axis=1, keepdims=True)
-    total -= 0.5 * (z ** 2).sum(axis=1)  # shares are a softmax of standard normal values
-    for j in range(2):
-        spread = max(np.sqrt(squares[j] / max(n, 2)), 1e-3)
-        s = spread * np.geomspace(0.05, 4, 16)
-        v = ((p * sd[:, j]) ** 2).sum(axis=1)[:, None] + s ** 2
-        gap = squares[j] + n * (means[j] - p @ mu[:, j]) ** 2
-        ll = -0.5 * n * np.log(v) - 0.5 * gap[:, None] / v + shape * np.log(s) - rate * s
-        top = ll.max(axis=1)
-        total += top + np.log(np.exp(ll - top[:, None]).sum(axis=1))
-    return total
+    """Log posterior of shares p (groups, points, sources), with the residual sd of each tracer summed out over a grid.
+
+    n (groups), means and squares (groups, 2), mu and sd (groups, sources, 2).
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        logs = np.log(p)
+        total = -logs.sum(axis=2)
+        z = logs - logs.mean(axis=2, keepdims=True)
+        total -= 0.5 * (z ** 2).sum(axis=2)  # shares are a softmax of standard normal values
+        size = n[:, None, None]
+        for j in range(2):
+            spread = np.maximum(np.sqrt(squares[:, j] / np.maximum(n, 2)), 1e-3)
+            s = (spread[:, None] * np.geomspace(0.05, 4, 16))[:, None, :]
+            v = np.einsum("gpk,gk->gp", p * p, sd[:, :, j] ** 2)[:, :, None] + s ** 2
+            gap = squares[:, j, None] + n[:, None] * (means[:, j, None] - np.einsum("gpk,gk->gp", p, mu[:, :, j])) ** 2
+            ll = -0.5 * size * np.log(v) - 0.5 * gap[:, :, None] / v + shape * np.log(s) - rate * s
+            top = ll.max(axis=2)
+            total += top + np.log(np.exp(ll - top[:, :, None]).sum(axis=2))
+    return np.where((p > 0).all(axis=2), total, -np.inf)
 
 
 def _shares(n, means, squares, mu, sd, shape, rate, steps, zooms):
-    """Posterior (mean, sd, 2.5, 25, 50, 75, 97.5 %) per source.
+    """Posterior (mean, sd, 2.5, 25, 50, 75, 97.5 %) per group and source, and effective numbers of points.
 
-    A coarse lattice closes in on the mass; a fine one over the last window gives the numbers.
+    A coarse lattice closes in on the mass, each group in a window of its own; a fine one over the last window gives the numbers.
     """
-    k = len(mu)
+    groups, k = mu.shape[:2]
     coarse = max(steps * 2 // 5, 8)
-    centre, size = np.full(k, 1 / k), 1.0
+    centre, size = np.full((groups, k), 1 / k), np.ones(groups)
     for zoom in range(zooms + 1):
         last = zoom == zooms
-        p = centre + size * (_lattice(k, steps if last else coarse) - 1 / k)
-        p = p[(p > 0).all(axis=1)]
+        lattice = _lattice(k, steps if last else coarse) - 1 / k
+        p = centre[:, None, :] + size[:, None, None] * lattice[None]
         log = _log_posterior(p, n, means, squares, mu, sd, shape, rate)
-        w = np.exp(log - log.max())
-        w /= w.sum()
-        mean = w @ p
-        dev = np.sqrt(np.maximum(w @ (p - mean) ** 2, 0))
-        wanted = max(10 * dev.max(), 3 * size / coarse)
-        if wanted < 0.9 * size:
-            centre, size = mean, wanted
-    out = []
+        w = np.exp(log - log.max(axis=1, keepdims=True))
+        w /= w.sum(axis=1, keepdims=True)
+        mean = np.einsum("gp,gpk->gk", w, p)
+        dev = np.sqrt(np.maximum(np.einsum("gp,gpk->gk", w, (p - mean[:, None, :]) ** 2), 0))
+        wanted = np.maximum(10 * dev.max(axis=1), 3 * size / coarse)
+        closer = wanted < 0.9 * size
+        centre, size = np.where(closer[:, None], mean, centre), np.where(closer, wanted, size)
+    out = np.empty((groups, k, 7))
+    out[:, :, 0], out[:, :, 1] = mean, dev
     for j in range(k):
-        order = np.argsort(p[:, j])
-        reach = np.cumsum(w[order]) - 0.5 * w[order]
-        out.append([mean[j], dev[j], *np.interp([0.025, 0.25, 0.5, 0.75, 0.975], reach, p[order, j])])
-    return out, 1 / (w ** 2).sum()
+        order = np.argsort(p[:, :, j], axis=1)
+        value, weight = np.take_along_axis(p[:, :, j], order, axis=1), np.take_along_axis(w, order, axis=1)
+        reach = np.cumsum(weight, axis=1) - 0.5 * weight
+        for i, q in enumerate((0.025, 0.25, 0.5, 0.75, 0.975)):
+            right = np.clip((reach < q).sum(axis=1), 1, reach.shape[1] - 1)[:, None]
+            lo, hi = (np.take_along_axis(reach, right - d, axis=1)[:, 0] for d in (1, 0))
+            a, b = (np.take_along_axis(value, right - d, axis=1)[:, 0] for d in (1, 0))
+            out[:, j, 2 + i] = a + (b - a) * np.clip(np.where(hi > lo, (q - lo) / np.where(hi > lo, hi - lo, 1), 0), 0, 1)
+    return out, 1 / (w ** 2).sum(axis=1)
+
+
+#: Groups whose lattices are one array.
+GROUPS = 64
 
 
 def mixing_proportions(mixtures: DataFrame, sources: DataFrame, community: str = "community", taxon: str = "group_name",
@@ -90,10 +106,14 @@ def mixing_proportions(mixtures: DataFrame, sources: DataFrame, community: str =
     @F.pandas_udf("array<array<double>>")
     def solve(n: pd.Series, m1: pd.Series, m2: pd.Series, q1: pd.Series, q2: pd.Series, mc: pd.Series, sc: pd.Series,
               mn: pd.Series, sn: pd.Series) -> pd.Series:
-        out = []
-        for c, a, b, u, v, s1, d1, s2, d2 in zip(n, m1, m2, q1, q2, mc, sc, mn, sn):
-            table, points = _shares(c, (a, b), (u, v), np.column_stack([s1, s2]), np.column_stack([d1, d2]), shape, rate, steps, zooms)
-            out.append([[*map(float, r), float(points)] for r in table])
+        out: list = [None] * len(n)
+        many = mc.map(len).to_numpy()
+        for k in np.unique(many):  # groups with as many sources
+            for rows in np.array_split(np.flatnonzero(many == k), -(-int((many == k).sum()) // GROUPS)):
+                each = lambda *columns: np.stack([np.stack(c.iloc[rows].to_numpy()) for c in columns], axis=-1)
+                table, points = _shares(n.to_numpy(float)[rows], each(m1, m2), each(q1, q2), each(mc, mn), each(sc, sn), shape, rate, steps, zooms)
+                for row, found in zip(rows, np.concatenate([table, np.repeat(points[:, None, None], k, axis=1)], axis=2).tolist()):
+                    out[row] = found
         return pd.Series(out)
 
     solved = joined.withColumn("r", solve("n", "m1", "m2", "q1", "q2", "s.mean_c", "s.sd_c", "s.mean_n", "s.sd_n"))

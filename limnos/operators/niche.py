@@ -216,56 +216,128 @@ def posterior_contrasts(rows: DataFrame, clusters: Sequence[str], metric: str =
 
 # --- overlap -------------------------------------------------------------------------------------
 
-def _overlap_share(angles: int, radius2: float):
-    turn = 2 * np.pi * np.arange(angles) / angles
-    ux, uy = np.cos(turn), np.sin(turn)
+def _circle_meets(m: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Angles (n, 4) where the unit circle meets the ellipses (x - c)' M (x - c) = 1; missing ones repeat another, or are NaN.
 
+    On the circle the equation is a trigonometric polynomial of degree two, so a quartic in exp(i angle): its roots of size one, by
+    the eigenvalues of companion matrices, sharpened by Newton steps.
+    """
+    m11, m12, m22 = m.T
+    cx, cy = c.T
+    px, py = m11 * cx + m12 * cy, m12 * cx + m22 * cy
+    a0 = (m11 + m22) / 2 + cx * px + cy * py - 1
+    a1, b1, a2, b2 = -2 * px, -2 * py, (m11 - m22) / 2, m12
+    lead = (a2 - 1j * b2) / 2
+    size = np.abs(a0) + np.abs(a1) + np.abs(b1) + np.abs(a2) + np.abs(b2)
+    out = np.full((len(c), 4), np.nan)
+    same = size < 1e-9 * (1 + (m11 + m22) / 2)  # one border: no single points
+    round_ = (np.abs(lead) < 1e-9 * size) & ~same  # a circle: two angles at most
+    length = np.hypot(a1, b1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        half = np.arccos(np.where(length > 0, -a0 / length, np.nan))
+    middle = np.arctan2(b1, a1)
+    out[round_, 0], out[round_, 1] = (middle + half)[round_], (middle - half)[round_]
+    rest = np.flatnonzero(~round_ & ~same)
+    if len(rest):
+        frame = np.zeros((len(rest), 4, 4), complex)
+        frame[:, 1:, :3] = np.eye(3)
+        low = np.stack([np.conj(lead), (a1 + 1j * b1) / 2, a0.astype(complex), (a1 - 1j * b1) / 2], axis=1)
+        frame[:, :, 3] = -low[rest] / lead[rest, None]
+        roots = np.linalg.eigvals(frame)
+        angle = np.angle(roots)
+        k0, k1, l1, k2, l2, scale = (v[rest][:, None] for v in (a0, a1, b1, a2, b2, size))
+        for _ in range(3):
+            value = k0 + k1 * np.cos(angle) + l1 * np.sin(angle) + k2 * np.cos(2 * angle) + l2 * np.sin(2 * angle)
+            slope = -k1 * np.sin(angle) + l1 * np.cos(angle) - 2 * k2 * np.sin(2 * angle) + 2 * l2 * np.cos(2 * angle)
+            angle = angle - np.where(np.abs(slope) > 1e-9 * scale, np.clip(value / np.where(slope == 0, 1, slope), -0.1, 0.1), 0)
+        value = k0 + k1 * np.cos(angle) + l1 * np.sin(angle) + k2 * np.cos(2 * angle) + l2 * np.sin(2 * angle)
+        good = (np.abs(np.abs(roots) - 1) < 1e-3) & (np.abs(value) < 1e-10 * scale)
+        out[rest] = np.where(good, angle, np.nan)
+    first = np.where(np.isnan(out).all(axis=1), np.nan, np.nanmax(np.where(np.isnan(out), -np.inf, out), axis=1))
+    return np.sort(np.where(np.isnan(out), first[:, None], out), axis=1)
+
+
+def disc_share(m: np.ndarray, root: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Area that the unit disc has in common with ellipses of centre c, M (m11, m12, m22) and lower root (l11, l21, l22) of its inverse.
+
+    The border of the common part is made of arcs of the circle inside the ellipse and arcs of the ellipse inside the circle;
+    each adds the area that it sweeps about the origin (Green's theorem).
+    """
+    def inside_ellipse(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        dx, dy = x - c[:, :1], y - c[:, 1:]
+        return m[:, :1] * dx * dx + 2 * m[:, 1:2] * dx * dy + m[:, 2:] * dy * dy < 1
+
+    theta = _circle_meets(m, c)
+    none = np.isnan(theta).any(axis=1)
+    theta = np.where(none[:, None], 0.0, theta)
+    step = np.diff(np.column_stack([theta, theta[:, :1] + 2 * np.pi]), axis=1)
+    middle = theta + step / 2
+    area = (step * inside_ellipse(np.cos(middle), np.sin(middle))).sum(axis=1) / 2
+    # the same points as angles of the ellipse
+    l11, l21, l22 = root.T[:, :, None]
+    u = (np.cos(theta) - c[:, :1]) / l11
+    phi = np.sort(np.arctan2((np.sin(theta) - c[:, 1:] - l21 * u) / l22, u), axis=1)
+    turn = np.diff(np.column_stack([phi, phi[:, :1] + 2 * np.pi]), axis=1)
+
+    def point(angle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return c[:, :1] + l11 * np.cos(angle), c[:, 1:] + l21 * np.cos(angle) + l22 * np.sin(angle)
+
+    x, y = point(phi + turn / 2)
+    (x0, y0), (x1, y1) = point(phi), point(phi + turn)
+    swept = (l11 * l22 * turn + c[:, :1] * (y1 - y0) - c[:, 1:] * (x1 - x0)) / 2
+    area = area + (swept * (x * x + y * y < 1)).sum(axis=1)
+    whole = np.pi * (root[:, 0] * root[:, 2])
+    x, y = point(np.zeros((len(c), 1)))
+    apart = np.where(((x * x + y * y) < 1 + 1e-9)[:, 0], whole, np.where(inside_ellipse(np.ones((len(c), 1)), np.zeros((len(c), 1)))[:, 0], np.pi, 0.0))
+    return np.clip(np.where(none, apart, area), 0, np.minimum(whole, np.pi))
+
+
+def _overlap_share(radius2: float):
     @F.pandas_udf("double")
     def share(m1x: pd.Series, m1y: pd.Series, a11: pd.Series, a12: pd.Series, a22: pd.Series,
               m2x: pd.Series, m2y: pd.Series, b11: pd.Series, b12: pd.Series, b22: pd.Series) -> pd.Series:
         one = [v.to_numpy(float) for v in (m1x, m1y, a11, a12, a22)]
         two = [v.to_numpy(float) for v in (m2x, m2y, b11, b12, b22)]
-        swap = one[2] * one[4] - one[3] ** 2 > two[2] * two[4] - two[3] ** 2  # measure from the smaller ellipse
+        swap = one[2] * one[4] - one[3] ** 2 > two[2] * two[4] - two[3] ** 2  # the smaller ellipse becomes the disc
         one, two = ([np.where(swap, b, a) for a, b in zip(one, two)], [np.where(swap, a, b) for a, b in zip(one, two)])
-        d1, d2 = (np.sqrt(e[2] * e[4] - e[3] ** 2) for e in (one, two))
-        # x = mean1 + r L y turns ellipse 1 into the unit disc (L: Cholesky root of its covariance)
-        l11 = np.sqrt(one[2])
-        l21, l22 = one[3] / l11, d1 / l11
-        dx, dy = two[0] - one[0], two[1] - one[1]
-        cx = dx / l11 / np.sqrt(radius2)
-        cy = (dy - l21 * dx / l11) / l22 / np.sqrt(radius2)
-        i11, i12, i22 = two[4] / d2 ** 2, -two[3] / d2 ** 2, two[2] / d2 ** 2
-        m11 = l11 ** 2 * i11 + 2 * l11 * l21 * i12 + l21 ** 2 * i22
-        m12, m22 = l22 * (l11 * i12 + l21 * i22), l22 ** 2 * i22
-        px, py = m11 * cx + m12 * cy, m12 * cx + m22 * cy
-        e = cx * px + cy * py - 1
-        a = m11[:, None] * ux ** 2 + 2 * m12[:, None] * ux * uy + m22[:, None] * uy ** 2
-        b = px[:, None] * ux + py[:, None] * uy
-        root = b * b - a * e[:, None]
-        gap = np.sqrt(np.maximum(root, 0))
-        near, far = np.clip((b - gap) / a, 0, 1), np.clip((b + gap) / a, 0, 1)
-        both = np.where(root > 0, far ** 2 - near ** 2, 0).sum(axis=1) * np.pi / angles * d1
-        return pd.Series(both / (np.pi * (d1 + d2) - both))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # x = mean + r L y turns ellipse 1 into the unit disc (L: lower root of its covariance)
+            l11 = np.sqrt(one[2])
+            l21, l22 = one[3] / l11, np.sqrt(one[2] * one[4] - one[3] ** 2) / l11
+            turned = lambda x, y: (x / l11, (y - l21 * x / l11) / l22)
+            c = np.column_stack(turned(two[0] - one[0], two[1] - one[1])) / np.sqrt(radius2)
+            # lower root of ellipse 2 there: both columns of its own root, turned, and made lower again
+            k11 = np.sqrt(two[2])
+            k21, k22 = two[3] / k11, np.sqrt(two[2] * two[4] - two[3] ** 2) / k11
+            (p, q), (r, t) = turned(k11, k21), turned(0.0, k22)
+            s11, s12, s22 = p * p + r * r, p * q + r * t, q * q + t * t
+            root = np.column_stack([np.sqrt(s11), s12 / np.sqrt(s11), np.abs(p * t - q * r) / np.sqrt(s11)])
+            det = (p * t - q * r) ** 2
+            m = np.column_stack([s22 / det, -s12 / det, s11 / det])
+        whole = np.isfinite(m).all(axis=1) & np.isfinite(c).all(axis=1) & (root[:, 2] > 0)
+        out = np.full(len(c), np.nan)
+        both = disc_share(m[whole], root[whole], c[whole])
+        out[whole] = both / (np.pi * (1 + root[whole, 0] * root[whole, 2]) - both)
+        return pd.Series(out).astype("float64")
 
     return share
 
 
-def ellipse_overlap(draws: DataFrame, community: str = "community", group: str = "group_name", p: float = 0.95,
-                    angles: int = 180) -> DataFrame:
+def ellipse_overlap(draws: DataFrame, community: str = "community", group: str = "group_name", p: float = 0.95) -> DataFrame:
     """(community, draw, pair members s1 < s2, overlap): shared area over joint area of p ellipses, for every draw given.
 
     One row per unordered pair of groups of a community, which is the result itself. The groups of a community and
-    draw meet in one list, so the draws are made and shuffled once. Areas are integrated along rays from the centre of
-    the smaller ellipse.
+    draw meet in one list, so the draws are made and shuffled once. Areas are exact, from the points where the two borders meet; an
+    ellipse without area has no overlap (missing).
     """
     cols = ["mu_x", "mu_y", "s_xx", "s_xy", "s_yy"]
     listed = draws.groupBy(community, "draw").agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), *cols))).alias("__g"))
     later = F.transform("__g", lambda a, i: F.transform(
         F.slice("__g", i + 2, F.size("__g")), lambda b: F.struct(a.alias("a"), b.alias("b"))))
     pairs = listed.select(community, "draw", F.explode(F.flatten(later)).alias("__p")).where("__p.a.g < __p.b.g")
-    share = _overlap_share(angles, -2 * math.log(1 - p))
+    share = _overlap_share(-2 * math.log(1 - p))
     return pairs.select(community, "draw", F.col("__p.a.g").alias("s1"), F.col("__p.b.g").alias("s2"),
-                        share(*[F.col(f"__p.{side}.{c}") for side in "ab" for c in cols]).alias("overlap"))
+                        F.nanvl(share(*[F.col(f"__p.{side}.{c}") for side in "ab" for c in cols]), F.lit(None)).alias("overlap"))
 
 
 def overlap_long(overlaps: DataFrame, community: str = "community", digits: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ size per ID is a parameter, so the windows below hold one grid each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -107,15 +107,15 @@ def _normal_equations(segments: pd.Series, k: int):
     return btb, bty, np.bincount(owner, flat[:, 12]), np.bincount(owner, flat[:, 1])
 
 
-def smooth_moments(df: DataFrame, id: str, x: str, y: str, k: int = 10) -> DataFrame:
+def smooth_moments(df: DataFrame, id: str, x: str, y: str, k: int = 10, ends: tuple[float, float] | None = None) -> DataFrame:
     """(id, lo, hi, segments): power sums of the place in each knot interval, and of its product with y.
 
     Knots are shared by all IDs and span the whole range of x. Splines are cubic in each interval, so these
     twelve sums give all cross-products of the basis. They are summed before the only shuffle, whatever the rows
-    per ID, and an ID has at most k - 3 intervals.
+    per ID, and an ID has at most k - 3 intervals. `ends` gives the range of x, else a pass over the rows finds it.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(id, x, y)
-    ends = rows.agg(F.min(x).cast("double"), F.max(x).cast("double")).first()
+    ends = ends or rows.agg(F.min(x).cast("double"), F.max(x).cast("double")).first()
     if ends[0] is None or ends[0] == ends[1]:
         raise ValueError("a smooth curve needs at least two positions")
     first, last = F.lit(ends[0]), F.lit(ends[1])
@@ -133,32 +133,39 @@ def smooth_moments(df: DataFrame, id: str, x: str, y: str, k: int = 10) -> DataF
 
 
 def smoothing_scores(moments: DataFrame, k: int, strengths: list[float]) -> DataFrame:
-    """(strength, score): generalised cross-validation summed over all IDs, for a shared strength."""
-    pen = _penalty(k)
+    """(strength, score): generalised cross-validation summed over all IDs, for a shared strength.
+
+    One decomposition per ID serves all strengths: in the axes where the penalty is the unit matrix and the cross-products are
+    diagonal, fit and degrees of freedom are sums over k numbers.
+    """
+    half = np.linalg.inv(np.linalg.cholesky(_penalty(k)))
+    s = np.array(strengths)
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((3, len(s)))
         for batch in batches:
             btb, bty, yty, n = _normal_equations(batch["segments"], k)
-            for s in strengths:
-                inverse = np.linalg.inv(btb + s * pen)
-                beta = np.einsum("gij,gj->gi", inverse, bty)
-                rss = yty - 2 * np.einsum("gi,gi->g", beta, bty) + np.einsum("gi,gij,gj->g", beta, btb, beta)
-                edf = np.einsum("gij,gji->g", inverse, btb)
-                yield pd.DataFrame({"strength": [s], "rss": [rss.sum()], "edf": [edf.sum()], "n": [n.sum()]})
+            values, axes = np.linalg.eigh(half @ btb @ half.T)
+            values = np.maximum(values, 0)[:, :, None]
+            z2 = (np.einsum("gij,gi->gj", axes, bty @ half.T) ** 2)[:, :, None]
+            rss = yty[:, None] + (z2 * (values / (values + s) ** 2 - 2 / (values + s))).sum(axis=1)
+            total += [rss.sum(axis=0), (values / (values + s)).sum(axis=(0, 1)), np.full(len(s), n.sum())]
+        yield pd.DataFrame({"strength": s, "rss": total[0], "edf": total[1], "n": total[2]})
 
     parts = moments.select("segments").mapInPandas(per_batch, "strength double, rss double, edf double, n double")
     total = parts.groupBy("strength").agg(F.sum("rss").alias("rss"), F.sum("edf").alias("edf"), F.sum("n").alias("n"))
     return total.select("strength", (F.col("n") * F.col("rss") / F.pow(F.col("n") - F.col("edf"), F.lit(2))).alias("score"))
 
 
-def profile_smooth(df: DataFrame, id: str, x: str, y: str, k: int = 10, strengths: list[float] | None = None) -> DataFrame:
+def profile_smooth(df: DataFrame, id: str, x: str, y: str, k: int = 10, strengths: list[float] | None = None,
+                   ends: tuple[float, float] | None = None) -> DataFrame:
     """(id, lo, hi, first, last, beta): penalised spline per ID with one smoothing strength shared by all IDs.
 
-    The raw rows are read twice, for the range of x and for the moments; the moments (one short row per ID) are
-    checkpointed for both passes over them, and only the best strength comes to the driver.
+    The raw rows are read for the moments, and for the range of x unless `ends` gives it; the moments (one short row per ID)
+    are checkpointed for both passes over them, and only the best strength comes to the driver.
     """
     strengths = strengths or [10.0 ** e for e in np.arange(-3, 4.01, 0.5)]
-    moments = checkpointed(smooth_moments(df, id, x, y, k))
+    moments = checkpointed(smooth_moments(df, id, x, y, k, ends))
     best = smoothing_scores(moments, k, strengths).agg(F.min_by("strength", F.struct("score", "strength"))).first()[0]
     ridge = best * _penalty(k)
 
@@ -181,53 +188,93 @@ def predict_smooth(coefficients: DataFrame, id: str, x: str, name: str, n: int =
     return placed.select(id, x, (cubic[0] + t * (cubic[1] + t * (cubic[2] + t * cubic[3]))).alias(name))
 
 
-def model_layer(model: DataFrame, id: str, n: int = 500, k: int = 10, threshold_prop: float = 0.5) -> DataFrame:
-    """Layer of steep slope per ID (see `gradient_layer`) straight from the curves' coefficients.
+def _curves(rows: pd.DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Even grids (IDs, n) and the curves' values there, from coefficients."""
+    lo, hi, first, last = (rows[c].to_numpy(float)[:, None] for c in ("lo", "hi", "first", "last"))
+    x = lo + np.arange(n) * (hi - lo) / max(n - 1, 1)
+    u = (x - first) * (k - 3) / (last - first)
+    m = np.minimum(np.floor(u), k - 4).astype(int)
+    t = u - m
+    beta = np.stack(rows["beta"].to_numpy())
+    cubic = np.take_along_axis(beta[:, None, :], m[:, :, None] + np.arange(4), axis=2) @ SEGMENT
+    return x, cubic[..., 0] + t * (cubic[..., 1] + t * (cubic[..., 2] + t * cubic[..., 3]))
 
-    An ID is one short row, its grid lives in an array only: no row per grid point and no shuffle.
-    """
+
+def _per_model(model: DataFrame, id: str, extra: Sequence[str], work, schema: str) -> DataFrame:
+    """work(rows of up to 1,024 IDs) as rows; an ID is one short row, its grid lives in an array only."""
     kind = model.schema[id].dataType.simpleString()
 
-    def layers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
-                rows = batch.iloc[at:at + 1024]
-                lo, hi, first, last = (rows[c].to_numpy(float)[:, None] for c in ("lo", "hi", "first", "last"))
-                x = lo + np.arange(n) * (hi - lo) / max(n - 1, 1)
-                u = (x - first) * (k - 3) / (last - first)
-                m = np.minimum(np.floor(u), k - 4).astype(int)
-                t = u - m
-                beta = np.stack(rows["beta"].to_numpy())
-                cubic = np.take_along_axis(beta[:, None, :], m[:, :, None] + np.arange(4), axis=2) @ SEGMENT
-                y = cubic[..., 0] + t * (cubic[..., 1] + t * (cubic[..., 2] + t * cubic[..., 3]))
-                dx = np.diff(x)
-                steep = np.abs(np.divide(np.diff(y), dx, out=np.full_like(dx, np.nan), where=dx != 0))
-                some = np.isfinite(steep).any(axis=1)
-                height = np.where(some, np.nanmax(np.where(np.isfinite(steep), steep, -1.0), axis=1), np.nan)
-                passing = steep >= threshold_prop * height[:, None]
-                place = np.where(passing, x[:, 1:], np.nan)
-                out = pd.DataFrame({id: rows[id].to_numpy(), "mid_depth": x[np.arange(len(x)), 1 + np.argmax(steep == height[:, None], axis=1)],
-                                    "grad_max": height, "thresh": threshold_prop * height,
-                                    "top": np.fmin.reduce(place, axis=1), "bottom": np.fmax.reduce(place, axis=1)})
-                out.loc[~some, "mid_depth"] = np.nan
-                yield out
-
-    found = model.select(id, "lo", "hi", "first", "last", "beta").mapInPandas(
-        layers, f"{id} {kind}, mid_depth double, grad_max double, thresh double, top double, bottom double")
-    return C.fold_nan(found)
+                yield work(batch.iloc[at:at + 1024])
+
+    return C.fold_nan(model.select(id, "lo", "hi", "first", "last", "beta", *extra).mapInPandas(run, f"`{id}` {kind}, {schema}"))
+
+
+def model_layer(model: DataFrame, id: str, n: int = 500, k: int = 10, threshold_prop: float = 0.5) -> DataFrame:
+    """Layer of steep slope per ID (see `gradient_layer`) straight from the curves' coefficients: no row per grid point, no shuffle."""
+    def layers(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = _curves(rows, n, k)
+        dx = np.diff(x)
+        steep = np.abs(np.divide(np.diff(y), dx, out=np.full_like(dx, np.nan), where=dx != 0))
+        some = np.isfinite(steep).any(axis=1)
+        height = np.where(some, np.nanmax(np.where(np.isfinite(steep), steep, -1.0), axis=1), np.nan)
+        passing = steep >= threshold_prop * height[:, None]
+        place = np.where(passing, x[:, 1:], np.nan)
+        out = pd.DataFrame({id: rows[id].to_numpy(), "mid_depth": x[np.arange(len(x)), 1 + np.argmax(steep == height[:, None], axis=1)],
+                            "grad_max": height, "thresh": threshold_prop * height,
+                            "top": np.fmin.reduce(place, axis=1), "bottom": np.fmax.reduce(place, axis=1)})
+        out.loc[~some, "mid_depth"] = np.nan
+        return out
+
+    return _per_model(model, id, [], layers, "mid_depth double, grad_max double, thresh double, top double, bottom double")
+
+
+def model_crossing_or_bottom(model: DataFrame, id: str, level: float, name: str, n: int = 500, k: int = 10) -> DataFrame:
+    """Depth where each curve has the value `level`, else its bottom (see `level_crossing_or_bottom`), from the coefficients."""
+    def cross(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = _curves(rows, n, k)
+        order = np.argsort(y, axis=1, kind="stable")
+        value, depth = np.take_along_axis(y, order, axis=1), np.take_along_axis(x, order, axis=1)
+        out = x[:, -1].copy()
+        some = (value[:, 0] <= level) & (value[:, -1] >= level)
+        for i in np.flatnonzero(some & (np.diff(value, axis=1) == 0).any(axis=1)):  # equal values count with their mean depth
+            kept, of = np.unique(value[i], return_inverse=True)
+            out[i] = np.interp(level, kept, np.bincount(of, depth[i]) / np.bincount(of))
+            some[i] = False
+        left = np.clip((value <= level).sum(axis=1) - 1, 0, n - 2)[:, None]
+        (v0, v1), (x0, x1) = ([np.take_along_axis(a, left + d, axis=1)[:, 0] for d in (0, 1)] for a in (value, depth))
+        at = np.where(v0 == level, x0, x0 + (level - v0) * (x1 - x0) / np.where(v1 == v0, 1, v1 - v0))
+        return pd.DataFrame({id: rows[id].to_numpy(), name: np.where(some, at, out)})
+
+    return _per_model(model, id, [], cross, f"`{name}` double")
+
+
+def model_value_at(model: DataFrame, targets: DataFrame, id: str, target: str, name: str, n: int = 500, k: int = 10) -> DataFrame:
+    """(id, name, target): the curve's value at the grid depth nearest to the ID's target; equally near depths give a row each."""
+    def nearest(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = _curves(rows, n, k)
+        goal = rows[target].to_numpy(float)
+        gap = np.abs(x - goal[:, None])
+        row, at = np.nonzero(gap == gap.min(axis=1)[:, None])
+        return pd.DataFrame({id: rows[id].to_numpy()[row], name: y[row, at], target: goal[row]})
+
+    both = natural_join(model, targets.select(id, target).where(F.col(target).isNotNull()), "inner", [id])
+    return _per_model(both, id, [target], nearest, f"`{name}` double, `{target}` double")
 
 
 def extract_thermocline(df: DataFrame, id: str, x: str, y: str, k: int = 10, n_grid: int = 500,
-                        threshold_prop: float = 0.5) -> dict[str, DataFrame]:
+                        threshold_prop: float = 0.5, ends: tuple[float, float] | None = None) -> dict[str, DataFrame]:
     """Smooth curve, its profile with gradients, and the layer per ID."""
-    model = profile_smooth(df, id, x, y, k)
+    model = profile_smooth(df, id, x, y, k, ends=ends)
     profile = profile_gradient(predict_smooth(model, id, x, f"{y}_pred", n_grid, k), id, x, f"{y}_pred")
     return {"model": model, "profile": profile, "layer": model_layer(model, id, n_grid, k, threshold_prop)}
 
 
-def extract_oxycline(df: DataFrame, id: str, x: str, y: str, k: int = 10, n_grid: int = 500,
-                     threshold_prop: float = 0.5, level: float = 5.0) -> dict[str, DataFrame]:
+def extract_oxycline(df: DataFrame, id: str, x: str, y: str, k: int = 10, n_grid: int = 500, threshold_prop: float = 0.5,
+                     level: float = 5.0, ends: tuple[float, float] | None = None) -> dict[str, DataFrame]:
     """As `extract_thermocline`, with the depth DDO5 at which the curve has the value `level`."""
-    out = extract_thermocline(df, id, x, y, k, n_grid, threshold_prop)
-    out["metrics"] = level_crossing_or_bottom(out["profile"], id, x, f"{y}_pred", level, "DDO5")
+    out = extract_thermocline(df, id, x, y, k, n_grid, threshold_prop, ends)
+    out["metrics"] = model_crossing_or_bottom(out["model"], id, level, "DDO5", n_grid, k)
     return out

@@ -182,6 +182,29 @@ def overlap_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.overlap_by_cluster(N.overlap_long(N.ellipse_overlap(draws)), _cluster_of(spark, sf_dir))
 
 
+_CIRCLES = f"""WITH {D.MIXTURES},
+g AS (SELECT community, lower(group_name) AS group_name, CAST(floor(iso1) AS INT) % 3 AS draw, count(*) AS n, avg(iso1) AS x, avg(iso2) AS y, var_samp(iso1) AS v FROM mixtures
+      WHERE group_name NOT IN {_NICHE_OUT} AND iso1 IS NOT NULL AND iso2 IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 2),
+c AS (SELECT community, group_name, draw, x, y, sqrt(-2 * ln(0.05) * v / (1 + draw * 40)) AS r FROM g WHERE v > 0),
+p AS (SELECT a.community, a.draw, a.group_name AS s1, b.group_name AS s2, a.r AS r1, b.r AS r2, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d
+      FROM c a JOIN c b ON a.community = b.community AND a.draw = b.draw AND a.group_name < b.group_name),
+l AS (SELECT *, CASE WHEN d >= r1 + r2 THEN 0 WHEN d <= abs(r1 - r2) THEN pi() * pow(least(r1, r2), 2) ELSE
+        r1 * r1 * acos((d * d + r1 * r1 - r2 * r2) / (2 * d * r1)) + r2 * r2 * acos((d * d + r2 * r2 - r1 * r1) / (2 * d * r2))
+        - 0.5 * sqrt((-d + r1 + r2) * (d + r1 - r2) * (d - r1 + r2) * (d + r1 + r2)) END AS shared FROM p)
+SELECT community, draw, s1, s2, round(shared / (pi() * (r1 * r1 + r2 * r2) - shared), 6) + 0 AS overlap FROM l"""
+
+
+@query("overlap_given", _CIRCLES)
+def overlap_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circles around the groups' means, with radii so different that some lie apart and some inside another."""
+    frame = niche_frame(spark, sf_dir).withColumn("draw", F.floor(F.col("iso1")).cast("int") % 3).dropna(subset=["iso1", "iso2"])
+    stats = frame.groupBy("community", "group_name", "draw").agg(F.count(F.lit(1)).alias("n"), F.avg("iso1").alias("mu_x"), F.avg("iso2").alias("mu_y"), F.var_samp("iso1").alias("v"))
+    v = F.col("v") / (1 + F.col("draw") * 40)
+    circles = stats.where("n > 2 AND v > 0").withColumns({"s_xx": v, "s_xy": F.lit(0.0), "s_yy": v})
+    out = N.ellipse_overlap(circles)
+    return out.withColumn("overlap", F.round("overlap", 6) + 0.0)
+
+
 # --- given draws: the ellipse of each day of the month stands for a draw ------------------------------
 
 def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,6 +366,34 @@ def mixing_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mixing_proportions(mixtures(spark, sf_dir), D.baselines(spark, sf_dir))
 
 
+_TWO = f"""WITH {D.MIXTURES}, {D.BASELINES},
+st AS (SELECT community, group_name, count(*) AS n, avg(iso1) AS m1, avg(iso2) AS m2, var_pop(iso1) * count(*) AS q1, var_pop(iso2) * count(*) AS q2
+       FROM mixtures WHERE iso1 IS NOT NULL AND iso2 IS NOT NULL AND group_name NOT IN {_MIX_OUT} GROUP BY 1, 2),
+b AS (SELECT * FROM baselines WHERE source <> 'LEAF' AND mean_c IS NOT NULL AND sd_c IS NOT NULL AND mean_n IS NOT NULL AND sd_n IS NOT NULL),
+two AS (SELECT p.community, p.mean_c AS pc, p.sd_c AS pcs, p.mean_n AS pn, p.sd_n AS pns, z.mean_c AS zc, z.sd_c AS zcs, z.mean_n AS zn, z.sd_n AS zns
+        FROM b p JOIN b z USING (community) WHERE p.source = 'PERI' AND z.source = 'ZOOP'),
+pt AS (SELECT *, (i + 0.5) / 41 AS p FROM st JOIN two USING (community), (SELECT unnest(range(0, 41)) AS i)),
+tr AS (SELECT community, group_name, i, p, n, q1 AS q, m1 AS m, p * pc + (1 - p) * zc AS mu, pow(p * pcs, 2) + pow((1 - p) * zcs, 2) AS sv FROM pt
+       UNION ALL SELECT community, group_name, i, p, n, q2, m2, p * pn + (1 - p) * zn, pow(p * pns, 2) + pow((1 - p) * zns, 2) FROM pt),
+gr AS (SELECT *, greatest(sqrt(q / greatest(n, 2)), 1e-3) * 0.05 * pow(80.0, j / 15.0) AS s FROM tr, (SELECT unnest(range(0, 16)) AS j)),
+ll AS (SELECT community, group_name, i, p, m, max(v) AS top, sum(exp(v - t)) AS total FROM (
+         SELECT *, max(v) OVER (PARTITION BY community, group_name, i, m, q) AS t FROM (
+           SELECT *, -0.5 * n * ln(sv + s * s) - 0.5 * (q + n * pow(m - mu, 2)) / (sv + s * s) + 3 * ln(s) - 0.06 * s AS v FROM gr)) GROUP BY community, group_name, i, p, m, q),
+po AS (SELECT community, group_name, i, p, sum(top + ln(total)) - ln(p) - ln(1 - p) - 0.25 * pow(ln(p) - ln(1 - p), 2) AS lp FROM ll GROUP BY 1, 2, 3, 4),
+w AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY community, group_name)) AS w FROM po),
+r AS (SELECT community, group_name, sum(w * p) / sum(w) AS mean, sqrt(greatest(sum(w * p * p) / sum(w) - pow(sum(w * p) / sum(w), 2), 0)) AS sd, pow(sum(w), 2) / sum(w * w) AS points FROM w GROUP BY 1, 2)
+SELECT community, group_name, 'PERI' AS source, round(mean, 7) AS mean, round(sd, 5) AS sd, round(points, 4) AS points FROM r
+UNION ALL SELECT community, group_name, 'ZOOP', round(1 - mean, 7), round(sd, 5), round(points, 4) FROM r"""
+
+
+@query("mixing_two_sources", _TWO)
+def mixing_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources on one lattice of 41 shares, which SQL can sum over."""
+    sources = D.baselines(spark, sf_dir).where("source <> 'LEAF'")
+    out = M.mixing_proportions(mixtures(spark, sf_dir), sources, steps=40, zooms=0)
+    return out.select("community", "group_name", "source", F.round("mean", 7).alias("mean"), F.round("sd", 5).alias("sd"), F.round("points", 4).alias("points"))
+
+
 _SHARES = f"""WITH {D.MIXTURES}, {D.BASELINES},
 cls AS (SELECT community, "FAMILY" AS group_name, CASE WHEN iso1 <= 17 THEN 'PERI' WHEN iso1 <= 34 THEN 'LEAF' ELSE 'ZOOP' END AS source
         FROM mixtures WHERE "FAMILY" IS NOT NULL AND iso1 IS NOT NULL),

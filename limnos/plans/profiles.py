@@ -98,6 +98,41 @@ def thermocline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("oxycline")
 def oxycline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _raw(spark, sf_dir)
-    oxygen = P.extract_oxycline(rows, "ID", "depth", "DO")
-    warm = P.extract_thermocline(rows, "ID", "depth", "temp")["profile"]
-    return P.value_at_depth(warm, oxygen["metrics"], "ID", "depth", "temp_pred", "DDO5", "TDO5")
+    ends = tuple(rows.agg(F.min("depth"), F.max("depth")).first())
+    oxygen = P.extract_oxycline(rows, "ID", "depth", "DO", ends=ends)
+    warm = P.profile_smooth(rows, "ID", "depth", "temp", ends=ends)
+    return P.model_value_at(warm, oxygen["metrics"], "ID", "DDO5", "TDO5")
+
+
+_CUBIC = """WITH r AS (SELECT user_id AS "ID", day(ts)::DOUBLE / 40 AS t, value AS y FROM events),
+a AS (SELECT "ID", count(*) AS n, """ + ", ".join(f"sum(pow(t, {i})) AS s{i}" for i in range(1, 7)) + """, """ + ", ".join(f"sum(y * pow(t, {i})) AS y{i}" for i in range(4)) + """
+      FROM r GROUP BY 1 HAVING count(DISTINCT t) > 5),
+m AS (SELECT "ID", [[n, s1, s2, s3, y0], [s1, s2, s3, s4, y1], [s2, s3, s4, s5, y2], [s3, s4, s5, s6, y3], [y0, y1, y2, y3, 0]]::DOUBLE[][] AS m FROM a),
+sw AS (WITH RECURSIVE s("ID", k, m) AS (SELECT "ID", 0, m FROM m UNION ALL
+         SELECT "ID", k + 1, list_transform(range(1, 6), lambda i: list_transform(range(1, 6), lambda j:
+           CASE WHEN i = k + 1 AND j = k + 1 THEN -1 / m[k + 1][k + 1] WHEN i = k + 1 OR j = k + 1 THEN m[i][j] / m[k + 1][k + 1]
+                ELSE m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END)) FROM s WHERE k < 4) SELECT "ID", m FROM s WHERE k = 4)
+SELECT "ID", i AS point, round(m[1][5] + m[2][5] * pow(i / 10.0, 1) + m[3][5] * pow(i / 10.0, 2) + m[4][5] * pow(i / 10.0, 3), 4) + 0 AS fit FROM sw, (SELECT unnest(range(1, 8)) AS i)"""
+
+
+@query("smooth_cubic", _CUBIC)
+def smooth_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four splines on one knot interval without a penalty are a cubic fit, which SQL can solve."""
+    rows = _raw(spark, sf_dir)
+    many = rows.groupBy("ID").agg(F.count_distinct("depth").alias("d")).where("d > 5").select("ID")
+    model = P.profile_smooth(rows.join(many, "ID"), "ID", "depth", "temp", 4, [0.0], (0.0, 40.0))
+    wide = model.withColumns({"lo": F.lit(4.0), "hi": F.lit(28.0)})
+    points = P.predict_smooth(wide, "ID", "depth", "fit", 7, 4)
+    return points.select("ID", F.round(F.col("depth") / 4).cast("long").alias("point"), (F.round("fit", 4) + 0.0).alias("fit"))
+
+
+@query("smooth_moments", """WITH r AS (SELECT user_id AS "ID", day(ts)::DOUBLE AS x, value AS y FROM events),
+u AS (SELECT *, least(floor((x - 1) * 7 / 30.0), 6) AS m, (x - 1) * 7 / 30.0 - least(floor((x - 1) * 7 / 30.0), 6) AS t FROM r)
+SELECT "ID", m::BIGINT AS m, min(x) AS lo, max(x) AS hi, count(*)::DOUBLE AS s0, """ + ", ".join(f"round(sum(pow(t, {i})), 6) AS s{i}" for i in range(1, 7)) + """, """
+       + ", ".join(f"round(sum(y * pow(t, {i})), 5) AS y{i}" for i in range(4)) + """, round(sum(y * y), 4) AS yy FROM u GROUP BY ALL""")
+def smooth_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moments = P.smooth_moments(_raw(spark, sf_dir), "ID", "depth", "temp", 10, (1.0, 31.0))
+    each = moments.select("ID", F.explode("segments").alias("s"))
+    rounded = [F.round(F.col("s")[i + 1], 6 if i else 0).alias(f"s{i}") for i in range(7)] + [F.round(F.col("s")[i + 8], 5).alias(f"y{i}") for i in range(4)]
+    spans = D.profiles(spark, sf_dir).groupBy("ID", F.least(F.floor((F.col("depth") - 1) * 7 / 30.0), F.lit(6)).alias("m")).agg(F.min("depth").alias("lo"), F.max("depth").alias("hi"))
+    return each.select("ID", F.col("s")[0].cast("long").alias("m"), *rounded, F.round(F.col("s")[12], 4).alias("yy")).join(spans, ["ID", "m"])

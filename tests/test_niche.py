@@ -61,10 +61,10 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert a.sort_values(keys).reset_index(drop=True).equals(b.sort_values(keys).reset_index(drop=True))
 
 
-def overlap(spark, one, two, angles=720):
+def overlap(spark, one, two):
     cols = "community string, group_name string, draw int, mu_x double, mu_y double, s_xx double, s_xy double, s_yy double"
     df = spark.createDataFrame([("c", "a", 0, *one), ("c", "b", 0, *two)], cols)
-    return N.ellipse_overlap(df, angles=angles).first().overlap
+    return N.ellipse_overlap(df).first().overlap
 
 
 def test_overlap_known_values(spark):
@@ -74,7 +74,26 @@ def test_overlap_known_values(spark):
     assert overlap(spark, unit, (0.0, 0.0, 4.0, 0.0, 4.0)) == pytest.approx(0.25, abs=1e-9)
     r = math.sqrt(-2 * math.log(0.05))  # two discs of this radius, one radius apart
     lens = 2 * r * r * math.acos(0.5) - r / 2 * math.sqrt(4 * r * r - r * r)
-    assert overlap(spark, unit, (r, 0.0, 1.0, 0.0, 1.0)) == pytest.approx(lens / (2 * math.pi * r * r - lens), abs=2e-3)
+    assert overlap(spark, unit, (r, 0.0, 1.0, 0.0, 1.0)) == pytest.approx(lens / (2 * math.pi * r * r - lens), abs=1e-12)
+
+
+def test_overlap_of_many_ellipses():
+    """Against rays from the middle of the disc; none, two and four common points of the borders, circles, nested ones."""
+    rng = np.random.default_rng(1)
+    n, k = 400, 20_000
+    l11, l22, l21, c = np.exp(rng.normal(0, 1, n)), np.exp(rng.normal(0, 1, n)), rng.normal(0, 1, n), rng.normal(0, 1.2, (n, 2))
+    l21[:60], l22[:60], c[60:90] = 0, l11[:60], 0
+    s11, s12, s22, det = l11 ** 2, l11 * l21, l21 ** 2 + l22 ** 2, (l11 * l22) ** 2
+    m = np.column_stack([s22, -s12, s11]) / det[:, None]
+    turn = 2 * np.pi * (np.arange(k) + 0.5) / k
+    u = np.column_stack([np.cos(turn) ** 2, 2 * np.cos(turn) * np.sin(turn), np.sin(turn) ** 2])
+    p = np.column_stack([m[:, 0] * c[:, 0] + m[:, 1] * c[:, 1], m[:, 1] * c[:, 0] + m[:, 2] * c[:, 1]])
+    a, b, e = m @ u.T, p @ np.stack([np.cos(turn), np.sin(turn)]), ((p * c).sum(axis=1) - 1)[:, None]
+    root = b * b - a * e
+    gap = np.sqrt(np.maximum(root, 0))
+    want = np.where(root > 0, np.clip((b + gap) / a, 0, 1) ** 2 - np.clip((b - gap) / a, 0, 1) ** 2, 0).sum(axis=1) * np.pi / k
+    got = N.disc_share(m, np.column_stack([l11, l21, l22]), c)
+    assert got == pytest.approx(want, abs=5e-5) and np.median(np.abs(got - want)) < 1e-7
 
 
 def test_overlap_against_sampling(spark):
