@@ -12,7 +12,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +31,41 @@ METRIC_LABELS = {
 METRICS_OUT = ["DOC.1", "thermo_temp"]
 
 
+# --- sums of many numbers per task --------------------------------------------------------------
+
+#: Permutations (or centres) whose sums travel in one row, sites that are moved at once, and places of a task's table.
+PERM_CHUNK = 32
+SITE_BATCH = 256
+PLACES = 1 << 20
+
+
+def _chunks(sums: np.ndarray) -> pa.RecordBatch:
+    """Rows (part, w) of sums whose first index is the permutation or centre."""
+    parts = [sums[i:i + PERM_CHUNK] for i in range(0, len(sums), PERM_CHUNK)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "w"])
+
+
+def _by_chunk(rows: DataFrame, shape: tuple[int, ...], statistic, schema: str) -> DataFrame:
+    """Add up the rows of `_chunks` and give statistic(first permutation, sums) as rows of the schema."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, None
+        for batch in batches:
+            for number, w in zip(batch.column("part").to_pylist(), batch.column("w").to_pylist()):
+                now = np.frombuffer(w).reshape(-1, *shape)
+                if number == part:
+                    total = total + now
+                else:
+                    if part is not None:
+                        yield statistic(part * PERM_CHUNK, total)
+                    part, total = number, now
+        if part is not None:
+            yield statistic(part * PERM_CHUNK, total)
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+# --- ordination ----------------------------------------------------------------------------------
+
 def landmark_distances(sets: DataFrame, site: str, marks: list[list[str]], method: str = "jaccard") -> DataFrame:
     """(site, d): distances of every site to the landmark taxon sets, as one array; a map without shuffle."""
     fixed = F.from_json(F.lit(json.dumps(marks)), "array<array<string>>")
@@ -40,92 +74,170 @@ def landmark_distances(sets: DataFrame, site: str, marks: list[list[str]], metho
     return sets.select(site, d.alias("d"))
 
 
-def _landmark_map(marks: list[list[str]], method: str, k: int):
-    """Classical scaling of the landmark matrix and the linear map that places any other site."""
+def _squared(marks: list[list[str]], method: str) -> np.ndarray:
+    """Squared distances of the landmarks."""
     known = [set(m) for m in marks]
     shared = np.array([[len(a & b) for b in known] for a in known], float)
     n = np.array([len(a) for a in known], float)
     both = n[:, None] + n[None, :]
-    d2 = ((both - 2 * shared) / (both if method == "bray" else both - shared)) ** 2
-    centre = np.eye(len(n)) - 1 / len(n)
+    return ((both - 2 * shared) / (both if method == "bray" else both - shared)) ** 2
+
+
+def _landmark_map(marks: list[list[str]], method: str, k: int):
+    """Classical scaling of the landmark matrix and the linear map that places any other site."""
+    d2 = _squared(marks, method)
+    centre = np.eye(len(d2)) - 1 / len(d2)
     values, vectors = np.linalg.eigh(-0.5 * centre @ d2 @ centre)
     top = np.argsort(values)[::-1][:k]
     scale = np.sqrt(np.maximum(values[top], 1e-12))
     return -0.5 * (vectors[:, top] / scale).T, d2.mean(axis=0)
 
 
-def ordinate(presence: DataFrame, site: str, taxon: str, k: int = 2, landmarks: int = 50, rounds: int = 3,
-             method: str = "jaccard") -> tuple[DataFrame, float]:
-    """Coordinates (site, d, x) whose distances follow the order of the dissimilarities, and their stress.
+#: Distances are pooled to so many steps of dissimilarity.
+STEPS = 10_000
+
+
+def _steps(d: np.ndarray) -> np.ndarray:
+    return np.floor(d * STEPS + 0.5).astype(np.int64)
 
-    Starts from landmark scaling; each round fits a monotone curve of distance on dissimilarity (pooled by
-    dissimilarity, so at most 10,001 points) and moves every site towards the fitted distances to the landmarks.
-    Rotation, reflection and local minima are arbitrary, as in any such ordination.
+
+def monotone_curve(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Places, values of the best rising curve there, and stress-1, from (number, sum, square sum) of distances by dissimilarity.
+
+    Pool-adjacent-violators: neighbouring pools are joined as long as the earlier one has the higher mean.
+    """
+    at = np.flatnonzero(sums[:, 0])
+    pools: list[list[float]] = []  # weight, sum, places
+    for w, total in sums[at, :2].tolist():
+        pools.append([w, total, 1])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [x + y for x, y in zip(pools[-1], last)]
+    fit = np.repeat([t / w for w, t, _ in pools], [n for _, _, n in pools])
+    w, total, square = sums[at].T
+    off = (square - 2 * fit * total + w * fit * fit).sum()
+    return at, fit, float(np.sqrt(max(off, 0.0) / square.sum())) if square.sum() else 0.0
+
+
+class Ordination:
+    """Sites placed by their distances to landmark sites, for several numbers of axes at once.
+
+    Starts from landmark scaling; each round fits a monotone curve of distance on dissimilarity (pooled to 10,001 steps) and moves every
+    site towards the fitted distances to the landmarks. The moves are known by the landmarks' places and the curve, and the landmarks are
+    moved on the driver, so a site's place in any round follows from its row: a round is one pass that adds up distances, for
+    all numbers of axes, and nothing is written in between. Rotation, reflection and local minima are arbitrary.
     """
-    sets = checkpointed(site_sets(presence, [site], taxon).where("n > 0"))
-    chosen = choose_landmarks(sets, site, landmarks).collect()
-    marks = [[str(t) for t in r["taxa"]] for r in chosen]
-    ids = [r[site] for r in chosen]
-    linear, mean2 = _landmark_map(marks, method, min(k, len(marks)))
 
-    @F.pandas_udf("array<double>")
-    def place(d: pd.Series) -> pd.Series:
-        return pd.Series(list((np.stack(d.to_numpy()) ** 2 - mean2) @ linear.T))
+    def __init__(self, presence: DataFrame, site: str, taxon: str, ks: Sequence[int], landmarks: int, rounds: int = 3, method: str = "jaccard"):
+        self.site, self.ks, self.method, self.rounds = site, list(ks), method, rounds
+        sets = checkpointed(site_sets(presence, [site], taxon).where("n > 0"))
+        marks = [[str(t) for t in r["taxa"]] for r in choose_landmarks(sets, site, landmarks).collect()]
+        self.landmarks = len(marks)
+        self.rows = checkpointed(landmark_distances(sets, site, marks, method))
+        self.start = {k: _landmark_map(marks, method, min(k, len(marks))) for k in self.ks}
+        own = np.sqrt(_squared(marks, method))
+        self.centres = {k: [(own ** 2 - self.start[k][1]) @ self.start[k][0].T] for k in self.ks}
+        self.curves: dict[int, list] = {k: [] for k in self.ks}
+        self.stress: dict[int, float] = {}
+        for i in range(rounds + 1):
+            for k, sums in zip(self.ks, self._pass()):
+                at, fit, self.stress[k] = monotone_curve(sums)
+                if i < rounds:
+                    square, fit2 = sums[at, 2].sum(), (sums[at, 0] * fit * fit).sum()
+                    curve = at, fit * (np.sqrt(square / fit2) if fit2 else 1.0)
+                    self.curves[k].append(curve)
+                    self.centres[k].append(_moved(own, self.centres[k][-1], self.centres[k][-1], curve))
+
+    def _places(self):
+        start, centres, curves = self.start, self.centres, self.curves
+
+        def places(d: np.ndarray, k: int) -> np.ndarray:
+            linear, mean2 = start[k]
+            x = (d ** 2 - mean2) @ linear.T
+            for around, curve in zip(centres[k], curves[k]):
+                x = _moved(d, x, around, curve)
+            return x
+        return places
 
-    sites = checkpointed(landmark_distances(sets, site, marks, method).withColumn("x", place("d")))
-    for _ in range(rounds):
-        centres = _rows_of(sites, site, ids)
-        knots, fitted, _ = monotone_fit(sites, centres)
-        sites = checkpointed(sites.select(site, "d", _move(centres, knots, fitted)("d", "x").alias("x")))
-    _, _, stress = monotone_fit(sites, _rows_of(sites, site, ids))
-    return sites, stress
+    def _pass(self) -> np.ndarray:
+        """(k, step, 3): number, sum and square sum of the distances of all pairs of a site and a landmark by dissimilarity."""
+        places, ks, centres, shape = self._places(), self.ks, self.centres, (STEPS + 1, 3)
 
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((len(ks), *shape))
+            for batch in batches:
+                for i in range(0, batch.num_rows, 1024):
+                    d = _matrix(batch.column("d").slice(i, 1024))
+                    step = _steps(d).ravel()
+                    for k, out in zip(ks, sums):
+                        gap = _gaps(places(d, k), centres[k][-1]).ravel()
+                        for j, v in enumerate((np.ones_like(gap), gap, gap * gap)):
+                            out[:, j] += np.bincount(step, v, STEPS + 1)
+            for i, out in enumerate(sums):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["part", "w"])
+
+        whole = lambda first, sums: pa.RecordBatch.from_arrays([pa.array([first // PERM_CHUNK]), pa.array([sums.tobytes()], pa.binary())], ["at", "w"])
+        rows = _by_chunk(self.rows.select("d").mapInArrow(add, "part int, w binary"), shape, whole, "at long, w binary").collect()
+        out = np.zeros((len(ks), *shape))
+        for r in rows:  # 10,001 steps
+            out[r["at"]] = np.frombuffer(r["w"]).reshape(shape)
+        return out
+
+    def sites(self, k: int) -> DataFrame:
+        """(site, d, x): distances to the landmarks and coordinates."""
+        places, name = self._places(), self.site
 
-def _rows_of(sites: DataFrame, site: str, ids: list) -> np.ndarray:
-    found = {r[site]: r["x"] for r in sites.where(F.col(site).isin(ids)).select(site, "x").collect()}
-    return np.array([found[i] for i in ids])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                d = batch.column("d")
+                x = places(_matrix(d), k) if len(d) else np.zeros((0, k))
+                at = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(name), d, pa.ListArray.from_arrays(at, pa.array(x.ravel()))], [name, "d", "x"])
 
+        kind = self.rows.schema[name].dataType.simpleString()
+        return self.rows.select(name, "d").mapInArrow(run, f"`{name}` {kind}, d array<double>, x array<double>")
 
-def _move(centres: np.ndarray, knots: np.ndarray, fitted: np.ndarray):
-    @F.pandas_udf("array<double>")
-    def move(d: pd.Series, x: pd.Series) -> pd.Series:
-        want = np.interp(np.round(np.stack(d.to_numpy()), 4), knots, fitted)
-        step = np.stack(x.to_numpy())[:, None, :] - centres[None, :, :]
-        gap = np.sqrt((step ** 2).sum(axis=2))
-        ratio = np.where(gap > 1e-12, want / np.maximum(gap, 1e-12), 0.0)
-        return pd.Series(list((centres[None] + ratio[:, :, None] * step).mean(axis=1)))
-    return move
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-def monotone_fit(sites: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Monotone curve of distance on dissimilarity over all (site, landmark) pairs, and stress-1.
 
-    Pairs are summed by dissimilarity (four decimals) before the shuffle, and the curve is fitted to those sums.
-    """
-    fixed = F.from_json(F.lit(json.dumps(centres.tolist())), "array<array<double>>")
-    gap = F.transform(fixed, lambda c: F.sqrt(F.aggregate(
-        F.zip_with(c, F.col("x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)))
-    pairs = sites.select(F.explode(F.arrays_zip(F.col("d"), gap.alias("gap"))).alias("p")).select(
-        F.round("p.d", 4).alias("d"), F.col("p.gap").alias("gap"))
-    sums = pairs.groupBy("d").agg(F.avg("gap").alias("gap"), F.sum(F.col("gap") * F.col("gap")).alias("ss"),
-                                  F.count(F.lit(1)).cast("double").alias("w"))
-    sums = checkpointed(sums)
-    model = IsotonicRegression(featuresCol="d", labelCol="gap", weightCol="w", predictionCol="fit").fit(sums)
-    fit = model.transform(sums)
-    one = fit.agg(F.sum("ss").alias("total"), F.sum(F.col("ss") - 2 * F.col("fit") * F.col("gap") * F.col("w")
-                                                   + F.col("w") * F.col("fit") * F.col("fit")).alias("off"),
-                  F.sum(F.col("w") * F.col("fit") * F.col("fit")).alias("fit2")).first()
-    stress = float(np.sqrt(max(one["off"], 0.0) / one["total"])) if one["total"] else 0.0
-    scale = np.sqrt(one["total"] / one["fit2"]) if one["fit2"] else 1.0
-    return model.boundaries.toArray(), model.predictions.toArray() * scale, stress
-
-
-def stress_by_k(presence: DataFrame, site: str, taxon: str, ks: Sequence[int], landmarks: int = 50, rounds: int = 3,
+def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x[:, None, :] - centres[None]) ** 2).sum(axis=2))
+
+
+def _moved(d: np.ndarray, x: np.ndarray, centres: np.ndarray, curve: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Places after a step of each site towards the fitted distances to the centres."""
+    want = np.interp(_steps(d), *curve)
+    step = x[:, None, :] - centres[None]
+    gap = np.sqrt((step ** 2).sum(axis=2))
+    ratio = np.where(gap > 1e-12, want / np.maximum(gap, 1e-12), 0.0)
+    return (centres[None] + ratio[:, :, None] * step).mean(axis=1)
+
+
+def ordinate(presence: DataFrame, site: str, taxon: str, k: int, landmarks: int, rounds: int = 3, method: str = "jaccard") -> tuple[DataFrame, float]:
+    """Coordinates (site, d, x) whose distances follow the order of the dissimilarities, and their stress; see `Ordination`."""
+    made = Ordination(presence, site, taxon, [k], landmarks, rounds, method)
+    return made.sites(k), made.stress[k]
+
+
+def stress_by_k(presence: DataFrame, site: str, taxon: str, ks: Sequence[int], landmarks: int, rounds: int = 3,
                 method: str = "jaccard") -> DataFrame:
     """(k, landmark_stress, landmarks) for several numbers of axes: stress-1 over the pairs of a site and a landmark."""
-    presence = checkpointed(presence.select(site, taxon).distinct())
-    rows = [(k, ordinate(presence, site, taxon, k, landmarks, rounds, method)[1], landmarks) for k in ks]
-    return presence.sparkSession.createDataFrame(rows, "k int, landmark_stress double, landmarks int")
+    made = Ordination(presence, site, taxon, ks, landmarks, rounds, method)
+    return presence.sparkSession.createDataFrame([(k, made.stress[k], made.landmarks) for k in ks], "k int, landmark_stress double, landmarks int")
+
+
+def landmark_stress(distances: DataFrame, coords: DataFrame, site: str, axis: Sequence[str]) -> DataFrame:
+    """(landmark_stress, pairs) of given coordinates over a table (site, landmark, d) of listed pairs."""
+    at = coords.select(site, F.array(*[F.col(a).cast("double") for a in axis]).alias("__x"))
+    marks = at.select(F.col(site).alias("landmark"), F.col("__x").alias("__y"))
+    gap = F.sqrt(F.aggregate(F.zip_with("__x", "__y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    pairs = distances.where(F.col("d").isNotNull()).join(at, site).join(marks, "landmark").select(F.floor(F.col("d") * STEPS + 0.5).cast("int").alias("step"), gap.alias("gap"))
+    sums = np.zeros((STEPS + 1, 3))
+    for r in pairs.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum("gap").alias("s"), F.sum(F.col("gap") * F.col("gap")).alias("q")).collect():  # 10,001 steps
+        sums[r["step"]] = r["n"], r["s"], r["q"]
+    return distances.sparkSession.createDataFrame([(monotone_curve(sums)[2], int(sums[:, 0].sum()))], "landmark_stress double, pairs long")
 
 
 def axes(sites: DataFrame, site: str, k: int, prefix: str = "MDS") -> DataFrame:
@@ -140,39 +252,6 @@ def taxon_scores(presence: DataFrame, coords: DataFrame, site: str, taxon: str,
     return rows.groupBy(taxon).agg(*[(F.sum(w * F.col(a)) / F.sum(w)).alias(a) for a in axis])
 
 
-# --- sums of many numbers per task --------------------------------------------------------------
-
-#: Permutations (or centres) whose sums travel in one row, sites that are moved at once, and places of a task's table.
-PERM_CHUNK = 32
-SITE_BATCH = 256
-PLACES = 1 << 20
-
-
-def _chunks(sums: np.ndarray) -> pa.RecordBatch:
-    """Rows (part, w) of sums whose first index is the permutation or centre."""
-    parts = [sums[i:i + PERM_CHUNK] for i in range(0, len(sums), PERM_CHUNK)]
-    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "w"])
-
-
-def _by_chunk(rows: DataFrame, shape: tuple[int, ...], statistic, schema: str) -> DataFrame:
-    """Add up the rows of `_chunks` and give statistic(first permutation, sums) as rows of the schema."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, total = None, None
-        for batch in batches:
-            for number, w in zip(batch.column("part").to_pylist(), batch.column("w").to_pylist()):
-                now = np.frombuffer(w).reshape(-1, *shape)
-                if number == part:
-                    total = total + now
-                else:
-                    if part is not None:
-                        yield statistic(part * PERM_CHUNK, total)
-                    part, total = number, now
-        if part is not None:
-            yield statistic(part * PERM_CHUNK, total)
-
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
-
-
 # --- clusters ------------------------------------------------------------------------------------
 
 class KMeansSweep:

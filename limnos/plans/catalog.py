@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from limnos.plans import community, isotopes, lakes, ordination, profiles, regression
+from limnos.plans import community, isotopes, lakes, ordination, profiles, regression, tables
 
-MODULES = [profiles, lakes, community, ordination, isotopes, regression]
+MODULES = [profiles, lakes, community, ordination, isotopes, regression, tables]
 
 
 def queries() -> dict:

@@ -108,6 +108,12 @@ def legends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.legends(mixtures(spark, sf_dir))[0]
 
 
+@query("legends_community", f"""WITH {D.MIXTURES}, g AS (SELECT DISTINCT community FROM mixtures WHERE group_name NOT IN {_MIX_OUT})
+SELECT community, row_number() OVER (ORDER BY community) AS code FROM g""")
+def legends_community(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.legends(mixtures(spark, sf_dir))[1]
+
+
 _ELLIPSE = _NICHE + """,
 st AS (SELECT community, group_name, count(*) AS n, avg(iso1) AS mean_x, avg(iso2) AS mean_y, var_samp(iso1) AS var_x,
               covar_samp(iso1, iso2) AS cov_xy, var_samp(iso2) AS var_y FROM niche GROUP BY 1, 2)"""
@@ -182,10 +188,9 @@ def overlap_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.overlap_by_cluster(N.overlap_long(N.ellipse_overlap(draws)), _cluster_of(spark, sf_dir))
 
 
-_CIRCLES = f"""WITH {D.MIXTURES},
-g AS (SELECT community, lower(group_name) AS group_name, CAST(floor(iso1) AS INT) % 3 AS draw, count(*) AS n, avg(iso1) AS x, avg(iso2) AS y, var_samp(iso1) AS v FROM mixtures
-      WHERE group_name NOT IN {_NICHE_OUT} AND iso1 IS NOT NULL AND iso2 IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 2),
-c AS (SELECT community, group_name, draw, x, y, sqrt(-2 * ln(0.05) * v / (1 + draw * 40)) AS r FROM g WHERE v > 0),
+_CIRCLES = _NICHE + """,
+g AS (SELECT community, group_name, CAST(floor(iso1) AS INT) % 3 AS draw, count(*) AS n, avg(iso1) AS x, avg(iso2) AS y, var_samp(iso1) AS v FROM niche GROUP BY 1, 2, 3 HAVING count(*) > 2),
+c AS (SELECT community, group_name, draw, x, y, sqrt(-2 * ln(0.05) * v / (1 + draw * 40)) AS r FROM g WHERE v > 1e-9),
 p AS (SELECT a.community, a.draw, a.group_name AS s1, b.group_name AS s2, a.r AS r1, b.r AS r2, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d
       FROM c a JOIN c b ON a.community = b.community AND a.draw = b.draw AND a.group_name < b.group_name),
 l AS (SELECT *, CASE WHEN d >= r1 + r2 THEN 0 WHEN d <= abs(r1 - r2) THEN pi() * pow(least(r1, r2), 2) ELSE
@@ -200,7 +205,7 @@ def overlap_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = niche_frame(spark, sf_dir).withColumn("draw", F.floor(F.col("iso1")).cast("int") % 3).dropna(subset=["iso1", "iso2"])
     stats = frame.groupBy("community", "group_name", "draw").agg(F.count(F.lit(1)).alias("n"), F.avg("iso1").alias("mu_x"), F.avg("iso2").alias("mu_y"), F.var_samp("iso1").alias("v"))
     v = F.col("v") / (1 + F.col("draw") * 40)
-    circles = stats.where("n > 2 AND v > 0").withColumns({"s_xx": v, "s_xy": F.lit(0.0), "s_yy": v})
+    circles = stats.where("n > 2 AND v > 1e-9").withColumns({"s_xx": v, "s_xy": F.lit(0.0), "s_yy": v})
     out = N.ellipse_overlap(circles)
     return out.withColumn("overlap", F.round("overlap", 6) + 0.0)
 
@@ -319,6 +324,25 @@ def contrasts_fixed_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(N.posterior_contrasts(area.unionByName(overlap), ["0", "1", "2", "3", "4"]), 6, "rope_prop", "PD")
 
 
+@query("contrasts_hdi", _BY_CLUSTER + """,
+r AS (SELECT 'area' AS metric, cluster, draw, area AS v FROM bc
+      UNION ALL SELECT 'overlap', cluster, draw, avg(overlap) FROM named GROUP BY 2, 3),
+s AS (SELECT metric, 0.1 * stddev_samp(v) AS r FROM r GROUP BY 1),
+d AS (SELECT a.metric, a.cluster || ' - ' || b.cluster AS contrast, a.v - b.v AS diff FROM r a JOIN r b ON a.metric = b.metric AND a.draw = b.draw
+      WHERE a.cluster < b.cluster),
+v AS (SELECT metric, contrast, list_sort(list(diff)) AS v, CAST(ceil(0.95 * count(*)) AS INT) AS span FROM d GROUP BY 1, 2),
+z AS (SELECT metric, contrast, v[i] AS lo, v[i + span - 1] AS hi FROM (SELECT *, unnest(range(1, len(v) - span + 2)) AS i FROM v)),
+q AS (SELECT metric, contrast, lo, hi FROM z QUALIFY row_number() OVER (PARTITION BY metric, contrast ORDER BY hi - lo, lo) = 1)
+SELECT metric, contrast, round(100 * avg(CASE WHEN diff BETWEEN -r AND r THEN 1.0 ELSE 0 END) FILTER (WHERE diff BETWEEN lo AND hi), 6) AS rope_prop,
+       round(100 * greatest(avg(CASE WHEN diff > 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN diff < 0 THEN 1.0 ELSE 0 END)), 6) AS "PD"
+FROM d JOIN q USING (metric, contrast) JOIN s USING (metric) GROUP BY 1, 2""")
+def contrasts_hdi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixed_draws(spark, sf_dir)
+    area = N.area_by_cluster(rows, "community", "cluster").select(F.lit("area").alias("metric"), "cluster", "draw", F.col("area").alias("value"))
+    overlap = rows.groupBy("cluster", "draw").agg(F.avg("overlap").alias("value")).select(F.lit("overlap").alias("metric"), "cluster", "draw", "value")
+    return rounded(N.posterior_contrasts(area.unionByName(overlap), ["0", "1", "2", "3", "4"], interval="hdi"), 6, "rope_prop", "PD")
+
+
 _PAIR_ROWS = f"""WITH {_DRAWS},
 op AS (SELECT a."WATER" AS water, a.season, a.community, a.cluster, a.draw, a.group_name || '_' || b.group_name AS pair,
               round_even(least(a.overlap, b.overlap), 3) AS overlap

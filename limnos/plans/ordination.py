@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from limnos.operators import dissimilarity as S
 from limnos.operators import ordination as O
 from limnos.operators.permutations import numbered
-from limnos.plans.community import fall_presence
+from limnos.plans.community import _FALL, fall_presence
 from limnos.plans.registry import registry
 from limnos.sources import domain as D
 
@@ -25,6 +26,32 @@ def stress_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.stress_by_k(fall_presence(spark, sf_dir), "WATER", "FAMILY", [2, 3, 4], 50, 3)
 
 
+_STRESS = _FALL + """,
+size AS (SELECT "WATER", count(*) AS n FROM pres GROUP BY 1),
+mark AS (SELECT "WATER" AS landmark, n AS nl FROM size ORDER BY n DESC, "WATER" LIMIT 12),
+s AS (SELECT p."WATER", l."WATER" AS landmark, count(*) AS s FROM pres p JOIN pres l USING ("FAMILY") GROUP BY 1, 2),
+d AS (SELECT "WATER", landmark, floor((n + nl - 2 * coalesce(s, 0)) / (n + nl - coalesce(s, 0)) * 10000 + 0.5) AS step
+      FROM size CROSS JOIN mark LEFT JOIN s USING ("WATER", landmark)),
+g AS (SELECT step, sqrt(pow(a.c_acctbal / 1000 - b.c_acctbal / 1000, 2) + pow(a.c_nationkey - b.c_nationkey, 2)) AS gap
+      FROM d JOIN customer a ON a.c_custkey = "WATER" JOIN customer b ON b.c_custkey = landmark),
+h AS (SELECT row_number() OVER (ORDER BY step) AS i, count(*) AS w, sum(gap) AS t, sum(gap * gap) AS q FROM g GROUP BY step),
+c AS (SELECT i, w, t, q, sum(w) OVER (ORDER BY i) AS cw, sum(t) OVER (ORDER BY i) AS ct FROM h),
+jk AS (SELECT j.i AS j, k.i AS k, (k.ct - j.ct + j.t) / (k.cw - j.cw + j.w) AS mean FROM c j JOIN c k ON k.i >= j.i),
+low AS (SELECT j, k AS i, min(mean) OVER (PARTITION BY j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS least FROM jk),
+f AS (SELECT i, max(least) AS fit FROM low GROUP BY 1)
+SELECT round(sqrt(sum(q - 2 * fit * t + w * fit * fit) / sum(q)), 8) AS landmark_stress, sum(w)::BIGINT AS pairs FROM c JOIN f USING (i)"""
+
+
+@query("stress_given", _STRESS)
+def stress_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    presence = fall_presence(spark, sf_dir)
+    marks = S.site_sets(presence, ["WATER"], "FAMILY").orderBy(F.col("n").desc(), "WATER").limit(12)
+    distances = S.landmark_dissimilarity(presence, marks, "WATER", "FAMILY", "jaccard")
+    coords = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("WATER"), (F.col("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    out = O.landmark_stress(distances, coords, "WATER", ["x", "y"])
+    return out.select(F.round("landmark_stress", 8).alias("landmark_stress"), "pairs")
+
+
 @query("taxon_scores", f"""WITH {D.SPECIMENS},
 pres AS (SELECT DISTINCT "WATER", "FAMILY" FROM specimens WHERE "MONTH" = 'FALL' AND "FAMILY" NOT IN ('unidentified', 'degraded', 'terrestrial'))
 SELECT "FAMILY", round(avg(c_acctbal), 6) AS x, round(avg(c_nationkey), 6) AS y FROM pres JOIN customer ON c_custkey = "WATER" GROUP BY 1""")

@@ -199,28 +199,12 @@ def data_ellipse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("WATER").alias("water"), "season", "point", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"))
 
 
-@query("result_table")
-def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = R.ols(D.sales(spark, sf_dir), [], ["quantity", "tax"], "y").withColumn("group", F.lit("two"))
-    b = R.ols(D.sales(spark, sf_dir), [], ["discount"], "y").withColumn("group", F.lit("one"))
-    return Y.printed_p(R.result_table([a, b], 3, {"estimate": "Estimate"}))
-
-
-@query("tile_table")
-def tile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _trophic_chemistry(spark, sf_dir)
-    rows = X.long_predictors(rows, ["trophic_position_weighted", "WATER", "FAMILY"], ["DOC_update", "DDO5"])
-    slopes = M.RandomIntercept(rows, "trophic_position_weighted", ["x"], "WATER", "FAMILY", ["predictor"]).family_slopes("x")
-    slopes = slopes.withColumn("metric", F.col("predictor")).drop("predictor", "t", "p")
-    return R.tile_table(slopes, D.taxon_frame(spark, sf_dir))
-
-
 # --- mixed models at a given ratio of the variances: generalised least squares by the sweep operator ------------------
 
 _RATIO = 0.5
 
 
-def _swept(design: str, keys: str = "", p: int = 2, reml: bool = True) -> str:
+def _swept(design: str, p: int = 2, reml: bool = True, ratio: str = "0.5") -> str:
     """Models at the ratio and two per cent to either side, from `design` (k, g, r, i, v): row r of key k and group g has v in column i.
 
     Column p + 1 is the response. Sweeping all p columns leaves the coefficients, less the inverse, and the residual sum; df are
@@ -229,7 +213,7 @@ def _swept(design: str, keys: str = "", p: int = 2, reml: bool = True) -> str:
     left = "CASE WHEN i = k AND j = k THEN -1 / m[k][k] WHEN i = k OR j = k THEN m[i][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END"
     nested = f"list_transform(range(1, {p + 2}), lambda i: list_transform(range(1, {p + 2}), lambda j: {left.replace('k', 'step')}))"
     return f"""design AS ({design}),
-rat AS (SELECT unnest([-1, 0, 1]) AS side, {_RATIO} * (1 + 0.02 * unnest([-1, 0, 1])) AS ratio),
+rat AS (SELECT unnest([-1, 0, 1]) AS side, {ratio} * (1 + 0.02 * unnest([-1, 0, 1])) AS ratio),
 size AS (SELECT k, g, count(DISTINCT r) AS n FROM design GROUP BY 1, 2),
 tot AS (SELECT a.k, a.i, b.i AS j, sum(a.v * b.v) AS v FROM design a JOIN design b ON a.k = b.k AND a.r = b.r GROUP BY ALL),
 gs AS (SELECT k, g, i, sum(v) AS s FROM design GROUP BY ALL),
@@ -246,7 +230,7 @@ sw AS (WITH RECURSIVE s(side, k, step, m, logdet) AS (
 par AS (SELECT k, sum(n) AS n FROM size GROUP BY 1),
 all3 AS (SELECT k, list(m ORDER BY side) AS m, list(logdet ORDER BY side) AS ld FROM sw GROUP BY 1),
 lg3 AS (SELECT k, list(l ORDER BY side) AS lg FROM (SELECT k, side, sum(ln(1 + n * ratio)) AS l FROM size, rat GROUP BY ALL) GROUP BY 1),
-v0 AS (SELECT k, par.n, m, m[2][{p + 1}][{p + 1}] AS rss, m[2][{p + 1}][{p + 1}] / (par.n - {p if reml else 0}) AS s2, 0.02 * {_RATIO} AS h, ld, lg,
+v0 AS (SELECT k, par.n, m, m[2][{p + 1}][{p + 1}] AS rss, m[2][{p + 1}][{p + 1}] / (par.n - {p if reml else 0}) AS s2, 0.02 * {ratio} AS h, ld, lg,
               m[1][{p + 1}][{p + 1}] AS r1, m[3][{p + 1}][{p + 1}] AS r3 FROM all3 JOIN par USING (k) JOIN lg3 USING (k)),
 v1 AS (SELECT *, -(n - {p}) / (s2 * s2) + 2 * rss / (s2 * s2 * s2) AS haa, -((r3 - r1) / (2 * h)) / (s2 * s2) AS hab,
               ((ld[3] + lg[3] + r3 / s2) - 2 * (ld[2] + lg[2] + rss / s2) + (ld[1] + lg[1] + r1 / s2)) / (h * h) AS hbb FROM v0)"""
@@ -259,12 +243,42 @@ def _contrast(rows: str) -> str:
 q AS (SELECT con.*, n, h, s2, haa, hab, hbb, list_sum(list_transform(range(1, len(l) + 1), lambda i: l[i] * m[2][i][len(l) + 1])) AS estimate,
              {form.format(side=2)} AS c0, s2 * ({form.format(side=3)} - {form.format(side=1)}) / (2 * h) AS g2 FROM con JOIN v1 USING (k)),
 w AS (SELECT *, 2 * (c0 * c0 * hbb - 2 * c0 * g2 * hab + g2 * g2 * haa) / (haa * hbb - hab * hab) AS wobble FROM q),
-d AS (SELECT *, sqrt(s2 * c0) AS se, CASE WHEN wobble > 0 THEN 2 * pow(s2 * c0, 2) / wobble ELSE n - len(l) END AS df FROM w),
+d AS (SELECT *, sqrt(s2 * c0) AS se, CASE WHEN isfinite(wobble) AND wobble > 0 THEN 2 * pow(s2 * c0, 2) / wobble ELSE n - len(l) END AS df FROM w),
 t AS (SELECT *, estimate / se AS t FROM d),
 co AS (SELECT *, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * least(abs(t), 60) / 3000 * list_sum(list_transform(range(0, 1001),
               lambda i: CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(least(abs(t), 60) * i / 1000, 2) / df, -(df + 1) / 2))) AS p FROM t)"""
 
 
+def _printed(design: str, p: int, names: str, group: str) -> str:
+    """Least squares (ratio 0) with printed p, numbers to three digits; `names` lists the terms in the order of the columns."""
+    unit = f"list_transform(range(1, {p + 1}), lambda i: CASE WHEN i = spot THEN 1.0 ELSE 0.0 END)"
+    return f"""SELECT * FROM (WITH {_swept(design, p=p, ratio='0.0')},
+yy AS (SELECT var_pop(v) * count(*) AS total FROM design WHERE i = {p + 1}),
+{_contrast(f"SELECT 0 AS k, term, {unit} AS l FROM (SELECT unnest([{names}]) AS term, unnest(range(1, {p + 1})) AS spot)")}
+SELECT term, round(estimate, 3) AS "Estimate", round(co.se, 3) AS se, round(t, 3) AS t, df::DOUBLE AS df, round(1 - v1.rss / total, 3) AS r2, round(sqrt(v1.s2), 3) AS sigma, v1.n::DOUBLE AS n,
+       round(v1.n * (ln(2 * pi() * v1.rss / v1.n) + 1) + {2 * (p + 1)}, 3) AS aic, '{group}' AS "group",
+       CASE WHEN round(p, 3) < 0.001 THEN '< .001' ELSE round(p, 3)::VARCHAR END AS p_label FROM co, v1, yy)"""
+
+
+@query("result_table", f"""WITH {D.SALES} {_printed("SELECT 0 AS k, id AS g, id AS r, unnest([1, 2, 3, 4]) AS i, unnest([1.0, quantity, tax, y]) AS v FROM (SELECT *, row_number() OVER () AS id FROM sales)",
+                                                   3, "'(Intercept)', 'quantity', 'tax'", "two")}
+UNION ALL {_printed("SELECT 0 AS k, id AS g, id AS r, unnest([1, 2, 3]) AS i, unnest([1.0, discount, y]) AS v FROM (SELECT *, row_number() OVER () AS id FROM sales)",
+                    2, "'(Intercept)', 'discount'", "one")}""")
+def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = R.ols(D.sales(spark, sf_dir), [], ["quantity", "tax"], "y").withColumn("group", F.lit("two"))
+    b = R.ols(D.sales(spark, sf_dir), [], ["discount"], "y").withColumn("group", F.lit("one"))
+    return Y.printed_p(R.result_table([a, b], 3, {"estimate": "Estimate"})).drop("p")
+
+
+@query("tile_table")
+def tile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _trophic_chemistry(spark, sf_dir)
+    rows = X.long_predictors(rows, ["trophic_position_weighted", "WATER", "FAMILY"], ["DOC_update", "DDO5"])
+    slopes = M.RandomIntercept(rows, "trophic_position_weighted", ["x"], "WATER", "FAMILY", ["predictor"]).family_slopes("x")
+    slopes = slopes.withColumn("metric", F.col("predictor")).drop("predictor", "t", "p")
+    return R.tile_table(slopes, D.taxon_frame(spark, sf_dir))
+
+
 _PLAIN = "SELECT 0 AS k, brand AS g, id AS r, unnest([1, 2, 3]) AS i, unnest([1.0, quantity, y]) AS v FROM (SELECT *, row_number() OVER () AS id FROM sales)"
 _UNITS = "SELECT k, 1 AS at, '(Intercept)' AS term, [1.0, 0.0] AS l FROM v1 UNION ALL SELECT k, 2, 'x', [0.0, 1.0] FROM v1"
 
@@ -335,6 +349,21 @@ def family_contrasts_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_rounded(_rounded(out, 6, "estimate", "SE", "p"), 5, "t"), 2, "df")
 
 
+_TILE = """SELECT predictor AS k, brand AS g, id AS r, unnest([2 * f - 1, 2 * f, 7]) AS i, unnest([1.0, x, y]) AS v
+FROM (SELECT *, dense_rank() OVER (ORDER BY flag) AS f, row_number() OVER () AS id FROM sales) UNPIVOT (x FOR predictor IN (quantity, tax))"""
+
+
+@query("tile_table_given", f"""WITH {D.SALES}, {_swept(_TILE, p=6)},
+{_contrast(f"SELECT pk.k, flag, {_ROW.format(at='2 * f')} AS l FROM {_NAMES}, (SELECT DISTINCT k FROM v1) pk")}
+SELECT k AS metric, flag AS family, round(estimate, 5) AS trend, round(se, 5) AS "SE", round(df, 2) AS df, round(estimate, 2) AS label, 'O-' || lower(flag) AS "ORDER" FROM co""")
+def tile_table_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.long_predictors(D.sales(spark, sf_dir), ["y", "brand", "flag"], ["quantity", "tax"])
+    slopes = M.RandomIntercept(rows, "y", ["x"], "brand", "flag", ["predictor"], ratio=_RATIO).family_slopes("x").withColumn("metric", F.col("predictor"))
+    orders = D.sales(spark, sf_dir).select(F.col("flag").alias("FAMILY"), F.concat(F.lit("O-"), F.lower("flag")).alias("ORDER"))
+    out = R.tile_table(slopes, orders).select("metric", "family", "trend", "SE", "df", "label", "ORDER")
+    return _rounded(_rounded(out, 5, "trend", "SE"), 2, "df")
+
+
 @query("family_contrasts")
 def family_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_family(spark, sf_dir).pairwise_contrasts()

@@ -51,6 +51,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/limnos-checkpoints"
 
 
+def application_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; `clean_up` removes it."""
+    return f"{shared_folder(spark).rstrip('/')}/limnos-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove the tables that this application has staged. Frames that read them, and are not written yet, are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder, so a lost executor costs a re-read only."""
     spark = df.sparkSession

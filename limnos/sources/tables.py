@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -10,14 +13,51 @@ from pyspark.sql import types as T
 from limnos.functions.columns import fold_nan
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header and a given schema; NA and empty text are missing, NaN too; blanks in names become dots.
+#: Names that are words of the statistics language, which get a dot behind them.
+RESERVED = {"if", "else", "repeat", "while", "function", "for", "next", "break", "TRUE", "FALSE", "NULL", "Inf", "NaN", "NA",
+            "NA_integer_", "NA_real_", "NA_character_", "in"}
 
-    Numeric columns that hold other text are best declared string and read with `to_number`.
+
+def dotted_names(names: Sequence[str]) -> list[str]:
+    """Column names as a data frame of the statistics language has them: "Sechi Depth (M)" is Sechi.Depth..M., a second DOC is DOC.1.
+
+    Every character other than letters, digits, dot and underscore becomes a dot; a name that does not start with a letter, or with a dot
+    and no digit behind it, gets an X in front; reserved words get a dot behind; repeated names are numbered from the second on.
+    """
+    out: list[str] = []
+    plain = []
+    for name in names:
+        name = "".join(c if c.isalnum() or c in "._" else "." for c in name)
+        if not re.match(r"[^\W\d_]|\.(?!\d)", name):
+            name = "X" + name
+        plain.append(name + "." if name in RESERVED else name)
+    taken, number = set(plain), dict.fromkeys(plain, 0)
+    for i, name in enumerate(plain):
+        if name in plain[:i]:
+            while f"{name}.{number[name] + 1}" in taken:
+                number[name] += 1
+            number[name] += 1
+            name = f"{name}.{number[name]}"
+            taken.add(name)
+        out.append(name)
+    return out
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """CSV with a header; NA and empty text are missing, NaN too; names are those of `dotted_names`.
+
+    `schema` gives the columns in the file's order, by their written or their dotted names; a header with others is an error. Without it
+    all columns are text. Numeric columns that hold other text are best declared string and read with `to_number`.
     """
-    rows = fold_nan(spark.read.schema(schema).option("header", True).option("nullValue", "NA")
-                    .option("emptyValue", None).option("enforceSchema", False).csv(path))
-    return rows.toDF(*[name.replace(" ", ".") for name in rows.columns])
+    first = spark.read.text(path).first()
+    header = next(csv.reader([first[0].removeprefix("\ufeff")])) if first else schema.names if schema else []
+    names = dotted_names(header)
+    kinds = [T.StringType()] * len(names) if schema is None else [f.dataType for f in schema.fields]
+    if schema is not None and dotted_names(schema.names) != names:
+        raise ValueError(f"the header of {path} is {header}, the schema has {schema.names}")
+    places = T.StructType([T.StructField(f"c{i}", kind) for i, kind in enumerate(kinds)])
+    rows = spark.read.schema(places).option("header", True).option("nullValue", "NA").option("emptyValue", None).option("enforceSchema", True).csv(path)
+    return fold_nan(rows).toDF(*names)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

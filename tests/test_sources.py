@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limnos.operators import lakes as L
+from limnos.session import application_folder, clean_up
 from limnos.sources import tables as S
 
 
@@ -51,3 +53,22 @@ def test_lake_table_recode_and_order(spark):
 def test_unknown_lakes(spark):
     a = spark.createDataFrame([("A",), ("B",)], "WATER string")
     assert [r.WATER for r in L.unknown_lakes(a, a.where("WATER = 'A'")).collect()] == ["B"]
+
+
+def test_header_names(spark, tmp_path):
+    assert S.dotted_names(["Sechi Depth (M)", "DOC", "DOC", "DOC.1", "DOC", "2nd", "_x", ".2", "if", "", "Größe µ", "ok_1.b"]) == [
+        "Sechi.Depth..M.", "DOC", "DOC.2", "DOC.1", "DOC.3", "X2nd", "X_x", "X.2", "if.", "X", "Größe.µ", "ok_1.b"]
+    (tmp_path / "in.csv").write_text('Visual Water Color (0.5M),DOC,DOC\n"a, b",1.5,NA\n,2,3\n')
+    df = S.read_csv(spark, str(tmp_path / "in.csv"))
+    assert df.columns == ["Visual.Water.Color..0.5M.", "DOC", "DOC.1"] and [tuple(r) for r in df.collect()] == [("a, b", "1.5", None), (None, "2", "3")]
+    with pytest.raises(ValueError, match="header"):
+        S.read_csv(spark, str(tmp_path / "in.csv"), T.StructType([T.StructField(c, T.StringType()) for c in ("a", "DOC", "DOC.1")]))
+
+
+def test_clean_up(spark):
+    path = f"{application_folder(spark)}/kept"
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    clean_up(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
