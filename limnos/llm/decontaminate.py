@@ -1,7 +1,11 @@
 """Benchmark decontamination: one Aho-Corasick automaton over word windows of the test items, one scan of each text.
 
-The automaton is built once per worker from the distinct windows. Windows are gathered in chunks of bounded size, so a
-larger benchmark makes more scans, not a larger automaton.
+Every word of the items gets a character of its own, so a window of ten words is a pattern of ten characters and a text a
+string of its words' characters (one for all words that no item has): the automaton has a node per word, not per letter. It
+knows windows only; which items hold a window is joined afterwards, once per set of windows that some text holds.
+
+An automaton takes up to CHUNK_WINDOWS windows (some 600 bytes each in a worker). Larger benchmarks make more scans, whose hits go
+by row number; no text is written for them.
 """
 
 from __future__ import annotations
@@ -12,24 +16,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from limnos.llm.common import blocks, staged
+from limnos.llm.common import blocks, offsets, split_words, staged
 
 WINDOW = 10
-#: Bytes of windows in one automaton, about.
-CHUNK_BYTES = 4 << 20
+#: Windows of one automaton; at most so many times the window's words have characters of their own.
+CHUNK_WINDOWS = 100_000
 #: A-Z to a-z; ASCII other than letters and digits to a blank. Bytes of other characters stay.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-SPANS = "array<struct<item_id:string,first:int,last:int,start:long,end:long>>"
-FOUND = ["__n_words", "__n_hit", "__items", "__spans"]
-FOUND_TYPES = ["long", "long", "array<string>", SPANS]
-SPAN_TYPE = pa.list_(pa.struct([("item_id", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+SPANS = "array<struct<window:long,first:int,last:int,start:long,end:long>>"
+SPAN = [("window", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]
+SPAN_TYPE = pa.list_(pa.struct(SPAN))
+#: The first character that stands for a word; the one before it stands for all other words. Surrogates are passed over.
+FIRST_CHARACTER, SURROGATES, SURROGATES_END = 0x100, 0xD800, 0xE000
 
-_automata: dict[str, object] = {}
+_automata: dict[str, tuple] = {}
 
 
 def normal_words(raw: bytes) -> list[bytes]:
@@ -37,96 +42,162 @@ def normal_words(raw: bytes) -> list[bytes]:
 
 
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(pattern, item_ids): each distinct window of the items, words joined by a blank, and the items that hold it."""
+    """(window, pattern, item_id): the windows of each item, words joined by a blank, numbered by a hash; once per item."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, patterns = [], []
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
                 words = [w.decode() for w in normal_words((text or "").encode())]
                 for i in range(max(1, len(words) - size + 1) if words else 0):
-                    ids.append(item)
+                    ids.append(item or "")
                     patterns.append(" ".join(words[i:i + size]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(patterns, pa.string())], ["item_id", "pattern"])
-    found = items.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "item_id string, pattern string")
-    return found.groupBy("pattern").agg(F.array_sort(F.collect_set(F.coalesce("item_id", F.lit("")))).alias("item_ids"))
+    found = items.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "item_id string, pattern string").distinct()
+    return found.select(F.xxhash64("pattern").alias("window"), "pattern", "item_id")
+
 
+def _characters(codes: np.ndarray) -> np.ndarray:
+    points = codes + FIRST_CHARACTER
+    return np.where(points >= SURROGATES, points + SURROGATES_END - SURROGATES, points).astype("<u4")
 
-def _automaton(key: str, patterns: list[tuple[str, list[str]]]):
-    """Built once per worker process and chunk; patterns are set between blanks, so they match whole words only."""
+
+def _automaton(key: str, patterns: list[tuple[int, str]]) -> tuple:
+    """The words and the automaton of a chunk, built once per worker process."""
     if key not in _automata:
         import ahocorasick
+        split = [p.split(" ") for _, p in patterns]
+        words = sorted({w for p in split for w in p})
+        letter = dict(zip(words, _characters(np.arange(len(words))).tobytes().decode("utf-32-le")))
         made = ahocorasick.Automaton()
-        for pattern, items in patterns:
-            made.add_word(f" {pattern} ", (pattern.count(" ") + 1, items))
+        for (window, _), p in zip(patterns, split):
+            made.add_word("".join([letter[w] for w in p]), (window, len(p)))
         made.make_automaton()
         _automata.clear()
-        _automata[key] = made
+        _automata[key] = pa.array(words, pa.string()), made
     return _automata[key]
 
 
-def _scan(key: str, sent):
-    """Add the columns FOUND to rows with a text; spans that an earlier scan has found stay."""
+def _hits(key: str, patterns: list[tuple[int, str]], texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
+    """Number of words, and the spans of each text."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    raw = bytes(memoryview(texts.buffers()[2] or b"")[at[0]:at[-1]])
+    at = at - at[0]
+    normal = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at), pa.py_buffer(raw.translate(NORMAL)))
+    words, counts = split_words(normal)
+    spans: list[list[dict]] = [[] for _ in range(len(texts))]
+    if patterns and len(words):
+        known, automaton = _automaton(key, patterns)
+        codes = pc.fill_null(pc.index_in(words.cast(pa.string()), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = _characters(codes).tobytes().decode("utf-32-le")
+        cuts = offsets(counts)
+        for i in np.flatnonzero(np.bincount(np.repeat(np.arange(len(counts)), counts), codes >= 0, len(counts))).tolist():
+            found = list(automaton.iter(letters[cuts[i]:cuts[i + 1]]))
+            if found:
+                places = [m.span() for m in WORD.finditer(raw[at[i]:at[i + 1]])]
+                spans[i] = [{"window": window, "first": end - size + 1, "last": end, "start": places[end - size + 1][0], "end": places[end][1]}
+                            for end, (window, size) in found]
+    return counts, spans
+
+
+def _covered(spans: list[dict]) -> int:
+    """Number of words inside any of the spans."""
+    total, reach = 0, -1
+    for first, last in sorted((s["first"], s["last"]) for s in spans):
+        total += max(0, last - max(first, reach + 1) + 1)
+        reach = max(reach, last)
+    return total
+
+
+def _scan(key: str, sent, all_rows: bool):
+    """Rows (row, carried columns, text): with n_words, n_hit and spans in place of the text, or only (row, spans) of those with hits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(key, sent.value) if sent.value else None
         for block in blocks(batches, "text"):
-            texts = block.column("text").to_pylist()
-            before = block.column("__spans").to_pylist() if "__spans" in block.schema.names else [[]] * len(texts)
-            columns = ([], [], [], [])
-            for text, spans in zip(texts, before):
-                raw = (text or "").encode()
-                words = normal_words(raw)
-                found = list(automaton.iter(f" {b' '.join(words).decode()} ")) if automaton else []
-                if found:
-                    ends = np.cumsum([len(w.decode()) + 1 for w in words])
-                    places = [m.span() for m in WORD.finditer(raw)]
-                    spans = list(spans)
-                    for end, (_, (size, ids)) in zip(np.searchsorted(ends, [end for end, _ in found]).tolist(), found):
-                        first = end - size + 1
-                        spans += [{"item_id": i, "first": first, "last": end, "start": places[first][0], "end": places[end][1]} for i in ids]
-                hit = np.zeros(len(words), bool)
-                for span in spans:
-                    hit[span["first"]:span["last"] + 1] = True
-                for column, value in zip(columns, (len(words), int(hit.sum()), sorted({x["item_id"] for x in spans}), spans)):
-                    column.append(value)
-            rest = [n for n in block.schema.names if n not in FOUND]
-            yield pa.RecordBatch.from_arrays(
-                [block.column(n) for n in rest] + [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
-                                                   pa.array(columns[2], pa.list_(pa.string())), pa.array(columns[3], SPAN_TYPE)],
-                rest + FOUND)
+            counts, spans = _hits(key, sent.value, block.column("text"))
+            if all_rows:
+                rest = [n for n in block.schema.names if n != "text"]
+                yield pa.RecordBatch.from_arrays([*[block.column(n) for n in rest], pa.array(counts, pa.int64()), pa.array([_covered(s) for s in spans], pa.int64()),
+                                                  pa.array(spans, SPAN_TYPE)], [*rest, "n_words", "n_hit", "spans"])
+            else:
+                hit = [i for i, s in enumerate(spans) if s]
+                yield pa.RecordBatch.from_arrays([block.column("row").take(pa.array(hit, pa.int64())), pa.array([spans[i] for i in hit], SPAN_TYPE)], ["row", "more"])
     return run
 
 
-def scanned(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """All columns of docs and __n_words, __n_hit, __items, __spans (see `contamination`)."""
-    spark = docs.sparkSession
-    windows = staged(item_windows(items, size), "item-windows")
-    total = windows.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
-    chunks = 1 + total // CHUNK_BYTES
-    schema = docs.schema
-    for name, kind in zip(FOUND, FOUND_TYPES):
-        schema = T.StructType([*schema.fields, T.StructField(name, T.DataType.fromDDL(kind))])
-    for i in range(chunks):
-        # one automaton's windows, of about CHUNK_BYTES
-        part = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(chunks)) == i).collect()
-        sent = spark.sparkContext.broadcast([(r["pattern"], list(r["item_ids"])) for r in part])
-        docs = docs.mapInArrow(_scan(uuid.uuid4().hex, sent), schema)
-        if i < chunks - 1:
-            docs = staged(docs, "hits")
-    return docs
+def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("n_hit")
+        yield batch.set_column(at, "n_hit", pa.array([_covered(s) for s in batch.column("spans").to_pylist()], pa.int64()))
+
+
+def scanned(rows: DataFrame, windows: DataFrame, carried: list[str]) -> DataFrame:
+    """(carried, n_words, n_hit, spans) of rows with a text. The rows come from files or a checkpoint, in the same order each time."""
+    spark = rows.sparkSession
+    patterns = staged(windows.select("window", "pattern").distinct(), "item-windows")
+    chunks = max(1, -(-patterns.count() // CHUNK_WINDOWS))
+    rows = rows.select(*([F.monotonically_increasing_id().alias("row")] if chunks > 1 else []), *carried, "text")
+
+    def sent(i: int):
+        part = patterns if chunks == 1 else patterns.where(F.pmod(F.xxhash64("pattern", F.lit(1)), F.lit(chunks)) == i)
+        return uuid.uuid4().hex, spark.sparkContext.broadcast([(r["window"], r["pattern"]) for r in part.collect()])  # CHUNK_WINDOWS, about
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    out = rows.mapInArrow(_scan(*sent(0), True), f"{fields}, n_words long, n_hit long, spans {SPANS}")
+    if chunks > 1:
+        # all scans read the same columns, so that one plan numbers the rows
+        more = [rows.mapInArrow(_scan(*sent(i), False), f"row long, more {SPANS}") for i in range(1, chunks)]
+        every = more[0]
+        for part in more[1:]:
+            every = every.unionByName(part)
+        every = every.groupBy("row").agg(F.flatten(F.collect_list("more")).alias("more"))
+        both = out.join(every, "row", "left")
+        both = both.withColumn("spans", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more"))).drop("more", "row")
+        out = both.mapInArrow(_recount, both.schema)
+    return out
+
+
+def _named(spans: Column) -> Column:
+    """The windows of some spans, sorted, once each."""
+    return F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["window"])))
+
+
+def _found(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Scanned rows with `windows`, and (windows, items) for each different list of windows."""
+    owners = staged(item_windows(items, size), "item-owners")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = staged(scanned(rows, owners, ["doc_id"]).withColumn("windows", _named(F.col("spans"))), "spans")
+    sets = found.where("n_hit > 0").select("windows").distinct()
+    each = sets.select("windows", F.explode("windows").alias("window"))
+    listed = each.join(owners.select("window", "item_id"), "window").groupBy("windows").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return found, listed
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans) of each row of docs (doc_id, text); items has (item_id, text).
 
-    A window is `size` consecutive words of an item, or all words of a shorter one. `spans` tells for each occurrence
-    the item, the first and last word, and the bytes of the original text that it takes. Null and empty texts have no
-    words; a null item_id counts as an empty name; items that share an item_id are one; a null doc_id stays null;
-    repeated rows stay; without items nothing is hit; an empty table gives none. Other columns are not read.
+    A window is `size` consecutive words of an item, or all words of a shorter one. `spans` tells for each occurrence of a window
+    its number, the first and last word, and the bytes of the original text that it takes; `items` are those that hold one of
+    them, sorted. Null and empty texts have no words; a null item_id counts as an empty name; items that share an item_id are one; a
+    null doc_id stays null; repeated rows stay; without items nothing is hit; an empty table gives none. Other columns are not read.
+    """
+    found, listed = _found(docs, items, size)
+    none = F.array().cast("array<string>")
+    return found.join(listed, "windows", "left").select("doc_id", "n_words", "n_hit", F.coalesce("items", none).alias("items"), "spans")
+
+
+def contamination_digests(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated): as `contamination`, the items as number and digest.
+
+    They are made once per list of windows, so a prompt that all items share gives no row or list per document and item.
     """
-    found = scanned(docs.select(F.col("doc_id").cast("long"), "text"), items, size)
-    return found.select("doc_id", *[F.col(c).alias(c[2:]) for c in FOUND])
+    found, listed = _found(docs, items, size)
+    digests = listed.select("windows", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return found.join(digests, "windows", "left").select(
+        "doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window of an item."""
-    return scanned(docs, items, size).where("__n_hit = 0").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").cast("string").alias("text"))
+    return scanned(rows, item_windows(items, size), ["doc"]).where("n_hit = 0").select("doc.*")

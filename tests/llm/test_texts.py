@@ -84,9 +84,9 @@ ITEMS = [(1, " ".join(f"w{i}" for i in range(12))), (2, "short item"), (2, "SHOR
          (6, " ".join(f"w{i}" for i in range(1, 11)))]
 
 
-@pytest.mark.parametrize("chunk", [1 << 22, 60])
+@pytest.mark.parametrize("chunk", [100_000, 2])
 def test_contamination(spark, monkeypatch, chunk):
-    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(decontaminate, "CHUNK_WINDOWS", chunk)
     docs = cases.documents(spark).select("*").union(cases.documents(spark).limit(1).selectExpr(
         "100L", "'x, W0 w1 w2;w3 w4 w5 w6 w7 w8 w9 w10 y the Short-Item a b c'", "'s'", "1L", *[f"`{c}`" for c in cases.EXTRA]))
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -96,9 +96,32 @@ def test_contamination(spark, monkeypatch, chunk):
     assert cases.rows(got, "doc_id", "n_words", "n_hit", "items") == sorted(((i, *x) for (i, _), x in zip(found, plain)), key=repr)
     for r in got.where("doc_id = 100").collect():
         text = dict(found)[100].encode()
-        assert {s["item_id"] for s in r["spans"]} == {"", "1", "2", "6"}
-        assert {text[s["start"]:s["end"]].decode() for s in r["spans"] if s["item_id"] == "2"} == {"Short-Item"}
+        assert set(r["items"]) == {"", "1", "2", "6"}
+        assert {text[s["start"]:s["end"]].decode() for s in r["spans"] if s["last"] - s["first"] == 1} == {"Short-Item"}
+        assert {" ".join(cases.bench_words(text[s["start"]:s["end"]].decode())) for s in r["spans"]} == {
+            "a b c", "short item", *(" ".join(f"w{i}" for i in range(k, k + 10)) for k in (0, 1))}
+    digests = {r["doc_id"]: r for r in decontaminate.contamination_digests(docs, items).where("doc_id > 9").collect()}
+    for r in got.where("doc_id > 9").collect():
+        d = digests[r["doc_id"]]
+        assert (d["n_items"], d["items_sha256"], d["contaminated"]) == (len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r["n_hit"] > 0)
     kept = decontaminate.decontaminated(docs, items)
     assert kept.columns == docs.columns and kept.count() == sum(not x[1] for x in plain)
     assert decontaminate.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
+
+
+def test_a_prompt_that_all_items_share(spark):
+    """Items of a window are listed once per different list of windows, not once per document."""
+    prompt = " ".join(f"p{i}" for i in range(10))
+    items = spark.createDataFrame([(i, f"{prompt} own{i}") for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x{i} {prompt} end") for i in range(500)] + [(999, f"{prompt} own7")], "doc_id long, text string")
+    found, listed = decontaminate._found(docs, items, 10)
+    assert listed.count() == 2 and found.count() == 501
+    got = {r["doc_id"]: r for r in decontaminate.contamination_digests(docs, items).collect()}
+    assert {r["n_items"] for r in got.values()} == {300} and {r["n_hit"] for i, r in got.items() if i < 500} == {10} and got[999]["n_hit"] == 11
+
+
+def test_of_rows_that_differ_elsewhere_one_and_the_same_stays(spark):
+    rows = [(1, "same text here now", k, {"k": k}) for k in "zyxw"] + [(2, "same text here now", "a", None)]
+    frames = [spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string, string>").repartition(n) for n in (1, 4, 7)]
+    assert len({simhash.one_of_each(f).collect()[0]["source"] for f in frames}) == 1
