@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.common import blocks, offsets, staged
@@ -61,7 +61,7 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, bits, text_hash): 64-bit SimHash of each row's whole text as a signed long, and XXH64 of the text."""
+    """(doc_id, bits, text_hash, rest): 64-bit SimHash of each row's whole text as a signed long, XXH64 of the text, and of the other columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             texts = block.column("text").to_pylist()
@@ -69,9 +69,16 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             counts = np.fromiter(map(len, each), np.int64, len(each))
             bits = _majority(np.concatenate(each), counts)
             keys = np.fromiter((xxhash.xxh64_intdigest(t or "", 42) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(bits.view(np.int64)), pa.array(keys.view(np.int64))],
-                                             ["doc_id", "bits", "text_hash"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, bits long, text_hash long")
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(bits.view(np.int64)), pa.array(keys.view(np.int64)), block.column("rest")],
+                                             ["doc_id", "bits", "text_hash", "rest"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _rest(docs).alias("rest"))
+    return rows.mapInArrow(run, "doc_id long, bits long, text_hash long, rest long")
+
+
+def _rest(docs: DataFrame) -> Column:
+    """Hash of all columns but the text; maps by their JSON text."""
+    columns = [F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema if f.name not in ("doc_id", "text")]
+    return F.xxhash64(*columns) if columns else F.lit(0).cast("long")
 
 
 @dataclass
@@ -263,12 +270,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, near: int = DISTANCE)
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, near: int = DISTANCE) -> DataFrame:
     """One row of each near-duplicate group of docs, with all its columns: that of the least doc_id (nulls last), then of
-    the least text hash. Rows that agree in doc_id and text are one.
+    the least text hash, then of the least hash of the other columns; rows that agree in all of them are one.
     """
     marked, roots = grouped(docs, size, near)
-    order = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    order = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "rest")
     first = marked.groupBy("bits").agg(F.min(order).alias("first")).join(roots, "bits").groupBy("root").agg(F.min("first").alias("first"))
-    first = first.select(F.col("first.id").alias("__id"), F.col("first.hash").alias("__hash"))
-    hashed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
-    return hashed.join(first, same, "left_semi").dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    first = first.select(F.col("first.id").alias("of_id"), F.col("first.hash").alias("of_hash"), F.col("first.rest").alias("of_rest"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"),
+                       F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"), _rest(docs).alias("rest"))
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")) & (F.col("rest") == F.col("of_rest"))
+    return rows.join(first, same, "left_semi").dropDuplicates(["id", "hash", "rest"]).select("doc.*")

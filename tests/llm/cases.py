@@ -11,7 +11,8 @@ import xxhash
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Extra columns whose names the operators use themselves.
-EXTRA = ["bits", "block", "row", "n_words", "word", "host", "shard", "n", "hit", "kept", "record_id", "segment", "__m", "component_id"]
+EXTRA = ["bits", "block", "row", "n_words", "word", "host", "shard", "n", "hit", "kept", "record_id", "segment", "__m", "component_id",
+         "__text", "__hash", "__id", "__n_hit", "__spans", "__items", "n_hit", "spans", "windows", "doc", "id", "hash", "rest", "bits_", "of_id", "text_hash"]
 
 
 def texts():
