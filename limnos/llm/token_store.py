@@ -71,10 +71,15 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str) -> int:
     return item
 
 
-def _shards(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, content): files in order; a shard's number is that of the task that wrote it."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("shard"), "content")
+def _shards(spark: SparkSession, path: str, wanted: set[int] | None = None) -> DataFrame:
+    """(shard, content): files in order, all or the wanted ones; a shard's number is that of the task that wrote it."""
+    number = F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("shard")
+    files = spark.read.format("binaryFile").load(path)
+    if wanted is not None:  # the list of files has a row per shard; their contents are not read for it
+        named = {r["shard"]: r["path"] for r in files.select("path", number).collect()}
+        if wanted and wanted < set(named):
+            files = spark.read.format("binaryFile").load([named[i] for i in sorted(wanted)])
+    return files.select(number, "content")
 
 
 def _parse(content: np.ndarray, item: int, at: int = 0, docs: int | None = None) -> np.ndarray:
@@ -274,13 +279,15 @@ def lookup(store: Store, keys: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) for each frame of each distinct key of `keys` (doc_id, null allowed).
 
     A key goes to its bucket, the hash gives one slot, the fingerprint in it is compared, and the head of the frame in
-    the shard is compared again, so unknown keys give no row.
+    the shard is compared again, so unknown keys give no row. Only the files of shards that a key names are opened.
     """
     spark = keys.sparkSession
     wanted = keys.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), F.isnull("doc_id").alias("none")).distinct()
     places = (wanted.withColumn("bucket", _bucket("key", "none", store.buckets)).groupBy("bucket")
               .cogroup(store.index.groupBy("bucket")).applyInArrow(_find, ENTRY))
-    read = (places.groupBy("shard").cogroup(_shards(spark, store.path).groupBy("shard"))
+    places = staged(places, "token-places")
+    named = {r["shard"] for r in places.select("shard").distinct().collect()}  # a row per shard
+    read = (places.groupBy("shard").cogroup(_shards(spark, store.path, named).groupBy("shard"))
             .applyInArrow(_read(store.item), "doc_id long, shard long, before long, n_tokens long, ids_crc32 long"))
     return read.join(store.bases, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 

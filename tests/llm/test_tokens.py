@@ -103,6 +103,19 @@ def test_repeated_rows_share_no_shard(spark, tmp_path, monkeypatch):
     assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
 
 
+def test_one_key_opens_one_file(spark, tmp_path, monkeypatch):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = token_store.write_store(spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text"), str(tmp_path / "store"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    opened, real = [], token_store._shards
+    monkeypatch.setattr(token_store, "_shards", lambda *a: opened.append(real(*a).inputFiles()) or real(*a))
+    row = token_store.lookup(store, spark.createDataFrame([(1234,)], "doc_id long")).collect()
+    assert [r["doc_id"] for r in row] == [1234] and row[0]["ids_crc32"] == cases.crc(cases.word_ids(["text 1234"])[0])
+    assert len(opened[0]) == 1 < len(list((tmp_path / "store").glob("part-*")))
+
+
 def test_unknown_keys_give_no_row(spark, tmp_path):
     docs = cases.documents(spark).where("doc_id IS NOT NULL")
     store = token_store.write_store(docs, str(tmp_path / "store"))
