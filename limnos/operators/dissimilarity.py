@@ -106,23 +106,29 @@ def pair_counts(sets: DataFrame, cell: str) -> DataFrame:
 
 
 def _shared_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, same, n, c) of one taxon pair each: sum over all ordered pairs of richness values of c c' w, per group."""
+    """Rows (group, same, n, c) of one taxon pair each: sum over all ordered pairs of richness values of c c' w, per group.
+
+    A matrix is as wide as there are different richness values, whatever the richest site.
+    """
     for batch in batches:
         group, same, n, c = batch.columns
-        size = int(pc.max(n.flatten()).as_py() or 0) + 1
-        both = np.add.outer(np.arange(size), np.arange(size)).astype(float)
-        both[0, 0] = np.inf  # no site without taxa is here
-        weights = {True: -4 / both + 4 / both ** 2, False: 8 / both ** 2}
-        own, value = same.to_numpy(zero_copy_only=False), np.zeros(len(n))
-        for first in range(0, len(n), 4096):
-            part, counts = n.slice(first, 4096), c.slice(first, 4096)
-            dense = np.zeros((len(part), size))
-            dense[pc.list_parent_indices(part).to_numpy(), part.flatten().to_numpy()] = counts.flatten().to_numpy()
-            for kind, w in weights.items():
-                rows = np.flatnonzero(own[first:first + 4096] == kind)
-                value[first + rows] = ((dense[rows] @ w) * dense[rows]).sum(axis=1)
         names = group.dictionary_encode()
         codes = names.indices.to_numpy(zero_copy_only=False)
+        own, value = same.to_numpy(zero_copy_only=False), np.zeros(len(n))
+        first = 0
+        lengths = np.diff(n.offsets.to_numpy())
+        while first < len(n):
+            last = first + max(1, int(np.searchsorted(np.cumsum(lengths[first:]), 1 << 18, "right")))
+            last = min(last, first + 4096)
+            part, counts = n.slice(first, last - first), c.slice(first, last - first)
+            rich, at = np.unique(part.flatten().to_numpy(), return_inverse=True)
+            both = np.add.outer(rich, rich).astype(float)
+            dense = np.zeros((len(part), len(rich)))
+            dense[pc.list_parent_indices(part).to_numpy(), at] = counts.flatten().to_numpy()
+            for kind, w in ((True, -4 / both + 4 / both ** 2), (False, 8 / both ** 2)):
+                rows = np.flatnonzero(own[first:last] == kind)
+                value[first + rows] = ((dense[rows] @ w) * dense[rows]).sum(axis=1)
+            first = last
         yield pa.RecordBatch.from_arrays([names.dictionary, pa.array(np.bincount(codes, value, len(names.dictionary)))], ["__g", "__v"])
 
 

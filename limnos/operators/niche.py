@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limnos.functions import columns as C
-from limnos.operators.ordination import _hull
 from limnos.operators.reshape import add_share, draw_interval, keep_groups, natural_join, wide
 from limnos.session import spread
 
@@ -127,15 +126,37 @@ def seasonal_area_shift(areas: DataFrame, group: str, water: str, season: str) -
 
 # --- Layman metrics ------------------------------------------------------------------------------
 
+def hull_areas(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Areas of the convex hulls of many lists of points (rows; repeat a point to fill a row): wrapped all at once, a vertex per step."""
+    rows = np.arange(len(x))
+    start = np.lexsort((y, x), axis=1)[:, 0]
+    x0, y0 = x[rows, start], y[rows, start]
+    x, y = x - x0[:, None], y - y0[:, None]
+    px, py = np.zeros(len(x)), np.zeros(len(x))
+    area, open_ = np.zeros(len(x)), np.ones(len(x), bool)
+    for _ in range(x.shape[1]):
+        if not open_.any():
+            break
+        qx, qy = x[:, 0], y[:, 0]
+        for j in range(1, x.shape[1]):  # the next vertex has all points on its left
+            cross = (qx - px) * (y[:, j] - py) - (qy - py) * (x[:, j] - px)
+            far = np.hypot(x[:, j] - px, y[:, j] - py) > np.hypot(qx - px, qy - py)
+            here = (qx == px) & (qy == py)
+            take = here | (cross < 0) | ((cross == 0) & far)
+            qx, qy = np.where(take, x[:, j], qx), np.where(take, y[:, j], qy)
+        area += np.where(open_, px * qy - py * qx, 0) / 2
+        open_ &= (qx != 0) | (qy != 0)
+        px, py = np.where(open_, qx, px), np.where(open_, qy, py)
+    return np.abs(area)
+
+
 @F.pandas_udf(T.DoubleType())
 def hull_area(x: pd.Series, y: pd.Series) -> pd.Series:
-    """Area of the convex hull of a short list of points."""
-    out = np.zeros(len(x))
-    for i, (a, b) in enumerate(zip(x, y)):
-        h = _hull(a, b)
-        if len(h) > 2:
-            a, b = a[h], b[h]
-            out[i] = 0.5 * abs(np.dot(a, np.roll(b, -1)) - np.dot(b, np.roll(a, -1)))
+    """Area of the convex hull of short lists of points."""
+    out, size = np.zeros(len(x)), x.map(len).to_numpy()
+    for n in np.unique(size[size > 2]):  # lists of one length are one array
+        rows = np.flatnonzero(size == n)
+        out[rows] = hull_areas(np.stack(x.iloc[rows].to_numpy()), np.stack(y.iloc[rows].to_numpy()))
     return pd.Series(out)
 
 

@@ -55,25 +55,30 @@ def ols(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str) -> DataFr
 
     @F.pandas_udf("array<array<double>>")
     def solve(n: pd.Series, m: pd.Series, c: pd.Series) -> pd.Series:
-        out = []
-        for count, mean, cov in zip(n, m, c):
-            full = np.zeros((q + 1, q + 1))
-            for (i, j), v in zip(pairs, cov):
-                full[i, j] = full[j, i] = v * count
-            inverse = np.linalg.pinv(full[:q, :q])
-            b = inverse @ full[:q, q]
-            rss = max(full[q, q] - b @ full[:q, q], 0.0)
-            df_ = count - q - 1
-            s2 = rss / df_ if df_ > 0 else np.nan
-            at = np.array(mean[:q])
-            est = np.concatenate([[mean[q] - b @ at], b])
-            se = np.sqrt(s2 * np.concatenate([[1 / count + at @ inverse @ at], np.diag(inverse)]))
+        if not len(n):
+            return pd.Series([], dtype=object)
+        count, mean = n.to_numpy(float), np.stack(m.to_numpy())
+        full = np.zeros((len(n), q + 1, q + 1))  # all keys of a batch at once
+        moments = np.stack(c.to_numpy())
+        for k, (i, j) in enumerate(pairs):
+            full[:, i, j] = full[:, j, i] = moments[:, k] * count
+        inverse = np.linalg.pinv(full[:, :q, :q])
+        b = np.einsum("kij,kj->ki", inverse, full[:, :q, q])
+        at, total = mean[:, :q], full[:, q, q]
+        rss = np.maximum(total - (b * full[:, :q, q]).sum(axis=1), 0.0)
+        free = count - q - 1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s2 = np.where(free > 0, rss / np.where(free > 0, free, 1), np.nan)
+            est = np.column_stack([mean[:, q] - (b * at).sum(axis=1), b])
+            diagonal = np.column_stack([1 / count + np.einsum("ki,kij,kj->k", at, inverse, at), np.einsum("kii->ki", inverse)])
+            se = np.sqrt(s2[:, None] * diagonal)
             t = est / se
             aic = count * (np.log(2 * np.pi * rss / count) + 1) + 2 * (q + 2)
-            p = t_two_sided(t, np.full_like(t, df_))
-            r2 = 1 - rss / full[q, q] if full[q, q] else np.nan
-            out.append([list(map(float, v)) for v in zip(est, se, t, [df_] * len(t), p, [r2] * len(t), [math.sqrt(s2)] * len(t), [count] * len(t), [aic] * len(t))])
-        return pd.Series(out)
+            r2 = np.where(total > 0, 1 - rss / np.where(total > 0, total, 1), np.nan)
+        df_ = np.repeat(free[:, None], q + 1, axis=1)
+        every = np.broadcast_to(np.stack([r2, np.sqrt(s2), count, aic], axis=1)[:, None, :], (len(n), q + 1, 4))
+        out = np.concatenate([np.stack([est, se, t, df_, t_two_sided(t, df_)], axis=2), every], axis=2)
+        return pd.Series(out.tolist())
 
     terms = F.array(F.lit("(Intercept)"), *[F.lit(x) for x in xs])
     each = s.select(*keys, F.explode(F.arrays_zip(terms.alias("term"), solve("n", "m", "c").alias("v"))).alias("e"))

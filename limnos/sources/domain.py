@@ -8,24 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from limnos.functions import columns as C
+from limnos.sources.tables import read_table
 
 # Sizes of parts that stand for specimens without a usable family, sources by priority.
 UNUSABLE_SIZES = {48: "unidentified", 49: "degraded", 50: "terrestrial"}
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver tables; the footer is read once per path, later reads give the schema."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """One of the driver tables, NaN folded to NULL."""
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from limnos.operators import isotopes as I
 from limnos.operators import mixing as M
 from limnos.operators import niche as N
+from limnos.operators.ordination import _hull
 from limnos.operators import trophic as T
 
 
@@ -171,3 +172,15 @@ def test_complete_sources(spark):
                                    "community string, group_name string, source string, mean double")
     table = M.source_share_wide(M.complete_sources(shares)).collect()
     assert len(table) == 1 and table[0].LEAF == pytest.approx(50)
+
+
+def test_hulls_of_many_lists():
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 4, (300, 9)).astype(float), rng.integers(0, 4, (300, 9)).astype(float)  # ties and points in a line
+    x[:50], y[:50] = rng.normal(size=(50, 9)), rng.normal(size=(50, 9))
+    got = N.hull_areas(x, y)
+    for a, b, area in zip(x, y, got):
+        h = _hull(a, b)
+        a, b = a[h], b[h]
+        want = 0.5 * abs(np.dot(a, np.roll(b, -1)) - np.dot(b, np.roll(a, -1))) if len(h) > 2 else 0
+        assert area == pytest.approx(want, abs=1e-9)
