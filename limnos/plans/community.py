@@ -248,6 +248,26 @@ def permanova_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.permanova_terms(_season_sets(spark, sf_dir), ["WATER", "cluster", "MONTH"])
 
 
+@query("permanova_listed", f"""WITH {D.SPECIMENS},
+p AS (SELECT DISTINCT c_nationkey AS site, "GENUS" FROM specimens JOIN customer ON c_custkey = "WATER"),
+s AS (SELECT site, site % 3 AS cluster, list("GENUS") AS taxa, count(*) AS n FROM p GROUP BY 1, 2),
+d AS (SELECT a.cluster AS c1, b.cluster AS c2, pow(1 - len(list_intersect(a.taxa, b.taxa)) / (a.n + b.n - len(list_intersect(a.taxa, b.taxa))), 2) AS d2 FROM s a JOIN s b ON a.site < b.site),
+z AS (SELECT cluster, count(*) AS k FROM s GROUP BY 1),
+t AS (SELECT (SELECT sum(d2) FROM d) / (SELECT count(*) FROM s) AS sst, (SELECT sum(d2 / k) FROM d JOIN z ON cluster = c1 WHERE c1 = c2) AS ssw,
+             (SELECT count(*) FROM z) AS g, (SELECT count(*) FROM s) AS n)
+SELECT round(sst, 8) AS ss_total, round(ssw, 8) AS ss_within, g AS groups, n AS sites, round((sst - ssw) / sst, 8) AS r2, round(((sst - ssw) / (g - 1)) / (ssw / (n - g)), 6) AS f FROM t""")
+def permanova_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jaccard distances of a short list of sites (nations), each pair listed once."""
+    customers = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("WATER"), F.col("c_nationkey").alias("site"))
+    presence = D.specimens(spark, sf_dir).join(customers, "WATER").select("site", "GENUS").distinct()
+    sets = S.site_sets(presence, ["site"], "GENUS")
+    nations = D.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("site")).join(sets.select("site"), "site", "left_semi")
+    listed = nations.select(F.col("site").alias("i"), F.explode(F.sequence(F.col("site") + 1, F.lit(24).cast("long"))).alias("j")).where("j > i AND j < 25")
+    pairs = S.pair_dissimilarity(sets, listed, "site", "i", "j", "jaccard")
+    out = S.permanova_pairs(pairs, nations.withColumn("cluster", F.col("site") % 3), "site", "cluster", "i", "j", "d")
+    return out.select(F.round("ss_total", 8).alias("ss_total"), F.round("ss_within", 8).alias("ss_within"), "groups", "sites", F.round("r2", 8).alias("r2"), F.round("f", 6).alias("f"))
+
+
 _JACCARD = _SETS[:_SETS.index("d2 AS")] + """
 d2 AS (SELECT a."WATER" AS w1, b."WATER" AS w2, a."MONTH" AS m1, b."MONTH" AS m2,
               pow(1 - len(list_intersect(a.taxa, b.taxa)) / (a.n + b.n - len(list_intersect(a.taxa, b.taxa))), 2) AS d FROM st a, st b),
@@ -447,6 +467,16 @@ def accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "WATER", "sites", F.round("richness", 6).alias("richness"), F.round("sd", 4).alias("sd"))
 
 
+@query("accumulation_origin", _ACCUMULATION + """,
+r AS (SELECT "WATER", n AS sites, round(sum(1 - q), 6) AS richness FROM q GROUP BY 1, 2)
+SELECT * FROM r UNION ALL SELECT DISTINCT "WATER", 0, 0.0 FROM r""")
+def accumulation_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curves from no site on."""
+    presence = K.presence_table(D.specimens(spark, sf_dir), ["WATER", "YSAMP"])
+    curves = K.with_origin(K.accumulation(presence, ["WATER"], "YSAMP", "FAMILY"), ["WATER"])
+    return curves.select("WATER", "sites", F.round("richness", 6).alias("richness"))
+
+
 @query("two_site_share", _ACCUMULATION + """,
 r AS (SELECT "WATER", n, sum(1 - q) AS r FROM q WHERE n IN (2, 4) GROUP BY 1, 2)
 SELECT "WATER", round(min(r) / max(r), 6) AS percent FROM r GROUP BY 1""")

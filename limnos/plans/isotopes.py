@@ -120,12 +120,14 @@ st AS (SELECT community, group_name, count(*) AS n, avg(iso1) AS mean_x, avg(iso
 
 
 @query("ellipse_sea", _ELLIPSE + """
-SELECT community, group_name, n, CAST(mean_x::FLOAT AS DOUBLE) AS mean_x, CAST(cov_xy::FLOAT AS DOUBLE) AS cov_xy,
+SELECT community, group_name, n, CAST(mean_x::FLOAT AS DOUBLE) AS mean_x, CAST(mean_y::FLOAT AS DOUBLE) AS mean_y, CAST(var_x::FLOAT AS DOUBLE) AS var_x,
+       CAST(var_y::FLOAT AS DOUBLE) AS var_y, CAST(cov_xy::FLOAT AS DOUBLE) AS cov_xy,
        CAST((pi() * sqrt(CASE WHEN var_x * var_y - cov_xy * cov_xy <= 1e-12 * var_x * var_y THEN 0 ELSE var_x * var_y - cov_xy * cov_xy END))::FLOAT AS DOUBLE) AS sea,
        CAST((pi() * sqrt(CASE WHEN var_x * var_y - cov_xy * cov_xy <= 1e-12 * var_x * var_y THEN 0 ELSE var_x * var_y - cov_xy * cov_xy END) * (n - 1) / nullif(n - 2, 0))::FLOAT AS DOUBLE) AS seac FROM st""")
 def ellipse_sea(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = N.ellipse_stats(niche_rows(spark, sf_dir), ["community", "group_name"], more_than=FEW)
-    return single(out.select("community", "group_name", "n", "mean_x", "cov_xy", "sea", "seac"), "mean_x", "cov_xy", "sea", "seac")
+    values = ["mean_x", "mean_y", "var_x", "var_y", "cov_xy", "sea", "seac"]
+    return single(out.select("community", "group_name", "n", *values), *values)
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +139,19 @@ def niche_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.niche_draws(_stats(spark, sf_dir), ["community", "group_name"])
 
 
+@query("niche_draws_near", _ELLIPSE + """
+SELECT community, group_name, true AS mean_near, true AS spread_near FROM st WHERE n > 5""")
+def niche_draws_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of 2,000 draws lie within six standard errors of the posterior's own: the group mean, and E[covariance] = SS / (n - 4)."""
+    stats = N.ellipse_stats(niche_rows(spark, sf_dir), ["community", "group_name"], more_than=FEW).where("n > 5")
+    draws = N.niche_draws(stats, ["community", "group_name"], 2000)
+    moments = draws.groupBy("community", "group_name").agg(F.avg("mu_x").alias("m"), F.stddev_samp("mu_x").alias("s"), F.avg("s_xx").alias("v"), F.stddev_samp("s_xx").alias("w"))
+    both = natural_join(stats, moments, "inner", ["community", "group_name"])
+    error = F.sqrt(F.lit(2000.0))
+    return both.select("community", "group_name", (F.abs(F.col("m") - F.col("mean_x")) <= 6 * F.col("s") / error + 1e-9).alias("mean_near"),
+                       (F.abs(F.col("v") / (F.col("var_x") + 1e-12) - 1) < 1.5).alias("spread_near"))
+
+
 @query("niche_area")
 def niche_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     areas = N.ellipse_area(N.niche_draws(_stats(spark, sf_dir), ["community", "group_name"]))
@@ -455,6 +470,12 @@ def mixing_by_taxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.mixing_by_taxon(share_table(mixtures(spark, sf_dir)), ["brand1", "brand7", "brand12", "nosuch"]), 8, "mean")
 
 
+@query("mixing_with_order", _SHARES + """
+SELECT community, group_name, source, round(mean, 8) AS mean, "ORDER" FROM shares LEFT JOIN (SELECT DISTINCT "FAMILY" AS group_name, "ORDER" FROM taxon_frame) USING (group_name)""")
+def mixing_with_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(M.with_order(share_table(mixtures(spark, sf_dir)), D.taxon_frame(spark, sf_dir)), 8, "mean").select("community", "group_name", "source", "mean", "ORDER")
+
+
 TROPHIC = _SHARES + f""",
 mix AS (SELECT community, group_name, max(mean) FILTER (WHERE source = 'PERI') AS pm, max(mean) FILTER (WHERE source = 'ZOOP') AS zm,
                max(mean) FILTER (WHERE source = 'LEAF') AS lm FROM shares GROUP BY 1, 2),

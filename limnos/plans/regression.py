@@ -19,6 +19,12 @@ from limnos.sources import domain as D
 QUERIES, ORACLE, query = registry()
 _F = lambda x: f"CAST(({x})::FLOAT AS DOUBLE)"
 
+def _p_of(t: str, df: str) -> str:
+    """Two-sided p of t in SQL: Simpson's rule over the density, in 1,000 steps."""
+    return (f"1 - 2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi()) * least(abs({t}), 60) / 3000 * list_sum(list_transform(range(0, 1001), "
+            f"lambda i: CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(least(abs({t}), 60) * i / 1000, 2) / ({df}), -(({df}) + 1) / 2.0)))")
+
+
 _OLS = f"""WITH {D.SALES},
 l AS (SELECT brand, y, predictor, x FROM sales UNPIVOT (x FOR predictor IN (quantity, discount, tax))),
 s AS (SELECT predictor, brand, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx,
@@ -27,12 +33,12 @@ f AS (SELECT *, sqrt((syy - b * sxy) / (n - 2)) AS sigma FROM s)"""
 
 
 @query("ols_sweep", _OLS + f"""
-SELECT predictor, brand, n, {_F('a')} AS intercept, {_F('b')} AS slope, {_F('sigma / sqrt(sxx)')} AS se, {_F('b / (sigma / sqrt(sxx))')} AS t,
-       round(r2, 9) AS r2, {_F('sigma')} AS sigma, {_F('n * (ln(2 * pi()) + ln((syy - b * sxy) / n) + 1) + 6')} AS aic FROM f""")
+SELECT predictor, brand, n, {_F('a')} AS intercept, {_F('b')} AS slope, {_F('sigma * sqrt(1 / n + mx * mx / sxx)')} AS se_intercept, {_F('sigma / sqrt(sxx)')} AS se,
+       {_F('b / (sigma / sqrt(sxx))')} AS t, n - 2 AS df, round({_p_of('b / (sigma / sqrt(sxx))', 'n - 2')}, 6) + 0 AS p, round(r2, 9) AS r2, {_F('sigma')} AS sigma, {_F('n * (ln(2 * pi()) + ln((syy - b * sxy) / n) + 1) + 6')} AS aic FROM f""")
 def ols_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = R.ols_sweep(D.sales(spark, sf_dir), ["brand"], ["quantity", "discount", "tax"], "y")
-    return single(out.select("predictor", "brand", "n", "intercept", "slope", "se", "t", F.round("r2", 9).alias("r2"), "sigma", "aic"),
-                  "intercept", "slope", "se", "t", "sigma", "aic")
+    return single(out.select("predictor", "brand", "n", "intercept", "slope", "se_intercept", "se", "t", "df", (F.round("p", 6) + 0.0).alias("p"), F.round("r2", 9).alias("r2"),
+                             "sigma", "aic"), "intercept", "slope", "se_intercept", "se", "t", "sigma", "aic")
 
 
 @query("prediction_band", _OLS + f""",
@@ -245,8 +251,7 @@ q AS (SELECT con.*, n, h, s2, haa, hab, hbb, list_sum(list_transform(range(1, le
 w AS (SELECT *, 2 * (c0 * c0 * hbb - 2 * c0 * g2 * hab + g2 * g2 * haa) / (haa * hbb - hab * hab) AS wobble FROM q),
 d AS (SELECT *, sqrt(s2 * c0) AS se, CASE WHEN isfinite(wobble) AND wobble > 0 THEN 2 * pow(s2 * c0, 2) / wobble ELSE n - len(l) END AS df FROM w),
 t AS (SELECT *, estimate / se AS t FROM d),
-co AS (SELECT *, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * least(abs(t), 60) / 3000 * list_sum(list_transform(range(0, 1001),
-              lambda i: CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(least(abs(t), 60) * i / 1000, 2) / df, -(df + 1) / 2))) AS p FROM t)"""
+co AS (SELECT *, {_p_of('t', 'df')} AS p FROM t)"""
 
 
 def _printed(design: str, p: int, names: str, group: str) -> str:
@@ -307,6 +312,14 @@ def model_sweep_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_rounded(_rounded(out, 5, "estimate", "se", "t"), 6, "p"), 2, "df")
 
 
+@query("variances_given", f"""WITH {D.SALES}, {_swept(_PLAIN)}
+SELECT round({_RATIO} * s2, 5) AS group_variance, round(s2, 5) AS residual_variance, n, (SELECT count(DISTINCT brand) FROM sales) AS groups, CAST(4 AS INT) AS parameters,
+       round((n - 2) * (ln(2 * pi() * rss / (n - 2)) + 1) + ld[2] + lg[2], 4) AS criterion, round((n - 2) * (ln(2 * pi() * rss / (n - 2)) + 1) + ld[2] + lg[2] + 8, 4) AS aic FROM v1""")
+def variances_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.RandomIntercept(D.sales(spark, sf_dir), "y", ["quantity"], "brand", ratio=_RATIO).variances()
+    return _rounded(_rounded(out, 5, "group_variance", "residual_variance"), 4, "criterion", "aic")
+
+
 @query("aic_compare_given", f"""WITH {D.SALES}, {_swept(_PLAIN, reml=False)}
 SELECT 'quantity' AS model, CAST(4 AS INT) AS parameters, round(n * (ln(2 * pi() * rss / n) + 1) + lg[2], 4) AS criterion,
        round(n * (ln(2 * pi() * rss / n) + 1) + lg[2] + 8, 4) AS aic FROM v1""")
