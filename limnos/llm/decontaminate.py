@@ -1,8 +1,9 @@
 """Benchmark decontamination: one Aho-Corasick automaton over word windows of the test items, one scan of each text.
 
-Every word of the items gets a character of its own, so a window of ten words is a pattern of ten characters and a text a
-string of its words' characters (one for all words that no item has): the automaton has a node per word, not per letter. It
-knows windows only; which items hold a window is joined afterwards, once per set of windows that some text holds.
+Every word of the items gets a number, written in two to four characters, and a text becomes the string of its words' numbers (one
+mark for all words that no item has). A place of a number has characters of its own, so patterns match whole words only, and no node of
+the automaton has more than 64 edges. It knows windows only; which items hold a window is joined afterwards, once per set
+of windows that some text holds.
 
 An automaton takes up to CHUNK_WINDOWS windows (some 600 bytes each in a worker). Larger benchmarks make more scans, whose hits go
 by row number; no text is written for them.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from limnos.llm.common import blocks, offsets, split_words, staged
 
 WINDOW = 10
-#: Windows of one automaton; at most so many times the window's words have characters of their own.
+#: Windows of one automaton.
 CHUNK_WINDOWS = 100_000
 #: A-Z to a-z; ASCII other than letters and digits to a blank. Bytes of other characters stay.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -31,8 +32,8 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SPANS = "array<struct<window:long,first:int,last:int,start:long,end:long>>"
 SPAN = [("window", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]
 SPAN_TYPE = pa.list_(pa.struct(SPAN))
-#: The first character that stands for a word; the one before it stands for all other words. Surrogates are passed over.
-FIRST_CHARACTER, SURROGATES, SURROGATES_END = 0x100, 0xD800, 0xE000
+#: Digits of a word's number, in bits, and the first character.
+DIGIT, FIRST_CHARACTER = 6, 0x21
 
 _automata: dict[str, tuple] = {}
 
@@ -56,24 +57,29 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return found.select(F.xxhash64("pattern").alias("window"), "pattern", "item_id")
 
 
-def _characters(codes: np.ndarray) -> np.ndarray:
-    points = codes + FIRST_CHARACTER
-    return np.where(points >= SURROGATES, points + SURROGATES_END - SURROGATES, points).astype("<u4")
+def _characters(codes: np.ndarray, width: int) -> str:
+    """Numbers of words as `width` characters each; -1 is the mark of other words."""
+    shift = DIGIT * np.arange(width)[::-1]
+    points = (codes[:, None] >> shift & (1 << DIGIT) - 1) + FIRST_CHARACTER + (np.arange(width) << DIGIT)
+    points[codes < 0] = FIRST_CHARACTER + (width << DIGIT)
+    return points.astype("<u2").tobytes().decode("utf-16-le")
 
 
 def _automaton(key: str, patterns: list[tuple[int, str]]) -> tuple:
-    """The words and the automaton of a chunk, built once per worker process."""
+    """The words of a chunk, the width of their numbers and the automaton, built once per worker process."""
     if key not in _automata:
         import ahocorasick
         split = [p.split(" ") for _, p in patterns]
         words = sorted({w for p in split for w in p})
-        letter = dict(zip(words, _characters(np.arange(len(words))).tobytes().decode("utf-32-le")))
+        width = next(n for n in range(1, 9) if len(words) <= 1 << DIGIT * n)
+        letters = _characters(np.arange(len(words)), width)
+        number = {w: letters[width * i:width * (i + 1)] for i, w in enumerate(words)}
         made = ahocorasick.Automaton()
         for (window, _), p in zip(patterns, split):
-            made.add_word("".join([letter[w] for w in p]), (window, len(p)))
+            made.add_word("".join([number[w] for w in p]), (window, len(p)))
         made.make_automaton()
         _automata.clear()
-        _automata[key] = pa.array(words, pa.string()), made
+        _automata[key] = pa.array(words, pa.string()), width, made
     return _automata[key]
 
 
@@ -87,16 +93,16 @@ def _hits(key: str, patterns: list[tuple[int, str]], texts: pa.Array) -> tuple[n
     words, counts = split_words(normal)
     spans: list[list[dict]] = [[] for _ in range(len(texts))]
     if patterns and len(words):
-        known, automaton = _automaton(key, patterns)
+        known, width, automaton = _automaton(key, patterns)
         codes = pc.fill_null(pc.index_in(words.cast(pa.string()), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        letters = _characters(codes).tobytes().decode("utf-32-le")
-        cuts = offsets(counts)
+        letters, cuts = _characters(codes, width), offsets(counts)
         for i in np.flatnonzero(np.bincount(np.repeat(np.arange(len(counts)), counts), codes >= 0, len(counts))).tolist():
-            found = list(automaton.iter(letters[cuts[i]:cuts[i + 1]]))
+            found = list(automaton.iter(letters[width * int(cuts[i]):width * int(cuts[i + 1])]))
             if found:
                 places = [m.span() for m in WORD.finditer(raw[at[i]:at[i + 1]])]
+                ends = [(end // width, window, size) for end, (window, size) in found]
                 spans[i] = [{"window": window, "first": end - size + 1, "last": end, "start": places[end - size + 1][0], "end": places[end][1]}
-                            for end, (window, size) in found]
+                            for end, window, size in ends]
     return counts, spans
 
 
