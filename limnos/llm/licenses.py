@@ -1,6 +1,7 @@
 """License scans by patience alignment.
 
-A passage is at most twice as long as its template, and every place of a text may begin one. Windows from each template
+A passage has at most `reach` times as many words as its template (twice as many unless told otherwise): a copy with more
+words between is not found. Every place of a text may begin a passage. Windows from each template
 word on whose words can cover enough of the template at all (an exact bound) are measured by the length of their longest
 common subsequence, in bits of whole numbers; a window that has enough is cut to the words that reach this length, so
 what is found does not depend on the place in the text. These passages are aligned: words that occur once in both are
@@ -29,6 +30,8 @@ from limnos.llm.common import blocks, coded, offsets
 from limnos.llm.license_texts import TEMPLATES, must_match
 
 THRESHOLD = 0.9
+#: Words of a passage for each of the template's, at most.
+REACH = 2.0
 WORD = re.compile(r"[^\W_]+")
 #: Bytes of templates that may be sent to all tasks.
 TEMPLATE_BYTES = 8 << 20
@@ -105,10 +108,11 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
 
 
 class _Template:
-    def __init__(self, number: int, name: str, words: list[str], threshold: float):
+    def __init__(self, number: int, name: str, words: list[str], threshold: float, reach: float = REACH):
         self.number = number
         self.name, self.words, self.counts, self.must = name, words, Counter(words), frozenset(must_match(words))
         self.named = Counter(words[k] for k in self.must)
+        self.most = max(len(words), int(reach * len(words)))
         self.least = max(1, int(np.ceil(round(threshold * len(words), 9))))
         self.places = {w: sum(1 << k for k, x in enumerate(words) if x == w) for w in self.counts}
         self.mirrored = {w: sum(1 << k for k, x in enumerate(reversed(words)) if x == w) for w in self.counts}
@@ -131,7 +135,7 @@ class _Template:
         """(first, end, matched) of words; known: for each, if it is one of the template's; at: where the texts begin."""
         size, total, places = len(self.words), offsets(known), np.flatnonzero(known)
         k, ends = np.arange(len(places)), np.repeat(at[1:], total[at[1:]] - total[at[:-1]])
-        reach = total[np.minimum(places + 2 * size, ends)]
+        reach = total[np.minimum(places + self.most, ends)]
         near = np.flatnonzero(reach - k >= self.least)
         held, enough, low, high, done, last = Counter(), 0, 0, 0, 0, None
         for k, to in zip(near.tolist(), reach[near].tolist()):
@@ -217,9 +221,9 @@ def _nearest(hits: list[_Hit]) -> list[_Hit]:
     return [x for x in hits if x.nearer]
 
 
-def _scan(templates: list[tuple[str, str]], threshold: float):
+def _scan(templates: list[tuple[str, str]], threshold: float, reach: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [_Template(k, name, words, threshold) for k, (name, text) in enumerate(templates) if (words := words_of(text))]
+        made = [_Template(k, name, words, threshold, reach) for k, (name, text) in enumerate(templates) if (words := words_of(text))]
         for block in blocks(batches, "text"):
             each = [words_of(t) for t in block.column("text").to_pylist()]
             counts = np.fromiter(map(len, each), np.int64, len(each))
@@ -247,10 +251,10 @@ def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES.items()), "license string, text string")
 
 
-def license_scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD, reach: float = REACH) -> DataFrame:
     """(doc_id, n_words, license, coverage, n_licenses, found) of each row's whole text.
 
-    `found` has each template (license, text) that a passage of at most twice its words covers to `threshold` or more,
+    `found` has each template (license, text) that a passage of at most `reach` times its words covers to `threshold` or more,
     in order and with all names and version numbers, and that no overlapping passage of another template matches better
     (fewer unmatched words there, then more words in all, then a shorter template), with the words of its best passage
     (most matched words, then the shortest, then the first). `license` is that of the greatest coverage, then of most
@@ -263,7 +267,7 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, threshold:
     if size > TEMPLATE_BYTES:
         raise ValueError(f"templates of {size} bytes; at most {TEMPLATE_BYTES} are sent to the tasks, give them in several calls")
     listed = sorted((r[0], r[1]) for r in rows.collect())
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(listed, threshold), f"doc_id long, n_words long, found {FOUND}")
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(listed, threshold, reach), f"doc_id long, n_words long, found {FOUND}")
     order = F.transform("found", lambda x: F.struct((-x["coverage"]).alias("c"), (-x["matched"]).alias("m"), x["license"].alias("license")))
     best = F.get(F.array_sort(order), F.lit(0))
     return found.select("doc_id", "n_words", best["license"].alias("license"), F.coalesce(-best["c"], F.lit(0.0)).alias("coverage"),

@@ -258,3 +258,12 @@ def test_segments_do_not_change_the_cost():
     made = pa.Table.from_batches(list(chat._render([batch([t | {k: by[t["segment"]][k] for k in ("enter", "leave", "is_last")} for t in turns])]))).to_pylist()
     assert sum(r["cost"] for r in made) == cheapest(roles)
     legal_text("".join(r["rendered"] for r in made))
+
+
+def test_reach_of_a_passage_is_a_parameter(spark):
+    wide = " and so on ".join("licensed under the apache license version 2 0".split())
+    docs = spark.createDataFrame([(1, f"see {wide} end")], "doc_id long, text string")
+    templates = spark.createDataFrame([("A", "Licensed under the Apache License, Version 2.0")], "license string, text string")
+    assert licenses.license_scan(docs, templates).first()["n_licenses"] == 0
+    row = licenses.license_scan(docs, templates, reach=4.0).first()
+    assert row["license"] == "A" and row["coverage"] == 1.0
