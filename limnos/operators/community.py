@@ -93,7 +93,7 @@ def occurrence_filter(rows: DataFrame, site: str, taxon: str, min_sites: int = 1
                       method: Column | None = None, skip_sites: Sequence[str] = (), known_sites: DataFrame | None = None) -> DataFrame:
     """Distinct (site, taxon) with taxa in more than `min_sites` sites, then sites with at least `min_taxa` of those."""
     rows = rows if method is None else rows.where(method)
-    presence = rows.select(site, taxon).distinct()
+    presence = checkpointed(rows.select(site, taxon).distinct())  # read four times below, what lies behind it runs once
     common = keep_groups(presence, [taxon], F.count(F.lit(1)), lambda n: n > min_sites)
     rich = keep_groups(common, [site], F.count(F.lit(1)), lambda n: n >= min_taxa)
     if skip_sites:

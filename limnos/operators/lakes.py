@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from limnos.functions import columns as C
 from limnos.operators.reshape import add_group_values, lookup_join, natural_join, wide
+from limnos.session import checkpointed
 from limnos.sources.tables import literal_rows
 
 # Lake-seasons left out of the secchi table, one measured by hand, and the number for an unlisted colour.
@@ -80,8 +81,9 @@ def merge_profile_metrics(morphology: DataFrame, thermocline: DataFrame, oxyclin
 
 def metric_coverage(acd: DataFrame, min_observations: int = 3, min_lakes: int = 3, skip: Sequence[str] = TREND_METRICS_OUT) -> DataFrame:
     """Rows of metrics measured often enough per lake and in enough lakes."""
-    rows = add_group_values(acd, ["WATER", "METRIC"], total_observations=F.count(F.lit(1)))
-    rows = add_group_values(rows, ["METRIC"], total_lakes=C.n_distinct("WATER"))
+    pairs = checkpointed(acd.groupBy("WATER", "METRIC").agg(F.count(F.lit(1)).alias("total_observations")))  # a row per lake and metric
+    pairs = add_group_values(pairs, ["METRIC"], total_lakes=F.count(F.lit(1)))
+    rows = natural_join(acd, pairs, "inner", ["WATER", "METRIC"])
     return rows.where((F.col("total_observations") > min_observations) & (F.col("total_lakes") > min_lakes) & C.not_in("METRIC", skip))
 
 
