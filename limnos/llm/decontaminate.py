@@ -32,6 +32,8 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SPANS = "array<struct<window:long,first:int,last:int,start:long,end:long>>"
 SPAN = [("window", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]
 SPAN_TYPE = pa.list_(pa.struct(SPAN))
+#: Text that is scanned at once: bounds a worker's memory.
+TEXT_BYTES = 4 << 20
 #: Digits of a word's number, in bits, and the first character.
 DIGIT, FIRST_CHARACTER = 6, 0x21
 
@@ -60,9 +62,11 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 def _characters(codes: np.ndarray, width: int) -> str:
     """Numbers of words as `width` characters each; -1 is the mark of other words."""
     shift = DIGIT * np.arange(width)[::-1]
-    points = (codes[:, None] >> shift & (1 << DIGIT) - 1) + FIRST_CHARACTER + (np.arange(width) << DIGIT)
+    points = np.empty((len(codes), width), "<u2")
+    for i, s in enumerate(shift.tolist()):
+        points[:, i] = (codes >> s & (1 << DIGIT) - 1) + FIRST_CHARACTER + (i << DIGIT)
     points[codes < 0] = FIRST_CHARACTER + (width << DIGIT)
-    return points.astype("<u2").tobytes().decode("utf-16-le")
+    return points.tobytes().decode("utf-16-le")
 
 
 def _automaton(key: str, patterns: list[tuple[int, str]]) -> tuple:
@@ -118,7 +122,7 @@ def _covered(spans: list[dict]) -> int:
 def _scan(key: str, sent, all_rows: bool):
     """Rows (row, carried columns, text): with n_words, n_hit and spans in place of the text, or only (row, spans) of those with hits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", TEXT_BYTES):
             counts, spans = _hits(key, sent.value, block.column("text"))
             if all_rows:
                 rest = [n for n in block.schema.names if n != "text"]

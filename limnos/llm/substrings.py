@@ -28,7 +28,7 @@ SEED = 12
 #: Occurrences of an anchor that meet in one group; more common anchors are divided by the hash of the window.
 GROUP = 2048
 #: Text of a block: bounds the memory of a task.
-TEXT_BYTES = 6 << 20
+TEXT_BYTES = 4 << 20
 STAGE = "block long, data binary, anchor long, times long"
 WINDOWS = "anchor long, part int, block long, windows binary"
 FOUND = "block long, data binary"
