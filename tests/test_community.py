@@ -270,3 +270,32 @@ def test_permutation_p_finds_a_difference(spark):
     table = O.envfit_table(O.envfit(df, env, "site", "x", "y", perms=19), labels={"x2": "Twice"}).first()
     assert table.metric == "Twice" and table.r2 == 1.0
     assert fit.r2 == pytest.approx(1) and (abs(fit.a1), abs(fit.a2)) == pytest.approx((1, 0), abs=1e-9) and fit.p == pytest.approx(1 / 20)
+
+
+def test_monotone_curve_equals_the_min_max_form():
+    rng = np.random.default_rng(1)
+    sums = np.zeros((O.STEPS + 1, 3))
+    at = np.sort(rng.choice(O.STEPS, 40, replace=False))
+    gaps = [np.abs(rng.normal(a / 3000, 1, rng.integers(1, 6))) for a in at]
+    sums[at] = [(len(g), g.sum(), (g ** 2).sum()) for g in gaps]
+    places, fit, stress = O.monotone_curve(sums)
+    w, t = sums[at, 0], sums[at, 1]
+    want = [max(min(t[j:k + 1].sum() / w[j:k + 1].sum() for k in range(i, 40)) for j in range(i + 1)) for i in range(40)]
+    assert places.tolist() == at.tolist() and fit == pytest.approx(want)
+    off = sum(((g - f) ** 2).sum() for g, f in zip(gaps, want))
+    assert stress == pytest.approx(np.sqrt(off / sum((g ** 2).sum() for g in gaps)))
+
+
+def test_all_numbers_of_axes_at_once(spark):
+    x, labels = random_presence(40, 12, 13)
+    df = as_frame(spark, x, labels)
+    both = {r.k: r.landmark_stress for r in O.stress_by_k(df, "site", "taxon", [1, 2, 3], 15, 2).collect()}
+    alone = {k: O.ordinate(df, "site", "taxon", k, 15, 2) for k in (1, 2, 3)}
+    assert both == pytest.approx({k: s for k, (_, s) in alone.items()}) and both[3] < both[1]
+    # the places that come back have the stress that is told
+    sites = {r.site: np.array(r.x) for r in alone[2][0].collect()}
+    d = {r.site: r.d for r in alone[2][0].collect()}
+    marks = [min((s for s in sites if d[s][j] == 0), key=lambda s: s) for j in range(15)]
+    pairs = spark.createDataFrame([(s, m, float(d[s][j])) for s in sites for j, m in enumerate(marks)], "site int, landmark int, d double")
+    coords = spark.createDataFrame([(s, *map(float, v)) for s, v in sites.items()], "site int, x double, y double")
+    assert O.landmark_stress(pairs, coords, "site", ["x", "y"]).first().landmark_stress == pytest.approx(both[2])
