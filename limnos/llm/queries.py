@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from limnos.llm import align, chat, decontaminate, licenses, packing, quality, secrets, simhash, substrings, token_counts, token_store, trie, warc
 from limnos.llm.common import table
 
