@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.common import blocks, offsets, split_words, staged
+from limnos.session import cores
 
 WINDOW = 10
 #: Windows of one automaton.
@@ -182,6 +183,20 @@ def _found(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, Dat
     return found, listed
 
 
+def _joined(found: DataFrame, listed: DataFrame, empty: dict[str, Column]) -> DataFrame:
+    """Rows with what `listed` has for their windows; rows without a hit take `empty` and no part in the join.
+
+    A list of windows that a large share of the texts hold is one key: it is divided by the row's hash, and `listed`, which has a row
+    per different list, is sent to all parts.
+    """
+    parts = cores(found)
+    salted = found.where("n_hit > 0").withColumn("part", F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(parts)).cast("int"))
+    every = listed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    hit = salted.join(every, ["windows", "part"], "left").drop("part")
+    clean = found.where("n_hit = 0").withColumns(empty)
+    return hit.withColumns({c: F.coalesce(c, v) for c, v in empty.items()}).unionByName(clean)
+
+
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans) of each row of docs (doc_id, text); items has (item_id, text).
 
@@ -191,8 +206,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     null doc_id stays null; repeated rows stay; without items nothing is hit; an empty table gives none. Other columns are not read.
     """
     found, listed = _found(docs, items, size)
-    none = F.array().cast("array<string>")
-    return found.join(listed, "windows", "left").select("doc_id", "n_words", "n_hit", F.coalesce("items", none).alias("items"), "spans")
+    out = _joined(found, listed, {"items": F.array().cast("array<string>")})
+    return out.select("doc_id", "n_words", "n_hit", "items", "spans")
 
 
 def contamination_digests(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -202,9 +217,8 @@ def contamination_digests(docs: DataFrame, items: DataFrame, size: int = WINDOW)
     """
     found, listed = _found(docs, items, size)
     digests = listed.select("windows", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    return found.join(digests, "windows", "left").select(
-        "doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    out = _joined(found, digests, {"n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)})
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
