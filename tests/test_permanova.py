@@ -55,9 +55,10 @@ def f_ratios(d, designs):
     return np.array([ss / k / (residual / df) for ss, k in out])
 
 
-@pytest.mark.parametrize("method", ["bray", "jaccard"])
+@pytest.mark.parametrize("method, most", [("bray", 0), ("bray", 32_768), ("jaccard", 32_768)])
 @pytest.mark.parametrize("block", [4, 1024])
-def test_terms_with_many_levels_first(spark, monkeypatch, method, block):
+def test_terms_with_many_levels_first(spark, monkeypatch, method, most, block):
+    monkeypatch.setattr(A, "GRID_SETS", most)
     monkeypatch.setattr(A, "SET_BLOCK", block)
     monkeypatch.setattr(A.set_grid, "__defaults__", (block,))
     x = random_presence(32, 8, 5)
@@ -69,9 +70,10 @@ def test_terms_with_many_levels_first(spark, monkeypatch, method, block):
     assert got["residual"].ss == pytest.approx(total - sum(ss for ss, _ in out)) and got["cluster"].f is None
 
 
-@pytest.mark.parametrize("method", ["bray", "jaccard"])
+@pytest.mark.parametrize("method, most", [("bray", 0), ("bray", 32_768), ("jaccard", 32_768)])
 @pytest.mark.parametrize("blocks", [[], ["block"]])
-def test_p_of_given_permutations(spark, monkeypatch, method, blocks):
+def test_p_of_given_permutations(spark, monkeypatch, method, most, blocks):
+    monkeypatch.setattr(A, "GRID_SETS", most)
     monkeypatch.setattr(A, "SUM_BYTES", 1)
     monkeypatch.setattr(A, "ENTRIES", 40)
     monkeypatch.setattr(A, "SET_MEMBERS", 2)
