@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import blocks, offsets, split_words, staged
+from limnos.llm.common import blocks, offsets, split_words, staged, tidy
 from limnos.session import cores
 
 WINDOW = 10
@@ -153,10 +153,10 @@ def scanned(rows: DataFrame, windows: DataFrame, carried: list[str]) -> DataFram
         return uuid.uuid4().hex, spark.sparkContext.broadcast([(r["window"], r["pattern"]) for r in part.collect()])  # CHUNK_WINDOWS, about
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    out = rows.mapInArrow(_scan(*sent(0), True), f"{fields}, n_words long, n_hit long, spans {SPANS}")
+    out = rows.mapInArrow(tidy(_scan(*sent(0), True)), f"{fields}, n_words long, n_hit long, spans {SPANS}")
     if chunks > 1:
         # all scans read the same columns, so that one plan numbers the rows
-        more = [rows.mapInArrow(_scan(*sent(i), False), f"row long, more {SPANS}") for i in range(1, chunks)]
+        more = [rows.mapInArrow(tidy(_scan(*sent(i), False)), f"row long, more {SPANS}") for i in range(1, chunks)]
         every = more[0]
         for part in more[1:]:
             every = every.unionByName(part)

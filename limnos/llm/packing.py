@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from limnos.llm.common import blocks, offsets, staged
-from limnos.llm.tokens import END_ID, TEXT_BYTES, encoder, tokenizer_path
+from limnos.llm.common import blocks, offsets, staged, tidy
+from limnos.llm.tokens import END_ID, encoder, tokenizer_path
 
 SIZE = 4096
 #: Ranks of one length that meet in one group of the last join.
 SPAN = 1 << 15
+#: Text that is encoded at once: bounds a worker's memory.
+TEXT_BYTES = 2 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
@@ -128,7 +130,7 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> D
                 pa.array(crc, pa.int64()), pa.array(np.full(len(row), task), pa.int32()), pa.array(nth)],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), PIECES)
 
 
 def pack(made: DataFrame, size: int = SIZE) -> DataFrame:
@@ -140,8 +142,9 @@ def pack(made: DataFrame, size: int = SIZE) -> DataFrame:
     # at most `size` rows come to the driver
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = best_fit(counts, size)
-    columns = "length long, __rank long, __number long, __sequence long, offset long"
-    intervals = (spark.createDataFrame(plan, columns)
+    # as an Arrow table: a list would go through Python workers of another kind, which stay beside those of the operators
+    columns = np.array(plan, np.int64).reshape(-1, 5).T
+    intervals = (spark.createDataFrame(pa.table([pa.array(c) for c in columns], ["length", "__rank", "__number", "__sequence", "offset"]))
                  .withColumn("__span", F.explode(F.sequence(F.floor(F.col("__rank") / SPAN), F.floor((F.col("__rank") + F.col("__number") - 1) / SPAN)))))
     ranked = (made.join(ranks, ["length", "task"]).withColumn("__at", F.col("__before") + F.col("nth"))
               .withColumn("__span", F.floor(F.col("__at") / SPAN)))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import blocks, offsets, staged
+from limnos.llm.common import blocks, offsets, staged, tidy, tidy_group
 
 SHINGLE = 4
 DISTANCE = 4
@@ -28,6 +28,8 @@ LEAF = 256
 #: Fingerprints that shape the tree: so many for a shard, so many at most. The tree's shape has no effect on the links.
 SAMPLE_EACH = 64
 SAMPLE = 1 << 20
+#: Text that is hashed at once: bounds a worker's memory.
+TEXT_BYTES = 4 << 20
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -63,7 +65,7 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, bits, text_hash, rest): 64-bit SimHash of each row's whole text as a signed long, XXH64 of the text, and of the other columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", TEXT_BYTES):
             texts = block.column("text").to_pylist()
             each = [_shingle_hashes((t or "").encode(), size) for t in texts]
             counts = np.fromiter(map(len, each), np.int64, len(each))
@@ -72,7 +74,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(bits.view(np.int64)), pa.array(keys.view(np.int64)), block.column("rest")],
                                              ["doc_id", "bits", "text_hash", "rest"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _rest(docs).alias("rest"))
-    return rows.mapInArrow(run, "doc_id long, bits long, text_hash long, rest long")
+    return rows.mapInArrow(tidy(run), "doc_id long, bits long, text_hash long, rest long")
 
 
 def _rest(docs: DataFrame) -> Column:
@@ -224,7 +226,7 @@ def links(distinct: DataFrame, near: int = DISTANCE, shard: int = SHARD) -> Data
     points = np.sort(np.array([r[0] for r in chosen], np.int64).view(np.uint64))
     tree, _ = plan_tree(points[np.random.default_rng(0).permutation(len(points))], depth)
     return (distinct.select("bits").mapInArrow(_route(tree, near), "shard int, bits long, home boolean")
-            .groupBy("shard").applyInArrow(_search(near), "a long, b long"))
+            .groupBy("shard").applyInArrow(tidy_group(_search(near)), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limnos.llm.common import blocks, coded, offsets, split_words, staged
+from limnos.llm.common import blocks, coded, offsets, split_words, staged, tidy, tidy_pair
 
 WINDOW = 35
 SEED = 12
@@ -293,14 +293,14 @@ def repeats(docs: DataFrame, window: int, seed: int, with_text: bool) -> DataFra
     """Result rows (see RESULT); with `with_text` also the text that is left and `rest`, a struct of the other columns."""
     rest = [F.struct(*[c for c in docs.columns if c != "text"]).alias("rest")] if with_text else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)
-    both = staged(rows.mapInArrow(_anchors(window, seed), STAGE), "anchors")
+    both = staged(rows.mapInArrow(tidy(_anchors(window, seed)), STAGE), "anchors")
     texts = both.where("data IS NOT NULL").select("block", "data")
     anchors = both.where("anchor IS NOT NULL").select("anchor", "block", "times")
-    again = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated_anchors, FOUND)
-    near = texts.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_windows(window, seed), WINDOWS)
-    found = near.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_repeated_windows, FOUND)
+    again = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_repeated_anchors), FOUND)
+    near = texts.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(tidy_pair(_windows(window, seed)), WINDOWS)
+    found = near.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(tidy(_repeated_windows), FOUND)
     result = T.StructType([*T.StructType.fromDDL(RESULT).fields, *([rows.schema["text"], rows.schema["rest"]] if with_text else [])])
-    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cover(window, seed, with_text), result)
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(tidy_pair(_cover(window, seed, with_text)), result)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:

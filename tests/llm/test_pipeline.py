@@ -1,10 +1,15 @@
+import json
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from check import TABLES, canonical
-from limnos.llm import queries, quality
+from limnos.llm import packing, queries, quality
 from tests.llm import cases
 
 DATA = "/root/testdata/sf0.001"
@@ -76,3 +81,21 @@ def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in queries.QUERIES}
     assert names == {f"op{i}" for i in range(1, 14)}
     assert set(queries.ORACLE) <= set(queries.QUERIES) and quality.HOST_LIMIT == 0.5
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="reads /proc")
+def test_workers_give_back_what_a_stage_has_used(tmp_path):
+    """After 20 MB of text a worker holds little beside itself and the known words; in a process of its own, with one worker."""
+    script = os.path.join(os.path.dirname(os.path.abspath(cases.__file__)), "worker_memory.py")
+    said = subprocess.run([sys.executable, script, str(tmp_path)], capture_output=True, text=True, timeout=300)
+    held = json.loads(said.stdout.rpartition("HELD")[2] or said.stderr[-2000:])
+    assert max(held.values()) < 110, held
+
+
+def test_packing_starts_no_other_python_workers(spark, tmp_path):
+    """The intervals come as a local table; a list would pass through Python workers that the operators do not use."""
+    made = spark.createDataFrame([(1, 0, 0, 7, 1, 0, 0)], packing.PIECES)
+    made.write.parquet(str(tmp_path / "pieces"))
+    packed = packing.pack(spark.read.parquet(str(tmp_path / "pieces")))
+    assert "ExistingRDD" not in packed._jdf.queryExecution().optimizedPlan().toString() + packed._jdf.queryExecution().executedPlan().toString()
+    assert [(r["sequence_id"], r["offset"]) for r in packed.collect()] == [(0, 0)]
